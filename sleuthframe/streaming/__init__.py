@@ -1,0 +1 @@
+"""Streaming of the source-analysis engine."""
