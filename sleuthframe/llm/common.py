@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass takes at once; a longer text goes alone.
 PIECE = 1_500_000
@@ -72,3 +73,34 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa
         end = max(begin + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+
+
+def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Groups of equal keys from sorted batches, one at a time. Only the group
+    at hand is held, so groups must be bounded by whoever made the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def semi(docs: DataFrame, ids: DataFrame, column: str, how: str, most: int = 500_000) -> DataFrame:
+    """docs joined left_semi or left_anti with a written table of ids. The ids
+    are broadcast only if counted to be at most `most`; else both are shuffled."""
+    few = ids.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(ids) if few else ids, column, how)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from sleuthframe.llm.decontamination import OP2_SQL, op2_decontamination
+from sleuthframe.llm.ngram_join import OP4_SQL, op4_ngram_join
 from sleuthframe.llm.token_counts import op7_token_counts
 from sleuthframe.llm.token_files import op8_token_files
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op4_ngram_join": op4_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_ngram_join": OP4_SQL}

@@ -55,12 +55,13 @@ def _powers(n: int) -> np.ndarray:
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and for each text the index of its
     first word (one entry more than texts)."""
-    joined = "\n".join((t or "").lower() for t in texts)
+    lowered = [(t or "").lower() for t in texts]
+    joined = "\n".join(lowered)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _alphanumeric()[codes]
     edge = np.diff(inside.view(np.int8), prepend=0, append=0)
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    lengths = np.fromiter((len((t or "").lower()) + 1 for t in texts), np.int64, len(texts))
+    lengths = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(texts))
     offsets = np.searchsorted(first, np.concatenate([[0], np.cumsum(lengths)]))
     if not len(first):
         return np.zeros(0, np.uint64), offsets
@@ -96,3 +97,9 @@ def distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
     return h[keep], np.searchsorted(w[keep], np.arange(len(offsets)))
+
+
+#: The same words and shingles in DuckDB's SQL, for tables with a text column.
+SHINGLE_SQL = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END"""
+WORDS_SQL = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
