@@ -5,16 +5,18 @@ from __future__ import annotations
 from sleuthframe.llm.decontamination import OP2_SQL, op2_decontamination
 from sleuthframe.llm.mixing import OP9_SQL, op9_mixing
 from sleuthframe.llm.ngram_join import OP4_SQL, op4_ngram_join
+from sleuthframe.llm.pii import OP3_SQL, op3_pii
 from sleuthframe.llm.token_counts import op7_token_counts
 from sleuthframe.llm.token_files import op8_token_files
 from sleuthframe.llm.warc_zip import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
     "op4_ngram_join": op4_ngram_join,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_pii": OP3_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
