@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from sleuthframe.llm.decontamination import OP2_SQL, op2_decontamination
+from sleuthframe.llm.main_text import op6_main_text
 from sleuthframe.llm.mixing import OP9_SQL, op9_mixing
+from sleuthframe.llm.nearest import op5_nearest
 from sleuthframe.llm.ngram_join import OP4_SQL, op4_ngram_join
 from sleuthframe.llm.pii import OP3_SQL, op3_pii
 from sleuthframe.llm.token_counts import op7_token_counts
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_ngram_join": op4_ngram_join,
+    "op5_nearest": op5_nearest,
+    "op6_main_text": op6_main_text,
     "op7_token_counts": op7_token_counts,
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
