@@ -10,9 +10,11 @@ from sleuthframe.llm.ngram_join import OP4_SQL, op4_ngram_join
 from sleuthframe.llm.pii import OP3_SQL, op3_pii
 from sleuthframe.llm.token_counts import op7_token_counts
 from sleuthframe.llm.token_files import op8_token_files
+from sleuthframe.llm.toxicity import op1_toxicity
 from sleuthframe.llm.warc_zip import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_ngram_join": op4_ngram_join,
