@@ -39,7 +39,7 @@ from sleuthframe.llm.pretokens import Split, plain
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 0
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 600_000
 
 
 class Encoder:

@@ -39,7 +39,7 @@ SHORTEST_PREFIX, LONGEST_PREFIX = 4, 6
 SHORTEST_FUZZY = 5
 FUZZY, QUOTED, ADDRESSED = 0.6, 0.3, 1.2
 WINDOW = 60
-REMEMBER = 700_000
+REMEMBER = 300_000
 REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|called|wrote|writes|reported|term|word|sagte|schrieb|zitat|dijo|escribió|palabra|disait|écrit|mot)\b")
 SECOND_PERSON = re.compile(r"\b(?:you|your|youre|du|dich|ihr|tú|eres|usted|tu|toi|vous)\b")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
