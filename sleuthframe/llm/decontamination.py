@@ -114,7 +114,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind, item_kind = narrow.schema["id"].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     asked = items.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    asked = written(asked.mapInArrow(_items(containment), f"item {item_kind}, n bigint, shingles array<bigint>, sketch bigint").filter("n > 0"), f"{folder}/items")
+    asked = written(asked.mapInArrow(_items(containment), f"item {item_kind}, n bigint, shingles array<bigint>, sketch bigint").filter("n > 0").withColumn("k", F.monotonically_increasing_id()), f"{folder}/items")
     schema = f"id {kind}, item {item_kind}, shared bigint, n bigint"
     if (asked.agg(F.sum("n")).first()[0] or 0) <= broadcast_shingles:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -125,9 +125,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         rows = narrow.withColumn("row", F.monotonically_increasing_id())
         rows = written(rows.mapInArrow(_document_sets, f"id {kind}, row bigint, shingles array<bigint>"), f"{folder}/sets")
         each = rows.select("id", "row", F.explode("shingles").alias("g"))
-        sketch = asked.select("item", F.monotonically_increasing_id().alias("k"), F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("g"))
+        sketch = asked.select("k", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("g"))
         pairs = each.join(sketch, "g").select("row", "k").distinct()
-        whole = asked.select("item", "n", "shingles", F.monotonically_increasing_id().alias("k"))
+        whole = asked.select("item", "n", "shingles", "k")
         found = pairs.join(whole, "k").join(rows.select("id", "row", F.col("shingles").alias("own")), "row")
         found = found.select("id", "item", F.size(F.array_intersect("shingles", "own")).cast("long").alias("shared"), "n").filter(F.col("shared") * 10_000 >= F.col("n") * round(containment * 10_000))
     return found.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), (F.col("shared") / F.col("n")).alias("containment"))
