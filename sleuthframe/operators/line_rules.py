@@ -23,6 +23,8 @@ class LineRule:
     pattern: str | None = None
     most: int | None = None
     path: str | None = None
+    #: A string that every line with a match holds; looked for before the pattern is tried.
+    needs: str | None = None
 
     @property
     def severity(self) -> str:
@@ -32,35 +34,35 @@ class LineRule:
 RULES = (
     LineRule("Layout/LineLength", "Line is too long.", most=120),
     LineRule("Layout/TrailingWhitespace", "Trailing whitespace detected.", r"[ \t]+$"),
-    LineRule("Layout/IndentationStyle", "Tab detected in indentation.", r"^ *\t"),
-    LineRule("Layout/SpaceAfterComma", "Space missing after comma.", r",[^ \t,\)\]\}'\"]"),
-    LineRule("Layout/SpaceAfterSemicolon", "Space missing after semicolon.", r";[^ \t;]"),
-    LineRule("Layout/SpaceAfterMethodName", "Do not put a space between a method name and its parenthesis.", r"^ *def +[a-z_.]+[?!]? +\("),
+    LineRule("Layout/IndentationStyle", "Tab detected in indentation.", r"^ *\t", needs="\t"),
+    LineRule("Layout/SpaceAfterComma", "Space missing after comma.", r",[^ \t,\)\]\}'\"]", needs=","),
+    LineRule("Layout/SpaceAfterSemicolon", "Space missing after semicolon.", r";[^ \t;]", needs=";"),
+    LineRule("Layout/SpaceAfterMethodName", "Do not put a space between a method name and its parenthesis.", r"^ *def +[a-z_.]+[?!]? +\(", needs="def "),
     LineRule("Style/AsciiComments", "Use only ascii symbols.", r"[^\x00-\x7F]+"),
     LineRule("Style/NumericLiterals", "Use underscores as thousands separator.", r"\b[0-9]{6,}\b"),
-    LineRule("Style/Semicolon", "Do not use semicolons to terminate expressions.", r";"),
+    LineRule("Style/Semicolon", "Do not use semicolons to terminate expressions.", r";", needs=";"),
     LineRule("Style/AndOr", "Use the operator instead of the word.", r"^ *(return|redirect_to|render) .* (and|or) "),
-    LineRule("Style/EndBlock", "Avoid the use of END blocks.", r"^ *END *\{"),
-    LineRule("Style/EnvHome", "Use Dir.home instead.", r"ENV(\[|\.fetch\()['\"]HOME['\"]"),
-    LineRule("Style/ColonMethodDefinition", "Do not use :: for defining class methods.", r"^ *def +(self|[A-Z][A-Za-z0-9]*)::"),
-    LineRule("Style/CommentedKeyword", "Do not place comments on the same line as the keyword.", r"^ *(class|module|def|begin|end)\b[^'\"#]* # "),
-    LineRule("Style/NotKeyword", "Use ! instead of not.", r"^ *not "),
-    LineRule("Naming/ClassAndModuleCamelCase", "Use CamelCase for classes and modules.", r"^ *(class|module) +[A-Za-z0-9:]*_[A-Za-z0-9_:]*"),
-    LineRule("Naming/ConstantName", "Use SCREAMING_SNAKE_CASE for constants.", r"^ *[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]* = [0-9'\"\[]"),
-    LineRule("Naming/MethodName", "Use snake_case for method names.", r"^ *def +(self\.)?[a-z]+[A-Z][A-Za-z0-9]*"),
-    LineRule("Lint/BigDecimalNew", "BigDecimal.new() is deprecated.", r"\bBigDecimal\.new\("),
-    LineRule("Lint/RescueException", "Avoid rescuing the Exception class.", r"^ *rescue +(::)?Exception\b"),
-    LineRule("Lint/TrailingCommaInAttributeDeclaration", "Avoid a trailing comma in attribute declarations.", r"^ *attr_(reader|writer|accessor) .*, *$"),
-    LineRule("Security/Eval", "The use of eval is a serious security risk.", r"(^|[^.A-Za-z0-9_])eval[ (]"),
-    LineRule("Security/MarshalLoad", "Avoid using Marshal.load.", r"\bMarshal\.(load|restore)\b"),
-    LineRule("Security/YAMLLoad", "Prefer using YAML.safe_load over YAML.load.", r"\b(YAML|Psych)\.load\b"),
-    LineRule("Bundler/InsecureProtocolSource", "The source is insecure.", r"^ *source +:(gemcutter|rubygems|rubyforge)\b"),
-    LineRule("Gemspec/AddRuntimeDependency", "Use add_dependency instead of add_runtime_dependency.", r"\.add_runtime_dependency\b"),
-    LineRule("Rails/DefaultScope", "Avoid using default_scope.", r"^[^#]*\bdefault_scope\b"),
-    LineRule("Rails/FilePath", "Prefer Rails.root.join.", r"File\.join\(Rails\.root(\.to_s)?\b"),
-    LineRule("Rails/ApplicationJob", "Jobs should subclass ApplicationJob.", r"< *ActiveJob::Base", path="/app/jobs/"),
+    LineRule("Style/EndBlock", "Avoid the use of END blocks.", r"^ *END *\{", needs="END"),
+    LineRule("Style/EnvHome", "Use Dir.home instead.", r"ENV(\[|\.fetch\()['\"]HOME['\"]", needs="ENV"),
+    LineRule("Style/ColonMethodDefinition", "Do not use :: for defining class methods.", r"^ *def +(self|[A-Z][A-Za-z0-9]*)::", needs="def "),
+    LineRule("Style/CommentedKeyword", "Do not place comments on the same line as the keyword.", r"^ *(class|module|def|begin|end)\b[^'\"#]* # ", needs=" # "),
+    LineRule("Style/NotKeyword", "Use ! instead of not.", r"^ *not ", needs="not "),
+    LineRule("Naming/ClassAndModuleCamelCase", "Use CamelCase for classes and modules.", r"^ *(class|module) +[A-Za-z0-9:]*_[A-Za-z0-9_:]*", needs="_"),
+    LineRule("Naming/ConstantName", "Use SCREAMING_SNAKE_CASE for constants.", r"^ *[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]* = [0-9'\"\[]", needs=" = "),
+    LineRule("Naming/MethodName", "Use snake_case for method names.", r"^ *def +(self\.)?[a-z]+[A-Z][A-Za-z0-9]*", needs="def "),
+    LineRule("Lint/BigDecimalNew", "BigDecimal.new() is deprecated.", r"\bBigDecimal\.new\(", needs="BigDecimal"),
+    LineRule("Lint/RescueException", "Avoid rescuing the Exception class.", r"^ *rescue +(::)?Exception\b", needs="rescue"),
+    LineRule("Lint/TrailingCommaInAttributeDeclaration", "Avoid a trailing comma in attribute declarations.", r"^ *attr_(reader|writer|accessor) .*, *$", needs="attr_"),
+    LineRule("Security/Eval", "The use of eval is a serious security risk.", r"(^|[^.A-Za-z0-9_])eval[ (]", needs="eval"),
+    LineRule("Security/MarshalLoad", "Avoid using Marshal.load.", r"\bMarshal\.(load|restore)\b", needs="Marshal"),
+    LineRule("Security/YAMLLoad", "Prefer using YAML.safe_load over YAML.load.", r"\b(YAML|Psych)\.load\b", needs=".load"),
+    LineRule("Bundler/InsecureProtocolSource", "The source is insecure.", r"^ *source +:(gemcutter|rubygems|rubyforge)\b", needs="source"),
+    LineRule("Gemspec/AddRuntimeDependency", "Use add_dependency instead of add_runtime_dependency.", r"\.add_runtime_dependency\b", needs="add_runtime_dependency"),
+    LineRule("Rails/DefaultScope", "Avoid using default_scope.", r"^[^#]*\bdefault_scope\b", needs="default_scope"),
+    LineRule("Rails/FilePath", "Prefer Rails.root.join.", r"File\.join\(Rails\.root(\.to_s)?\b", needs="File.join"),
+    LineRule("Rails/ApplicationJob", "Jobs should subclass ApplicationJob.", r"< *ActiveJob::Base", path="/app/jobs/", needs="ActiveJob::Base"),
     LineRule("RSpec/Focus", "Focused spec found.", r"^ *(fdescribe|fcontext|fit)|focus: true"),
-    LineRule("RSpec/MessageChain", "Avoid stubbing using receive_message_chain.", r"\breceive_message_chain\b"),
+    LineRule("RSpec/MessageChain", "Avoid stubbing using receive_message_chain.", r"\breceive_message_chain\b", needs="receive_message_chain"),
 )
 
 
@@ -74,7 +76,9 @@ def _finding(rule: LineRule) -> Column:
     if rule.most is not None:
         hit, column, length = F.length(body) > rule.most, F.lit(rule.most + 1), F.length(body) - rule.most
     else:
-        hit, column, length = F.rlike(body, F.lit(rule.pattern)), first_column(body, rule.pattern), F.length(F.regexp_extract(body, rule.pattern, 0))
+        hit = F.rlike(body, F.lit(rule.pattern))
+        hit = F.contains(body, F.lit(rule.needs)) & hit if rule.needs else hit
+        column, length = first_column(body, rule.pattern), F.length(F.regexp_extract(body, rule.pattern, 0))
     if rule.path:
         hit = hit & F.contains(F.col("path"), F.lit(rule.path))
     return F.when(hit, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), column.alias("column"), F.greatest(length, F.lit(1)).alias("length")))
