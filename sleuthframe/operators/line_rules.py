@@ -14,6 +14,19 @@ from pyspark.sql import functions as F
 from sleuthframe.functions.text import first_column, lines
 
 
+#: Rules outside Lint that warn.
+WARNINGS = frozenset(
+    "Bundler/DuplicatedGem Bundler/DuplicatedGroup Bundler/InsecureProtocolSource Gemspec/DeprecatedAttributeAssignment Gemspec/DuplicatedAssignment Gemspec/RequireMFA "
+    "Gemspec/RequiredRubyVersion Gemspec/RubyVersionGlobalsUsage Layout/BeginEndAlignment Layout/DefEndAlignment Layout/EndAlignment".split()
+)
+#: Rules that run only when asked for by their full name.
+ON_REQUEST = frozenset("RSpec/MessageChain RSpec/MultipleExpectations RSpec/MultipleMemoizedHelpers RSpec/PendingWithoutReason Security/IoMethods Style/Copyright Style/Documentation".split())
+
+
+def severity(rule: str) -> str:
+    return "warning" if rule.startswith("Lint/") or rule in WARNINGS else "convention"
+
+
 @dataclass(frozen=True)
 class LineRule:
     """A pattern that both Java and RE2 read alike, or a greatest length."""
@@ -28,7 +41,7 @@ class LineRule:
 
     @property
     def severity(self) -> str:
-        return "warning" if self.name.startswith(("Lint/", "Security/")) else "convention"
+        return severity(self.name)
 
 
 RULES = (
@@ -43,7 +56,7 @@ RULES = (
     LineRule("Style/Semicolon", "Do not use semicolons to terminate expressions.", r";", needs=";"),
     LineRule("Style/AndOr", "Use the operator instead of the word.", r"^ *(return|redirect_to|render) .* (and|or) "),
     LineRule("Style/EndBlock", "Avoid the use of END blocks.", r"^ *END *\{", needs="END"),
-    LineRule("Style/EnvHome", "Use Dir.home instead.", r"ENV(\[|\.fetch\()['\"]HOME['\"]", needs="ENV"),
+    LineRule("Style/EnvHome", "Use Dir.home instead.", r"ENV(\[|\.fetch\()['\"]HOME['\"][\])]", needs="ENV"),
     LineRule("Style/ColonMethodDefinition", "Do not use :: for defining class methods.", r"^ *def +(self|[A-Z][A-Za-z0-9]*)::", needs="def "),
     LineRule("Style/CommentedKeyword", "Do not place comments on the same line as the keyword.", r"^ *(class|module|def|begin|end)\b[^'\"#]* # ", needs=" # "),
     LineRule("Style/NotKeyword", "Use ! instead of not.", r"^ *not ", needs="not "),
@@ -62,13 +75,36 @@ RULES = (
     LineRule("Rails/FilePath", "Prefer Rails.root.join.", r"File\.join\(Rails\.root(\.to_s)?\b", needs="File.join"),
     LineRule("Rails/ApplicationJob", "Jobs should subclass ApplicationJob.", r"< *ActiveJob::Base", path="/app/jobs/", needs="ActiveJob::Base"),
     LineRule("RSpec/Focus", "Focused spec found.", r"^ *(fdescribe|fcontext|fit)|focus: true"),
+    LineRule("Rails/ReversibleMigration", "Use reversible migration helpers or define `up` and `down`.", r"^ *(execute|drop_table|remove_column|change_column) ", path="/db/migrate/"),
+    LineRule("RSpec/PendingWithoutReason", "Give the reason for pending.", r"^ *(pending|skip) *$"),
+    LineRule("RSpec/VariableName", "Use snake_case for variable names.", r"^ *(let!?|subject!?)\(:[a-z0-9_]*[A-Z][A-Za-z0-9_]*", needs="(:"),
+    LineRule("Style/DoubleCopDisableDirective", "More than one disable comment on one line.", r"# rubocop:(disable|todo) .*# rubocop:(disable|todo)", needs="# rubocop:"),
+    LineRule("Migration/DepartmentName", "Department name is missing.", r"# rubocop:(disable|todo|enable) +([A-Z][A-Za-z]*/[A-Za-z]+, *)*[A-Z][A-Za-z]*[a-z][A-Z][A-Za-z]*( |,|$)", needs="# rubocop:"),
+    LineRule("Style/ImplicitRuntimeError", "Use an explicit exception class and message, rather than just a message.", r"^ *(raise|fail) *\(?['\"]"),
+    LineRule("Style/FetchEnvVar", "Use ENV.fetch instead of ENV[].", r"^[^#]*\bENV\[['\"][^'\"]+['\"]\]", needs="ENV["),
+    LineRule("Style/InPatternThen", "Do not use `in` with a semicolon. Use `then` instead.", r"^ *in +[^;#'\"]+;", needs=";"),
+    LineRule("Style/ReturnNil", "Use return instead of return nil.", r"^ *return +nil *($|if |unless |#)", needs="return"),
+    LineRule("Style/EachForSimpleLoop", "Use Integer#times for a simple loop which iterates a fixed number of times.", r"\([0-9]+\.\.\.?[0-9]+\)\.each +(do|\{) *($|[^| ])", needs=".each"),
+    LineRule("Style/ClassAndModuleChildren", "Use nested module/class definitions instead of compact style.", r"^ *(class|module) +[A-Z][A-Za-z0-9]*::", needs="::"),
+    LineRule("Style/MultilineIfThen", "Do not use then for multi-line if or unless.", r"^ *(if|unless|elsif) .* then *$", needs="then"),
+    LineRule("Style/ModuleFunction", "Use module_function instead of extend self.", r"^ *extend +self *$", needs="extend"),
+    LineRule("Layout/SpaceInsideRangeLiteral", "Space inside range literal.", r"[0-9a-z)]( +\.\.\.?| *\.\.\.? +)[0-9a-z(]", needs=".."),
+    LineRule("Layout/SpaceBeforeComment", "Put a space before an end-of-line comment.", r"[A-Za-z0-9)\]}]#( |$)", needs="#"),
     LineRule("RSpec/MessageChain", "Avoid stubbing using receive_message_chain.", r"\breceive_message_chain\b", needs="receive_message_chain"),
 )
 
 
-def selected(only: list[str] | None = None) -> tuple[LineRule, ...]:
-    """Rules by exact name or by department; all by default. Unknown names select nothing."""
-    return tuple(r for r in RULES if only is None or r.name in only or r.name.partition("/")[0] in only)
+def enabled(rule: str, only: list[str] | None = None) -> bool:
+    """Whether a selection of exact names and departments asks for a rule."""
+    if only is None:
+        return rule not in ON_REQUEST
+    return rule in only or rule not in ON_REQUEST and rule.partition("/")[0] in only
+
+
+def selected(only: list[str] | None = None, rules: tuple = RULES) -> tuple:
+    """Rules by exact name or by department; all but those on request by default.
+    Unknown names select nothing."""
+    return tuple(r for r in rules if enabled(r.name, only))
 
 
 def _finding(rule: LineRule) -> Column:

@@ -9,7 +9,7 @@ import __spark_entry__
 from sleuthframe.functions.text import lines
 from sleuthframe.operators.findings import compare
 from sleuthframe.operators.line_rules import diagnostics, selected
-from sleuthframe.plans import catalog
+from sleuthframe.plans import analytics, catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,4 +80,7 @@ def test_compare_counts_repeats(spark):
 
 def test_selection():
     assert [r.name for r in selected(["Security"])] == ["Security/Eval", "Security/MarshalLoad", "Security/YAMLLoad"]
+    assert "RSpec/MessageChain" not in [r.name for r in selected()]
+    assert [r.name for r in selected(["RSpec/MessageChain"])] == ["RSpec/MessageChain"]
+    assert not any(r.name == "RSpec/MessageChain" for r in selected(["RSpec"]))
     assert selected(["Unknown/Rule"]) == ()
