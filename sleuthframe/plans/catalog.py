@@ -94,19 +94,19 @@ SHORT = (*selected(["Layout/LineLength", "Style"]),)
 LONG = (LineRule("Layout/LineLength", "Line is too long.", most=200), *selected(["Style", "Layout/SpaceAfterComma"]))
 
 
-def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ("path", "rule", "severity", "line")
     return compare(found(spark, sf_dir, rules=SHORT), found(spark, sf_dir, rules=LONG), keys)
 
 
-_COMPARED_SQL = f"""WITH {diagnostics_sql("documents", SHORT, "a")}, b AS ({" UNION ALL ".join(rule_sql(r, "documents") for r in LONG)}),
+COMPARED_SQL = f"""WITH {diagnostics_sql("documents", SHORT, "a")}, b AS ({" UNION ALL ".join(rule_sql(r, "documents") for r in LONG)}),
 n AS (SELECT path, rule, severity, line, sum(l) AS l, sum(r) AS r FROM (SELECT path, rule, severity, line, 1 AS l, 0 AS r FROM a UNION ALL SELECT path, rule, severity, line, 0, 1 FROM b) GROUP BY ALL),
 c AS (SELECT path, rule, severity, line, CAST(least(l, r) AS BIGINT) AS exact, CAST(greatest(l - r, 0) AS BIGINT) AS left_only, CAST(greatest(r - l, 0) AS BIGINT) AS right_only FROM n)"""
-register("compare_two_configs", _compared, f"{_COMPARED_SQL} SELECT * FROM c")
+register("compare_two_configs", compared, f"{COMPARED_SQL} SELECT * FROM c")
 register(
     "classify_by_rule",
-    lambda s, d: classified(_compared(s, d)),
-    f"{_COMPARED_SQL} SELECT rule, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(left_only) AS BIGINT) AS left_only, CAST(sum(right_only) AS BIGINT) AS right_only, CASE WHEN sum(left_only) = 0 AND sum(right_only) = 0 THEN 'exact' WHEN sum(exact) = 0 THEN 'disjoint' ELSE 'mismatch' END AS outcome FROM c GROUP BY rule",
+    lambda s, d: classified(compared(s, d)),
+    f"{COMPARED_SQL} SELECT rule, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(left_only) AS BIGINT) AS left_only, CAST(sum(right_only) AS BIGINT) AS right_only, CASE WHEN sum(left_only) = 0 AND sum(right_only) = 0 THEN 'exact' WHEN sum(exact) = 0 THEN 'disjoint' ELSE 'mismatch' END AS outcome FROM c GROUP BY rule",
 )
 register(
     "top3_unmatched_per_rule",
