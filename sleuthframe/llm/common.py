@@ -3,9 +3,11 @@ folder, and walking Arrow batches in bounded pieces."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one numpy pass takes at once; a longer text goes alone.
-PIECE = 1_500_000
+PIECE = 600_000
 
 _own_folder: str | None = None
 
@@ -73,6 +75,31 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa
         end = max(begin + 1, int(np.searchsorted(total, before + most, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    tidy()
+
+
+_held: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps from task to task. It keeps one thing: Spark uses
+    workers again for other stages, where it would only take up memory."""
+    if key not in _held:
+        _held.clear()
+        tidy()
+        _held[key] = make()
+    return _held[key]
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def tidy() -> None:
+    """Give memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

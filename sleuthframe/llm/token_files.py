@@ -16,7 +16,6 @@ text columns are read, so other columns may have any names.
 
 from __future__ import annotations
 
-import functools
 import itertools
 import os
 import struct
@@ -32,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import filesystem, pieces, put_file, shared_folder, table, written
+from sleuthframe.llm.common import filesystem, kept, pieces, put_file, shared_folder, table, tidy, written
 from sleuthframe.llm.pretokens import Split, plain
 
 #: Fixed values of the public zstandard seekable layout.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 0
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBER = 600_000
+REMEMBER = 300_000
 
 
 class Encoder:
@@ -112,9 +111,8 @@ class Encoder:
         return out
 
 
-@functools.cache
 def _encoder(name: str) -> Encoder:
-    return Encoder(public_tokenizers.path(name))
+    return kept(("ids", name), lambda: Encoder(public_tokenizers.path(name)))
 
 
 def skippable(magic: int, content: bytes) -> bytes:
@@ -197,6 +195,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
                         frames.add(doc_id, np.append(ids, np.uint32(END_ID)))
                         counts[0] += 1
                         counts[1] += len(ids) + 1
+                tidy()
             frames.finish()
 
         file = f"{folder}/part-{part:06d}.tokens.zst"

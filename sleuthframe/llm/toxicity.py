@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import pieces, shared_folder, table, written
+from sleuthframe.llm.common import kept, pieces, shared_folder, table, written
 from sleuthframe.llm.shingles import _characters, _powers, mix
 
 MAX_LABELLED = 6000
@@ -300,20 +300,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(terms, *fit_logistic(rows[:, :2], rows[:, 2]))
 
 
-_scorers: dict[tuple, Scorer] = {}
+def _scorer(terms: dict[tuple[str, bool], float]) -> Scorer:
+    return kept(("toxicity", tuple(sorted(terms.items()))), lambda: Scorer(terms))
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(sorted(model.terms.items()))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model.terms)
+        scorer = _scorer(model.terms)
         for batch in batches:
             for part in pieces(batch, "text"):
-                x = _scorers[key].sums(part.column("text").to_pylist()) @ np.array(model.factors) + model.bias
+                x = scorer.sums(part.column("text").to_pylist()) @ np.array(model.factors) + model.bias
                 yield pa.record_batch([part.column("id"), pa.array(1 / (1 + np.exp(-np.clip(x, -700, 700))) if model.terms else np.zeros(len(x)))], ["id", "score"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -325,13 +323,10 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
     scorer_terms, factors, bias = model.terms, model.factors, model.bias
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple(sorted(scorer_terms.items()))
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(scorer_terms)
+        scorer = _scorer(scorer_terms)
         for batch in batches:
             for part in pieces(batch, text_col):
-                x = _scorers[key].sums(part.column(text_col).to_pylist()) @ np.array(factors) + bias
+                x = scorer.sums(part.column(text_col).to_pylist()) @ np.array(factors) + bias
                 yield part.filter(pa.array(x < 0))
 
     return docs.mapInArrow(run, docs.schema) if model.terms else docs
