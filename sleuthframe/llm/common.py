@@ -102,6 +102,33 @@ def tidy() -> None:
     _trim()(0)
 
 
+class Remembered:
+    """Values of 64-bit keys in sorted arrays, which take a few bytes a key where
+    a dictionary takes a hundred. like: no values, of the shape and type to hold."""
+
+    def __init__(self, like: np.ndarray):
+        self.keys, self.values = np.zeros(0, np.uint64), like
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Indices of the keys without a value."""
+        at = np.searchsorted(self.keys, keys)
+        there = at < len(self.keys)
+        there[there] = self.keys[at[there]] == keys[there]
+        return np.flatnonzero(~there)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """keys: sorted, each once, none that has a value."""
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values, axis=0)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that all have one."""
+        return self.values[np.searchsorted(self.keys, keys)]
+
+
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Groups of equal keys from sorted batches, one at a time. Only the group
     at hand is held, so groups must be bounded by whoever made the keys."""

@@ -31,14 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import filesystem, kept, pieces, put_file, shared_folder, table, tidy, written
+from sleuthframe.llm.common import Remembered, filesystem, kept, pieces, put_file, shared_folder, table, written
 from sleuthframe.llm.pretokens import Split, plain
 
 #: Fixed values of the public zstandard seekable layout.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 0
 #: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBER = 300_000
+REMEMBER = 1_000_000
 
 
 class Encoder:
@@ -54,7 +54,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Remembered(np.zeros(0, np.int64))
         self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
         self.flat = np.zeros(1 << 16, np.uint32)
 
@@ -75,7 +75,7 @@ class Encoder:
             size[i] = len(e.ids)
         return size, flat
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
         order = sorted(range(len(texts)), key=lambda i: not (texts[i][0] == " " and texts[i][1:].isalpha()))
         size, flat = self._library([texts[i] for i in order])
         n, more = len(self.known), int(size.sum())
@@ -87,7 +87,9 @@ class Encoder:
         self.start[n : n + len(keys)] = self.used + np.cumsum(size) - size
         self.size[n : n + len(keys)] = size
         self.used += more
-        self.known.update(zip((keys[i] for i in order), range(n, n + len(keys)), strict=True))
+        slots = np.empty(len(keys), np.int64)
+        slots[order] = np.arange(n, n + len(keys))
+        self.known.add(keys, slots)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = [t or "" for t in texts]
@@ -96,11 +98,10 @@ class Encoder:
         if len(self.known) > REMEMBER:
             self.forget()
         keys, where, back = np.unique(split.hashes, return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        new = [k for k, key in enumerate(listed) if key not in self.known]
-        if new:
-            self._learn([listed[k] for k in new], [split.piece(where[k]) for k in new])
-        at = np.fromiter((self.known[key] for key in listed), np.int64, len(listed))[back]
+        new = self.known.missing(keys)
+        if len(new):
+            self._learn(keys[new], [split.piece(where[k]) for k in new])
+        at = self.known.get(keys)[back]
         size = self.size[at]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + size, size)]
@@ -195,7 +196,6 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
                         frames.add(doc_id, np.append(ids, np.uint32(END_ID)))
                         counts[0] += 1
                         counts[1] += len(ids) + 1
-                tidy()
             frames.finish()
 
         file = f"{folder}/part-{part:06d}.tokens.zst"
