@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import kept, pieces, shared_folder, table, written
+from sleuthframe.llm.common import Remembered, kept, pieces, shared_folder, table, written
 from sleuthframe.llm.shingles import _characters, _powers, mix
 
 MAX_LABELLED = 6000
@@ -39,7 +39,7 @@ SHORTEST_PREFIX, LONGEST_PREFIX = 4, 6
 SHORTEST_FUZZY = 5
 FUZZY, QUOTED, ADDRESSED = 0.6, 0.3, 1.2
 WINDOW = 60
-REMEMBER = 300_000
+REMEMBER = 1_000_000
 REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|called|wrote|writes|reported|term|word|sagte|schrieb|zitat|dijo|escribió|palabra|disait|écrit|mot)\b")
 SECOND_PERSON = re.compile(r"\b(?:you|your|youre|du|dich|ihr|tú|eres|usted|tu|toi|vous)\b")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
@@ -155,7 +155,7 @@ class Model:
 
 class Scorer:
     def __init__(self, terms: dict[tuple[str, bool], float]):
-        self.lexicon, self.known = Lexicon(terms), {}
+        self.lexicon, self.known = Lexicon(terms), Remembered(np.zeros((0, 2)))
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """Logarithms of one plus the weighted sums of exact and misspelt hits."""
@@ -163,16 +163,11 @@ class Scorer:
         out = np.zeros((len(texts), 2))
         keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > REMEMBER:
-            self.known.clear()
-        known, weight = self.known, np.zeros((len(keys), 2))
-        for k, (key, at) in enumerate(zip(keys.tolist(), where.tolist(), strict=True)):
-            hit = known.get(key)
-            if hit is None:
-                word = joined[begin[at] : end[at]]
-                exact = self.lexicon.exact(word)
-                hit = known[key] = (exact, 0.0) if exact else (0.0, self.lexicon.fuzzy(word))
-            if hit != (0.0, 0.0):
-                weight[k] = hit
+            self.known = Remembered(np.zeros((0, 2)))
+        new = self.known.missing(keys)
+        if len(new):
+            self.known.add(keys[new], np.array([self.weights(joined[begin[at] : end[at]]) for at in where[new]]))
+        weight = self.known.get(keys)
         hits = np.flatnonzero(weight.any(1)[back])
         owner = np.searchsorted(first, hits, "right") - 1
         for i, t in zip(hits.tolist(), owner.tolist(), strict=True):
@@ -180,6 +175,11 @@ class Scorer:
             out[t] += weight[back[i]] * self.context(joined[max(low, begin[i] - WINDOW) : begin[i]], joined[end[i] : min(high, end[i] + WINDOW)])
         return np.log1p(out)
 
+    def weights(self, word: str) -> tuple[float, float]:
+        """Of the word as a term, and as a misspelt one if it is none."""
+        exact = self.lexicon.exact(word)
+        return (exact, 0.0) if exact else (0.0, self.lexicon.fuzzy(word))
+
     @staticmethod
     def context(before: str, after: str) -> float:
         """Less than 1 for quotation, more for address."""
