@@ -241,3 +241,18 @@ def test_toxicity_without_labels(spark, odd):
     assert {r["score"] for r in toxicity(odd, model).collect()} == {0.0}
     scores = toxicity(odd, Model({("quotes", False): 1.0}, -1.0, (9.0, 0.0))).collect()
     assert len(scores) == len(ODD) and toxicity(empty(odd), model).collect() == []
+
+
+def test_remembered_words_and_kept_state():
+    from sleuthframe.llm.common import Remembered, kept
+
+    memory = Remembered(np.zeros((0, 2)))
+    assert memory.missing(np.array([], np.uint64)).tolist() == []
+    assert memory.missing(np.array([3, 7], np.uint64)).tolist() == [0, 1]
+    memory.add(np.array([3, 2**64 - 1], np.uint64), np.array([[1.0, 2.0], [3.0, 4.0]]))
+    some = np.array([1, 3, 5, 2**64 - 1], np.uint64)
+    assert memory.missing(some).tolist() == [0, 2]
+    memory.add(some[[0, 2]], np.array([[5.0, 6.0], [7.0, 8.0]]))
+    assert memory.get(some).tolist() == [[5.0, 6.0], [1.0, 2.0], [7.0, 8.0], [3.0, 4.0]] and len(memory) == 4
+    made = [kept("a", list), kept("a", list), kept("b", dict), kept("a", list)]
+    assert made[0] is made[1] and made[2] == {} and made[3] is not made[0]
