@@ -6,13 +6,19 @@ sign flips and a fast Hadamard transform and files them under the nearest
 signed axis. A query looks under its nearest axes in every table; what it finds
 there is ranked by the exact inner product of the original vectors.
 
+Only candidates of like norms share tables: they are parted into shells by
+norm, each with a longest of its own, for next to one far longer vector all
+others would point alike. Neighbouring shells that together fit one slice are
+not hashed but ranked whole. A query that has then found fewer rows than are
+due is ranked against all candidates in blocks.
+
 Equal vectors are one candidate that stands for its least ids, as many as a
 query can return. A crowded axis is dealt to slices, of candidates and of
 queries, so a task holds a bounded part of it. Vectors that are null, zero or
 hold null or non-finite components, and rows with a null id, take no part;
 shorter vectors count as padded with zeros. Rows that repeat an id and vector
-count once. With fewer candidates than asked for, a query gets all that its
-axes hold. Ties go to the smaller id. Empty tables give an empty result; other
+count once. With fewer candidates than asked for, a query gets all of them.
+Ties go to the smaller id. Empty tables give an empty result; other
 columns may have any names.
 """
 
@@ -32,6 +38,8 @@ from sleuthframe.llm.shingles import constants
 TABLES, PROBES = 12, 32
 #: Rows of one axis that a slice holds on average.
 SLICE = 4096
+#: Shells in each halving of the norm.
+SHELLS = 2
 #: Found pairs that a task holds before it keeps only the best of each query.
 HELD = 1_000_000
 
@@ -82,33 +90,42 @@ def on_sphere(x: np.ndarray, longest: float, *, query: bool) -> np.ndarray:
     return out
 
 
-def _filed(dims: int, longest: float, tables: int, probes: int, slices: dict | None):
-    """Rows of slots: table, axis, slice of candidates, slice of queries. Without
-    slices only (table, axis, is a query), for counting."""
+def _filed(dims: int, shells: list[tuple[float, bool]], tables: int, probes: int, slices: dict | None):
+    """Rows of slots: table, axis, slice of candidates, slice of queries. Each
+    shell, (longest, is ranked whole), has tables of its own, and one with one
+    axis if it is ranked whole. Without slices only (table, axis, is a query),
+    for counting."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 2000):
                 batch = whole.slice(begin, 2000)
-                query = batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
-                x, group = matrix(batch.column("vector"), dims), batch.column("g").to_numpy()
-                sides = [(np.arange(len(x)), on_sphere(x, longest, query=False), 1, 0)]
-                if query.any():
-                    sides.append((np.flatnonzero(query), on_sphere(x[query], longest, query=True), probes, 1))
-                for t in range(tables):
-                    for rows, points, n, kind in sides:
-                        found = axes(points, t, n)
-                        at, axis = np.repeat(rows, n), found.reshape(-1)
-                        if slices is None:
-                            yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(axis.astype(np.int32)), pa.array(np.full(len(at), kind, np.int32))], ["t", "axis", "kind"])
+                asked = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False).astype(bool))
+                x, group, shell = matrix(batch.column("vector"), dims), batch.column("g").to_numpy(), batch.column("shell").to_numpy()
+                there = [np.flatnonzero(shell == s) for s in range(len(shells))]
+                points = [None if exact else on_sphere(x[rows], longest, query=False) for rows, (longest, exact) in zip(there, shells, strict=True)]
+                asking = on_sphere(x[asked], 1.0, query=True)
+                for table in range(tables):
+                    near = axes(asking, table, probes) if len(asked) and not all(exact for _, exact in shells) else None
+                    for s, (_, exact) in enumerate(shells):
+                        if exact and table:
                             continue
-                        parts = np.array([slices.get((t, a), (1, 1)) for a in axis.tolist()]).reshape(-1, 2)
-                        own, other = parts[:, kind], parts[:, 1 - kind]
-                        mine = np.repeat(group[at] % own, other)
-                        copy = np.arange(other.sum()) - np.repeat(np.cumsum(other) - other, other)
-                        at, axis = np.repeat(at, other), np.repeat(axis, other)
-                        cut = (mine, copy) if kind == 0 else (copy, mine)
-                        yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(axis.astype(np.int32)), *(pa.array(c.astype(np.int32)) for c in cut), pa.array(np.full(len(at), kind, np.int32)), pa.array(group[at]), batch.column("vector").take(pa.array(at))], ["t", "axis", "c", "q", "kind", "g", "vector"])
+                        t = s * tables + table
+                        for rows, kind in ((there[s], 0), (asked, 1)):
+                            if not len(rows):
+                                continue
+                            found = np.zeros((len(rows), 1), np.int64) if exact else near if kind else axes(points[s], table, 1)
+                            at, axis = np.repeat(rows, found.shape[1]), found.reshape(-1)
+                            if slices is None:
+                                yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(axis.astype(np.int32)), pa.array(np.full(len(at), kind, np.int32))], ["t", "axis", "kind"])
+                                continue
+                            parts = np.array([slices.get((t, a), (1, 1)) for a in axis.tolist()]).reshape(-1, 2)
+                            own, other = parts[:, kind], parts[:, 1 - kind]
+                            mine = np.repeat(group[at] % own, other)
+                            copy = np.arange(other.sum()) - np.repeat(np.cumsum(other) - other, other)
+                            at, axis = np.repeat(at, other), np.repeat(axis, other)
+                            cut = (mine, copy) if kind == 0 else (copy, mine)
+                            yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(axis.astype(np.int32)), *(pa.array(c.astype(np.int32)) for c in cut), pa.array(np.full(len(at), kind, np.int32)), pa.array(group[at]), batch.column("vector").take(pa.array(at))], ["t", "axis", "c", "q", "kind", "g", "vector"])
 
     return run
 
@@ -165,6 +182,53 @@ def _searched(dims: int, k: int):
     return run
 
 
+def _shells(groups: DataFrame, longest: float) -> tuple[list[tuple[float, bool]], DataFrame]:
+    """(longest, is ranked whole) of each shell, and groups with the number of
+    their shell. Neighbours that fit one slice together become one shell."""
+    ring = F.floor(F.least(F.lit(5000.0), SHELLS * F.log2(F.lit(longest) / F.col("norm")))).cast("int")
+    groups = groups.withColumn("ring", ring)
+    shells, number, room = [], [], 0
+    # a row for each ring that has vectors: SHELLS for each halving of the longest norm
+    for r in groups.groupBy("ring").agg(F.count("*").alias("n"), F.max("norm").alias("longest")).orderBy("ring").collect():
+        if not shells or not shells[-1][1] or r["n"] > room:
+            room = SLICE
+            shells.append((r["longest"], r["n"] <= SLICE))
+        room -= r["n"]
+        number.append((r["ring"], len(shells) - 1))
+    named = groups.sparkSession.createDataFrame(number, "ring int, shell int")
+    return shells, groups.join(F.broadcast(named), "ring").drop("ring")
+
+
+def _completed(groups: DataFrame, found: DataFrame, k: int, dims: int, folder: str) -> DataFrame:
+    """found(gq, g, score), where queries that found fewer rows than are due are
+    ranked against all groups, in blocks of candidates and queries."""
+    sizes = groups.select("g", F.size("members").alias("size"))
+    n_groups, rows = sizes.agg(F.count("*"), F.sum("size")).first()
+    due = min(k, (rows or 0) - 1)
+    got = found.join(sizes, "g").groupBy("gq").agg((F.sum("size") - F.max((F.col("gq") == F.col("g")).cast("int"))).alias("got"))
+    asking = groups.filter("query").select(F.col("g").alias("gq"), "vector")
+    short = written(asking.join(got, "gq", "left").filter(F.coalesce("got", F.lit(0)) < due).drop("got"), f"{folder}/short")
+    n_short = short.count()
+    if not n_short:
+        return found
+    blocks, parts = -(-n_groups // SLICE), -(-n_short // SLICE)
+
+    def dealt(name: str, n: int):
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    def each(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    none = [F.lit(0).alias("t"), F.lit(0).alias("axis")]
+    there = groups.select(*none, dealt("g", blocks).alias("c"), each(parts).alias("q"), F.lit(0).alias("kind"), "g", "vector")
+    asked = short.select(*none, each(blocks).alias("c"), dealt("gq", parts).alias("q"), F.lit(1).alias("kind"), F.col("gq").alias("g"), "vector")
+    dealt_out = there.union(asked).repartition("t", "axis", "c", "q").sortWithinPartitions("t", "axis", "c", "q", "kind")
+    ranked = dealt_out.mapInArrow(_searched(dims, k + 1), "gq bigint, g bigint, score double")
+    order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
+    ranked = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    return found.select("gq", "g", "score").join(short.select("gq"), "gq", "left_anti").union(ranked.select("gq", "g", "score"))
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(query_id, rank, id, score): the k rows of largest inner product found for
     each row of df where is_query holds, itself left out."""
@@ -180,19 +244,22 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     groups = least.groupBy("name", "vector").agg(F.min("id").alias("g"), F.sort_array(F.collect_list("id")).alias("members"))
     asking = rows.filter("query").groupBy("name", "vector").agg(F.lit(True).alias("query"))
     groups = groups.join(asking, ["name", "vector"], "left").withColumn("query", F.coalesce("query", F.lit(False)))
-    groups = written(groups, f"{folder}/groups")
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    longest, width = groups.agg(F.max(norm), F.max(F.size("vector"))).first()
+    groups = written(groups.withColumn("norm", norm), f"{folder}/groups")
+    longest, width = groups.agg(F.max("norm"), F.max(F.size("vector"))).first()
     dims = 1 << int(np.ceil(np.log2((width or 1) + 1)))
-    points, probed = groups.select("g", "query", "vector"), min(probes, 2 * dims)
-    # at most tables x 2 x dims rows come to the driver
-    crowds = points.mapInArrow(_filed(dims, longest or 1.0, tables, probed, None), "t int, axis int, kind int").groupBy("t", "axis").agg(F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("q")).collect()
+    shells, groups = _shells(groups, longest or 1.0)
+    points, probed = groups.select("g", "query", "vector", "shell"), min(probes, 2 * dims)
+    # at most tables x 2 x dims rows of each shell come to the driver
+    crowds = points.mapInArrow(_filed(dims, shells, tables, probed, None), "t int, axis int, kind int").groupBy("t", "axis").agg(F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("q")).collect()
     slices = {(r["t"], r["axis"]): (-(-max(1, r["c"]) // SLICE), -(-max(1, r["q"]) // SLICE)) for r in crowds if max(r["c"], r["q"]) > SLICE}
-    filed = points.mapInArrow(_filed(dims, longest or 1.0, tables, probed, slices), "t int, axis int, c int, q int, kind int, g bigint, vector array<double>")
+    filed = points.mapInArrow(_filed(dims, shells, tables, probed, slices), "t int, axis int, c int, q int, kind int, g bigint, vector array<double>")
     filed = filed.repartition("t", "axis", "c", "q").sortWithinPartitions("t", "axis", "c", "q", "kind")
     found = filed.mapInArrow(_searched(dims, k + 1), "gq bigint, g bigint, score double").dropDuplicates(["gq", "g"])
     order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
     found = written(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n"), f"{folder}/found")
+    if not all(exact for _, exact in shells):
+        found = _completed(groups, found, k, dims, folder)
     queries = rows.filter("query").select(F.col("id").alias("query_id"), "name", "vector").join(groups.select("name", "vector", F.col("g").alias("gq")), ["name", "vector"]).select("query_id", "gq")
     pairs = queries.join(found, "gq").join(groups.select("g", "members"), "g").select("query_id", "score", F.explode("members").alias("id")).filter("id <> query_id")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -166,6 +166,50 @@ def test_nearest_recall(spark):
     assert sorted(r["rank"] for r in got if r["query_id"] == 0) == list(range(1, 21))
 
 
+def _recall(spark, x, k=20):
+    """Least number of rows of a query, and the share of the due ones found; every tenth row asks."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(df, F.col("vec_id") % 10 == 0, k).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in range(0, len(x), 10):
+        s = x @ x[q]
+        s[q] = -np.inf
+        due = set(np.argsort(-s, kind="stable")[: min(k, len(x) - 1)].tolist())
+        hits.append(len(due & got.get(q, set())) / len(due))
+    return min(len(got.get(q, ())) for q in range(0, len(x), 10)), np.mean(hits)
+
+
+def test_nearest_gives_all_of_few_candidates(spark):
+    x = np.random.default_rng(8).normal(size=(15, 64))
+    assert _recall(spark, x) == (14, 1.0)
+
+
+def test_nearest_with_unequal_norms(spark, monkeypatch):
+    from sleuthframe.llm import nearest as module
+
+    monkeypatch.setattr(module, "SLICE", 64)  # so that the shells are hashed
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= 20
+    x[100:250] *= 0.3
+    least, recall = _recall(spark, x)
+    assert least == 20 and recall >= 0.9
+
+
+def test_nearest_completes_what_hashing_misses(spark, monkeypatch):
+    from sleuthframe.llm import nearest as module
+
+    monkeypatch.setattr(module, "SLICE", 16)
+    x = np.random.default_rng(10).normal(size=(40, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nearest(df, F.col("vec_id") % 10 == 0, tables=1, probes=1).groupBy("query_id").count().collect()
+    assert sorted((r["query_id"], r["count"]) for r in got) == [(0, 20), (10, 20), (20, 20), (30, 20)]
+
+
 def test_nearest_ties_and_bad_vectors(spark):
     rows = [(i, [1.0, 0.0], 0) for i in range(30)] + [(30, [0.0, 0.0], 0), (31, None, 0), (32, [None, 1.0], 0), (33, [float("nan"), 1.0], 0), (34, [2.0, 0.0], 0), (None, [1.0, 0.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, g int")
