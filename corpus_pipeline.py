@@ -9,7 +9,7 @@ from sleuthframe.llm.common import shared_folder, table, written
 from sleuthframe.llm.decontamination import without_items
 from sleuthframe.llm.mixing import training_documents
 from sleuthframe.llm.ngram_join import one_of_each
-from sleuthframe.llm.token_files import read_token_files, write_token_files
+from sleuthframe.llm.token_files import read_token_files, row_order, write_token_files
 from sleuthframe.llm.toxicity import learn, without_toxic
 
 
@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as files of token ids; a row per document read back from them."""
-    return read_token_files(write_token_files(docs, shared_folder(spark)))
+    """The mix in its order as files of token ids; a row per document read back."""
+    return read_token_files(write_token_files(docs, shared_folder(spark), order=row_order(docs)))
 
 
 STAGES = [

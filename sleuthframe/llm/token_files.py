@@ -8,7 +8,8 @@ frame; then the number of frames, a descriptor byte and a magic number). A
 reader takes the end of the file, then only the frames it wants, and checks each.
 
 Documents are range-sorted by id and equal ids by a hash of the text, so files
-follow one another in id order; null ids come first. A null text counts as
+follow one another in id order; null ids come first. A caller may give another
+order, such as that of a written table. A null text counts as
 empty, and an empty document still has its end id. Repeated rows are all
 written. An empty table gives no files and an empty result. Only the id and
 text columns are read, so other columns may have any names.
@@ -28,7 +29,8 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.common import Remembered, filesystem, kept, pieces, put_file, shared_folder, table, written
@@ -176,8 +178,9 @@ class FrameReader:
         return [self.document(k) for k, i in enumerate(self.ids) if i == doc_id]
 
 
-def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Write the files and return their table: (part, file, n_docs, n_tokens)."""
+def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json", order: tuple[Column, ...] = ()) -> DataFrame:
+    """Write the files and return their table: (part, file, n_docs, n_tokens).
+    Documents lie in the order of the columns `order` of df; by id without any."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -202,12 +205,26 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         put_file(file, f"attempt{context.taskAttemptId()}", write)
         yield pa.record_batch([[part], [file], [counts[0]], [counts[1]]], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = narrow.withColumn("tie", F.xxhash64("text")).repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    by = [c.alias(f"by_{k}") for k, c in enumerate(order or (doc_id, F.xxhash64(text)))]
+    places = [f"by_{k}" for k in range(len(by))]
+    ordered = df.select(doc_id.alias("id"), text.alias("text"), *by).repartitionByRange(*places).sortWithinPartitions(*places)
     files = ordered.select("id", "text").mapInArrow(run, "part int, file string, n_docs bigint, n_tokens bigint")
     return written(files, f"{folder}/manifest")
 
 
+def row_order(df: DataFrame) -> tuple[Column, ...]:
+    """Columns that put the rows of a sorted and written table in the order they
+    were written in: Spark deals a table's files to tasks by size, not by name.
+    A df that isn't read from files has the order of its partitions."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return (F.monotonically_increasing_id(),)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    return F.when(part != "", part.cast("long")), F.col("_metadata.file_path"), F.col("_metadata.row_index")
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """Read every document back: (doc_id, start, n_tokens, ids_crc32). The table
     of files has one row per file, so its running sum is taken on the driver."""

@@ -1,6 +1,7 @@
 import corpus_pipeline
 from sleuthframe.llm.common import table, written
 from sleuthframe.llm.decontamination import contained_items
+from sleuthframe.llm.mixing import training_documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,3 +19,11 @@ def test_stages(spark):
     assert contained_items(seen["decontamination"], table(spark, SF, "benchmark")).count() == 0
     assert docs.count() == seen["mixing"].count() > 0
     assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_token_files_keep_the_order_of_the_mix(spark):
+    mix = training_documents(table(spark, SF, "documents"))
+    want = [r["doc_id"] for r in mix.collect()]
+    assert want != sorted(want)
+    files = corpus_pipeline.token_files(spark, written(mix), SF)
+    assert [r["doc_id"] for r in files.orderBy("start").collect()] == want
