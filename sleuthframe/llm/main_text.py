@@ -3,11 +3,12 @@
 Pages are parsed to elements. The pages of one host are merged into a style
 tree, whose nodes are paths of tags and classes. A node's own importance is the
 entropy of what its pages put there (its own text, or else which children it
-has), in units of its number of pages: what is the same everywhere is 0. A
-branch is as important as its most important node. A page loses the branches of
-low importance and those that their tags or classes name
-as navigation, notices, adverts, forms, comments and the like; if it has an
-article or main element, only those are left.
+has), in units of its number of pages: what is the same everywhere is 0. Pages of a
+host that put the same at every node count once. A branch is as important as
+its most important node. A page loses the branches that their tags or classes
+name as navigation, notices, adverts, forms, comments and the like, and outside
+of article and main elements the blocks that hold nothing but branches of low
+importance; if it has an article or main element, only those are left.
 
 A null html counts as empty; a page without text gives an empty string. Pages
 with a null or odd url form a site of their own. Repeated rows are extracted
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -146,7 +146,11 @@ def extract(html: str, low: frozenset[str] = frozenset()) -> str:
             dropped[path] = any("/".join(path[:k]) in low for k in range(1, len(path) + 1))
         return dropped[path]
 
-    parts = [p for p in parse(html) if not p.noise and not (low and branch(p.path))]
+    parts = [p for p in parse(html) if not p.noise]
+    if low:
+        # a sentence keeps its inline elements, so a block stays or goes whole
+        stays = {p.block for p in parts if not p.text.isspace() and (p.scoped or not branch(p.path))}
+        parts = [p for p in parts if p.block in stays]
     if any(p.scoped and not p.text.isspace() for p in parts):
         parts = [p for p in parts if p.scoped]
     blocks: list[list[str]] = []
@@ -159,16 +163,23 @@ def extract(html: str, low: frozenset[str] = frozenset()) -> str:
     return " ".join(t for t in (" ".join("".join(b).split()) for b in blocks) if t)
 
 
+def _digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
 def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, node, feature, pages), counted within each piece of a batch."""
+    """(host, page, nodes, features) of the pages that differ within each piece of
+    a batch; page is a hash of what the page puts at all its nodes."""
     for batch in batches:
         for part in pieces(batch, "html", 8_000_000):
-            seen: Counter = Counter()
+            seen: dict[tuple[str, int], tuple[list[str], list[int]]] = {}
             for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                for node, value in features(parse(html)).items():
-                    seen[host, node, xxhash.xxh3_64_intdigest(value.encode("utf-8", "replace")) - (1 << 63)] += 1
-            host, node, value = zip(*seen, strict=True) if seen else ((), (), ())
-            yield pa.record_batch([pa.array(host, pa.string()), pa.array(node, pa.string()), pa.array(value, pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "node", "feature", "pages"])
+                found = sorted((node, _digest(value)) for node, value in features(parse(html)).items())
+                seen.setdefault((host, _digest(repr(found))), ([n for n, _ in found], [v for _, v in found]))
+            yield pa.record_batch(
+                [pa.array([h for h, _ in seen], pa.string()), pa.array([p for _, p in seen], pa.int64()), pa.array([n for n, _ in seen.values()], pa.list_(pa.string())), pa.array([v for _, v in seen.values()], pa.list_(pa.int64()))],
+                ["host", "page", "nodes", "features"],
+            )
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +198,9 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def site_nodes(pages: DataFrame) -> DataFrame:
     """(host, node, pages, importance) of every branch of every site's style tree."""
-    counts = pages.select("host", "html").mapInArrow(_nodes, "host string, node string, feature bigint, pages bigint")
-    counts = counts.groupBy("host", "node", "feature").agg(F.sum("pages").alias("n"))
+    seen = pages.select("host", "html").mapInArrow(_nodes, "host string, page bigint, nodes array<string>, features array<bigint>")
+    seen = seen.groupBy("host", "page").agg(F.first(F.struct("nodes", "features")).alias("s"))
+    counts = seen.select("host", F.explode(F.arrays_zip("s.nodes", "s.features")).alias("f")).groupBy("host", F.col("f.nodes").alias("node"), F.col("f.features").alias("feature")).agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     own = sums.select("host", F.split("node", "/").alias("path"), "pages", F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias("own"))
     above = own.select("host", "pages", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.array_join(F.slice("path", F.lit(1), k), "/"))).alias("node"))

@@ -232,6 +232,19 @@ def test_main_text_drops_what_a_site_repeats(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_main_text_keeps_articles_of_copied_pages(spark):
+    def page(i, text):
+        return (i, f"http://h.example/{i}", f"<body><div class=x>Same words here</div><article><p>{text}</p></article></body>")
+
+    rows = [page(i, "one article") for i in range(45)] + [page(45 + i, f"other <b>same</b> text {i}") for i in range(10)]
+    # without an article: 45 copies of one page beside 4 others, and a word that all pages of a host have in a sentence
+    rows += [(100 + i, f"http://d.example/{i}", f"<body><div>text {max(0, i - 44)}</div></body>") for i in range(49)]
+    rows += [(200 + i, f"http://e.example/{i}", f"<body><div>text <b>same</b> number {i}</div></body>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[44] == "one article" and got[47] == "other same text 2"
+    assert got[100] == "text 0" and got[148] == "text 4" and got[203] == "text same number 3"
+
+
 def test_mixing_targets_and_order(spark, odd):
     plan = mixing_plan(odd).collect()
     sums = {}
