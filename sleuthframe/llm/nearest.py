@@ -1,10 +1,14 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Vectors become unit vectors by one more coordinate, so that the largest inner
-product is the nearest direction. Each table turns them with three rounds of
-sign flips and a fast Hadamard transform and files them under the nearest
-signed axis. A query looks under its nearest axes in every table; what it finds
-there is ranked by the exact inner product of the original vectors.
+product is the nearest direction. A hash function turns them with three rounds
+of sign flips and a fast Hadamard transform and gives the nearest signed axis. A
+table concatenates as many functions as it takes for the axes of all but the
+last to part the vectors into groups of no more than SLICE on average; the last
+axis parts a group once more. A query looks under its best combinations of axes
+in every table, as many as a bounded sample of queries, ranked against all
+vectors, shows are needed for the recall asked for. What it finds is ranked by
+the exact inner product of the original vectors.
 
 Only candidates of like norms share tables: they are parted into shells by
 norm, each with a longest of its own, for next to one far longer vector all
@@ -13,13 +17,13 @@ not hashed but ranked whole. A query that has then found fewer rows than are
 due is ranked against all candidates in blocks.
 
 Equal vectors are one candidate that stands for its least ids, as many as a
-query can return. A crowded axis is dealt to slices, of candidates and of
+query can return. A crowded group is dealt to slices, of candidates and of
 queries, so a task holds a bounded part of it. Vectors that are null, zero or
 hold null or non-finite components, and rows with a null id, take no part;
 shorter vectors count as padded with zeros. Rows that repeat an id and vector
 count once. With fewer candidates than asked for, a query gets all of them.
-Ties go to the smaller id. Empty tables give an empty result; other
-columns may have any names.
+Ties, of equal exact inner products, go to the smaller id. Empty tables give an
+empty result; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,9 +39,12 @@ from pyspark.sql import functions as F
 from sleuthframe.llm.common import grouped, shared_folder, table, written
 from sleuthframe.llm.shingles import constants
 
-TABLES, PROBES = 12, 32
-#: Rows of one axis that a slice holds on average.
+#: Tables; the share of true neighbours that a sample of so many queries must find; and combinations of axes that a query may look under in a table.
+TABLES, RECALL, SAMPLE, MOST_PROBES = 12, 0.95, 100, 4096
+#: Rows of one group that a slice holds.
 SLICE = 4096
+#: Pairs of vectors that are multiplied at once.
+PAIRS = 50_000
 #: Shells in each halving of the norm.
 SHELLS = 2
 #: Found pairs that a task holds before it keeps only the best of each query.
@@ -62,13 +69,44 @@ def rotated(x: np.ndarray, which: int) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, which: int, probes: int) -> np.ndarray:
-    """The signed axes nearest to each row, nearest first: i or dims + i."""
-    turned = rotated(x, which)
-    both = np.concatenate([turned, -turned], 1)
-    if probes == 1:
-        return both.argmax(1)[:, None]
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def functions_needed(n: int, dims: int) -> int:
+    """How many hash functions a table of n vectors concatenates."""
+    m = 1
+    while n > SLICE * (2 * dims) ** (m - 1):
+        m += 1
+    return m
+
+
+def filed_under(x: np.ndarray, table: int, functions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a table files each row: (group, last axis). A signed axis is i or
+    dims + i; the axes of all functions but the last make up the group."""
+    group = np.zeros(len(x), np.int64)
+    for f in range(functions):
+        turned = rotated(x, table * 16 + f)
+        both = np.concatenate([turned, -turned], 1)
+        axis = both.argmax(1)
+        if f < functions - 1:
+            group = group * both.shape[1] + axis
+    return group, axis
+
+
+def looked_under(x: np.ndarray, table: int, functions: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a table has each row of x look, best first: (groups, last axes), two
+    matrices. A combination of axes is as good as its functions' squared
+    shortfalls from their nearest axes are small."""
+    wide = min(2 * x.shape[1], int(MOST_PROBES ** (1 / functions)))
+    loss, group = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    for f in range(functions):
+        turned = rotated(x, table * 16 + f)
+        both = np.concatenate([turned, -turned], 1)
+        axis = np.argsort(-both, axis=1, kind="stable")[:, :wide]
+        short = np.take_along_axis(both, axis, 1)
+        short = (short[:, :1] - short) ** 2
+        loss = (loss[:, :, None] + short[:, None, :]).reshape(len(x), -1)
+        last = np.tile(axis, (1, group.shape[1]))
+        group = np.repeat(group, wide, axis=1) * (both.shape[1] if f < functions - 1 else 1) + (last if f < functions - 1 else 0)
+    order = np.argsort(loss, axis=1, kind="stable")[:, :probes]
+    return np.take_along_axis(group, order, 1), np.take_along_axis(last, order, 1)
 
 
 def matrix(column, dims: int) -> np.ndarray:
@@ -90,42 +128,51 @@ def on_sphere(x: np.ndarray, longest: float, *, query: bool) -> np.ndarray:
     return out
 
 
-def _filed(dims: int, shells: list[tuple[float, bool]], tables: int, probes: int, slices: dict | None):
-    """Rows of slots: table, axis, slice of candidates, slice of queries. Each
-    shell, (longest, is ranked whole), has tables of its own, and one with one
-    axis if it is ranked whole. Without slices only (table, axis, is a query),
-    for counting."""
+def _filed(dims: int, shells: list[tuple[float, bool]], tables: int, functions: int, probes: int):
+    """(g, kind, at) of each vector, and once more as a query: at holds (table,
+    group, last axes) of where it is filed or looks. Each shell, (longest, is
+    ranked whole), has tables of its own, and one with one group if it is ranked
+    whole."""
+    place = pa.struct([("t", pa.int32()), ("p", pa.int64()), ("last", pa.list_(pa.int32()))])
+
+    def rows(g: np.ndarray, kind: int, owner: np.ndarray, t: np.ndarray, p: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+        """Rows of g, of whose indices owner holds one for each axis looked under."""
+        order = np.lexsort((last, p, t, owner))
+        owner, t, p, last = owner[order], t[order], p[order], last[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])
+        first = np.flatnonzero(new)
+        lasts = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(last.astype(np.int32)))
+        at = pa.StructArray.from_arrays([pa.array(t[first].astype(np.int32)), pa.array(p[first]), lasts], fields=list(place))
+        bounds = np.searchsorted(owner[first], np.arange(len(g) + 1)).astype(np.int32)
+        return pa.record_batch([pa.array(g), pa.array(np.full(len(g), kind, np.int32)), pa.ListArray.from_arrays(pa.array(bounds), at)], ["g", "kind", "at"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 2000):
-                batch = whole.slice(begin, 2000)
+            for begin in range(0, whole.num_rows, 500):
+                batch = whole.slice(begin, 500)
                 asked = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False).astype(bool))
                 x, group, shell = matrix(batch.column("vector"), dims), batch.column("g").to_numpy(), batch.column("shell").to_numpy()
-                there = [np.flatnonzero(shell == s) for s in range(len(shells))]
-                points = [None if exact else on_sphere(x[rows], longest, query=False) for rows, (longest, exact) in zip(there, shells, strict=True)]
                 asking = on_sphere(x[asked], 1.0, query=True)
-                for table in range(tables):
-                    near = axes(asking, table, probes) if len(asked) and not all(exact for _, exact in shells) else None
-                    for s, (_, exact) in enumerate(shells):
-                        if exact and table:
-                            continue
-                        t = s * tables + table
-                        for rows, kind in ((there[s], 0), (asked, 1)):
-                            if not len(rows):
-                                continue
-                            found = np.zeros((len(rows), 1), np.int64) if exact else near if kind else axes(points[s], table, 1)
-                            at, axis = np.repeat(rows, found.shape[1]), found.reshape(-1)
-                            if slices is None:
-                                yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(axis.astype(np.int32)), pa.array(np.full(len(at), kind, np.int32))], ["t", "axis", "kind"])
-                                continue
-                            parts = np.array([slices.get((t, a), (1, 1)) for a in axis.tolist()]).reshape(-1, 2)
-                            own, other = parts[:, kind], parts[:, 1 - kind]
-                            mine = np.repeat(group[at] % own, other)
-                            copy = np.arange(other.sum()) - np.repeat(np.cumsum(other) - other, other)
-                            at, axis = np.repeat(at, other), np.repeat(axis, other)
-                            cut = (mine, copy) if kind == 0 else (copy, mine)
-                            yield pa.record_batch([pa.array(np.full(len(at), t, np.int32)), pa.array(axis.astype(np.int32)), *(pa.array(c.astype(np.int32)) for c in cut), pa.array(np.full(len(at), kind, np.int32)), pa.array(group[at]), batch.column("vector").take(pa.array(at))], ["t", "axis", "c", "q", "kind", "g", "vector"])
+                hashed = not all(exact for _, exact in shells)
+                found: tuple[list, list] = ([], [])
+                looks = [looked_under(asking, k, functions, probes) for k in range(tables)] if hashed and len(asked) else []
+                for s, (longest, exact) in enumerate(shells):
+                    there = np.flatnonzero(shell == s)
+                    if exact:
+                        for rows_, kind in ((there, 0), (np.arange(len(asked)), 1)):
+                            found[kind].append([rows_, np.full(len(rows_), s * tables), np.zeros(len(rows_), np.int64), np.zeros(len(rows_), np.int64)])
+                        continue
+                    points = on_sphere(x[there], longest, query=False)
+                    for k in range(tables):
+                        p, last = filed_under(points, k, functions)
+                        found[0].append([there, np.full(len(there), s * tables + k), p, last])
+                        if len(asked):
+                            p, last = looks[k]
+                            found[1].append([np.repeat(np.arange(len(asked)), p.shape[1]), np.full(p.size, s * tables + k), p.reshape(-1), last.reshape(-1)])
+                yield rows(group, 0, *map(np.concatenate, zip(*found[0], strict=True)))
+                if len(asked):
+                    yield rows(group[asked], 1, *map(np.concatenate, zip(*found[1], strict=True)))
 
     return run
 
@@ -142,6 +189,25 @@ def best(query: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tup
     return query[keep], found[keep], score[keep]
 
 
+def _scored(x: np.ndarray, asked: np.ndarray, there: np.ndarray, own: np.ndarray, last: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, candidate, exact inner product), PAIRS or so at once: each query
+    against those of `there` whose last axis, sorted in `own`, it looks under."""
+    size = bounds[asked + 1] - bounds[asked]
+    at = np.arange(size.sum()) + np.repeat(bounds[asked] - np.cumsum(size) + size, size)
+    low, high = np.searchsorted(own, last[at], "left"), np.searchsorted(own, last[at], "right")
+    asking, count = np.repeat(asked, size)[high > low], (high - low)[high > low]
+    low = low[high > low]
+    total, begin = np.cumsum(count), 0
+    while begin < len(count):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS, "right")))
+        n = count[begin:end]
+        q = np.repeat(asking[begin:end], n)
+        c = there[np.arange(n.sum()) + np.repeat(low[begin:end] - np.cumsum(n) + n, n)]
+        # always the same sum over one row, so that equal vectors tie
+        yield q, c, (x[c] * x[q]).sum(-1)
+        begin = end
+
+
 def _searched(dims: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -157,20 +223,20 @@ def _searched(dims: int, k: int):
                 yield pa.record_batch([pa.array(c[a : a + 50_000]) for c in held[0]], ["gq", "g", "score"])
             held.clear()
 
-        for group in grouped(batches, ["t", "axis", "c", "q"]):
+        for group in grouped(batches, ["t", "p", "c", "q"]):
             kind, name = group.column("kind").to_numpy(), group.column("g").to_numpy()
             if kind[0] == kind[-1]:
                 continue
-            x = matrix(group.column("vector"), dims)
+            x, lists = matrix(group.column("vector"), dims), group.column("last").combine_chunks()
+            last, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            last, bounds = last, bounds - bounds[0]
             asked, there = np.flatnonzero(kind == 1), np.flatnonzero(kind == 0)
-            for a in range(0, len(asked), 512):
-                q = asked[a : a + 512]
-                near = x[q] @ x[there].T
-                n = min(k + 8, len(there))
-                top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-                score = (x[there][top] * x[q][:, None, :]).sum(-1)
-                held.append((np.repeat(name[q], n), name[there][top].reshape(-1), score.reshape(-1)))
-                rows += len(q) * n
+            own = last[bounds[there]]
+            order = np.argsort(own, kind="stable")
+            own, there = own[order], there[order]
+            for q, c, score in _scored(x, asked, there, own, last, bounds):
+                held.append(best(name[q], name[c], score, k))
+                rows += len(held[-1][0])
                 if rows > HELD:
                     cut()
                     if rows > HELD // 2:
@@ -219,19 +285,68 @@ def _completed(groups: DataFrame, found: DataFrame, k: int, dims: int, folder: s
     def each(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    none = [F.lit(0).alias("t"), F.lit(0).alias("axis")]
-    there = groups.select(*none, dealt("g", blocks).alias("c"), each(parts).alias("q"), F.lit(0).alias("kind"), "g", "vector")
-    asked = short.select(*none, each(blocks).alias("c"), dealt("gq", parts).alias("q"), F.lit(1).alias("kind"), F.col("gq").alias("g"), "vector")
-    dealt_out = there.union(asked).repartition("t", "axis", "c", "q").sortWithinPartitions("t", "axis", "c", "q", "kind")
+    none, whole = [F.lit(0).alias("t"), F.lit(0).cast("long").alias("p")], F.array(F.lit(0)).alias("last")
+    there = groups.select(*none, dealt("g", blocks).alias("c"), each(parts).alias("q"), F.lit(0).alias("kind"), "g", whole, "vector")
+    asked = short.select(*none, each(blocks).alias("c"), dealt("gq", parts).alias("q"), F.lit(1).alias("kind"), F.col("gq").alias("g"), whole, "vector")
+    dealt_out = there.union(asked).repartition("t", "p", "c", "q").sortWithinPartitions("t", "p", "c", "q", "kind")
     ranked = dealt_out.mapInArrow(_searched(dims, k + 1), "gq bigint, g bigint, score double")
     order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
     ranked = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     return found.select("gq", "g", "score").join(short.select("gq"), "gq", "left_anti").union(ranked.select("gq", "g", "score"))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def _ranked(dims: int, queries: np.ndarray, names: np.ndarray, k: int):
+    """The k best candidates, with their vectors, of each of a few queries, in
+    the rows of each batch."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, g = matrix(batch.column("vector"), dims), batch.column("g").to_numpy()
+            near = queries @ x.T
+            near[names[:, None] == g[None, :]] = -np.inf
+            n = min(k, len(g))
+            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+            yield pa.record_batch([pa.array(np.repeat(names, n)), pa.array(g[top].reshape(-1)), pa.array(np.take_along_axis(near, top, 1).reshape(-1)), batch.column("vector").take(pa.array(top.reshape(-1))), batch.column("shell").take(pa.array(top.reshape(-1)))], ["gq", "g", "score", "vector", "shell"])
+
+    return run
+
+
+def probes_needed(points: DataFrame, shells: list[tuple[float, bool]], dims: int, functions: int, k: int, tables: int, recall: float, sample: int = SAMPLE) -> int:
+    """How many combinations a query must look under in each table, so that a
+    sample of queries (those of least hash, at most `sample`) finds the share
+    `recall` of the k best of all candidates. The driver gets sample x k rows."""
+    asking = points.filter("query").orderBy(F.xxhash64("g"), "g").limit(sample).select("g", "vector").collect()
+    if not asking:
+        return 1
+    x, names = np.zeros((len(asking), dims)), np.array([r["g"] for r in asking])
+    for i, r in enumerate(asking):
+        x[i, : len(r["vector"])] = r["vector"]
+    order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
+    true = points.mapInArrow(_ranked(dims, x, names, k), "gq bigint, g bigint, score double, vector array<double>, shell int")
+    true = true.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= k) & (F.col("score") > float("-inf"))).collect()
+    where, unit = {int(g): i for i, g in enumerate(names)}, on_sphere(x, 1.0, query=True)
+    true = [r for r in true if not shells[r["shell"]][1]]
+    if not true:
+        return 1
+    owner = np.array([where[r["gq"]] for r in true])
+    near = np.zeros((len(true), dims))
+    for i, r in enumerate(true):
+        near[i, : len(r["vector"])] = r["vector"]
+        near[i : i + 1] = on_sphere(near[i : i + 1], shells[r["shell"]][0], query=False)
+    rank = np.full(len(true), MOST_PROBES)
+    for table in range(tables):
+        groups, lasts = looked_under(unit, table, functions, MOST_PROBES)
+        p, last = filed_under(near, table, functions)
+        for a in range(0, len(true), 500):
+            hit = (groups[owner[a : a + 500]] == p[a : a + 500, None]) & (lasts[owner[a : a + 500]] == last[a : a + 500, None])
+            rank[a : a + 500] = np.where(hit.any(1), np.minimum(rank[a : a + 500], hit.argmax(1)), rank[a : a + 500])
+    return min(MOST_PROBES, int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]) + 1)
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, probes: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k rows of largest inner product found for
-    each row of df where is_query holds, itself left out."""
+    each row of df where is_query holds, itself left out. probes: combinations
+    looked under in a table, in place of those that the sample asks for."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), is_query.alias("query"))
@@ -246,15 +361,25 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     groups = groups.join(asking, ["name", "vector"], "left").withColumn("query", F.coalesce("query", F.lit(False)))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     groups = written(groups.withColumn("norm", norm), f"{folder}/groups")
-    longest, width = groups.agg(F.max("norm"), F.max(F.size("vector"))).first()
+    longest, width, n_groups = groups.agg(F.max("norm"), F.max(F.size("vector")), F.count("*")).first()
     dims = 1 << int(np.ceil(np.log2((width or 1) + 1)))
     shells, groups = _shells(groups, longest or 1.0)
-    points, probed = groups.select("g", "query", "vector", "shell"), min(probes, 2 * dims)
-    # at most tables x 2 x dims rows of each shell come to the driver
-    crowds = points.mapInArrow(_filed(dims, shells, tables, probed, None), "t int, axis int, kind int").groupBy("t", "axis").agg(F.sum(1 - F.col("kind")).alias("c"), F.sum("kind").alias("q")).collect()
-    slices = {(r["t"], r["axis"]): (-(-max(1, r["c"]) // SLICE), -(-max(1, r["q"]) // SLICE)) for r in crowds if max(r["c"], r["q"]) > SLICE}
-    filed = points.mapInArrow(_filed(dims, shells, tables, probed, slices), "t int, axis int, c int, q int, kind int, g bigint, vector array<double>")
-    filed = filed.repartition("t", "axis", "c", "q").sortWithinPartitions("t", "axis", "c", "q", "kind")
+    points, functions = groups.select("g", "query", "vector", "shell"), functions_needed(n_groups, dims)
+    if probes is None:
+        probes = 1 if all(exact for _, exact in shells) else probes_needed(points, shells, dims, functions, k, tables, recall)
+    filed = points.mapInArrow(_filed(dims, shells, tables, functions, probes), "g bigint, kind int, at array<struct<t:int,p:bigint,last:array<int>>>")
+    filed = written(filed, f"{folder}/filed").join(groups.select("g", "vector"), "g").select("g", "kind", "vector", F.explode("at").alias("at")).select("g", "kind", "vector", "at.*")
+    crowds = filed.groupBy("t", "p").agg(F.sum(1 - F.col("kind")).alias("cs"), F.sum("kind").alias("qs"))
+    # groups that no query looks under go, crowded ones are dealt out; there are few for their size
+    crowds = crowds.filter("qs > 0 AND cs > 0").select("t", "p", F.ceil(F.col("cs") / SLICE).cast("int").alias("cs"), F.ceil(F.col("qs") / SLICE).cast("int").alias("qs"))
+    hot = written(crowds.filter("cs > 1 OR qs > 1"), f"{folder}/hot")
+    some = hot.limit(1).count() > 0
+    filed = filed.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, ["t", "p"], "left") if some else filed.withColumn("cs", F.lit(1)).withColumn("qs", F.lit(1))
+    own = F.pmod(F.xxhash64("g"), F.coalesce(F.when(F.col("kind") == 0, F.col("cs")).otherwise(F.col("qs")), F.lit(1))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.when(F.col("kind") == 0, F.col("qs")).otherwise(F.col("cs")), F.lit(1)) - 1))
+    filed = filed.select("t", "p", "kind", "g", "last", "vector", own.alias("own"), other.alias("other"))
+    filed = filed.select("t", "p", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("c"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("q"), "kind", "g", "last", "vector")
+    filed = filed.repartition("t", "p", "c", "q").sortWithinPartitions("t", "p", "c", "q", "kind")
     found = filed.mapInArrow(_searched(dims, k + 1), "gq bigint, g bigint, score double").dropDuplicates(["gq", "g"])
     order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
     found = written(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n"), f"{folder}/found")
