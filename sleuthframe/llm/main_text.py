@@ -4,11 +4,15 @@ Pages are parsed to elements. The pages of one host are merged into a style
 tree, whose nodes are paths of tags and classes. A node's own importance is the
 entropy of what its pages put there (its own text, or else which children it
 has), in units of its number of pages: what is the same everywhere is 0. Pages of a
-host that put the same at every node count once. A branch is as important as
-its most important node. A page loses the branches that their tags or classes
-name as navigation, notices, adverts, forms, comments and the like, and outside
-of article and main elements the blocks that hold nothing but branches of low
-importance; if it has an article or main element, only those are left.
+host that put the same at every node count once. A few pages tell little, so a
+node's importance is weighed against that of one seen on PRIOR pages, all
+different: the fewer pages, the nearer to 1, at every number of pages alike. A branch
+is as important as its most important node. A page loses the branches that their
+tags or classes name as navigation, notices, adverts, forms, comments and the
+like, and outside of article and main elements the blocks that hold nothing but
+branches of low importance; if it has an article or main element, only those are
+left. An article within comments, asides, footers or lists of other pages is
+theirs; within anything else that is left open it begins afresh.
 
 A null html counts as empty; a page without text gives an empty string. Pages
 with a null or odd url form a site of their own. Repeated rows are extracted
@@ -28,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import pieces, shared_folder, table, written
+from sleuthframe.llm.common import dealt_join, pieces, shared_folder, table, written
 
-#: A node seen on fewer pages than this is kept, whatever its entropy.
-FEWEST_PAGES = 8
+#: Pages, all different, that a node is thought to have been seen on before the first one.
+PRIOR = 2.0
 LEAST_IMPORTANCE = 0.2
 #: Rows of the low-importance table that may be sent to every worker; more are joined by shuffling.
 BROADCAST_NODES = 100_000
@@ -47,10 +51,27 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CLOSES_P = BLOCKS - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 NOISE_TAGS = frozenset("aside button dialog fieldset footer form head label menu nav".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|breadcrumbs?|comments?|replies|disqus|cookies?|consent|gdpr|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo|related|recommended|share|sharing|sidebar|side|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Words of class names and ids. What stands in the first list never holds the page's own article.
+OTHERS_NAMES = frozenset("comment comments replies reply disqus respond related recommended recommendations teaser teasers sidebar side footer nav navbar navigation menu widget widgets breadcrumb breadcrumbs pagination pager".split())
+NOISE_NAMES = OTHERS_NAMES | frozenset("ad ads advert adverts advertisement adsense banner cookie cookies consent gdpr header masthead modal newsletter notice popup promo share sharing skip social sponsor sponsored subscribe toolbar".split())
+OTHERS_TAGS = frozenset("aside footer nav menu dialog".split())
+#: A name that begins so says what an element lacks or does, or, with header, that it is part of the article.
+SAYS_NOT = frozenset("has no not with without is hide hides show shows after before".split())
+OWN_PARTS = frozenset("article entry post story content section chapter".split())
+NAME_PARTS = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
+
+
+def named(names: str, which: frozenset[str]) -> bool:
+    """Whether one of an element's class names, taken apart at hyphens,
+    underscores and capitals, has a word of the list."""
+    for name in names.split():
+        parts = [p.lower() for p in NAME_PARTS.findall(name)]
+        if not parts or parts[0] in SAYS_NOT:
+            continue
+        hits = [p for p in parts if p in which]
+        if hits and not (parts[0] in OWN_PARTS and set(hits) <= {"header", "side"}):
+            return True
+    return False
 
 
 class Piece:
@@ -67,13 +88,14 @@ def parse(html: str) -> list[Piece]:
     without a start are dropped; an article or main begins afresh, whatever was
     left open around it."""
     out: list[Piece] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]
+    # tag, path, is noise, holds what belongs to other pages or readers, is in an article
+    stack: list[tuple[str, tuple[str, ...], bool, bool, bool]] = [("", (), False, False, False)]
     at, block = 0, 0
 
     def text(to: int) -> None:
         raw = html[at:to]
         if raw and not raw.isspace():
-            _, path, noise, scoped = stack[-1]
+            _, path, noise, _, scoped = stack[-1]
             out.append(Piece(path, block, noise, scoped, entities.unescape(raw)))
         elif raw and out:
             out[-1].text += " "
@@ -111,15 +133,18 @@ def parse(html: str) -> list[Piece]:
                     break
         rest = m["rest"]
         found = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
-        _, path, noise, scoped = stack[-1]
-        if tag in ("article", "main") and not (scoped and noise):
+        _, path, noise, others, scoped = stack[-1]
+        names = f"{found.get('class', '')} {found.get('id', '')}" if tag not in ("html", "body") else ""
+        names = names if names != " " else ""
+        if tag in ("article", "main") and not (others or scoped and noise) and not (names and named(names, OTHERS_NAMES)):
             noise, scoped = False, True
-        elif not noise:
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            noise = tag in NOISE_TAGS or tag == "header" and not scoped or "hidden" in found or found.get("role", "").lower() in NOISE_ROLES or bool(names.strip() and NOISE_NAME.search(names)) or "display:none" in found.get("style", "").replace(" ", "").lower()
+        else:
+            others = others or tag in OTHERS_TAGS or bool(names and named(names, OTHERS_NAMES))
+            hidden = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+            noise = noise or others or tag in NOISE_TAGS or tag == "header" and not scoped or hidden or found.get("role", "").lower() in NOISE_ROLES or bool(names and named(names, NOISE_NAMES))
         label = f"{tag}.{found['class'].split()[0]}" if found.get("class", "").strip() else tag
         if not rest.endswith("/") or tag in BLOCKS:
-            stack.append((tag, (*path, label), noise, scoped))
+            stack.append((tag, (*path, label), noise, others, scoped))
     text(len(html))
     return out
 
@@ -203,19 +228,21 @@ def site_nodes(pages: DataFrame) -> DataFrame:
     counts = seen.select("host", F.explode(F.arrays_zip("s.nodes", "s.features")).alias("f")).groupBy("host", F.col("f.nodes").alias("node"), F.col("f.features").alias("feature")).agg(F.count("*").alias("n"))
     sums = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     own = sums.select("host", F.split("node", "/").alias("path"), "pages", F.when(F.col("pages") > 1, 1 - F.col("nlogn") / (F.col("pages") * F.log("pages"))).otherwise(1.0).alias("own"))
+    own = own.withColumn("own", (F.col("own") * F.col("pages") + PRIOR) / (F.col("pages") + PRIOR))
     above = own.select("host", "pages", "own", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.array_join(F.slice("path", F.lit(1), k), "/"))).alias("node"))
     return above.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max("own").alias("importance"))
 
 
-def main_text(df: DataFrame, fewest: int = FEWEST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
+def main_text(df: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     """(page_id, url, text, n_chars) of each page of df."""
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     pages = df.select("page_id", url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    low = site_nodes(pages).filter((F.col("pages") >= fewest) & (F.col("importance") < least))
+    low = site_nodes(pages).filter(F.col("importance") < least)
     low = written(low.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), shared_folder(df.sparkSession))
     few = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES
-    joined = pages.join(F.broadcast(low) if few else low, "host", "left").select("page_id", "url", "html", "low")
+    joined = pages.join(F.broadcast(low), "host", "left") if few else dealt_join(pages, low, "host", "html", "left")
+    joined = joined.select("page_id", "url", "html", "low")
     kind = pages.schema["page_id"].dataType.simpleString()
     return joined.mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars bigint")
 
