@@ -28,11 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under the one that the cluster shares (spark.checkpoint.dir).
-    Only where that is unset, as in tests, a temporary one is made and set."""
+    Only where that is unset and all runs in this process, as in tests, a
+    temporary one is made and set; other machines couldn't read that."""
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             _own_folder = _own_folder or tempfile.mkdtemp(prefix="sleuthframe-")
             spark.sparkContext.setCheckpointDir(f"file://{_own_folder}")
         base = spark.sparkContext.getCheckpointDir()
@@ -102,31 +105,77 @@ def tidy() -> None:
     _trim()(0)
 
 
+def _gathered(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the runs begin : begin + size, one after another, and where each starts among them."""
+    start = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(begin - start, size), start
+
+
+def same_text(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether left[a : a + size] equals right[b : b + size], for each run; sizes are 1 or more."""
+    if not len(size):
+        return np.zeros(0, bool)
+    (i, start), (j, _) = _gathered(a, size), _gathered(b, size)
+    return np.logical_and.reduceat(left[i] == right[j], start)
+
+
 class Remembered:
-    """Values of 64-bit keys in sorted arrays, which take a few bytes a key where
-    a dictionary takes a hundred. like: no values, of the shape and type to hold."""
+    """Values of short texts in arrays, which take a few bytes a text where a
+    dictionary takes a hundred. A text is looked up by a 64-bit key and then
+    compared with the text that the key stands for, so equal keys of different
+    texts do no harm: the later text is not remembered. like: no values, of the
+    shape and type to hold; most: so many are held, then it starts anew."""
 
-    def __init__(self, like: np.ndarray):
-        self.keys, self.values = np.zeros(0, np.uint64), like
+    #: Longer texts are worked out each time.
+    LONGEST = 64
 
-    def __len__(self) -> int:
-        return len(self.keys)
+    def __init__(self, like: np.ndarray, most: int = 1_000_000):
+        self.like, self.most = like, most
+        self.forget()
 
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        """Indices of the keys without a value."""
-        at = np.searchsorted(self.keys, keys)
-        there = at < len(self.keys)
-        there[there] = self.keys[at[there]] == keys[there]
-        return np.flatnonzero(~there)
+    def forget(self) -> None:
+        self.keys, self.slots, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64), self.like
+        self.begin, self.size, self.codes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """keys: sorted, each once, none that has a value."""
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.values = np.insert(self.keys, at, keys), np.insert(self.values, at, values, axis=0)
+    def __len__(self) -> int:
+        return len(self.keys)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values of keys that all have one."""
-        return self.values[np.searchsorted(self.keys, keys)]
+    def values_of(self, keys: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The value of each text codes[begin:end], whose keys are given.
+        make(indices) works out those of some of the texts."""
+        size = end - begin
+        if len(self) > self.most:
+            self.forget()
+        out = np.zeros((len(keys), *self.like.shape[1:]), self.like.dtype)
+        short = np.flatnonzero(size <= self.LONGEST)
+        names, first, back = np.unique(keys[short], return_index=True, return_inverse=True)
+        first = short[first]
+        # every text against the first one of its key
+        alike = size[short] == size[first][back]
+        alike[alike] = same_text(codes, begin[short][alike], codes, begin[first][back][alike], size[short][alike])
+        at = np.searchsorted(self.keys, names)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == names[known]
+        slot = np.zeros(len(names), np.int64)
+        slot[known] = self.slots[at[known]]
+        clash = known.copy()
+        clash[known] = self.size[slot[known]] != size[first][known]
+        some = known & ~clash
+        clash[some] = ~same_text(codes, begin[first][some], self.codes, self.begin[slot[some]], size[first][some])
+        new = np.flatnonzero(~known)
+        if len(new):
+            i, start = _gathered(begin[first[new]], size[first[new]])
+            slot[new] = np.arange(len(new)) + len(self.begin)
+            self.begin, self.size = np.append(self.begin, start + len(self.codes)), np.append(self.size, size[first[new]])
+            self.codes = np.append(self.codes, codes[i])
+            self.values = np.append(self.values, make(first[new]), axis=0)
+            self.keys, self.slots = np.insert(self.keys, at[new], names[new]), np.insert(self.slots, at[new], slot[new])
+        told = alike & ~clash[back]
+        out[short[told]] = self.values[slot[back[told]]]
+        alone = np.sort(np.append(np.flatnonzero(size > self.LONGEST), short[~told]))
+        if len(alone):
+            out[alone] = make(alone)
+        return out
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -153,8 +202,22 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def semi(docs: DataFrame, ids: DataFrame, column: str, how: str, most: int = 500_000) -> DataFrame:
-    """docs joined left_semi or left_anti with a written table of ids. The ids
-    are broadcast only if counted to be at most `most`; else both are shuffled."""
-    few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if few else ids, column, how)
+def dealt_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str, most: int = 50_000) -> DataFrame:
+    """left joined (inner or left) by shuffling with right, whose keys are unique.
+    Keys with more than `most` rows of left are dealt, by the column `by`, to as
+    many tasks as they need, and their row of right is repeated for each. There
+    is at most one such key for each `most` rows; they are broadcast only if
+    counted to be few."""
+    hot = left.groupBy(F.col(key).alias("_hot")).count().filter(F.col("count") > most)
+    hot = written(hot.select("_hot", F.ceil(F.col("count") / most).cast("int").alias("_tasks")))
+    n = hot.count()
+    if not n:
+        return left.join(right, key, how)
+    hot = F.broadcast(hot) if n <= 100_000 else hot
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(hot, df[key] == hot["_hot"], "left").drop("_hot")
+
+    dealt = marked(left).withColumn("_task", F.coalesce(F.pmod(F.xxhash64(by), F.col("_tasks")), F.lit(0)).cast("int")).drop("_tasks")
+    spread_out = marked(right).withColumn("_task", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_tasks"), F.lit(1)) - 1))).drop("_tasks")
+    return dealt.join(spread_out, [key, "_task"], how).drop("_task")

@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from sleuthframe.llm.shingles import _characters, _powers, mix
+from sleuthframe.llm.shingles import spread
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 #: Code points below this, and general punctuation, have one class everywhere.
@@ -44,8 +44,9 @@ def plain(texts: list[str], specials: tuple[str, ...]) -> np.ndarray:
 
 
 class Split:
-    """Pieces of a batch of plain texts. hashes: of each piece; first: index of
-    each text's first piece, one more at the end; piece(i): its string."""
+    """Pieces of a batch of plain texts. codes[begin:end]: a piece's code points;
+    hashes: of each piece; first: index of each text's first piece, one more at
+    the end; piece(i): its string."""
 
     def __init__(self, texts: list[str], *, spaces: bool):
         """spaces: one leading space belongs to a piece, and runs of white space
@@ -69,12 +70,8 @@ class Split:
         keep = kind[begin] != BREAK
         if not spaces:
             keep &= kind[begin] != SPACE
-        size = end - begin
-        at = np.arange(len(kind)) - np.repeat(begin, size)
-        value = _characters()[codes] * _powers(int(size.max()) if len(size) else 1)[at]
-        total = np.add.reduceat(value, begin) if len(begin) else np.zeros(0, np.uint64)
-        self.hashes = mix(total + size.astype(np.uint64))[keep]
-        self.begin, self.end = begin[keep], end[keep]
+        self.codes, self.begin, self.end = codes, begin[keep], end[keep]
+        self.hashes = spread(codes, self.begin, self.end - self.begin)
         breaks = np.flatnonzero(kind == BREAK)
         self.first = np.concatenate([[0], np.searchsorted(self.begin, breaks)])
 

@@ -41,15 +41,23 @@ def _characters() -> np.ndarray:
     return constants(0x110000, 11)
 
 
-_POWERS = np.ones(0, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    """n powers of one odd base, modulo 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.full(max(n, 256), 0x9E3779B97F4A7C55, np.uint64))
-    return _POWERS
+def spread(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit value of each run of code points codes[begin : begin + size]: the
+    sum of a non-linear mix of every character with its place, so that no swap of
+    characters within a run keeps it. Two different runs agree with probability
+    2**-64; where that may not decide, texts are compared (see Remembered)."""
+    if not len(begin):
+        return np.zeros(0, np.uint64)
+    start = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) - np.repeat(start, size)
+    value = _characters()[codes[np.repeat(begin, size) + at]]
+    value ^= at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C55)
+    value ^= value >> np.uint64(32)
+    value *= np.uint64(0xD6E8FEB86659FD93)
+    value ^= value >> np.uint64(29)
+    value *= np.uint64(0xCA9B0C7EBA1DA115)
+    value ^= value >> np.uint64(32)
+    return mix(np.add.reduceat(value, start) + size.astype(np.uint64))
 
 
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,21 +71,26 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     lengths = np.fromiter((len(t) + 1 for t in lowered), np.int64, len(texts))
     offsets = np.searchsorted(first, np.concatenate([[0], np.cumsum(lengths)]))
-    if not len(first):
-        return np.zeros(0, np.uint64), offsets
-    size = last - first
-    where = np.flatnonzero(inside)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    at = np.arange(len(where)) - np.repeat(begin, size)
-    value = _characters()[codes[where]] * _powers(int(size.max()))[at]
-    return mix(np.add.reduceat(value, begin) + size.astype(np.uint64)), offsets
+    return spread(codes, first, last - first), offsets
+
+
+def split_words(text: str | None) -> list[str]:
+    """The words of a text as strings."""
+    return [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split(" ") if w]
 
 
 def shingles(texts: list[str | None], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in text order with repeats, and offsets as for words()."""
-    hashes, offsets = words(texts)
+    """Shingle hashes in text order with repeats, and offsets as for words(). A
+    text of fewer than n words has one shingle of them all, whose hash is the
+    same as that of a shingle of so many words."""
+    return joined_words(*words(texts), n)
+
+
+def joined_words(hashes: np.ndarray, offsets: np.ndarray, n: int, *, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of n consecutive words, from words(); short: texts of fewer words
+    have one of all their words."""
     count = np.diff(offsets)
-    made = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64))
+    made = np.where(count >= n, count - n + 1, (count > 0).astype(np.int64) * short)
     out_offsets = np.concatenate([[0], np.cumsum(made)])
     factor = constants(n, 23)
     start = np.arange(out_offsets[-1]) - np.repeat(out_offsets[:-1] - offsets[:-1], made)

@@ -25,11 +25,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import pieces, table
+from sleuthframe.llm.common import Remembered, pieces, table
 from sleuthframe.llm.pretokens import Split, plain
 
-#: Distinct pieces whose counts a worker remembers; then it starts anew.
-REMEMBER = 1_000_000
+#: Distinct pieces outside the plain path whose counts a worker remembers, and their greatest length.
+REMEMBER, LONGEST = 200_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -59,7 +59,7 @@ class PairMerger:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs[vocab[left] << 20 | vocab[right]] = rank, vocab[left + right]
-        self.counts: dict[int, int] = {}
+        self.counts, self.other = Remembered(np.zeros(0, np.int64)), {}
 
     def merged(self, piece: str) -> int:
         """Tokens of one piece."""
@@ -104,9 +104,19 @@ class PairMerger:
         total = len(self.special_pattern.findall(text))
         for part in self.special_pattern.split(text):
             lowered = "".join(c.lower() for c in unicodedata.normalize("NFC", part))
-            total += sum(self.merged(p) for p in self.pattern.findall(lowered))
+            total += sum(map(self._remembered, self.pattern.findall(lowered)))
         return total
 
+    def _remembered(self, piece: str) -> int:
+        n = self.other.get(piece)
+        if n is None:
+            n = self.merged(piece)
+            if len(piece) <= LONGEST:
+                if len(self.other) > REMEMBER:
+                    self.other.clear()
+                self.other[piece] = n
+        return n
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         whole = [t or "" for t in texts]
         out = np.zeros(len(whole), np.int64)
@@ -114,16 +124,8 @@ class PairMerger:
         for i in np.flatnonzero(~easy):
             out[i] = self.exact(whole[i])
         split = Split([t.lower() if ok else "" for t, ok in zip(whole, easy, strict=True)], spaces=False)
-        keys, where, back = np.unique(split.hashes, return_index=True, return_inverse=True)
-        if len(self.counts) > REMEMBER:
-            self.counts.clear()
-        known, got = self.counts, np.empty(len(keys), np.int64)
-        for k, (key, at) in enumerate(zip(keys.tolist(), where.tolist(), strict=True)):
-            n = known.get(key)
-            if n is None:
-                n = known[key] = self.merged(split.piece(at))
-            got[k] = n
-        sums = np.concatenate([[0], np.cumsum(got[back])])
+        got = self.counts.values_of(split.hashes, split.codes, split.begin, split.end, lambda some: np.array([self.merged(split.piece(i)) for i in some.tolist()], np.int64))
+        sums = np.concatenate([[0], np.cumsum(got)])
         out[easy] = (sums[split.first[1:]] - sums[split.first[:-1]])[easy]
         return out
 

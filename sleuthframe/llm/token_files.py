@@ -39,8 +39,8 @@ from sleuthframe.llm.pretokens import Split, plain
 #: Fixed values of the public zstandard seekable layout.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_MAGIC, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 END_ID = 0
-#: Distinct pieces whose ids a worker remembers; then it starts anew.
-REMEMBER = 1_000_000
+#: Ids that a worker holds, those of pieces too long to be remembered among them; then it starts anew.
+FLAT = 1 << 22
 
 
 class Encoder:
@@ -53,12 +53,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = Remembered(np.zeros(0, np.int64))
-        self.start, self.size, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
-        self.flat = np.zeros(1 << 16, np.uint32)
+        # where a piece's ids begin in flat, and how many they are
+        self.known, self.flat, self.used = Remembered(np.zeros((0, 2), np.int64)), np.zeros(1 << 16, np.uint32), 0
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
         """Number of ids of each piece, and all ids. A space and letters are the
@@ -77,36 +73,30 @@ class Encoder:
             size[i] = len(e.ids)
         return size, flat
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        """Append the ids of pieces to flat; (begin, size) of each."""
         order = sorted(range(len(texts)), key=lambda i: not (texts[i][0] == " " and texts[i][1:].isalpha()))
         size, flat = self._library([texts[i] for i in order])
-        n, more = len(self.known), int(size.sum())
-        while len(self.start) < n + len(keys):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        more = int(size.sum())
         while len(self.flat) < self.used + more:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + more] = np.fromiter(itertools.chain.from_iterable(flat), np.uint32, more)
-        self.start[n : n + len(keys)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(keys)] = size
+        out = np.empty((len(texts), 2), np.int64)
+        out[order, 0], out[order, 1] = self.used + np.cumsum(size) - size, size
         self.used += more
-        slots = np.empty(len(keys), np.int64)
-        slots[order] = np.arange(n, n + len(keys))
-        self.known.add(keys, slots)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         whole = [t or "" for t in texts]
         easy = plain(whole, self.specials)
         split = Split([t if ok else "" for t, ok in zip(whole, easy, strict=True)], spaces=True)
-        if len(self.known) > REMEMBER:
-            self.forget()
-        keys, where, back = np.unique(split.hashes, return_index=True, return_inverse=True)
-        new = self.known.missing(keys)
-        if len(new):
-            self._learn(keys[new], [split.piece(where[k]) for k in new])
-        at = self.known.get(keys)[back]
-        size = self.size[at]
+        if len(self.known) > self.known.most or self.used > FLAT:
+            self.known.forget()
+            self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        found = self.known.values_of(split.hashes, split.codes, split.begin, split.end, lambda some: self._learn([split.piece(i) for i in some.tolist()]))
+        at, size = found[:, 0], found[:, 1]
         ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + size, size)]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + size, size)]
         bound = np.concatenate([[0], ends])[split.first]
         out = [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
         for i in np.flatnonzero(~easy):

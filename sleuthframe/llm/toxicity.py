@@ -10,8 +10,9 @@ Terms, weights and function are learned from labelled rows: from at most
 MAX_LABELLED of them, those of least hash of their ids. A text gets the score
 of its own words alone. Null, empty and wordless texts have no hits and get the
 score of a text without hits. Without labelled rows of both kinds all scores
-are 0. Repeated rows are scored row by row; an empty table gives an empty
-result; other columns may have any names.
+are 0. Repeated rows are scored row by row, a null id is not held out; an empty
+table gives an empty result; other columns may have any names. One letter more,
+less or other is one edit and may be; swapped letters are two and may not.
 """
 
 from __future__ import annotations
@@ -29,17 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.common import Remembered, kept, pieces, shared_folder, table, written
-from sleuthframe.llm.shingles import _characters, _powers, mix
+from sleuthframe.llm.shingles import spread
 
 MAX_LABELLED = 6000
-#: A term is in at least so many toxic sample texts; so many terms explain each of them at most, and are collected at most.
-LEAST_TEXTS, COVER, MAX_TERMS = 3, 8, 20_000
+#: A term is in at least so many toxic sample texts; so many terms explain each of them at most.
+LEAST_TEXTS, COVER = 3, 8
 SHORTEST_PREFIX, LONGEST_PREFIX = 4, 6
 #: Shorter terms are only matched as they are.
 SHORTEST_FUZZY = 5
-FUZZY, QUOTED, ADDRESSED = 0.6, 0.3, 1.2
+QUOTED, ADDRESSED = 0.3, 1.2
 WINDOW = 60
-REMEMBER = 1_000_000
 REPORTING = re.compile(r"\b(?:said|says|quote[ds]?|called|wrote|writes|reported|term|word|sagte|schrieb|zitat|dijo|escribió|palabra|disait|écrit|mot)\b")
 SECOND_PERSON = re.compile(r"\b(?:you|your|youre|du|dich|ihr|tú|eres|usted|tu|toi|vous)\b")
 QUOTES = re.compile(r"[\"“”„«»‘’]")
@@ -50,24 +50,27 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def letter_runs(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts joined in lower case; begin, end and hash of each run of
-    letters; and the index of each text's first run, one more at the end."""
+@functools.cache
+def _stands_in() -> np.ndarray:
+    return np.fromiter((chr(c) in "0123456789@$*" for c in range(128)), bool, 128)
+
+
+def letter_runs(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined in lower case, and their code points; begin, end and hash
+    of each run of letters; and the index of each text's first run, one more at
+    the end."""
     lowered = [t.lower() for t in texts]
     joined = "\n".join(lowered)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = _letters()[codes]
+    # a digit or symbol between two letters stands for a letter: id1ot, st*pid
+    between = np.flatnonzero(_stands_in()[np.minimum(codes, 127)][1:-1] & inside[:-2] & inside[2:]) + 1 if len(codes) > 2 else np.zeros(0, np.int64)
+    inside[between] = True
     edge = np.diff(inside.view(np.int8), prepend=0, append=0)
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
     first = np.searchsorted(begin, bounds)
-    if not len(begin):
-        return joined, begin, end, np.zeros(0, np.uint64), first
-    size, where = end - begin, np.flatnonzero(inside)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    at = np.arange(len(where)) - np.repeat(start, size)
-    total = np.add.reduceat(_characters()[codes[where]] * _powers(int(size.max()))[at], start)
-    return joined, begin, end, mix(total + size.astype(np.uint64)), first
+    return joined, codes, begin, end, spread(codes, begin, end - begin), first
 
 
 class Automaton:
@@ -159,20 +162,14 @@ class Scorer:
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """Logarithms of one plus the weighted sums of exact and misspelt hits."""
-        joined, begin, end, hashes, first = letter_runs([t or "" for t in texts])
+        joined, codes, begin, end, hashes, first = letter_runs([t or "" for t in texts])
         out = np.zeros((len(texts), 2))
-        keys, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
-            self.known = Remembered(np.zeros((0, 2)))
-        new = self.known.missing(keys)
-        if len(new):
-            self.known.add(keys[new], np.array([self.weights(joined[begin[at] : end[at]]) for at in where[new]]))
-        weight = self.known.get(keys)
-        hits = np.flatnonzero(weight.any(1)[back])
+        weight = self.known.values_of(hashes, codes, begin, end, lambda some: np.array([self.weights(joined[begin[i] : end[i]]) for i in some.tolist()]))
+        hits = np.flatnonzero(weight.any(1))
         owner = np.searchsorted(first, hits, "right") - 1
         for i, t in zip(hits.tolist(), owner.tolist(), strict=True):
             low, high = begin[first[t]], end[first[t + 1] - 1]
-            out[t] += weight[back[i]] * self.context(joined[max(low, begin[i] - WINDOW) : begin[i]], joined[end[i] : min(high, end[i] + WINDOW)])
+            out[t] += weight[i] * self.context(joined[max(low, begin[i] - WINDOW) : begin[i]], joined[end[i] : min(high, end[i] + WINDOW)])
         return np.log1p(out)
 
     def weights(self, word: str) -> tuple[float, float]:
@@ -196,7 +193,7 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
             counts: Counter = Counter()
-            joined, begin, end, _, first = letter_runs([t or "" for t in part.column("text").to_pylist()])
+            joined, _, begin, end, _, first = letter_runs([t or "" for t in part.column("text").to_pylist()])
             for t, toxic in enumerate(part.column("toxic").to_pylist()):
                 words = {joined[begin[i] : end[i]] for i in range(first[t], first[t + 1])}
                 found = {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(SHORTEST_PREFIX, LONGEST_PREFIX + 1) if len(w) > n}
@@ -211,7 +208,7 @@ def _members(names: set[tuple[str, bool]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            joined, begin, end, _, first = letter_runs([t or "" for t in batch.column("text").to_pylist()])
+            joined, _, begin, end, _, first = letter_runs([t or "" for t in batch.column("text").to_pylist()])
             for t in range(batch.num_rows):
                 words = {joined[begin[i] : end[i]] for i in range(first[t], first[t + 1])}
                 found = {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(SHORTEST_PREFIX, LONGEST_PREFIX + 1) if len(w) > n}
@@ -267,7 +264,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, floa
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the id as text is divisible by 5; false for a null id."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
@@ -284,7 +282,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model({}, -math.inf, (0.0, 0.0))
     counts = sample.mapInArrow(_terms, "term string, beginning boolean, toxic int, n bigint").groupBy("term", "beginning").agg(F.sum(F.col("n") * F.col("toxic")).alias("a"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("c"))
     odds = F.log((F.col("a") + 0.5) / (total[1] + 1)) - F.log((F.col("c") + 0.5) / (total[0] + 1))
-    telling = counts.filter(F.col("a") >= LEAST_TEXTS).withColumn("odds", odds).filter((F.col("odds") > math.log(20)) & (F.col("c") * 50 <= F.col("a"))).orderBy(F.desc("a"), "term", "beginning").limit(MAX_TERMS)
+    telling = counts.filter(F.col("a") >= LEAST_TEXTS).withColumn("odds", odds).filter((F.col("odds") > math.log(20)) & (F.col("c") * 50 <= F.col("a")))
     found = {(r["term"], r["beginning"]): r["odds"] for r in telling.collect()}
     texts = [{(t[:-2], t[-1] == "1") for t in r["terms"]} for r in sample.filter("toxic = 1").select("text").mapInArrow(_members(set(found)), "terms array<string>").collect()]
     terms = choose_terms(texts, found)
