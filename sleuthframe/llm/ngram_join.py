@@ -7,10 +7,13 @@ gathered whole. A pair counts in the first band that its classes share, and a
 task returns a row per class, not per pair: how many documents it is linked to
 and one class that it hangs together with.
 
+Shingles are compared as 64-bit values; classes by 128 bits of all of a text's.
+
 A text without words (null, empty, only punctuation) has no shingles and no
 links and is a class alone. Rows that repeat an id are kept, one result row
-each. An empty table gives an empty result. Only the id and text columns are
-read, so other columns may have any names.
+each; rows with a null id take part like others, and a class whose ids are all
+null has a null class_id. An empty table gives an empty result. Only the id and
+text columns are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,21 +27,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import grouped, pieces, semi, shared_folder, table, written
+from sleuthframe.llm.common import dealt_join, grouped, pieces, shared_folder, table, written
 from sleuthframe.llm.components import components
 from sleuthframe.llm.shingles import SHINGLE_SQL, SIMILARITY, WORDS_SQL, constants, distinct, mix, shingles
 
-ROWS = 4
+#: Hash functions that a text may be given; bands of more rows propose fewer pairs in vain, but take more of them.
+MOST_HASHES = 128
 #: Classes of one bucket that a block holds on average.
 BLOCK = 512
+#: Rows of ids and hashes that may be sent to every worker; more are joined by shuffling.
+BROADCAST_ROWS = 500_000
 
 
-def band_count(similarity: float = SIMILARITY, rows: int = ROWS, recall: float = 1 - 1e-6) -> int:
-    """The fewest bands that find a pair at the threshold with this probability."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+def band_plan(similarity: float = SIMILARITY, recall: float = 1 - 1e-6, most: int = MOST_HASHES) -> tuple[int, int]:
+    """(bands, rows of a band) that find a pair at the threshold with at least
+    this probability: the most rows whose bands need at most `most` hashes."""
+    plans = [(math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows)) if similarity < 1 else 1, rows) for rows in range(1, 17)]
+    return max((p for p in plans if p[0] * p[1] <= most), key=lambda p: p[1], default=plans[0])
 
 
-def band_keys(sets: np.ndarray, offsets: np.ndarray, bands: int, rows: int = ROWS) -> np.ndarray:
+def band_keys(sets: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each non-empty set (row) and band (column)."""
     xor, factor = constants(bands * rows, 31), constants(bands * rows, 37)
     out = np.zeros((len(offsets) - 1, bands), np.uint64)
@@ -53,8 +61,8 @@ def _fixed(column, width: int, kind) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(kind).reshape(-1, width)
 
 
-def _sketches(bands: int):
-    """(id, n, key, bands) of each row; key is null for texts without words."""
+def _sketches(bands: int, band_rows: int):
+    """(id, print, key, bands) of each row; key is null for texts without words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,10 +70,10 @@ def _sketches(bands: int):
                 sets, offsets = distinct(*shingles(part.column("text").to_pylist()))
                 size = np.diff(offsets)
                 full = size > 0
-                found = band_keys(sets, np.append(offsets[:-1][full], len(sets)), bands) if full.any() else np.zeros((0, bands), np.uint64)
+                found = band_keys(sets, np.append(offsets[:-1][full], len(sets)), bands, band_rows) if full.any() else np.zeros((0, bands), np.uint64)
                 keys = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 rows = iter(found.view(np.int64))
-                yield pa.record_batch([part.column("id"), pa.array(keys, pa.binary()), pa.array([next(rows) if f else None for f in full], pa.list_(pa.int64()))], ["id", "key", "bands"])
+                yield pa.record_batch([part.column("id"), part.column("print"), pa.array(keys, pa.binary()), pa.array([next(rows) if f else None for f in full], pa.list_(pa.int64()))], ["id", "print", "key", "bands"])
 
     return run
 
@@ -162,15 +170,15 @@ def _verified(width: int, similarity: float):
     return run
 
 
-def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = 1 - 1e-6) -> DataFrame:
-    """One row per row of df: id, class_id (least id among the texts that hang
-    together by links), copy_id (least id with the same shingles) and n_links
-    (other rows whose text is at least this similar)."""
-    spark, bands, folder = df.sparkSession, band_count(similarity, ROWS, recall), shared_folder(df.sparkSession)
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def _joined(df: DataFrame, id_col: str, text_col: str, similarity: float, recall: float, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(id, print, key) of each row, where print tells its text beside the id,
+    and (key, root, copy, copies, links) of each class: copy is its least
+    (id is null, id, print)."""
+    bands, band_rows = band_plan(similarity, recall)
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("print", F.xxhash64("text"))
     kind = docs.schema["id"].dataType.simpleString()
-    rows = written(docs.mapInArrow(_sketches(bands), f"id {kind}, key binary, bands array<bigint>"), f"{folder}/rows")
-    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    rows = written(docs.mapInArrow(_sketches(bands, band_rows), f"id {kind}, print bigint, key binary, bands array<bigint>"), f"{folder}/rows")
+    classes = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("copy_id"), F.min_by("print", F.struct(F.col("id").isNull(), "id", "print")).alias("copy_print"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     classes = written(classes, f"{folder}/classes")
     slots = classes.select("key", F.posexplode("bands").alias("band", "value")).select("key", F.col("band").cast("int").alias("band"), F.xxhash64("band", "value").alias("bucket"))
     shared = slots.groupBy("bucket").count().filter("count > 1").select("bucket", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
@@ -181,28 +189,49 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     needed = meets.repartition(*place).sortWithinPartitions(*order).mapInArrow(_needed(bands), "bucket bigint, band int, i int, j int, block int, key binary")
     needed = written(needed, f"{folder}/needed")
     wanted = written(needed.select("key").distinct().join(classes, "key"), f"{folder}/wanted")
-    texts = semi(docs, wanted.select(F.col("copy_id").alias("id")), "id", "left_semi")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    asked = wanted.select("copy_id", "copy_print")
+    texts = docs.join(F.broadcast(asked) if few else asked, (F.col("print") == F.col("copy_print")) & F.col("id").eqNullSafe(F.col("copy_id")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets, "key binary, shingles array<bigint>").join(wanted, "key").dropDuplicates(["key"])
     sets = written(sets.select("key", "copies", "bands", "shingles"), f"{folder}/sets")
     full = needed.join(sets, "key").repartition(*place).sortWithinPartitions(*order)
     links = written(full.mapInArrow(_verified(bands, similarity), "key binary, links bigint, root binary"), f"{folder}/links")
     roots = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    found = classes.select("key", "copy_id", "copies").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    found = written(found, f"{folder}/found")
+    found = classes.select("key", "copy_id", "copy_print", "copies").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    return rows.select("id", "print", "key"), written(found, f"{folder}/found")
+
+
+def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = 1 - 1e-6) -> DataFrame:
+    """One row per row of df: id, class_id (least id among the texts that hang
+    together by links), copy_id (least id with the same shingles) and n_links
+    (other rows whose text is at least this similar)."""
+    rows, found = _joined(df, id_col, text_col, similarity, recall, shared_folder(df.sparkSession))
     named = found.join(found.groupBy("root").agg(F.min("copy_id").alias("class_id")), "root").select("key", "class_id", "copy_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = rows.select("id", "key").join(named, "key", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # a class of very many copies is dealt to several tasks; texts without words need no join
+    out = dealt_join(rows.filter("key IS NOT NULL"), named, "key", "id", "inner").unionByName(rows.filter("key IS NULL"), allowMissingColumns=True)
+    return out.select(F.col("id").alias(id_col), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of similar texts: that of the least
-    id. Rows that repeat an id are one document, and one of them stays."""
-    spark = docs.sparkSession
-    found = written(ngram_join(docs, id_col, text_col).select(id_col, "class_id"))
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("class_id"))).select(id_col).distinct()
-    kept = semi(docs, written(gone), id_col, "left_anti")
-    repeated = found.groupBy(id_col).count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    id (null ids last), then of the least hash of its text. Texts without words
+    all stay. A row is known by its id and text, so null and repeated ids keep
+    what isn't similar; of rows equal in both the one whose columns have the
+    least hash stays."""
+    rows, found = _joined(docs, id_col, text_col, SIMILARITY, 1 - 1e-6, folder := shared_folder(docs.sparkSession))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "copy_print")).alias("w")).select("w.copy_id", "w.copy_print")
+    # rows that go: those with words that aren't the first of their group
+    going = rows.filter("key IS NOT NULL").groupBy("id", "print").agg(F.count("*").alias("n")).join(first, F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("print") == F.col("copy_print")), "left")
+    marked = written(going.select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("copy_print").isNull().alias("_goes"), "n").filter("_goes OR n > 1"), f"{folder}/going")
+    few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_print"))
+    held = F.broadcast(marked) if few else marked
+    stay = docs.join(held.select("_id", "_print"), same, "left_anti")
+    if not marked.filter("NOT _goes").limit(1).count():
+        return stay
+    ordered = F.xxhash64(*[c for c, f in zip(docs.columns, docs.schema, strict=True) if "map<" not in f.dataType.simpleString()])
+    again = docs.join(held.filter("NOT _goes").select("_id", "_print"), same, "inner").groupBy("_id", "_print").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), ordered).alias("row")).select("row.*")
+    return stay.unionByName(again)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
