@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import filesystem, put_file, shared_folder, table, written
+from sleuthframe.llm.common import dealt_join, filesystem, put_file, shared_folder, table, written
 
 RECORDS, INDEX = "archive/records.warc", "indexes/index.json"
 SMALLEST = 1000
@@ -161,7 +161,8 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = SMALLEST, date
     shared = rows.filter(F.octet_length("html") >= smallest).groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).filter("n > 1 AND target IS NOT NULL").select(F.col("digest").alias("shared_digest"), "target")
     shared = written(shared, f"{folder}/shared")
     few = shared.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS
-    joined = rows.join(F.broadcast(shared) if few else shared, rows["digest"] == shared["shared_digest"], "left")
+    shared = shared.withColumnRenamed("shared_digest", "digest")
+    joined = rows.join(F.broadcast(shared), "digest", "left") if few else dealt_join(rows, shared, "digest", "page_id", "left")
     joined = joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("target")), F.col("target")).alias("refers_to"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

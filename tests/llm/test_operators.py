@@ -2,8 +2,13 @@
 
 import hashlib
 import io
+import math
 import os
+import re
 import zipfile
+import zlib
+from collections import Counter
+from itertools import accumulate
 
 import duckdb
 import numpy as np
@@ -15,17 +20,17 @@ from tokenizers import Tokenizer
 
 from sleuthframe.llm import queries, warc_zip
 from sleuthframe.llm.components import components
-from sleuthframe.llm.decontamination import contained_items
-from sleuthframe.llm.main_text import extract, main_text
+from sleuthframe.llm.decontamination import contained_items, without_items
+from sleuthframe.llm.main_text import extract, features, main_text, parse, site_nodes
 from sleuthframe.llm.mixing import mixing_plan, training_documents
 from sleuthframe.llm.nearest import nearest, op5_nearest
-from sleuthframe.llm.ngram_join import ngram_join, one_of_each
+from sleuthframe.llm.ngram_join import band_plan, ngram_join, one_of_each
 from sleuthframe.llm.pii import personal_data
 from sleuthframe.llm.shingles import shingles
 from sleuthframe.llm.token_counts import token_counts
 from sleuthframe.llm.token_files import FrameReader, FrameWriter, read_token_files, write_token_files
-from sleuthframe.llm.common import shared_folder
-from sleuthframe.llm.toxicity import Automaton, Lexicon, Model, learn, op1_toxicity, toxicity
+from sleuthframe.llm.common import dealt_join, shared_folder
+from sleuthframe.llm.toxicity import Automaton, Lexicon, Model, held_out, learn, op1_toxicity, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -300,16 +305,244 @@ def test_toxicity_without_labels(spark, odd):
     assert len(scores) == len(ODD) and toxicity(empty(odd), model).collect() == []
 
 
-def test_remembered_words_and_kept_state():
+def test_remembered_texts_are_compared():
     from sleuthframe.llm.common import Remembered, kept
 
-    memory = Remembered(np.zeros((0, 2)))
-    assert memory.missing(np.array([], np.uint64)).tolist() == []
-    assert memory.missing(np.array([3, 7], np.uint64)).tolist() == [0, 1]
-    memory.add(np.array([3, 2**64 - 1], np.uint64), np.array([[1.0, 2.0], [3.0, 4.0]]))
-    some = np.array([1, 3, 5, 2**64 - 1], np.uint64)
-    assert memory.missing(some).tolist() == [0, 2]
-    memory.add(some[[0, 2]], np.array([[5.0, 6.0], [7.0, 8.0]]))
-    assert memory.get(some).tolist() == [[5.0, 6.0], [1.0, 2.0], [7.0, 8.0], [3.0, 4.0]] and len(memory) == 4
+    texts, asked = ["ab", "cd", "ab", "ef", "x" * 100, "x" * 100, "abc"], []
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(t) for t in texts])
+    begin = end - [len(t) for t in texts]
+    # all keys are equal, or the two that differ are swapped later on
+    for keys in (np.zeros(7, np.uint64), np.array([1, 2, 1, 3, 4, 4, 1], np.uint64), np.array([2, 1, 2, 3, 4, 4, 9], np.uint64)):
+        memory = Remembered(np.zeros(0, np.int64))
+
+        def make(some, texts=texts):
+            asked.append(len(some))
+            return np.array([sum(map(ord, texts[i])) for i in some], np.int64)
+
+        want = [sum(map(ord, t)) for t in texts]
+        for _ in range(2):
+            assert memory.values_of(keys, codes, begin, end, make).tolist() == want
+        assert memory.values_of(np.roll(keys, 1), codes, begin, end, make).tolist() == want
+        assert memory.values_of(keys[:0], codes, begin[:0], end[:0], make).tolist() == []
     made = [kept("a", list), kept("a", list), kept("b", dict), kept("a", list)]
     assert made[0] is made[1] and made[2] == {} and made[3] is not made[0]
+
+
+def colliding(letters: int) -> tuple[str, str]:
+    """Words that every polynomial hash modulo a power of two takes for one."""
+    word = "".join("xe"[bin(i).count("1") % 2] for i in range(letters))
+    return word, word.translate(str.maketrans("xe", "ex"))
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+@pytest.mark.parametrize("letters", [32, 64, 1024, 2048])
+def test_words_of_equal_polynomial_hashes(spark, letters, turn):
+    pair = colliding(letters)[::turn]
+    docs = spark.createDataFrame([(i, " ".join([*"abcd", w, *"fghi"])) for i, w in enumerate(pair * 2)], "doc_id long, text string").coalesce(1)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r["text"] for r in docs.orderBy("doc_id").collect()]
+    assert [r["n_tokens"] for r in token_counts(docs).orderBy("doc_id").collect()] == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for t in texts]
+    assert [r["ids_crc32"] for r in read_token_files(write_token_files(docs, shared_folder(spark))).orderBy("doc_id").collect()] == want
+    assert [r["n_links"] for r in ngram_join(docs).orderBy("doc_id").collect()] == [1, 1, 1, 1]
+    assert sorted(r[0] for r in contained_items(docs, docs.filter("doc_id = 1").withColumnRenamed("doc_id", "item_id")).collect()) == [1, 3]
+
+
+def test_similar_texts_with_null_and_repeated_ids(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = " ".join(words), " ".join([*words[:59], "zz"]), " ".join(reversed(words))
+    schema = "doc_id long, text string, x int"
+    for rows in ([(None, a, 0), (None, b, 0), (None, c, 0), (None, "", 0), (None, None, 1)], [(1, a, 0), (None, b, 0), (None, c, 0), (2, "", 0), (None, None, 0)]):
+        docs = spark.createDataFrame(rows, schema)
+        assert sorted(r["n_links"] for r in ngram_join(docs).collect()) == [0, 0, 0, 1, 1]
+        stay = {(r["doc_id"], r["text"]) for r in one_of_each(docs).collect()}
+        assert len(stay) == 4 and {r[:2] for r in rows[2:]} <= stay and len({(rows[0][0], a), (rows[1][0], b)} & stay) == 1
+    # an id that repeats with another text, with a similar one, and row by row
+    docs = spark.createDataFrame([(1, a, 0), (1, c, 0), (2, b, 0), (3, c, 1), (1, a, 7), (1, a, 0), (4, "", 0), (4, "", 0)], schema)
+    stay = sorted(map(tuple, one_of_each(docs).collect()))
+    assert [r[:2] for r in stay] == [(1, a), (1, c), (4, ""), (4, "")]
+    assert stay == sorted(map(tuple, one_of_each(docs.repartition(3, "x")).collect()))
+    gone = without_items(docs, spark.createDataFrame([(1, " ".join(words[10:40]))], "item_id long, text string"))
+    assert sorted((r[0], r[1]) for r in gone.collect()) == [(1, c), (3, c), (4, ""), (4, "")]
+
+
+def test_training_documents_keep_rows_without_an_id(spark):
+    rows = [(None, "one two three", "a", 0), (None, "four five", "a", 0), (7, "six", "a", 0), (7, "seven eight", "a", 1), (7, "six", "a", 0), (8, None, "a", 0)]
+    got = sorted((r["text"], r["x"]) for r in training_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, x int")).collect())
+    assert got == sorted((r[1], r[3]) for r in rows[:5])
+
+
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_short_items_inside_long_documents(spark, most):
+    docs = spark.createDataFrame([(1, "Paris is the capital of France, they say."), (2, "capital of france"), (3, "capital of"), (4, "a of capital France"), (None, "the CAPITAL of-France")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "capital of France"), (2, "Paris"), (3, "of capital france."), (4, "they say"), (5, "capital of france they say")], "item_id long, text string")
+    got = sorted(((r[0] or 0), r[1], r[2]) for r in contained_items(docs, items, broadcast_shingles=most).collect())
+    assert got == [(0, 1, 1.0), (1, 1, 1.0), (1, 2, 1.0), (1, 4, 1.0), (1, 5, 1.0), (2, 1, 1.0), (4, 3, 1.0)]
+
+
+def test_band_plan():
+    for similarity in (0.5, 0.8, 0.95):
+        bands, rows = band_plan(similarity)
+        assert 1 - (1 - similarity**rows) ** bands >= 1 - 1e-6 and bands * rows <= 128
+    assert band_plan(0.8) == (27, 4)
+
+
+def test_nearest_ties_of_different_vectors(spark):
+    # 200 vectors, all with inner product 1 with the query
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(i % 20), float(i // 20)]) for i in range(200, 0, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()] == list(range(1, 21))
+
+
+def test_nearest_recall_of_hashed_groups(spark, monkeypatch):
+    from sleuthframe.llm import nearest as module
+
+    monkeypatch.setattr(module, "SLICE", 256)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(10, 32))[rng.integers(0, 10, 6000)] + 1.5 * rng.normal(size=(6000, 32))
+    least, recall = _recall(spark, x[:6000] / np.linalg.norm(x, axis=1, keepdims=True))
+    assert least == 20 and recall >= 0.9
+
+
+def test_cross_polytope_places():
+    from sleuthframe.llm.nearest import filed_under, functions_needed, looked_under
+
+    assert [functions_needed(n, 64) for n in (1, 4096, 4097, 4096 * 128, 4096 * 128 + 1)] == [1, 1, 2, 2, 3]
+    x = np.random.default_rng(2).normal(size=(50, 16))
+    for functions in (1, 2, 3):
+        group, axis = filed_under(x, 3, functions)
+        groups, axes = looked_under(x, 3, functions, 30)
+        # a vector looks first where it is filed itself
+        assert (groups[:, 0] == group).all() and (axes[:, 0] == axis).all()
+        assert all(len(set(zip(g, a))) == 30 for g, a in zip(groups.tolist(), axes.tolist()))
+
+
+def plain_spans(text):
+    """The base kinds by their plain definition."""
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def right(kind, m):
+        digits = [int(c) for c in m if c in "0123456789"]
+        if kind == "ip":
+            return all(int(p) <= 255 for p in m.split("."))
+        if kind == "card":
+            return 16 <= len(digits) <= 19 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 8 <= len(digits) <= 15
+
+    return [(kind, m.start(), m.end()) for kind, p in patterns.items() for m in re.finditer(p, text) if right(kind, m[0])]
+
+
+def test_personal_data_equals_the_plain_definition(spark):
+    rng = np.random.default_rng(6)
+    parts = ["a@b.co", "x.y@z", "@", "4111 1111 1111 1111", "10.0.0.1", "1.2.3.4.5.6.7.8", "+1 (234) 567-8901", "+12345678", "é", " ", "-", ".", "12", "tel ", "ссылка "]
+    texts = ["".join(rng.choice(parts, n)) for n in [*rng.integers(0, 60, 150), 3000, 5000]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in personal_data(docs).collect():
+        assert [(s["kind"], s["start"], s["end"]) for s in r["found"] if s["kind"] in ("email", "ip", "card", "phone")] == plain_spans(texts[r["doc_id"]])
+
+
+def test_words_before_a_match_raise_its_score(spark):
+    text = "ssn 123-45-6789 " + "a@b.co," * 30 + "987-65-4321 a@b.co ... contact: c@d.ee"
+    got = {(s["kind"], text[s["start"] : s["end"]]): s["score"] for s in personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["found"]}
+    assert got["ssn", "123-45-6789"] == 0.5 and ("ssn", "987-65-4321") not in got
+    assert got["email", "c@d.ee"] == 1.0 and got["email", "a@b.co"] == 0.8
+
+
+ARTICLES = {
+    "readers' comments": ("<article><p>Text.</p></article><div id=comments><article class=comment-body><p>First!</p></article></div>", "Text."),
+    "comment by its own name": ("<article><p>Text.</p></article><article class='comment'>First!</article>", "Text."),
+    "teaser": ("<main><p>Text.</p></main><aside><article class=card>Read this</article></aside>", "Text."),
+    "body's name": ("<body class=has-sidebar><p>Text.</p></body>", "Text."),
+    "what it lacks": ("<div class='content no-sidebar'><p>Text.</p><div class=sidebar-left>Side</div></div>", "Text."),
+    "its own header": ("<div class=article-header><h1>Title</h1></div><p>Text.</p><div class=site-header>Site</div>", "Title Text."),
+    "capitals": ("<p>Text.</p><div class=siteFooter>x</div><div class=shareButtons>y</div><p class=address>Street</p>", "Text. Street"),
+    "left open": ("<div class=ad>Buy<article><p>Text.</p></article>", "Text."),
+    "comments in an article": ("<article><p>Text.<section id=reply-list><p>Me too</section></article>", "Text."),
+}
+
+
+@pytest.mark.parametrize("case", ARTICLES)
+def test_whose_article_it_is(case):
+    assert extract(ARTICLES[case][0]) == ARTICLES[case][1]
+
+
+def plain_importance(pages):
+    """Importance of every branch of one site's tree, by its definition."""
+    distinct = {tuple(sorted(features(parse(h)).items())) for h in pages}
+    own = {}
+    for node in {n for p in distinct for n, _ in p}:
+        seen = [dict(p)[node] for p in distinct if node in dict(p)]
+        n = len(seen)
+        entropy = -sum(k / n * math.log(k / n) for k in Counter(seen).values())
+        own[node] = ((entropy / math.log(n) if n > 1 else 1.0) * n + 2) / (n + 2)
+    paths = {"/".join(n.split("/")[:k]) for n in own for k in range(1, n.count("/") + 2)}
+    return {p: max(v for n, v in own.items() if n == p or n.startswith(p + "/")) for p in paths}
+
+
+def test_style_tree_equals_its_definition(spark):
+    rng = np.random.default_rng(4)
+    pages = [f"<body><div class=top>Site{' beta' * (i % 7 == 0)}</div><ul>{''.join('<li>x' for _ in range(rng.integers(1, 4)))}</ul><div class=c><p>{rng.integers(0, 9)}<p>fixed</div></body>" for i in range(40)]
+    df = spark.createDataFrame([("h", p) for p in [*pages, *pages[:9]]] + [("g", "<p>a")] * 30, "host string, html string").repartition(3)
+    got = {(r["host"], r["node"]): r["importance"] for r in site_nodes(df).collect()}
+    want = {("h", n): v for n, v in plain_importance(pages).items()} | {("g", n): v for n, v in plain_importance(["<p>a"]).items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = list(accumulate(range(len(b)), lambda left, j: min(left + 1, row[j + 1] + 1, row[j] + (x != b[j])), initial=i))
+    return row[-1]
+
+
+def test_fuzzy_terms_equal_all_distances():
+    rng = np.random.default_rng(1)
+    terms = {("stupid", False): 3.0, ("idiot", False): 2.5, ("morons", False): 2.0, ("pathet", True): 1.5, ("loser", True): 1.0, ("scum", False): 9.0}
+    lexicon = Lexicon(terms)
+    for _ in range(4000):
+        word = list(rng.choice(["stupid", "idiot", "morons", "pathetic", "losers", "scum"]))
+        for _ in range(rng.integers(0, 3)):
+            k = rng.integers(0, len(word) + 1)
+            word[k : k + rng.integers(0, 2)] = rng.choice(list("stupidoe1"), rng.integers(0, 2)).tolist()
+        word = "".join(word)
+        want = max((w for (t, beginning), w in terms.items() if len(t) >= 5 and min(distance(t, word[:n]) for n in (range(len(word) + 1) if beginning else [len(word)])) <= 1), default=0.0)
+        assert lexicon.fuzzy(word) == want, word
+
+
+def test_quotation_scores_below_abuse(spark):
+    model = Model({("idiot", False): 2.0}, -2.0, (2.0, 2.0))
+    texts = ["you are an idiot", "what an idiot", 'she said "idiot" again', "nothing here", "you are an idiiot", "you are an id1ot", "you are an id ot"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = [r["score"] for r in toxicity(docs, model).orderBy("doc_id").collect()]
+    assert score[0] > score[1] > score[2] > score[3] and score[4] == score[5] > score[6] == score[3]
+
+
+def test_null_ids_are_not_held_out(spark):
+    assert [r[0] for r in spark.createDataFrame([(None,), (1,)], "doc_id long").select(held_out(F.col("doc_id"))).collect()][0] is False
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = {"spark.checkpoint.dir": None}
+        sparkContext = Context()
+
+    Session.conf = type("Conf", (), {"get": lambda self, k, d=None: d})()
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+
+
+def test_dealt_join(spark):
+    left = spark.createDataFrame([(k, "hot" if k % 3 else str(k)) for k in range(300)] + [(900, None), (901, "none")], "id long, key string")
+    right = spark.createDataFrame([("hot", 1), ("0", 2), ("3", 3)], "key string, v int")
+    for most in (10, 1000):
+        for how in ("left", "inner"):
+            got = sorted(map(tuple, dealt_join(left, right, "key", "id", how, most).select("id", "key", "v").collect()))
+            assert got == sorted(map(tuple, left.join(right, "key", how).select("id", "key", "v").collect()))
