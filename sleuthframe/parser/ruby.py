@@ -64,6 +64,10 @@ HEREDOC = re.compile(r"<<([~-]?)(?:([\"'`])(.+?)\2|([^\W\d]\w*))")
 SETTER = re.compile(r"[^\W\d]\w*=(?![=~>]|\s*[^\s(&*\w])")
 
 
+def token(start: int, end: int, name: str) -> Node:
+    return Node("token", start, end, name)
+
+
 class Parser:
     def __init__(self, text: str):
         self.s, self.n, self.i = text, len(text), 0
@@ -439,7 +443,7 @@ class Parser:
             self.i = at
         kids = ([("recv", r) for r in left.all("recv")] + [("arg", a) for a in left.all("arg")]) if base in ("index", "call") else [("recv", r) for r in left.kids and [k for _, k in left.kids]] if base == "constant_path" else []
         kind = f"{base}_write" if not operator else f"{base}_{'or' if operator == '||' else 'and' if operator == '&&' else 'operator'}_write"
-        return Node(kind, left.start, value.end, left.name, [*kids, ("value", value)], left.sel or (left.start, left.end), (operator or "") + "=")
+        return Node(kind, left.start, value.end, left.name, [*kids, ("value", value), ("operator", token(*sel, (operator or "") + "="))], left.sel or (left.start, left.end), (operator or "") + "=")
 
     in_list = 0
 
@@ -458,12 +462,11 @@ class Parser:
             self.nl(False)
             if self.peek() != ":":
                 self.fail("expected `:` of a conditional")
-            colon = self.i
             self.i += 1
             self.nl(False)
             other = self.ternary_branch()
             self.in_list = in_list
-            return Node("if", cond.start, other.end, None, [("cond", cond), ("body", then), ("else", other)], (mark, mark + 1), op=str(colon), form="ternary")
+            return Node("if", cond.start, other.end, None, [("cond", cond), ("body", then), ("else", other)], (mark, mark + 1), op=":", form="ternary")
         self.i = at
         return cond
 
@@ -1294,10 +1297,10 @@ class Parser:
             self.no_do += 1
             cond = self.expression_statement()
             self.no_do -= 1
-            self.do_or_line()
+            mark = self.do_or_line()
             body = self.statements(("end",))
             end = self.expect_word("end")
-            return Node(word, start, end[1], None, [("cond", cond), *(("body", b) for b in body)], sel)
+            return Node(word, start, end[1], None, [("cond", cond), *(("body", b) for b in body), *mark], sel)
         if word == "for":
             self.i = sel[1]
             self.ws()
@@ -1404,10 +1407,12 @@ class Parser:
         self.i = at
         return bool(ok)
 
-    def do_or_line(self) -> None:
+    def do_or_line(self) -> list:
         self.ws()
         if self.at_word("do"):
             self.i += 2
+            return [("do", token(self.i - 2, self.i, "do"))]
+        return []
 
     def then(self) -> tuple[int, int] | None:
         """The then, if there is one."""
@@ -1449,7 +1454,9 @@ class Parser:
         if word == "elsif":
             end = max([k.end for _, k in kids])
         self.no_do, self.in_list, self.ternaries, self.no_pipe = saved
-        return Node("if" if word != "unless" else "unless", start, end, None, kids, sel, op=f"{then[0]}" if then else None, open=word, form="elsif" if word == "elsif" else form)
+        if then:
+            kids.append(("then", token(*then, "then")))
+        return Node("if" if word != "unless" else "unless", start, end, None, kids, sel, op="then" if then else None, open=word, form="elsif" if word == "elsif" else form)
 
     def case(self) -> Node:
         start = self.i
@@ -1466,7 +1473,7 @@ class Parser:
         self.nl()
         kind = "case"
         while self.at_word("when"):
-            begin = self.i
+            begin, count = self.i, len(self.comments)
             self.i += 4
             conds = []
             while True:
@@ -1484,10 +1491,11 @@ class Parser:
             then = self.then()
             body = self.statements(("when", "else", "end"))
             end = body[-1].end if body else conds[-1][1].end
-            kids.append(("when", Node("when", begin, end, None, [*conds, *(("body", b) for b in body)], (begin, begin + 4), op=f"{then[0]}" if then else f";{semi}" if semi else None)))
+            mark = [("then", token(*then, "then"))] if then else [("then", token(semi, semi + 1, ";"))] if semi else []
+            kids.append(("when", Node("when", begin, end, None, [*conds, *(("body", b) for b in body), *mark], (begin, begin + 4), form=self.commented(body, count))))
         while self.at_word("in"):
             kind = "case_match"
-            begin = self.i
+            begin, count = self.i, len(self.comments)
             self.i += 2
             self.ws()
             pattern = self.pattern_top()
@@ -1501,7 +1509,8 @@ class Parser:
             then = self.then()
             body = self.statements(("in", "else", "end"))
             end = body[-1].end if body else pattern.end
-            kids.append(("in", Node("in", begin, end, None, [("pattern", pattern), *guard, *(("body", b) for b in body)], (begin, begin + 2), op=f"{then[0]}" if then else f";{semi}" if semi else None)))
+            mark = [("then", token(*then, "then"))] if then else [("then", token(semi, semi + 1, ";"))] if semi else []
+            kids.append(("in", Node("in", begin, end, None, [("pattern", pattern), *guard, *(("body", b) for b in body), *mark], (begin, begin + 2), form=self.commented(body, count))))
         if self.at_word("else"):
             at = self.i
             self.i += 4
@@ -1511,11 +1520,15 @@ class Parser:
         self.no_do, self.in_list, self.ternaries, self.no_pipe = saved
         return Node(kind, start, end, None, kids, (start, start + 4))
 
+    def commented(self, body: list[Node], count: int) -> str | None:
+        """Whether an empty body holds a comment, of which there were count before."""
+        return "commented" if not body and len(self.comments) > count else None
+
     def body(self, stops: tuple[str, ...]) -> list:
         """Statements with rescue, else and ensure clauses."""
         kids = [("body", b) for b in self.statements(("rescue", "else", "ensure", *stops))]
         while self.at_word("rescue"):
-            begin = self.i
+            begin, count = self.i, len(self.comments)
             self.i += 6
             classes, parts = [], []
             self.ws()
@@ -1539,13 +1552,13 @@ class Parser:
             self.then()
             body = self.statements(("rescue", "else", "ensure", *stops))
             end = body[-1].end if body else end
-            kids.append(("rescue", Node("rescue", begin, end, None, [*classes, *parts, *(("body", b) for b in body)], (begin, begin + 6))))
+            kids.append(("rescue", Node("rescue", begin, end, None, [*classes, *parts, *(("body", b) for b in body)], (begin, begin + 6), form=self.commented(body, count))))
         for word in ("else", "ensure"):
             if self.at_word(word):
-                begin = self.i
+                begin, count = self.i, len(self.comments)
                 self.i += len(word)
                 body = self.statements(("ensure", *stops) if word == "else" else stops)
-                kids.append((word, Node(word, begin, body[-1].end if body else self.i, None, [("body", b) for b in body], (begin, begin + len(word)))))
+                kids.append((word, Node(word, begin, body[-1].end if body else begin + len(word), None, [("body", b) for b in body], (begin, begin + len(word)), form=self.commented(body, count))))
         return kids
 
     def constant(self) -> Node:
