@@ -598,6 +598,11 @@ class Parser:
             inner = self.unary()
             return Node("call", start, inner.end, "+@" if c == "+" else "~", [("recv", inner)], (start, start + 1), form="unary")
         if self.at_word("defined?"):
+            self.i += 8
+            self.ws()
+            if self.peek() == "(":
+                return self.postfix(self.defined(start))
+            self.i = start
             return self.defined_or(0)
         return self.power(self.primary_postfix())
 
@@ -1271,7 +1276,7 @@ class Parser:
         elif self.peek() and (IDENT.match(self.s, self.i) and not self.at_word("do") or self.peek() in "*&"):
             at = self.i
             params = self.parameters("{")
-            kids = [("params", Node("block_parameters", at, self.i, kids=params))]
+            kids = [("params", Node("block_parameters", at, params[-1][1].end, kids=params))]
         self.ws()
         if self.peek() == "{":
             block = self.block("{", "}")

@@ -32,8 +32,12 @@ RULES = (
     R("Lint/DuplicateCaseCondition", "case", "exists(filter(kids2, k -> k.role = 'cond'), k -> size(filter(filter(kids2, k2 -> k2.role = 'cond'), k2 -> k2.src = k.src)) > 1)", "Duplicate `when` condition detected.", "transform(filter(transform(filter(kids2, k -> k.role = 'cond'), (k, i) -> named_struct('k', k, 'i', i)), x -> exists(slice(filter(kids2, k -> k.role = 'cond'), 1, x.i), y -> y.src = x.k.src)), x -> x.k.at)", many=True, correctable=False),
     R("Lint/DuplicateHashKey", "hash keyword_hash", "exists(filter(kids2, k -> k.role = 'key' AND k.kind IN ('symbol', 'string', 'integer', 'float', 'true', 'false', 'nil', 'constant_read')), k -> size(filter(kids2, k2 -> k2.role = 'key' AND k2.kind = k.kind AND coalesce(k2.name, k2.src) = coalesce(k.name, k.src))) > 1)", "Duplicated key in hash literal.", "transform(filter(transform(filter(kids2, k -> k.role = 'key'), (k, i) -> named_struct('k', k, 'i', i)), x -> x.k.kind IN ('symbol', 'string', 'integer', 'float', 'true', 'false', 'nil', 'constant_read') AND exists(slice(filter(kids2, k -> k.role = 'key'), 1, x.i), y -> y.kind = x.k.kind AND coalesce(y.name, y.src) = coalesce(x.k.name, x.k.src))), x -> if(x.k.open like 'label%', x.k.sel, x.k.at))", many=True, correctable=False),
     R("Lint/DuplicateSetElement", "call", "name = '[]' AND recv.src IN ('Set', '::Set', 'SortedSet', '::SortedSet')", "=concat('Remove the duplicate element in ', regexp_replace(recv.src, '^::', ''), '.')", f"transform(filter(transform(args, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k.kind IN ({BASIC}, 'string', 'constant_read', 'local_variable_read') AND exists(slice(args, 1, x.i), y -> y.src = x.k.src)), x -> x.k.at)", many=True),
+    R("Lint/DuplicateSetElement", "call", "name = 'new' AND recv.src IN ('Set', '::Set', 'SortedSet', '::SortedSet') AND a0.kind = 'array' OR name = 'to_set' AND recv.kind = 'array'", "=concat('Remove the duplicate element in ', if(name = 'new', regexp_replace(recv.src, '^::', ''), 'Set'), '.')", f"transform(filter(transform(filter(kids2, k -> k.role = 'element'), (k, i) -> named_struct('k', k, 'i', i)), x -> x.k.kind IN ({BASIC}, 'string', 'constant_read', 'local_variable_read') AND exists(slice(filter(kids2, k -> k.role = 'element'), 1, x.i), y -> y.src = x.k.src)), x -> x.k.at)", many=True),
+    R("Lint/SymbolConversion", "call", "name IN ('to_sym', 'intern') AND argc = 0 AND recv.kind IN ('symbol', 'string', 'interpolated_string') AND recv.open IN (':', '\\'', '\"') AND recv.form IS NULL", "=concat('Unnecessary symbol conversion; use `', if(recv.kind = 'interpolated_string' OR NOT recv.name rlike '^[a-zA-Z_][a-zA-Z0-9_]*[?!=]?$', concat(':\"', if(recv.kind = 'symbol', recv.name, substr(recv.src, 2, length(recv.src) - 2)), '\"'), concat(':', recv.name)), '` instead.')"),
+    R("Lint/SymbolConversion", "symbol", "open IN (':\"', ':\\'') AND name rlike '^[a-zA-Z_][a-zA-Z0-9_]*[?!]?$'", "=concat('Unnecessary symbol conversion; use `:', name, '` instead.')"),
+    R("Lint/SymbolConversion", "symbol", "open IN ('label\"', 'label\\'') AND name rlike '^[a-zA-Z_][a-zA-Z0-9_]*[?!]?$'", "=concat('Unnecessary symbol conversion; use `', name, ':` instead.')", "sel"),
     R("Lint/EachWithObjectArgument", "call", f"name = 'each_with_object' AND argc = 1 AND a0.kind IN ({BASIC})", "The argument to each_with_object cannot be immutable.", correctable=False),
-    R("Lint/EmptyBlock", "call super forwarding_super", r"blk.kind = 'block' AND blk.src rlike '^([{]|do)\\s*([|][^|]*[|])?\\s*([}]|end)$' AND NOT (recv IS NULL AND name IN ('lambda', 'proc')) AND NOT (recv.src IN ('Proc', '::Proc') AND name = 'new')", "Empty block detected.", correctable=False),
+    R("Lint/EmptyBlock", "call super forwarding_super", r"blk.kind = 'block' AND blk.src rlike '^([{]|do)\\s*([|][^|]*[|])?\\s*([}]|end)$'", "Empty block detected.", correctable=False),
     R("Lint/EmptyClass", "class", r"nbody = 0 AND get(filter(kids, k -> k.role = 'superclass'), 0) IS NULL AND src rlike '^class\\s+[\\w:]+\\s*;?\\s*end$'", "Empty class detected.", correctable=False),
     R("Lint/EmptyConditionalBody", "if unless", r"coalesce(form, '') NOT IN ('modifier', 'ternary') AND nbody = 0 AND els IS NULL AND src rlike '^(if|unless|elsif)[ (][^#]*$'", "=concat('Avoid `', open, '` branches without a body.')"),
     R("Lint/EmptyEnsure", "ensure", "nbody = 0 AND form IS NULL", "Empty `ensure` block detected.", "sel"),
@@ -86,7 +90,7 @@ RULES = (
     R("Lint/UriRegexp", "call", f"{root('recv', 'URI')} AND name = 'regexp'", "=concat('`', recv.src, '.regexp` is obsolete and should not be used. Instead, use `', recv.src, '::DEFAULT_PARSER.make_regexp`.')", "sel"),
     R("Lint/UselessTimes", "call", "name = 'times' AND recv.kind = 'integer' AND try_cast(recv.name AS int) <= 1", "=concat('Useless call to `', recv.src, '.times` detected.')"),
     R("Lint/AssignmentInCondition", "local_variable_write instance_variable_write class_variable_write global_variable_write", "role = 'cond' AND p.kind IN ('if', 'unless', 'while', 'until') AND coalesce(p.form, '') <> 'ternary'", "Use `==` if you meant to do a comparison or wrap the expression in parentheses to indicate you meant to assign in a condition.", "oper.at"),
-    R("Lint/AmbiguousRange", "range", "true", "Wrap complex range boundaries with parentheses to avoid ambiguity.", f"transform(filter(kids, k -> k.role IN ('left', 'right') AND (k.kind IN ('and', 'or') OR k.kind = 'call' AND k.form IN ('binary') OR k.kind = 'if')), k -> k.at)", many=True),
+    R("Lint/AmbiguousRange", "range", "true", "Wrap complex range boundaries with parentheses to avoid ambiguity.", f"transform(filter(kids, k -> k.role IN ('left', 'right') AND (k.kind IN ('and', 'or') OR k.kind = 'call' AND (coalesce(k.form, '') = 'binary' OR k.src rlike '^\\\\d+[.][a-z_]') OR k.kind = 'if')), k -> k.at)", many=True),
     R("Lint/TrailingCommaInAttributeDeclaration", "call", "recv IS NULL AND name IN ('attr_reader', 'attr_writer', 'attr_accessor', 'attr') AND exists(kids, k -> k.role = 'arg' AND k.kind = 'def')", "Avoid leaving a trailing comma in attribute declarations.", tail("get(args, argc - 2).at.end", "get(args, argc - 2).at.end + 1", "get(args, argc - 2).at")),
     R("Lint/UselessElseWithoutRescue", "begin def", "els.kind = 'else' AND NOT exists(kids, k -> k.role = 'rescue')", "`else` without `rescue` is useless.", "els.sel", correctable=False),
 )

@@ -13,7 +13,7 @@ RULES = (
     R("Naming/AsciiIdentifiers", "local_variable_write def local_variable_target required_parameter", "name rlike '[^\\\\x00-\\\\x7F]'", "Use only ascii symbols in identifiers.", span("sel.start + regexp_instr(name, '[^\\\\x00-\\\\x7F]') - 1", "sel.start + regexp_instr(name, '[^\\\\x00-\\\\x7F]') - 1 + length(regexp_substr(name, '[^\\\\x00-\\\\x7F]+'))", "sel"), correctable=False),
     R("Naming/BinaryOperatorParameterName", "def", f"name IN ({OPERATORS}) AND params.n = 1 AND exists(kids2, k -> k.role = 'param' AND k.kind = 'required_parameter' AND k.name NOT IN ('other', '_other')) AND name NOT IN ('<<')", "=concat('When defining the `', name, '` operator, name its argument `other`.')", "get(filter(kids2, k -> k.role = 'param'), 0).at"),
     R("Naming/ClassAndModuleCamelCase", "class module", "get(kids, 0).src like '%\\\\_%'", "Use CamelCase for classes and modules.", "get(kids, 0).at", correctable=False),
-    R("Naming/ConstantName", "constant_write constant_or_write", "NOT name rlike '^[[:upper:]0-9_]+$' AND (val.kind IN ('integer', 'float', 'string', 'symbol', 'array', 'hash', 'regular_expression', 'interpolated_string', 'true', 'false', 'nil', 'range') OR val.kind = 'call' AND val.name = 'freeze')", "Use SCREAMING_SNAKE_CASE for constants.", "sel", correctable=False),
+    R("Naming/ConstantName", "constant_write constant_or_write", "NOT name rlike '^[\\\\p{Lu}0-9_]+$' AND (val.kind IN ('integer', 'float', 'string', 'symbol', 'array', 'hash', 'regular_expression', 'interpolated_string', 'true', 'false', 'nil', 'range') OR val.kind = 'call' AND val.name = 'freeze')", "Use SCREAMING_SNAKE_CASE for constants.", "sel", correctable=False),
     R("Naming/HeredocDelimiterCase", "string interpolated_string x_string", "form = 'heredoc' AND op <> upper(op)", "Use uppercase heredoc delimiters.", "named_struct('start', sel.end - length(op), 'end', sel.end, 'line', sel.last_line, 'column', sel.last_column - length(op) + 1, 'last_line', sel.last_line, 'last_column', sel.last_column)"),
     R("Naming/HeredocDelimiterNaming", "string interpolated_string x_string", "form = 'heredoc' AND (op rlike '^(EO[A-Z]|END|EOS|EOF)$' OR NOT op rlike '\\\\w')", "Use meaningful heredoc delimiters.", "named_struct('start', sel.end - length(op), 'end', sel.end, 'line', sel.last_line, 'column', sel.last_column - length(op) + 1, 'last_line', sel.last_line, 'last_column', sel.last_column)", correctable=False),
     R("Naming/MethodName", "def", "name rlike '[A-Z]' AND name rlike '^[A-Za-z_]' AND NOT (name rlike '^[A-Z]' AND recv IS NULL AND false)", "Use snake_case for method names.", "sel", correctable=False),

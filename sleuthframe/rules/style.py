@@ -21,6 +21,10 @@ INVERSE = {"any?": "none?", "even?": "odd?", "present?": "blank?", "include?": "
 INVERSE |= {v: k for k, v in INVERSE.items()}
 
 
+#: What the terms on one side of an `and` ask for with defined?.
+DEFINED = "transform(filter(concat(array(get(kids, {i})), filter(kids2, k -> k.of = {i})), k -> k.kind = 'defined'), k -> regexp_extract(k.src, '^defined[?][( ](.*?)[)]?$', 1))"
+
+
 def table(column: str, values: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
@@ -30,7 +34,7 @@ def names(values) -> str:
 
 
 NUMBER_SRC = "regexp_replace(name, '[-_]', '')"
-WORDY = "^[-\\\\w+*.?!]+$"
+WORDY = "(?U)^(\\\\w|\\\\w-\\\\w|\\\\n|\\\\t)+$"
 
 RULES = (
     R("Style/AndOr", "and or", "name IN ('and', 'or') AND role = 'cond'", "=concat('Use `', if(name = 'and', '&&', '||'), '` instead of `', name, '`.')", "sel", fix="if(name = 'and', '&&', '||')"),
@@ -54,7 +58,7 @@ RULES = (
     R("Style/CollectionMethods", "call", f"recv IS NOT NULL AND name IN ({names(COLLECTION)}) AND (blk IS NOT NULL OR name IN ('inject', 'member?') AND argc > 0)", f"=concat('Prefer `', {table('name', COLLECTION)}, '` over `', name, '`.')", "sel", fix=table("name", COLLECTION)),
     R("Style/ColonMethodCall", "call", "op = '::' AND name rlike '^[a-z_]' AND NOT coalesce(recv.src like 'Java%', false)", "Do not use `::` for method calls.", span("sel.start - 2", "sel.start", "sel"), fix="'.'"),
     R("Style/ColonMethodDefinition", "def", "op = '::'", "Do not use `::` for defining class methods.", span("sel.start - 2", "sel.start", "sel"), fix="'.'"),
-    R("Style/CombinableDefined", "and", "get(kids, 0).kind = 'defined' AND get(kids, 1).kind = 'defined' AND get(kids2, 0).kind IN ('constant_read', 'constant_path') AND startswith(get(kids2, 1).src, concat(get(kids2, 0).src, '::'))", "Combine nested `defined?` calls."),
+    R("Style/CombinableDefined", "and", f"exists({DEFINED.format(i=0)}, a -> exists({DEFINED.format(i=1)}, b -> regexp_replace(a, '::\\\\w+$', '') = b AND a <> b OR regexp_replace(b, '::\\\\w+$', '') = a AND a <> b))", "Combine nested `defined?` calls."),
     R("Style/CommandLiteral", "x_string", "open like '%x%' AND NOT contains(name, '`')", "Use backticks around command string."),
     R("Style/CommentedKeyword", "line", "name rlike '^\\\\s*(def|class|module|begin|end)\\\\b' AND src rlike '#' AND length(rtrim(name)) < length(rtrim(src)) AND substr(src, length(rtrim(name)) + 1) rlike '^\\\\s*#' AND NOT substr(src, length(rtrim(name)) + 1) rlike '#\\\\s*(rubocop:|:nodoc:|:yields:|steep:ignore|@rbs|:)'", "=concat('Do not place comments on the same line as the `', regexp_extract(name, '^\\\\s*(\\\\w+)', 1), '` keyword.')", span("at.start + locate('#', src, length(rtrim(name)) + 1) - 1", "at.end")),
     R("Style/ConcatArrayLiterals", "call", "name = 'concat' AND argc > 0 AND forall(args, a -> a.kind = 'array' AND a.open = '[')", f"=concat('Use `push(', array_join(transform(args, a -> trim(substr(a.src, 2, length(a.src) - 2))), ', '), ')` instead of `', {SEL_SRC}, '`.')", FROM_SEL),
@@ -115,17 +119,17 @@ RULES = (
     R("Style/NumberedParameters", "block", "at.line <> at.last_line AND src rlike '(?<![\\\\w@$:.])_[1-9](?![\\\\w])' AND NOT exists(kids, k -> k.role = 'params')", "Only use numbered parameters for single-line blocks.", correctable=False),
     R("Style/NumericLiteralPrefix", "integer", "name rlike '^-?(0[0-7]|0O|0X|0B|0[dD])'", "=CASE WHEN name rlike '^-?0X' THEN 'Use 0x for hexadecimal literals.' WHEN name rlike '^-?0B' THEN 'Use 0b for binary literals.' WHEN name rlike '^-?0[dD]' THEN 'Do not use prefixes for decimal literals.' ELSE 'Use 0o for octal literals.' END"),
     R("Style/NumericLiterals", "integer float", "NOT name rlike '^-?0[xXbBoOdD0-7]' AND length(regexp_replace(regexp_extract(name, '^-?([0-9_]+)', 1), '_', '')) >= {MinDigits} AND (NOT contains(regexp_extract(name, '^-?([0-9_]+)', 1), '_') OR NOT regexp_extract(name, '^-?([0-9_]+)', 1) rlike '^\\\\d{1,3}(_\\\\d{3})*$')", "Use underscores(_) as thousands separator and separate every 3 digits with them.", options={"MinDigits": "5"}),
-    R("Style/NumericPredicate", "call", "form = 'binary' AND name IN ('==', '>', '<') AND (a0.src = '0' AND recv.kind NOT IN ('global_variable_read', 'integer') OR recv.src = '0' AND a0.kind NOT IN ('integer', 'global_variable_read') AND a0 IS NOT NULL)", "=if(a0.src = '0', concat('Use `', if(recv.kind IN ('call') AND recv.form = 'binary', concat('(', recv.src, ')'), recv.src), '.', CASE name WHEN '==' THEN 'zero?' WHEN '>' THEN 'positive?' ELSE 'negative?' END, '` instead of `', src, '`.'), concat('Use `', if(a0.kind IN ('call') AND a0.form = 'binary', concat('(', a0.src, ')'), a0.src), '.', CASE name WHEN '==' THEN 'zero?' WHEN '>' THEN 'negative?' ELSE 'positive?' END, '` instead of `', src, '`.'))"),
+    R("Style/NumericPredicate", "call", "form = 'binary' AND name IN ('==', '>', '<') AND (a0.src = '0' AND recv.kind NOT IN ('global_variable_read', 'integer') OR recv.src = '0' AND a0.kind NOT IN ('integer', 'global_variable_read') AND a0 IS NOT NULL)", "=if(a0.src = '0', concat('Use `', if(recv.kind IN ('call') AND recv.form IN ('binary', 'index'), concat('(', recv.src, ')'), recv.src), '.', CASE name WHEN '==' THEN 'zero?' WHEN '>' THEN 'positive?' ELSE 'negative?' END, '` instead of `', src, '`.'), concat('Use `', if(a0.kind IN ('call') AND a0.form = 'binary', concat('(', a0.src, ')'), a0.src), '.', CASE name WHEN '==' THEN 'zero?' WHEN '>' THEN 'negative?' ELSE 'positive?' END, '` instead of `', src, '`.'))"),
     R("Style/ObjectThen", "call", "name = 'yield_self' AND (blk IS NOT NULL)", "Prefer `then` over `yield_self`.", "sel", fix="'then'"),
-    R("Style/OneClassPerFile", "program", "size(filter(kids, k -> k.kind IN ('class', 'module'))) > 1", "Do not define multiple classes/modules at the top level in a single file.", "transform(slice(filter(transform(kids, (k, i) -> named_struct('k', k, 'g', filter(kids2, x -> x.of = i AND x.role = 'path'))), x -> x.k.kind IN ('class', 'module')), 2, 1000000), x -> named_struct('start', x.k.at.start, 'end', x.k.sel.end, 'line', x.k.at.line, 'column', x.k.at.column, 'last_line', x.k.at.line, 'last_column', x.k.sel.last_column))", many=True, correctable=False),
+    R("Style/OneClassPerFile", "program", "size(filter(kids, k -> k.kind IN ('class', 'module'))) > 1", "Do not define multiple classes/modules at the top level in a single file.", "transform(slice(filter(transform(kids, (k, i) -> named_struct('k', k, 'g', array(named_struct('at', named_struct('end', k.sel.end + length(regexp_extract(substr(k.src, k.sel.end - k.at.start + 1), '^\\\\s*[\\\\w:]+', 0)), 'last_line', k.sel.last_line, 'last_column', k.sel.last_column + length(regexp_extract(substr(k.src, k.sel.end - k.at.start + 1), '^\\\\s*[\\\\w:]+', 0))))))), x -> x.k.kind IN ('class', 'module')), 2, 1000000), x -> named_struct('start', x.k.at.start, 'end', get(x.g, 0).at.end, 'line', x.k.at.line, 'column', x.k.at.column, 'last_line', get(x.g, 0).at.last_line, 'last_column', get(x.g, 0).at.last_column))", many=True, correctable=False),
     R("Style/OpenStructUse", "constant_read constant_path", "name = 'OpenStruct' AND (kind = 'constant_read' OR open = '::') AND NOT (role = 'path')", "Avoid using `OpenStruct`; use `Struct`, `Hash`, a class or test doubles instead.", correctable=False),
     R("Style/OptionalArguments", "parameters", "p.kind = 'def'", "Optional arguments should appear at the end of the argument list.", "transform(filter(transform(kids, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k.kind = 'optional_parameter' AND exists(slice(kids, x.i + 2, 1000), y -> y.kind = 'required_parameter') AND NOT exists(kids, y -> y.kind = 'rest_parameter')), x -> x.k.at)", many=True, correctable=False),
     R("Style/OptionalBooleanParameter", "optional_parameter", "val.kind IN ('true', 'false') AND p.kind = 'parameters' AND pp.name NOT IN ('respond_to_missing?')", "=concat('Prefer keyword arguments for arguments with a boolean default value; use `', name, ': ', val.src, '` instead of `', src, '`.')", correctable=False),
-    R("Style/OptionHash", "optional_parameter", "name IN ('options', 'opts', 'args', 'params', 'parameters') AND val.kind = 'hash' AND val.n = 0 AND p.kind = 'parameters' AND role = 'param'", "Prefer keyword arguments to options hashes.", correctable=False),
+    R("Style/OptionHash", "parameters block_parameters", "get(kids, size(kids) - 1).kind = 'optional_parameter' AND get(kids, size(kids) - 1).name IN ('options', 'opts', 'args', 'params', 'parameters') AND exists(kids2, k -> k.of = size(kids) - 1 AND k.kind = 'hash' AND k.n = 0)", "Prefer keyword arguments to options hashes.", "get(kids, size(kids) - 1).at", correctable=False),
     R("Style/OrAssignment", PLAIN_WRITE, "val.kind = 'if' AND val.form = 'ternary' AND exists(kids2, k -> k.of = 0 AND k.role = 'cond' AND k.name = name) AND exists(kids2, k -> k.of = 0 AND k.role = 'body' AND k.name = name)", "Use the double pipe equals operator `||=` instead."),
     R("Style/ParallelAssignment", "multi_write", "size(filter(kids, k -> k.role = 'value')) > 1 AND size(filter(kids, k -> k.role = 'value')) = size(filter(kids, k -> k.role = 'target')) AND NOT exists(kids, k -> k.kind IN ('splat', 'mlhs')) AND NOT (size(kids) = 4 AND get(kids, 0).src = get(kids, 3).src AND get(kids, 1).src = get(kids, 2).src)", "Do not use parallel assignment."),
     R("Style/ParenthesesAroundCondition", "if unless while until", "cond.kind = 'parentheses' AND cond.n = 1 AND coalesce(form, '') <> 'ternary' AND NOT exists(kids2, k -> k.of = array_position(transform(kids, x -> x.role), 'cond') - 1 AND (k.kind like '%_write' OR k.kind IN ('if', 'rescue_modifier') OR k.name IN ('and', 'or')))", "=concat('Don\\'t use parentheses around the condition of ', if(kind IN ('until', 'while'), 'a', 'an'), ' `', coalesce(if(form = 'modifier', kind, open), kind), '`.')", "cond.at"),
-    R("Style/PercentLiteralDelimiters", "array", "open rlike '^%[wWiI]' AND NOT open like '%[[]' AND NOT rlike(name, '[\\\\[\\\\]]')", "=concat('`', substr(open, 1, 2), '`-literals should be delimited by `[` and `]`.')"),
+    R("Style/PercentLiteralDelimiters", "array", "open rlike '^%[wWiI]' AND right(open, 1) <> '[' AND NOT exists(kids, k -> k.kind IN ('string', 'symbol') AND k.name rlike '[\\\\[\\\\]]')", "=concat('`', substr(open, 1, 2), '`-literals should be delimited by `[` and `]`.')"),
     R("Style/PercentLiteralDelimiters", "string interpolated_string x_string", "(open rlike '^%[qQx]?[^\\\\w\\\\s]$') AND right(open, 1) <> '(' AND NOT rlike(name, '[()]')", "=concat('`', substr(open, 1, length(open) - 1), '`-literals should be delimited by `(` and `)`.')"),
     R("Style/PercentQLiterals", "string", "open like '%Q_' AND NOT rlike(name, '[\\\\\\\\]')", "Do not use `%Q` unless interpolation is needed. Use `%q`.", span("at.start", "at.start + length(open)")),
     R("Style/PerlBackrefs", "numbered_reference_read back_reference_read", "true", "=concat('Prefer `', if(exists(up, u -> u.kind IN ('class', 'module')), '::', ''), 'Regexp.last_match', CASE WHEN kind = 'numbered_reference_read' THEN concat('(', substr(name, 2), ')') WHEN name = '$&' THEN '(0)' WHEN name = '$`' THEN '.pre_match' WHEN name = '$+' THEN '(-1)' ELSE '.post_match' END, '` over `', name, '`.')"),
@@ -148,7 +152,7 @@ RULES = (
     R("Style/RedundantReturn", "def", "nbody > 0 AND get(body, nbody - 1).kind = 'return' AND NOT exists(kids, k -> k.role IN ('ensure'))", "=if(get(body, nbody - 1).n > 1, 'Redundant `return` detected. To return multiple values, use an array.', 'Redundant `return` detected.')", "get(body, nbody - 1).sel"),
     R("Style/RedundantSort", "call", "recv.kind = 'call' AND recv.name IN ('sort') AND recv.n = 1 AND (name IN ('first', 'last') AND argc = 0 OR name = '[]' AND argc = 1 AND a0.src IN ('0', '-1'))", "=concat('Use `', if(name = 'first' OR a0.src = '0', 'min', 'max'), '` instead of `sort...', if(name = '[]', concat('[', a0.src, ']'), name), '`.')", RECV_SEL),
     R("Style/RedundantSortBy", "call", "name = 'sort_by' AND argc = 0 AND blk.kind = 'block' AND size(bk) = 2 AND get(bk, 0).kind = 'block_parameters' AND get(bk, 0).n = 1 AND get(bk, 1).kind = 'local_variable_read' AND get(bk, 0).src = concat('|', get(bk, 1).name, '|')", "=concat('Use `sort` instead of `sort_by { |', get(bk, 1).name, '| ', get(bk, 1).name, ' }`.')", FROM_SEL, fix="'sort'"),
-    R("Style/RegexpLiteral", "regular_expression interpolated_regular_expression", "open like '%r%' AND NOT contains(name, '/') AND at.line = at.last_line AND NOT (p.kind = 'call' AND role = 'arg' AND p.form = 'command' AND name rlike '^[ =]')", "Use `//` around regular expression."),
+    R("Style/RegexpLiteral", "regular_expression interpolated_regular_expression", "open like '%r%' AND NOT contains(name, '/') AND at.line = at.last_line AND NOT (role <> 'value' AND name rlike '^[ =]')", "Use `//` around regular expression."),
     R("Style/RescueModifier", "rescue_modifier", "true", "Avoid using `rescue` in its modifier form."),
     R("Style/RescueStandardError", "rescue", "NOT exists(kids, k -> k.role = 'class')", "Avoid rescuing without specifying an error class.", "sel"),
     R("Style/ReturnNil", "return", "size(kids) = 1 AND get(kids, 0).kind = 'nil'", "Use `return` instead of `return nil`.", fix="'return'"),
@@ -166,7 +170,7 @@ RULES = (
     R("Style/StderrPuts", "call", "name = 'puts' AND recv.src IN ('$stderr', 'STDERR', '::STDERR') AND argc > 0", "=concat('Use `warn` instead of `', recv.src, '.puts` to allow such output to be disabled.')", CALL, fix="'warn'"),
     R("Style/StringChars", "call", "name = 'split' AND recv IS NOT NULL AND argc = 1 AND a0.src IN ('//', '\\'\\'', '\"\"')", f"=concat('Use `chars` instead of `', {SEL_SRC}, '`.')", FROM_SEL, fix="'chars'"),
     R("Style/StringHashKeys", "assoc", "get(kids, 0).kind = 'string' AND open = '=>'", "Prefer symbols instead of strings as hash keys.", "get(kids, 0).at"),
-    R("Style/StringLiterals", "string", "open = '\"' AND NOT name rlike '[\\\\\\\\\\'\\n]|#[{@$]' AND NOT exists(up, u -> u.kind = 'embedded_statements') AND role <> 'part'", "Prefer single-quoted strings when you don't need string interpolation or special symbols.", fix="concat('\\'', name, '\\'')"),
+    R("Style/StringLiterals", "string", "open = '\"' AND NOT name rlike '[\\\\\\\\\\'\\n]|#[{@$]' AND NOT exists(up, u -> u.kind IN ('interpolated_string', 'interpolated_symbol', 'interpolated_regular_expression')) AND role <> 'part'", "Prefer single-quoted strings when you don't need string interpolation or special symbols.", fix="concat('\\'', name, '\\'')"),
     R("Style/StringMethods", "call", "name = 'intern' AND recv IS NOT NULL AND argc = 0", "Prefer `to_sym` over `intern`.", "sel", fix="'to_sym'"),
     R("Style/Strip", "call", "name IN ('lstrip', 'rstrip') AND recv.kind = 'call' AND recv.name IN ('lstrip', 'rstrip') AND recv.name <> name", "=concat('Use `strip` instead of `', recv.name, '.', name, '`.')", RECV_SEL, fix="'strip'"),
     R("Style/StructInheritance", "class", "get(filter(kids, k -> k.role = 'superclass'), 0).src rlike '^(::)?Struct[.]new'", "Don't extend an instance initialized by `Struct.new`. Use a block to customize the struct.", "get(filter(kids, k -> k.role = 'superclass'), 0).at"),
@@ -186,7 +190,8 @@ RULES = (
     R("Style/VariableInterpolation", "embedded_variable", "true", "=concat('Replace interpolated variable `', name, '` with expression `#{', name, '}`.')", "get(kids, 0).at", fix="concat('{', name, '}')"),
     R("Style/WhenThen", "when", "oper.name = ';'", "=concat('Do not use `when ', array_join(transform(filter(kids, k -> k.role = 'cond'), k -> k.src), ', '), ';`. Use `when ', array_join(transform(filter(kids, k -> k.role = 'cond'), k -> k.src), ', '), ' then` instead.')", "oper.at", fix="' then'"),
     R("Style/WhileUntilDo", "while until", "oper.name = 'do' AND at.line <> at.last_line", "=concat('Do not use `do` with multi-line `', kind, '`.')", "oper.at"),
-    R("Style/WordArray", "array", f"open = '[' AND size(kids) >= {{MinSize}} AND forall(kids, k -> k.kind = 'string' AND k.name rlike '{WORDY}')", "Use `%w` or `%W` for an array of words.", options={"MinSize": "2"}),
+    R("Style/WordArray", "array", f"open = '[' AND p.kind <> 'array' AND size(kids) >= {{MinSize}} AND forall(kids, k -> k.kind = 'string' AND k.name rlike '{WORDY}')", "Use `%w` or `%W` for an array of words.", options={"MinSize": "2"}),
+    R("Style/WordArray", "array", f"open = '[' AND exists(kids, k -> k.kind = 'array') AND NOT exists(kids2, k -> k.kind = 'string' AND NOT k.name rlike '{WORDY}')", "Use `%w` or `%W` for an array of words.", "transform(filter(transform(kids, (k, i) -> named_struct('k', k, 'e', filter(kids2, x -> x.of = i))), x -> x.k.kind = 'array' AND x.k.open = '[' AND size(x.e) >= {MinSize} AND forall(x.e, y -> y.kind = 'string')), x -> x.k.at)", many=True, options={"MinSize": "2"}),
     R("Style/YodaCondition", "call", "form = 'binary' AND name IN ('==', '!=', '<', '>', '<=', '>=') AND recv.kind IN ('integer', 'float', 'string', 'symbol', 'true', 'false', 'nil', 'array', 'hash', 'rational') AND a0.kind NOT IN ('integer', 'float', 'string', 'symbol', 'true', 'false', 'nil', 'array', 'hash', 'rational', 'interpolated_string') AND NOT (name IN ('==') AND false)", "=concat('Reverse the order of the operands `', src, '`.')"),
     R("Style/ZeroLengthPredicate", "call", "form = 'binary' AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND (name = '==' AND a0.src = '0' OR name = '<' AND a0.src = '1')", f"=concat('Use `empty?` instead of `', {RECV_SRC}, '`.')", RECV_ON),
     R("Style/ZeroLengthPredicate", "call", "form = 'binary' AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND (name IN ('>', '!=') AND a0.src = '0' OR name = '>=' AND a0.src = '1')", f"=concat('Use `!empty?` instead of `', {RECV_SRC}, '`.')"),
