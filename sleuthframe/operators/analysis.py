@@ -1,4 +1,13 @@
-"""One call from files to diagnostics: built-in rules, configuration, own rules."""
+"""One call from files to diagnostics: built-in rules, configuration, own rules.
+
+The plan depends on the rules asked for. Rules over lines and whole files alone
+are evaluated without parsing; as soon as a rule needs syntax trees, everything
+is evaluated over the nodes table, in one pass over the files.
+
+A null content counts as empty. A path that repeats counts once: of its contents
+that of the least hash. No files give no findings. Other columns of files may
+have any names.
+"""
 
 from __future__ import annotations
 
@@ -6,28 +15,53 @@ import functools
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sleuthframe.functions.text import lines
+from sleuthframe.operators import file_rules as whole
 from sleuthframe.operators.config import Value, configured
+from sleuthframe.operators.directives import directives as directives_of
 from sleuthframe.operators.directives import without_disabled
 from sleuthframe.operators.file_rules import FILE_RULES, file_diagnostics
-from sleuthframe.operators.line_rules import RULES, diagnostics, selected
+from sleuthframe.operators.line_rules import DIAGNOSTICS, diagnostics, selected
+from sleuthframe.operators.line_rules import RULES as LINE_RULES
+from sleuthframe.rules import RULES as NODE_RULES
+from sleuthframe.rules.engine import from_line_rule, node_diagnostics
 
 #: A rule of the caller's own: files(path, content) to diagnostics rows.
 OwnRule = Callable[[DataFrame], DataFrame]
 
 
 def rule_names() -> list[str]:
-    return sorted({r.name for r in (*RULES, *FILE_RULES)})
+    """The names of all built-in rules, sorted, each once."""
+    return sorted({r.name for r in (*LINE_RULES, *FILE_RULES, *NODE_RULES)})
+
+
+def one_of_each_path(files: DataFrame) -> DataFrame:
+    """files with one row of each path. Only the paths are shuffled, unless one repeats."""
+    if not files.groupBy("path").count().filter("count > 1").limit(1).count():
+        return files
+    return files.groupBy("path").agg(F.min_by("content", F.struct(F.xxhash64("content"), "content")).alias("content"))
 
 
 def analyze(files: DataFrame, only: list[str] | None = None, config: dict[str, dict[str, Value]] | None = None, own: Iterable[OwnRule] = (), directives: bool = True) -> DataFrame:
     """Diagnostics of the selected rules and of `own`; a path counts once. With
     `directives`, comments in the source suppress findings of every kind."""
-    files = files.dropDuplicates(["path"])
-    line_rules, file_rules = configured(selected(only), config or {}), selected(only, FILE_RULES)
-    parts = [diagnostics(files, line_rules)] if line_rules else []
-    parts += [file_diagnostics(files, file_rules)] if file_rules else []
-    parts += [rule(files).select("path", "line", "column", "length", "rule", "severity", "message") for rule in own]
-    found = functools.reduce(DataFrame.unionByName, parts) if parts else diagnostics(files).limit(0)
-    return without_disabled(found, lines(files)) if directives else found
+    files = one_of_each_path(files.select("path", F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")))
+    line_rules, file_rules, node_rules = (configured(selected(only, rules), config or {}) for rules in (LINE_RULES, FILE_RULES, NODE_RULES))
+    parts = []
+    if node_rules:
+        told = files.withColumn("told", whole.findings_in(file_rules)) if file_rules else files
+        parts.append(node_diagnostics(told, (*node_rules, *map(from_line_rule, line_rules)), directives))
+    else:
+        marked = files.withColumn("dirs", directives_of(F.col("content"))) if directives else files
+        keep = ("dirs",) if directives else ()
+        found = [diagnostics(marked, line_rules, *keep)] if line_rules else []
+        found += [file_diagnostics(marked, file_rules, *keep)] if file_rules else []
+        parts += [without_disabled(f).select(*DIAGNOSTICS) if directives else f for f in found]
+    for rule in own:
+        found = rule(files)
+        for name, other in (("last_line", F.col("line")), ("last_column", F.col("column") + F.col("length") - 1), ("correctable", F.lit(False))):
+            found = found if name in found.columns else found.withColumn(name, other)
+        found = found.select(*DIAGNOSTICS)
+        parts.append(without_disabled(found.join(files.select("path", directives_of(F.col("content")).alias("dirs")), "path", "left")).select(*DIAGNOSTICS) if directives else found)
+    return functools.reduce(DataFrame.unionByName, parts) if parts else diagnostics(files).limit(0)

@@ -10,8 +10,6 @@ from __future__ import annotations
 import dataclasses
 import re
 
-from sleuthframe.operators.line_rules import LineRule
-
 SECTION = re.compile(r"([A-Z]\w*/[A-Z]\w*|AllCops):\s*")
 SETTING = re.compile(r"(\s+)([^\s:#-][^:]*):(?:\s+(.*))?")
 Value = str | list[str] | dict[str, str]
@@ -64,10 +62,16 @@ def merged(*configs: dict[str, dict[str, Value]]) -> dict[str, dict[str, Value]]
     return out
 
 
-def configured(rules: tuple[LineRule, ...], config: dict[str, dict[str, Value]]) -> tuple[LineRule, ...]:
-    """Rules with their greatest lengths from the configuration."""
-    most = {name: s["Max"] for name, s in config.items() if isinstance(s.get("Max"), str) and s["Max"].isdecimal()}
-    return tuple(dataclasses.replace(r, most=int(most[r.name])) if r.most is not None and r.name in most else r for r in rules)
+def configured(rules: tuple, config: dict[str, dict[str, Value]]) -> tuple:
+    """Rules with the values that the configuration has for their options. A
+    value that isn't like the default (a number where that is one) is left out."""
+    out = []
+    for r in rules:
+        options = getattr(r, "options", None)
+        told = config.get(r.name, {})
+        taken = {k: told[k] for k, v in (options or {}).items() if isinstance(told.get(k), str) and (not v.isdecimal() or told[k].isdecimal()) and re.fullmatch(r"\w+", told[k])}
+        out.append(dataclasses.replace(r, options={**options, **taken}) if taken else r)
+    return tuple(out)
 
 
 def ruby_version(config: dict[str, dict[str, Value]]) -> tuple[int, int]:

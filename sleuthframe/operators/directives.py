@@ -3,37 +3,42 @@
 `# rubocop:disable NAMES`, `todo` and `enable`, with an optional reason after
 two hyphens. A name is a rule, a department or `all`. On a line of its own a
 comment holds from there on; after code it holds for that line only.
+The state of a finding's rule, its department and `all` is that of the last
+own-line comment up to it, unless its own line says otherwise. All of a file's
+directives travel with each of its rows, so that suppression needs no join.
+Names are compared as written, but `all` in any case. Files without directives
+keep all findings; null contents have none; repeated rows are treated alike.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECTIVE = r"^(.*?)# rubocop:\s*(disable|todo|enable)(.*)$"
-
-
-def directives(lines: DataFrame) -> DataFrame:
-    """(path, line, name, disabled, own_line), a row for each name of a comment."""
-    one = lines.filter(F.contains("body", F.lit("# rubocop:")) & F.rlike("body", F.lit(DIRECTIVE)))
-    part = [F.regexp_extract("body", DIRECTIVE, k) for k in (1, 2, 3)]
-    names = F.split(F.split(part[2], "--", 2)[0], r"[,\s]+", -1)
-    each = one.select("path", "line", (part[1] != "enable").alias("disabled"), (F.trim(part[0]) == "").alias("own_line"), F.explode(F.filter(names, lambda n: n != "")).alias("name"))
-    return each.select("path", "line", F.when(F.lower("name") == "all", F.lit("all")).otherwise(F.col("name")).alias("name"), "disabled", "own_line").distinct()
-
-
-def without_disabled(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings that no comment disables. Each finding asks for the state of its
-    rule, its department and `all`: the last own-line comment before, unless its
-    own line says otherwise."""
-    told = directives(lines)
-    asked = found.select("path", "line", "rule").distinct()
-    asked = asked.withColumn("name", F.explode(F.array("rule", F.split_part("rule", F.lit("/"), F.lit(1)), F.lit("all"))))
-    empty = F.lit(None)
-    events = asked.select("path", "line", "rule", "name", empty.cast("boolean").alias("disabled")).unionByName(told.filter("own_line").select("path", "line", empty.cast("string").alias("rule"), "name", "disabled"))
-    before = W.partitionBy("path", "name").orderBy("line", F.col("rule").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    states = events.withColumn("state", F.last("disabled", ignorenulls=True).over(before)).filter("rule IS NOT NULL")
-    here = told.filter("NOT own_line").groupBy("path", "line", "name").agg(F.max("disabled").alias("here"))
-    states = states.join(here, ["path", "line", "name"], "left").filter(F.coalesce("here", "state", F.lit(False)))
-    return found.join(states.select("path", "line", "rule").distinct(), ["path", "line", "rule"], "left_anti")
+from sleuthframe.functions.text import split_lines
+
+DIRECTIVE = r"^(.*?)# rubocop:\s*(disable|todo|enable)([^\r]*)"
+
+
+def directives(content: Column) -> Column:
+    """array<struct<line, disabled, own, names>> of a text's directives, in order."""
+    told = F.transform(split_lines(content), lambda raw, i: F.struct((i + 1).alias("line"), raw.alias("raw")))
+    told = F.filter(told, lambda x: F.contains(x["raw"], F.lit("# rubocop:")) & F.rlike(x["raw"], F.lit(DIRECTIVE)))
+
+    def part(x: Column, k: int) -> Column:
+        return F.regexp_extract(x["raw"], DIRECTIVE, k)
+
+    def names(x: Column) -> Column:
+        each = F.filter(F.split(F.split(part(x, 3), "--", 2)[0], r"[,\s]+", -1), lambda n: n != "")
+        return F.transform(each, lambda n: F.when(F.lower(n) == "all", F.lit("all")).otherwise(n))
+
+    empty = F.array().cast("array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>")
+    some = F.transform(told, lambda x: F.struct(x["line"].alias("line"), (part(x, 2) != "enable").alias("disabled"), (F.trim(part(x, 1)) == "").alias("own"), names(x).alias("names")))
+    return F.when(F.contains(F.coalesce(content, F.lit("")), F.lit("# rubocop:")), some).otherwise(empty)
+
+
+def without_disabled(found: DataFrame) -> DataFrame:
+    """Findings that no directive in their column `dirs` disables."""
+    from sleuthframe.rules.engine import SUPPRESSED
+
+    return found.filter(~F.expr(SUPPRESSED.format(line="line")))

@@ -1,4 +1,10 @@
-"""Algebra over diagnostics: suppression, comparison, counts, reports."""
+"""Algebra over diagnostics: suppression, comparison, counts, reports.
+
+Nulls in keys compare as equal to each other when counted and never match a
+suppression; repeated rows count as often as they occur; ties in orders are equal
+rows; empty inputs give empty results (summary() one row of zeros). Other columns
+are not read.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sleuthframe.functions.text import neighbours
+from sleuthframe.operators.line_rules import findings_in
+
 SIGNATURE = ("path", "rule", "severity", "line", "column")
 
 
@@ -22,6 +31,20 @@ def compare(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = SIGNATURE
     return n.select(*keys, F.least("l", "r").alias("exact"), F.greatest(F.col("l") - F.col("r"), F.lit(0)).alias("left_only"), F.greatest(F.col("r") - F.col("l"), F.lit(0)).alias("right_only"))
 
 
+def compare_rules(files: DataFrame, left: tuple, right: tuple, keys: tuple[str, ...] = SIGNATURE) -> DataFrame:
+    """compare() of what two sets of line rules find in the same files, in one
+    projection: a rule of both sides is evaluated once."""
+    both = [(r, r in left, r in right) for r in dict.fromkeys((*left, *right))]
+
+    def side(a: bool, b: bool):
+        return lambda f: F.struct(f.alias("f"), F.lit(int(a)).alias("l"), F.lit(int(b)).alias("r"))
+
+    tagged = F.flatten(F.array(*[F.transform(findings_in([r]), side(a, b)) for r, a, b in both]))
+    found = neighbours(files).select("path", "line", F.explode(tagged).alias("x")).select("path", "line", "x.f.*", "x.l", "x.r")
+    n = found.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return n.select(*keys, F.least("l", "r").alias("exact"), F.greatest(F.col("l") - F.col("r"), F.lit(0)).alias("left_only"), F.greatest(F.col("r") - F.col("l"), F.lit(0)).alias("right_only"))
+
+
 def classified(compared: DataFrame) -> DataFrame:
     """Per rule: the sums of a comparison and what they amount to."""
     sums = compared.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("exact", "left_only", "right_only")])

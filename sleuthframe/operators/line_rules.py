@@ -1,26 +1,34 @@
-"""Rules that look at one line at a time.
+"""Rules that look at one line of any text, and at the lines beside it.
 
-All selected rules are one projection over the lines: each gives an optional
-finding and the findings are exploded, so any number of rules costs one scan.
+A rule is SQL that Spark and DuckDB read alike, over (path, line, n_lines, body,
+prev, next, ending, final). All selected rules are one projection over the
+lines; each gives at most one finding a line. The same rules run on the rows of
+kind `line` of a nodes table (see rules.engine), so that a run with syntax trees
+needs no second pass.
+
+Null contents count as empty; conditions that come out null count as false.
+Repeated rows give repeated findings; no files give none. Other columns of files
+may have any names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Iterable, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sleuthframe.functions.text import first_column, lines
-
+from sleuthframe.functions.text import neighbours
 
 #: Rules outside Lint that warn.
-WARNINGS = frozenset(
-    "Bundler/DuplicatedGem Bundler/DuplicatedGroup Bundler/InsecureProtocolSource Gemspec/DeprecatedAttributeAssignment Gemspec/DuplicatedAssignment Gemspec/RequireMFA "
-    "Gemspec/RequiredRubyVersion Gemspec/RubyVersionGlobalsUsage Layout/BeginEndAlignment Layout/DefEndAlignment Layout/EndAlignment".split()
-)
+WARNINGS = frozenset(["Bundler/DuplicatedGem", "Bundler/DuplicatedGroup", "Bundler/InsecureProtocolSource", "Gemspec/DeprecatedAttributeAssignment", "Gemspec/DuplicatedAssignment", "Gemspec/RequireMFA", "Gemspec/RequiredRubyVersion", "Gemspec/RubyVersionGlobalsUsage", "Layout/BeginEndAlignment", "Layout/DefEndAlignment", "Layout/EndAlignment"])
 #: Rules that run only when asked for by their full name.
-ON_REQUEST = frozenset("RSpec/MessageChain RSpec/MultipleExpectations RSpec/MultipleMemoizedHelpers RSpec/PendingWithoutReason Security/IoMethods Style/Copyright Style/Documentation".split())
+ON_REQUEST = frozenset(["RSpec/MessageChain", "RSpec/MultipleExpectations", "RSpec/MultipleMemoizedHelpers", "RSpec/PendingWithoutReason", "Security/IoMethods", "Style/Copyright", "Style/Documentation"])
+#: Withdrawn rules, which run only when asked for by their full name as well.
+WITHDRAWN = frozenset(["Layout/SpaceAfterComma", "Layout/SpaceAfterSemicolon"])
+DIAGNOSTICS = ["path", "line", "column", "last_line", "last_column", "length", "rule", "severity", "message", "correctable"]
 
 
 def severity(rule: str) -> str:
@@ -29,76 +37,76 @@ def severity(rule: str) -> str:
 
 @dataclass(frozen=True)
 class LineRule:
-    """A pattern that both Java and RE2 read alike, or a greatest length."""
+    """where: SQL of the condition; column and length: SQL of what to report;
+    message: text, or SQL after `=`; options: configuration keys with their
+    defaults, whose values stand for {Key}; needs: a string that every hit holds,
+    looked for first."""
 
     name: str
     message: str
-    pattern: str | None = None
-    most: int | None = None
-    path: str | None = None
-    #: A string that every line with a match holds; looked for before the pattern is tried.
+    where: str
+    column: str = "1"
+    length: str = "length(body)"
+    correctable: bool = False
     needs: str | None = None
+    options: Mapping[str, str] = field(default_factory=dict, hash=False)
 
     @property
     def severity(self) -> str:
         return severity(self.name)
 
+    def filled(self, text: str) -> str:
+        """text with the options' values in place of {Key}."""
+        return re.sub(r"\{(\w+)\}", lambda m: str(self.options[m[1]]) if m[1] in self.options else m[0], text)
+
+    @property
+    def message_sql(self) -> str:
+        text = self.filled(self.message)
+        return text[1:] if text.startswith("=") else "'" + text.replace("'", "''") + "'"
+
+    @property
+    def where_sql(self) -> str:
+        where = self.filled(self.where)
+        return f"contains(body, '{self.needs}') AND ({where})" if self.needs else where
+
+
+def part(pattern: str) -> dict[str, str]:
+    """Condition, column and length of a pattern's second group, the first being
+    what stands before it on the line."""
+    return {"where": f"regexp_like(body, '{pattern}')", "column": f"length(regexp_extract(body, '{pattern}', 1)) + 1", "length": f"length(regexp_extract(body, '{pattern}', 2))"}
 
+
+TRIMMED = {"column": "length(body) - length(ltrim(body)) + 1", "length": "length(trim(body))"}
+#: Messages are fixed values.
 RULES = (
-    LineRule("Layout/LineLength", "Line is too long.", most=120),
-    LineRule("Layout/TrailingWhitespace", "Trailing whitespace detected.", r"[ \t]+$"),
-    LineRule("Layout/IndentationStyle", "Tab detected in indentation.", r"^ *\t", needs="\t"),
-    LineRule("Layout/SpaceAfterComma", "Space missing after comma.", r",[^ \t,\)\]\}'\"]", needs=","),
-    LineRule("Layout/SpaceAfterSemicolon", "Space missing after semicolon.", r";[^ \t;]", needs=";"),
-    LineRule("Layout/SpaceAfterMethodName", "Do not put a space between a method name and its parenthesis.", r"^ *def +[a-z_.]+[?!]? +\(", needs="def "),
-    LineRule("Style/AsciiComments", "Use only ascii symbols.", r"[^\x00-\x7F]+"),
-    LineRule("Style/NumericLiterals", "Use underscores as thousands separator.", r"\b[0-9]{6,}\b"),
-    LineRule("Style/Semicolon", "Do not use semicolons to terminate expressions.", r";", needs=";"),
-    LineRule("Style/AndOr", "Use the operator instead of the word.", r"^ *(return|redirect_to|render) .* (and|or) "),
-    LineRule("Style/EndBlock", "Avoid the use of END blocks.", r"^ *END *\{", needs="END"),
-    LineRule("Style/EnvHome", "Use Dir.home instead.", r"ENV(\[|\.fetch\()['\"]HOME['\"][\])]", needs="ENV"),
-    LineRule("Style/ColonMethodDefinition", "Do not use :: for defining class methods.", r"^ *def +(self|[A-Z][A-Za-z0-9]*)::", needs="def "),
-    LineRule("Style/CommentedKeyword", "Do not place comments on the same line as the keyword.", r"^ *(class|module|def|begin|end)\b[^'\"#]* # ", needs=" # "),
-    LineRule("Style/NotKeyword", "Use ! instead of not.", r"^ *not ", needs="not "),
-    LineRule("Naming/ClassAndModuleCamelCase", "Use CamelCase for classes and modules.", r"^ *(class|module) +[A-Za-z0-9:]*_[A-Za-z0-9_:]*", needs="_"),
-    LineRule("Naming/ConstantName", "Use SCREAMING_SNAKE_CASE for constants.", r"^ *[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]* = [0-9'\"\[]", needs=" = "),
-    LineRule("Naming/MethodName", "Use snake_case for method names.", r"^ *def +(self\.)?[a-z]+[A-Z][A-Za-z0-9]*", needs="def "),
-    LineRule("Lint/BigDecimalNew", "BigDecimal.new() is deprecated.", r"\bBigDecimal\.new\(", needs="BigDecimal"),
-    LineRule("Lint/RescueException", "Avoid rescuing the Exception class.", r"^ *rescue +(::)?Exception\b", needs="rescue"),
-    LineRule("Lint/TrailingCommaInAttributeDeclaration", "Avoid a trailing comma in attribute declarations.", r"^ *attr_(reader|writer|accessor) .*, *$", needs="attr_"),
-    LineRule("Security/Eval", "The use of eval is a serious security risk.", r"(^|[^.A-Za-z0-9_])eval[ (]", needs="eval"),
-    LineRule("Security/MarshalLoad", "Avoid using Marshal.load.", r"\bMarshal\.(load|restore)\b", needs="Marshal"),
-    LineRule("Security/YAMLLoad", "Prefer using YAML.safe_load over YAML.load.", r"\b(YAML|Psych)\.load\b", needs=".load"),
-    LineRule("Bundler/InsecureProtocolSource", "The source is insecure.", r"^ *source +:(gemcutter|rubygems|rubyforge)\b", needs="source"),
-    LineRule("Gemspec/AddRuntimeDependency", "Use add_dependency instead of add_runtime_dependency.", r"\.add_runtime_dependency\b", needs="add_runtime_dependency"),
-    LineRule("Rails/DefaultScope", "Avoid using default_scope.", r"^[^#]*\bdefault_scope\b", needs="default_scope"),
-    LineRule("Rails/FilePath", "Prefer Rails.root.join.", r"File\.join\(Rails\.root(\.to_s)?\b", needs="File.join"),
-    LineRule("Rails/ApplicationJob", "Jobs should subclass ApplicationJob.", r"< *ActiveJob::Base", path="/app/jobs/", needs="ActiveJob::Base"),
-    LineRule("RSpec/Focus", "Focused spec found.", r"^ *(fdescribe|fcontext|fit)|focus: true"),
-    LineRule("Rails/ReversibleMigration", "Use reversible migration helpers or define `up` and `down`.", r"^ *(execute|drop_table|remove_column|change_column) ", path="/db/migrate/"),
-    LineRule("RSpec/PendingWithoutReason", "Give the reason for pending.", r"^ *(pending|skip) *$"),
-    LineRule("RSpec/VariableName", "Use snake_case for variable names.", r"^ *(let!?|subject!?)\(:[a-z0-9_]*[A-Z][A-Za-z0-9_]*", needs="(:"),
-    LineRule("Style/DoubleCopDisableDirective", "More than one disable comment on one line.", r"# rubocop:(disable|todo) .*# rubocop:(disable|todo)", needs="# rubocop:"),
-    LineRule("Migration/DepartmentName", "Department name is missing.", r"# rubocop:(disable|todo|enable) +([A-Z][A-Za-z]*/[A-Za-z]+, *)*[A-Z][A-Za-z]*[a-z][A-Z][A-Za-z]*( |,|$)", needs="# rubocop:"),
-    LineRule("Style/ImplicitRuntimeError", "Use an explicit exception class and message, rather than just a message.", r"^ *(raise|fail) *\(?['\"]"),
-    LineRule("Style/FetchEnvVar", "Use ENV.fetch instead of ENV[].", r"^[^#]*\bENV\[['\"][^'\"]+['\"]\]", needs="ENV["),
-    LineRule("Style/InPatternThen", "Do not use `in` with a semicolon. Use `then` instead.", r"^ *in +[^;#'\"]+;", needs=";"),
-    LineRule("Style/ReturnNil", "Use return instead of return nil.", r"^ *return +nil *($|if |unless |#)", needs="return"),
-    LineRule("Style/EachForSimpleLoop", "Use Integer#times for a simple loop which iterates a fixed number of times.", r"\([0-9]+\.\.\.?[0-9]+\)\.each +(do|\{) *($|[^| ])", needs=".each"),
-    LineRule("Style/ClassAndModuleChildren", "Use nested module/class definitions instead of compact style.", r"^ *(class|module) +[A-Z][A-Za-z0-9]*::", needs="::"),
-    LineRule("Style/MultilineIfThen", "Do not use then for multi-line if or unless.", r"^ *(if|unless|elsif) .* then *$", needs="then"),
-    LineRule("Style/ModuleFunction", "Use module_function instead of extend self.", r"^ *extend +self *$", needs="extend"),
-    LineRule("Layout/SpaceInsideRangeLiteral", "Space inside range literal.", r"[0-9a-z)]( +\.\.\.?| *\.\.\.? +)[0-9a-z(]", needs=".."),
-    LineRule("Layout/SpaceBeforeComment", "Put a space before an end-of-line comment.", r"[A-Za-z0-9)\]}]#( |$)", needs="#"),
-    LineRule("RSpec/MessageChain", "Avoid stubbing using receive_message_chain.", r"\breceive_message_chain\b", needs="receive_message_chain"),
+    LineRule("Layout/LineLength", "=concat('Line is too long. [', length(body), '/{Max}]')", "length(body) > {Max}", "{Max} + 1", "length(body) - {Max}", options={"Max": "120"}),
+    LineRule("Layout/TrailingWhitespace", "Trailing whitespace detected.", correctable=True, **part("^(.*?)([ \t　]+)$")),
+    LineRule("Layout/IndentationStyle", "Tab detected in indentation.", correctable=True, needs="\t", **part("^( *)(\t+)")),
+    LineRule("Layout/EmptyLines", "Extra blank line detected.", "line > 1 AND trim(body) = '' AND trim(prev) = ''", length="1", correctable=True),
+    LineRule("Layout/InitialIndentation", "Indentation of first line in file detected.", "line = 1 AND regexp_like(body, '^[ \t]+[^ \t#]')", "length(regexp_extract(body, '^[ \t]+', 0)) + 1", "1", correctable=True),
+    LineRule("Layout/TrailingEmptyLines", "=CASE WHEN NOT final THEN 'Final newline missing.' ELSE '1 trailing blank lines detected.' END", "line = n_lines AND (NOT final OR trim(body) = '' AND trim(prev) <> '')", "CASE WHEN final THEN 1 ELSE length(body) END", "1", correctable=True),
+    LineRule("Layout/EndOfLine", "Carriage return character detected.", "ending <> '' AND line = 1", length="length(body) + 1"),
+    LineRule("Rails/DefaultScope", "Avoid using `default_scope`.", needs="default_scope", **part("^([^#]*?)(default_scope)")),
+    LineRule("Rails/FilePath", "Prefer `Rails.root.join`.", needs="Rails.root", **part("^(.*?)(File\\.join\\(Rails\\.root|Rails\\.root\\.to_s)")),
+    LineRule("Rails/ApplicationJob", "Jobs should subclass `ApplicationJob`.", f"contains(path, '/app/jobs/') AND {part('^(.*?< *)(ActiveJob::Base)')['where']}", part("^(.*?< *)(ActiveJob::Base)")["column"], part("^(.*?< *)(ActiveJob::Base)")["length"], needs="ActiveJob::Base"),
+    LineRule("Rails/ReversibleMigration", "Use reversible migration helpers or define `up` and `down`.", "contains(path, '/db/migrate/') AND regexp_like(body, '^ *(execute|drop_table|remove_column|change_column)( |\\()')", **TRIMMED),
+    LineRule("RSpec/Focus", "Focused spec found.", "regexp_like(body, '^\\s*(fdescribe|fcontext|fit)') OR contains(body, 'focus: true')", **TRIMMED),
+    LineRule("RSpec/MessageChain", "Avoid stubbing using `receive_message_chain`.", needs="receive_message_chain", **part("^(.*?)(receive_message_chain)")),
+    LineRule("RSpec/PendingWithoutReason", "Give the reason for pending.", "regexp_like(body, '^\\s*(pending|skip)\\s*$')", **TRIMMED),
+    LineRule("RSpec/VariableName", "Use snake_case for variable names.", needs="(:", **part("^(\\s*(?:let!?|subject!?)\\(:)([a-z0-9_]*[A-Z][A-Za-z0-9_]*)")),
+    LineRule("Style/DoubleCopDisableDirective", "More than one disable comment on one line.", correctable=True, needs="# rubocop:", **part("^(.*?)(# rubocop:(?:disable|todo) .*# rubocop:(?:disable|todo).*)$")),
+    LineRule("Migration/DepartmentName", "Department name is missing.", correctable=True, needs="# rubocop:", **part("^(.*# rubocop:(?:disable|todo|enable) +(?:[A-Z][A-Za-z]*/[A-Za-z]+, *)*)([A-Z][A-Za-z]*[a-z][A-Z][A-Za-z]*)(?: |,|$)")),
+    LineRule("Layout/SpaceAfterComma", "Space missing after comma.", needs=",", **part("^(.*?)(,)[^ \t,)\\]}\"]")),
+    LineRule("Layout/SpaceAfterSemicolon", "Space missing after semicolon.", needs=";", **part("^(.*?)(;)[^ \t;]")),
 )
 
 
 def enabled(rule: str, only: list[str] | None = None) -> bool:
     """Whether a selection of exact names and departments asks for a rule."""
+    quiet = rule in ON_REQUEST or rule in WITHDRAWN
     if only is None:
-        return rule not in ON_REQUEST
-    return rule in only or rule not in ON_REQUEST and rule.partition("/")[0] in only
+        return not quiet
+    return rule in only or not quiet and rule.partition("/")[0] in only
 
 
 def selected(only: list[str] | None = None, rules: tuple = RULES) -> tuple:
@@ -107,30 +115,30 @@ def selected(only: list[str] | None = None, rules: tuple = RULES) -> tuple:
     return tuple(r for r in rules if enabled(r.name, only))
 
 
-def _finding(rule: LineRule) -> Column:
-    body = F.col("body")
-    if rule.most is not None:
-        hit, column, length = F.length(body) > rule.most, F.lit(rule.most + 1), F.length(body) - rule.most
-    else:
-        hit = F.rlike(body, F.lit(rule.pattern))
-        hit = F.contains(body, F.lit(rule.needs)) & hit if rule.needs else hit
-        column, length = first_column(body, rule.pattern), F.length(F.regexp_extract(body, rule.pattern, 0))
-    if rule.path:
-        hit = hit & F.contains(F.col("path"), F.lit(rule.path))
-    return F.when(hit, F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.severity).alias("severity"), F.lit(rule.message).alias("message"), column.alias("column"), F.greatest(length, F.lit(1)).alias("length")))
+def _spark(sql: str) -> str:
+    """A rule's SQL for Spark, whose string literals take backslashes as escapes."""
+    return sql.replace("\\", "\\\\")
+
+
+def _finding(rule: LineRule) -> str:
+    return f"CASE WHEN {_spark(rule.where_sql)} THEN named_struct('rule', '{rule.name}', 'severity', '{rule.severity}', 'message', {_spark(rule.message_sql)}, 'column', {_spark(rule.filled(rule.column))}, 'length', greatest(1, {_spark(rule.filled(rule.length))}), 'correctable', {str(rule.correctable).lower()}) END"
+
+
+def findings_in(rules: Iterable[LineRule]):
+    """Array of the findings of a line."""
+    return F.expr(f"array_compact(array({', '.join(map(_finding, rules))}))")
 
 
-def diagnostics(files: DataFrame, rules: tuple[LineRule, ...] = RULES) -> DataFrame:
-    """diagnostics(path, line, column, length, rule, severity, message)."""
-    found = lines(files).select("path", "line", F.explode(F.array_compact(F.array(*map(_finding, rules)))).alias("f"))
-    return found.select("path", "line", "f.column", "f.length", "f.rule", "f.severity", "f.message")
+def diagnostics(files: DataFrame, rules: tuple[LineRule, ...] | None = None, *keep: str) -> DataFrame:
+    """diagnostics(path, line, column, last_line, last_column, length, rule,
+    severity, message, correctable) and the columns of files to keep."""
+    rules = selected() if rules is None else rules
+    found = neighbours(files, *keep).select("path", "line", *keep, F.explode(findings_in(rules)).alias("f"))
+    return found.select("path", "line", "f.column", F.col("line").alias("last_line"), (F.col("f.column") + F.col("f.length") - 1).alias("last_column"), "f.length", "f.rule", "f.severity", "f.message", "f.correctable", *keep)
 
 
 def rule_sql(rule: LineRule, name: str) -> str:
-    quoted = (rule.pattern or "").replace("'", "''")
-    if rule.most is not None:
-        hit, column, length = f"len(body) > {rule.most}", str(rule.most + 1), f"len(body) - {rule.most}"
-    else:
-        hit, column, length = f"regexp_matches(body, '{quoted}')", f"len(string_split_regex(body, '{quoted}')[1]) + 1", f"greatest(1, len(regexp_extract(body, '{quoted}', 0)))"
-    where = f" AND contains(path, '{rule.path}')" if rule.path else ""
-    return f"SELECT path, CAST(line AS INT) AS line, CAST({column} AS INT) AS \"column\", CAST({length} AS INT) AS length, '{rule.name}' AS rule, '{rule.severity}' AS severity, '{rule.message}' AS message FROM lines_{name} WHERE {hit}{where}"
+    """The rule's findings in the lines_{name} of LINES_SQL, in DuckDB's SQL."""
+    column, length = rule.filled(rule.column), f"greatest(1, {rule.filled(rule.length)})"
+    sql = f"SELECT path, CAST(line AS INT) AS line, CAST({column} AS INT) AS \"column\", CAST(line AS INT) AS last_line, CAST({column} + {length} - 1 AS INT) AS last_column, CAST({length} AS INT) AS length, '{rule.name}' AS rule, '{rule.severity}' AS severity, {rule.message_sql} AS message, {str(rule.correctable).lower()} AS correctable FROM lines_{name} WHERE {rule.where_sql}"
+    return sql.replace("regexp_like(", "regexp_matches(")

@@ -3,6 +3,10 @@
 Offsets and columns count code points; offsets begin at 0, lines and columns at
 1. Line starts and offsets are sorted together once per file, so an offset's
 line costs no join on ranges.
+
+Null contents have no occurrences; null paths stay null and meet no hits; repeated
+files give repeated positions; an empty needle is not allowed; empty tables give
+empty results; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -36,7 +40,8 @@ def located(files: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def around(lines: DataFrame, hits: DataFrame, reach: int) -> DataFrame:
-    """The lines at most `reach` lines from a line of hits(path, line), each once."""
-    marked = lines.join(hits.select("path", "line").distinct().withColumn("hit", F.lit(1)), ["path", "line"], "left")
-    near = F.max("hit").over(W.partitionBy("path").orderBy("line").rangeBetween(-reach, reach))
-    return marked.withColumn("near", near).filter("near = 1").select("path", "line", "body")
+    """The lines at most `reach` lines from a line of hits(path, line), each once.
+    Only the hits are spread out; a line's body stays where it is unless the hits
+    are too many to be broadcast."""
+    near = hits.select("path", F.explode(F.sequence(F.col("line") - reach, F.col("line") + reach)).alias("line")).distinct()
+    return lines.join(near, ["path", "line"], "left_semi").select("path", "line", "body")

@@ -7,6 +7,12 @@ kids and theirs (`kids`, `kids2`, whose `of` is the index of the parent among
 points from 0 and lines and columns from 1, the last ones inclusive. `src` is the
 text of nodes up to SOURCE characters; rules that compare texts pass longer ones by.
 
+Rows of kind `line` have the line as it is in `src`, with the insides of literals
+and comments masked in `name`, its number of lines in `depth`, its carriage
+return in `op`, `final` in `open` if the file ends with a newline, and the lines
+before and after as `kids`. `dirs` are the file's comments that suppress rules;
+`told` is what the caller carries along, on the row of kind `file`.
+
 A file that can't be parsed gives its lines and one row of kind `error`, and no
 nodes or comments. A null content counts as empty; a null path stays null.
 Repeated paths give repeated rows; no files give no rows. Only path and content
@@ -15,6 +21,7 @@ are read, so other columns may have any names.
 
 from __future__ import annotations
 
+import re
 import sys
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -25,18 +32,22 @@ from pyspark.sql import DataFrame
 from sleuthframe.parser.ruby import Node, ParseError, parse
 
 SOURCE = 1000
+MASK = "\x01"
+COMMENT = re.compile(r"# rubocop:\s*(disable|todo|enable)(.*)$", re.M)
 #: Rows that go to Spark at once.
 ROWS = 2000
 
 SPAN_SQL = "struct<start:int,end:int,line:int,column:int,last_line:int,last_column:int>"
 KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,n:int,of:int,at:{SPAN_SQL},sel:{SPAN_SQL}>"
-SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string>>"
+SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string>>, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
 KID = pa.struct([*_STRINGS, ("n", pa.int32()), ("of", pa.int32()), ("at", SPAN), ("sel", SPAN)])
 UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form")])
-SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP))])
+DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
+TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
+SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
 
 
 class Places:
@@ -65,33 +76,52 @@ class Places:
 
 
 def masked(text: str, literal: list[tuple[int, int]], comments: list[Node]) -> str:
-    """The text with the insides of literals and comments blanked, its line ends kept."""
+    """The text with the insides of literals replaced by MASK, comments blanked and line ends kept."""
     out = list(text)
-    for a, b in [*literal, *((c.start, c.end) for c in comments)]:
-        for k in range(a, min(b, len(out))):
-            if out[k] not in "\r\n":
-                out[k] = " "
+    for ranges, mark in ((literal, MASK), ([(c.start, c.end) for c in comments], " ")):
+        for a, b in ranges:
+            for k in range(a, min(b, len(out))):
+                if out[k] not in "\r\n":
+                    out[k] = mark
     return "".join(out)
 
 
-def rows_of(path: str | None, text: str | None) -> Iterator[dict]:
+def directive(line: int, comment: str, own: bool) -> dict | None:
+    """What a comment says about rules, if it does."""
+    m = COMMENT.search(comment)
+    if not m:
+        return None
+    names = ["all" if n.lower() == "all" else n for n in re.split(r"[,\s]+", m[2].split("--")[0]) if n]
+    return {"line": line, "disabled": m[1] != "enable", "own": own, "names": names}
+
+
+def rows_of(path: str | None, text: str | None, told: list[dict] | None = None) -> Iterator[dict]:
     """The rows of one file."""
     text = text or ""
     places = Places(text)
-    count = 0
+    count, dirs = 0, []
 
     def row(**given) -> dict:
         nonlocal count
         count += 1
-        return {"path": path, "id": count - 1, "parent": None, "ord": None, "depth": None, "kids": [], "kids2": [], "up": [], **given}
+        return {"dirs": dirs, "path": path, "id": count - 1, "parent": None, "ord": None, "depth": None, "kids": [], "kids2": [], "up": [], **given}
 
+    tree, failure = None, None
     try:
         tree, parser = parse(text)
     except ParseError as e:
-        at = min(e.at, len(text))
-        yield row(kind="error", name=e.message, at=places.span(at, min(at + 1, len(text))))
-        tree = None
+        failure = e
     literal, comments = (parser.literal, parser.comments) if tree else ([], [])
+    if "# rubocop:" in text:
+        if tree:
+            seen = [(places.of(c.start)[0], c.name, not text[places.starts[places.of(c.start)[0] - 1] : c.start].strip()) for c in comments]
+        else:
+            seen = [(k, line[line.index("# rubocop:") :], not line.split("# rubocop:")[0].strip()) for k, line in enumerate(text.split("\n"), 1) if "# rubocop:" in line]
+        dirs += [d for d in (directive(*c) for c in sorted(seen)) if d]
+    yield row(kind="file", role="", told=told or [], at=places.span(0, min(1, len(text))))
+    if failure:
+        at = min(failure.at, len(text))
+        yield row(kind="error", role="", name=failure.message, at=places.span(at, min(at + 1, len(text))))
     code = masked(text, literal, comments) if tree else text
     heredocs: list[tuple[int, int]] = []
 
@@ -115,19 +145,30 @@ def rows_of(path: str | None, text: str | None) -> Iterator[dict]:
         for at, form in parser.semicolons:
             yield row(kind="semicolon", role="", name=";", form=form, src=";", at=places.span(at, at + 1))
     starts = places.starts if not text.endswith("\n") else places.starts[:-1]
+    bounds = []
     for k, start in enumerate(starts if text else []):
         end = starts[k + 1] - 1 if k + 1 < len(starts) else len(text) - text.endswith("\n")
-        end -= end > start and text[end - 1] == "\r"
+        bare = end - (end > start and text[end - 1] == "\r")
+        bounds.append((start, bare, end > bare))
+
+    def beside(k: int, role: str) -> dict:
+        if not 0 <= k < len(bounds):
+            return {"role": role}
+        a, b, _ = bounds[k]
+        return {"role": role, "name": code[a : min(b, a + SOURCE)], "src": text[a : min(b, a + SOURCE)]}
+
+    for k, (start, end, cr) in enumerate(bounds):
         form = "heredoc" if any(a <= start < b for a, b in heredocs) else "data" if tree and parser.data is not None and start >= parser.data else None
-        yield row(kind="line", role="", ord=k + 1, name=code[start:end], form=form, src=text[start:end], at=places.span(start, end))
+        yield row(kind="line", role="", ord=k + 1, depth=len(bounds), name=code[start:end], form=form, src=text[start:end], op="\r" if cr else None, open="final" if text.endswith("\n") else None, at=places.span(start, end), kids=[beside(k - 1, "prev"), beside(k + 1, "next")])
 
 
 def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     for batch in batches:
         held: list[dict] = []
-        for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            for r in rows_of(path, text):
+        told = batch.column("told").to_pylist()
+        for path, text, carried in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), told, strict=True):
+            for r in rows_of(path, text, carried):
                 held.append(r)
                 if len(held) >= ROWS:
                     yield pa.RecordBatch.from_pylist(held, SCHEMA)
@@ -137,5 +178,7 @@ def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nodes(files: DataFrame) -> DataFrame:
-    """The table of nodes, comments, lines and errors of files(path, content)."""
-    return files.selectExpr("path", "cast(content AS string) AS content").mapInArrow(_nodes, SCHEMA_SQL)
+    """The table of nodes, comments, lines and errors of files(path, content), and
+    of what files carry in an array `told`, if they do."""
+    told = "told" if "told" in files.columns else "cast(array() AS array<struct<rule:string,severity:string,message:string>>) AS told"
+    return files.selectExpr("path", "cast(content AS string) AS content", told).mapInArrow(_nodes, SCHEMA_SQL)

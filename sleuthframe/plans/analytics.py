@@ -10,10 +10,11 @@ from sleuthframe.operators.analysis import analyze
 from sleuthframe.operators.differential import drift, match_ratio, pass_rates, regressions, signature_gap, timings
 from sleuthframe.operators.file_rules import FILE_RULES, file_diagnostics, file_rule_sql
 from sleuthframe.operators.findings import classified, counts
-from sleuthframe.operators.line_rules import RULES, selected
 from sleuthframe.operators.positions import around, located, occurrences
 from sleuthframe.operators.reporting import json_report, simple_report, totals
-from sleuthframe.plans.catalog import COMPARED_SQL, compared, diagnostics_sql, found, lines_sql, register
+from sleuthframe.functions.text import matches
+from sleuthframe.operators.reporting import json_document
+from sleuthframe.plans.catalog import COMMA, COMPARED_SQL, DIGITS, RULES, SEMICOLON, all_matches, compared, diagnostics_sql, found, lines_sql, register
 from sleuthframe.sources.tables import PATHS, files, table
 
 DOC, _ = PATHS["documents"]
@@ -47,16 +48,15 @@ register(
     lambda s, d: table(s, d, "lineitem").withColumn("before", F.lag("l_shipdate").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))).filter("l_shipdate < before").select("l_orderkey", "l_linenumber", "l_shipdate"),
     "SELECT l_orderkey, l_linenumber, l_shipdate FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS before FROM lineitem) WHERE l_shipdate < before",
 )
-NEAR = ("Style/NumericLiterals",)
 register(
     "lines_around_hits",
-    lambda s, d: around(lines(files(s, d, "documents")), found(s, d, rules=selected(list(NEAR))), 2).withColumn("line", F.col("line").cast("int")),
-    f"""WITH {diagnostics_sql("documents", selected(list(NEAR)))}
-SELECT path, CAST(line AS INT) AS line, body FROM (SELECT path, line, body, max(CASE WHEN regexp_matches(body, '\\b[0-9]{{6,}}\\b') THEN 1 END) OVER (PARTITION BY path ORDER BY line RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines_documents) WHERE near = 1""",
+    lambda s, d: around(lines(files(s, d, "documents")), matches(lines(files(s, d, "documents")), DIGITS), 2).withColumn("line", F.col("line").cast("int")),
+    f"""WITH {lines_sql("documents")}
+SELECT path, CAST(line AS INT) AS line, body FROM (SELECT path, line, body, max(CASE WHEN regexp_matches(body, '{DIGITS}') THEN 1 END) OVER (PARTITION BY path ORDER BY line RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines_documents) WHERE near = 1""",
 )
-for _key, _rule in (("missing_space_after_comma", "Layout/SpaceAfterComma"), ("long_digit_run", "Style/NumericLiterals"), ("statement_separator_semicolon", "Style/Semicolon")):
+for _key, _pattern in (("missing_space_after_comma", COMMA), ("long_digit_run", DIGITS), ("statement_separator_semicolon", SEMICOLON)):
     for _name in ("documents", "pages"):
-        register(f"{_key}_{_name}", lambda s, d, n=_name, r=_rule: found(s, d, n, selected([r])), f"WITH {diagnostics_sql(_name, selected([_rule]))} SELECT * FROM found")
+        register(f"{_key}_{_name}", *all_matches(_name, _pattern))
 register(
     "license_line_presence",
     lambda s, d: files(s, d, "documents").filter(F.rlike("content", F.lit("(?i)copyright|licen[cs]ed?"))).select("path"),
@@ -66,7 +66,7 @@ _CLASSES = "g AS (SELECT rule, CAST(sum(exact) AS BIGINT) AS exact, CAST(sum(lef
 register("match_ratio_per_rule", lambda s, d: match_ratio(classified(compared(s, d))), f"{COMPARED_SQL}, {_CLASSES} SELECT rule, CASE WHEN exact + left_only + right_only = 0 THEN 1.0 ELSE exact / (exact + left_only + right_only) END AS ratio FROM g")
 register("signature_gap_per_rule", lambda s, d: signature_gap(classified(compared(s, d))), f"{COMPARED_SQL}, {_CLASSES} SELECT rule, left_only + right_only AS gap FROM g")
 
-FLOORS = (("Layout/LineLength", 10), ("Style/AsciiComments", 10**9), ("Style/EndBlock", 1))
+FLOORS = (("Layout/LineLength", 10), ("Layout/TrailingEmptyLines", 10**9), ("Layout/EndOfLine", 1))
 register(
     "baseline_regressions",
     lambda s, d: regressions(counts(found(s, d)), s.createDataFrame(FLOORS, "rule string, floor bigint")),
@@ -102,12 +102,27 @@ register(
 register(
     "report_lines",
     lambda s, d: simple_report(found(s, d)).select("path", "text"),
-    f"WITH {diagnostics_sql('documents', RULES)} SELECT path, format('C:{{:>3}}:{{:>3}}: {{}}: {{}}', line, \"column\", rule, message) AS text FROM found",
+    f"WITH {diagnostics_sql('documents', RULES)} SELECT path, format('C:{{:>3}}:{{:>3}}:{{}} {{}}: {{}}', line, \"column\", CASE WHEN correctable THEN ' [Correctable]' ELSE '' END, rule, message) AS text FROM found",
 )
 register(
     "report_totals",
     lambda s, d: totals(found(s, d), files(s, d, "documents")),
-    f"WITH {diagnostics_sql('documents', RULES)} SELECT (SELECT count(*) FROM documents) AS inspected, (SELECT count(*) FROM found) AS offenses, CAST(0 AS BIGINT) AS corrected, CAST(0 AS BIGINT) AS correctable",
+    f"WITH {diagnostics_sql('documents', RULES)} SELECT (SELECT count(*) FROM documents) AS inspected, (SELECT count(*) FROM found) AS offenses, CAST(0 AS BIGINT) AS corrected, (SELECT count(*) FROM found WHERE correctable) AS correctable",
+)
+OFFENSE_SQL = """{'severity': severity, 'message': message, 'cop_name': rule, 'corrected': false, 'correctable': correctable, 'location': {'start_line': line, 'start_column': "column", 'last_line': last_line, 'last_column': last_column, 'length': length, 'line': line, 'column': "column"}}"""
+JSON_SQL = f"""SELECT path, CAST(to_json({{'path': path, 'offenses': list({OFFENSE_SQL} ORDER BY line, "column", rule, message, last_line, last_column, length)}}) AS VARCHAR) AS json FROM found GROUP BY path"""
+register("json_report", lambda s, d: json_report(found(s, d)), f"WITH {diagnostics_sql('documents', RULES)} {JSON_SQL}")
+register(
+    "json_document",
+    lambda s, d: json_document(found(s, d, "conversations"), files(s, d, "conversations")),
+    f"""WITH {diagnostics_sql("conversations", RULES)}, n AS (SELECT (SELECT count(*) FROM found) AS offenses, (SELECT count(*) FROM conversations) AS files)
+SELECT 'summary' AS part, NULL AS path, CAST(to_json({{'offense_count': offenses, 'target_file_count': files, 'inspected_file_count': files}}) AS VARCHAR) AS json FROM n
+UNION ALL SELECT 'file', path, json FROM ({JSON_SQL})
+UNION ALL SELECT 'file', path, CAST(to_json({{'path': path, 'offenses': []}}) AS VARCHAR) FROM (SELECT {PATHS["conversations"][0]} AS path FROM conversations) WHERE path NOT IN (SELECT path FROM found)""",
+)
+register(
+    "analyze_documents",
+    lambda s, d: analyze(files(s, d, "documents"), only=["Layout/LineLength", "Layout/TrailingEmptyLines", "Style/FrozenStringLiteralComment", "Lint/EmptyFile"]),
+    f"""WITH {diagnostics_sql("documents", tuple(r for r in RULES if r.name in ("Layout/LineLength", "Layout/TrailingEmptyLines")))}, f AS (SELECT {DOC} AS path, coalesce(text, '') AS content FROM documents)
+SELECT * FROM found UNION ALL """ + "\nUNION ALL ".join(file_rule_sql(r, "f") for r in FILE_RULES if r.name in ("Style/FrozenStringLiteralComment", "Lint/EmptyFile")),
 )
-register("json_report", lambda s, d: json_report(found(s, d)))
-register("analyze_documents", lambda s, d: analyze(files(s, d, "documents")))

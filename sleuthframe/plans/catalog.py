@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sleuthframe.functions.text import LINES_SQL, lines
-from sleuthframe.operators.findings import classified, compare, counts, first_unmatched, report, summary, unsuppressed
-from sleuthframe.operators.line_rules import RULES, LineRule, diagnostics, rule_sql, selected
+import dataclasses
+
+from sleuthframe.functions.text import LINES_SQL, lines, matches, matches_sql
+from sleuthframe.operators.findings import classified, compare, compare_rules, counts, first_unmatched, report, summary, unsuppressed
+from sleuthframe.operators.line_rules import RULES as ALL_LINE_RULES
+from sleuthframe.operators.line_rules import LineRule, diagnostics, rule_sql, selected
+from sleuthframe.plans.examples import expected
+from sleuthframe.rules import RULES as NODE_RULES
+from sleuthframe.rules.engine import node_diagnostics
 from sleuthframe.sources.tables import PATHS, files, table
 
+#: The line rules that run by default.
+RULES = selected(rules=ALL_LINE_RULES)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -36,10 +44,18 @@ def found(spark: SparkSession, sf_dir: str, name: str = "documents", rules: tupl
     return diagnostics(files(spark, sf_dir, name), rules)
 
 
+#: Patterns of which every match in a line counts.
+NON_ASCII, DIGITS, COMMA, SEMICOLON = r"[^\x00-\x7F]+", r"\b[0-9]{6,}\b", r",[^ \t,\)\]\}\"]", r";"
+
+
+def all_matches(name: str, pattern: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    return lambda s, d: matches(lines(files(s, d, name)), pattern), f"WITH {lines_sql(name)} {matches_sql(name, pattern)}"
+
+
 for _name in PATHS:
     register(f"lint_{_name}" if _name != "documents" else "lint_diagnostics", lambda s, d, n=_name: found(s, d, n), f"WITH {diagnostics_sql(_name, RULES)} SELECT * FROM found")
-    for _key, _rule in (("line_length", "Layout/LineLength"), ("non_ascii_line", "Style/AsciiComments")):
-        register(f"{_key}_{_name}", lambda s, d, n=_name, r=_rule: found(s, d, n, selected([r])), f"WITH {diagnostics_sql(_name, selected([_rule]))} SELECT * FROM found")
+    register(f"line_length_{_name}", lambda s, d, n=_name: found(s, d, n, selected(["Layout/LineLength"], ALL_LINE_RULES)), f"WITH {diagnostics_sql(_name, selected(['Layout/LineLength'], ALL_LINE_RULES))} SELECT * FROM found")
+    register(f"non_ascii_line_{_name}", *all_matches(_name, NON_ASCII))
 
 register(
     "missing_final_newline",
@@ -90,13 +106,14 @@ def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("suppressed_findings", _suppressed, f"WITH {diagnostics_sql('documents', selected(['Layout/LineLength']))} SELECT * FROM found WHERE path NOT IN (SELECT {PATHS['documents'][0]} FROM labels WHERE toxic = 1)")
 
-SHORT = (*selected(["Layout/LineLength", "Style"]),)
-LONG = (LineRule("Layout/LineLength", "Line is too long.", most=200), *selected(["Style", "Layout/SpaceAfterComma"]))
+LINE_LENGTH = selected(["Layout/LineLength"], ALL_LINE_RULES)[0]
+SPACES = selected(["Layout/SpaceAfterComma", "Layout/SpaceAfterSemicolon"], ALL_LINE_RULES)
+SHORT = (LINE_LENGTH, SPACES[0])
+LONG = (dataclasses.replace(LINE_LENGTH, options={"Max": "200"}), *SPACES)
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ("path", "rule", "severity", "line")
-    return compare(found(spark, sf_dir, rules=SHORT), found(spark, sf_dir, rules=LONG), keys)
+    return compare_rules(files(spark, sf_dir, "documents"), SHORT, LONG, ("path", "rule", "severity", "line"))
 
 
 COMPARED_SQL = f"""WITH {diagnostics_sql("documents", SHORT, "a")}, b AS ({" UNION ALL ".join(rule_sql(r, "documents") for r in LONG)}),
@@ -110,7 +127,7 @@ register(
 )
 register(
     "top3_unmatched_per_rule",
-    lambda s, d: first_unmatched(compare(found(s, d, rules=SHORT), found(s, d, rules=LONG), ("path", "rule", "severity", "line", "column"))).select("path", "rule", "line", "nth"),
+    lambda s, d: first_unmatched(compare_rules(files(s, d, "documents"), SHORT, LONG, ("path", "rule", "severity", "line", "column"))).select("path", "rule", "line", "nth"),
     f"""WITH {diagnostics_sql("documents", SHORT, "a")}, b AS ({" UNION ALL ".join(rule_sql(r, "documents") for r in LONG)}),
 u AS ((SELECT path, rule, severity, line, "column" FROM a EXCEPT ALL SELECT path, rule, severity, line, "column" FROM b) UNION ALL (SELECT path, rule, severity, line, "column" FROM b EXCEPT ALL SELECT path, rule, severity, line, "column" FROM a))
 SELECT path, rule, line, CAST(nth AS INT) AS nth FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY path, line, "column", severity) AS nth FROM u) WHERE nth <= 3""",
@@ -121,4 +138,52 @@ register(
     lambda s, d: summary(found(s, d), files(s, d, "documents")),
     f"WITH {diagnostics_sql('documents', RULES)} SELECT count(*) AS offense_count, count(DISTINCT path) AS offending_files, (SELECT count(*) FROM documents) AS inspected_file_count FROM found",
 )
-register("nested_report", lambda s, d: report(found(s, d)))
+ITEM_SQL = "{'line': line, 'column': \"column\", 'rule': rule, 'severity': severity, 'message': message, 'length': length}"
+register(
+    "nested_report",
+    lambda s, d: report(found(s, d)).select("path", F.to_json("offenses").alias("offenses")),
+    f"WITH {diagnostics_sql('documents', RULES)} SELECT path, CAST(to_json(list({ITEM_SQL} ORDER BY line, \"column\", rule, severity, message, length)) AS VARCHAR) AS offenses FROM found GROUP BY path",
+)
+
+#: Rules whose examples one query deals over the rows of part.
+CHUNK = 12
+
+
+def example_files(spark: SparkSession, sf_dir: str, some: list) -> DataFrame:
+    """files(path, content, example): each row of part is a file that holds one of
+    the examples, by its key; the examples are a bounded table."""
+    known = spark.createDataFrame([(i, k, path, source) for i, (k, _, path, source, _) in enumerate(some)], "i int, example int, name string, content string")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(some))).cast("int").alias("i"))
+    return parts.join(F.broadcast(known), "i").select(F.concat(F.lit("part/"), "p_partkey", F.lit("/"), "example", F.lit("/"), "name").alias("path"), "content")
+
+
+def examples_found(spark: SparkSession, sf_dir: str, some: list) -> DataFrame:
+    """What each example's own rule reports in its files."""
+    rules = {rule for _, rule, *_ in some}
+    own = F.create_map(*[F.lit(x) for k, rule, *_ in some for x in (str(k), rule)])
+    found = node_diagnostics(example_files(spark, sf_dir, some), [r for r in NODE_RULES if r.name in rules])
+    return found.filter(F.col("rule") == own[F.split("path", "/")[2]]).drop("severity", "correctable")
+
+
+def examples_sql(some: list) -> str:
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    rows = ", ".join(f"({i}, {k}, {text(path)}, {text(rule)}, {', '.join(map(str, r[:5]))}, {text(r[5])})" for i, (k, rule, path, _, spans) in enumerate(some) for r in spans)
+    return f"""WITH e(i, example, name, rule, line, "column", last_line, last_column, length, message) AS (VALUES {rows})
+SELECT concat('part/', p_partkey, '/', example, '/', name) AS path, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", CAST(last_line AS INT) AS last_line, CAST(last_column AS INT) AS last_column, CAST(length AS INT) AS length, rule, message
+FROM part JOIN e ON p_partkey % {len(some)} = i"""
+
+
+def _register_examples() -> None:
+    by_department: dict[str, list] = {}
+    for example in expected():
+        by_department.setdefault(example[1].partition("/")[0].lower(), []).append(example)
+    for department, some in sorted(by_department.items()):
+        names = sorted({e[1] for e in some})
+        for n, begin in enumerate(range(0, len(names), CHUNK), 1):
+            chunk = [e for e in some if e[1] in names[begin : begin + CHUNK]]
+            register(f"rules_{department}_{n}", lambda s, d, c=chunk: examples_found(s, d, c), examples_sql(chunk))
+
+
+_register_examples()

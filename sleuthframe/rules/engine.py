@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sleuthframe.operators.line_rules import severity
+from sleuthframe.operators.line_rules import LineRule, severity
 from sleuthframe.parser.nodes import SPAN_SQL, nodes
 
 DIAGNOSTICS = ["path", "line", "column", "last_line", "last_column", "length", "rule", "severity", "message", "correctable"]
@@ -102,6 +102,37 @@ def thru(first: str, last: str) -> str:
     return f"named_struct('start', {first}.start, 'end', {last}.end, 'line', {first}.line, 'column', {first}.column, 'last_line', {last}.last_line, 'last_column', {last}.last_column)"
 
 
+#: What the columns of line rules are called on rows of kind `line`.
+LINE_COLUMNS = {"body": "src", "prev": "get(kids, 0).src", "next": "get(kids, 1).src", "line": "at.line", "n_lines": "depth", "ending": "coalesce(op, '')", "final": "(open <=> 'final')"}
+
+
+def from_line_rule(rule: LineRule) -> NodeRule:
+    """The same rule over the rows of kind `line`."""
+
+    def sql(text: str) -> str:
+        pieces = re.split(r"('(?:[^']|'')*')", rule.filled(text))
+        pieces[::2] = [re.sub(r"\b(" + "|".join(LINE_COLUMNS) + r")\b", lambda m: LINE_COLUMNS[m[1]], p) for p in pieces[::2]]
+        return "".join(pieces).replace("\\", "\\\\")
+
+    message = rule.message_sql
+    start = f"at.start + ({sql(rule.column)}) - 1"
+    return NodeRule(rule.name, "line", sql(rule.where_sql), "=" + sql(message), span(start, f"{start} + greatest(1, {sql(rule.length)})"), correctable=rule.correctable)
+
+
+def hits(pattern: str, column: str = "name") -> str:
+    """Spans of all matches of a pattern in a line, in SQL; pattern: of Java."""
+    p = quoted(pattern)
+    return f"transform(arrays_zip(regexp_extract_all({column}, {p}, 0) AS m, slice(split({column}, {p}, -1), 1, size(regexp_extract_all({column}, {p}, 0))) AS g), (x, i) -> {span(_START.format(c=column, p=p), _START.format(c=column, p=p) + ' + length(x.m)')})"
+
+
+_START = "(at.start + aggregate(slice(split({c}, {p}, -1), 1, i + 1), 0, (a, y) -> a + length(y)) + aggregate(slice(regexp_extract_all({c}, {p}, 0), 1, i), 0, (a, y) -> a + length(y)))"
+
+#: Whether comments in the source disable a finding f of a row.
+SUPPRESSED = """exists(array(rule, split(rule, '/')[0], 'all'), n -> CASE
+    WHEN exists(dirs, d -> NOT d.own AND d.line = {line} AND array_contains(d.names, n)) THEN exists(dirs, d -> NOT d.own AND d.line = {line} AND array_contains(d.names, n) AND d.disabled)
+    ELSE coalesce(get(reverse(filter(dirs, d -> d.own AND d.line <= {line} AND array_contains(d.names, n))), 0).disabled, false) END)"""
+
+
 def view(rows: DataFrame) -> DataFrame:
     """The nodes table with the columns that rules name."""
     return rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in VIEW.items())).selectExpr("*", *(f"{sql} AS {name}" for name, sql in VIEW_2.items()))
@@ -114,7 +145,8 @@ def _finding(rule: NodeRule) -> str:
 
 
 def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
-    """(path, rule, severity, message, correctable, fix, at) of nodes(files)."""
+    """(path, dirs, rule, severity, message, correctable, fix, at) of nodes(files),
+    and what the files carry along in `told`."""
     by_kind: dict[str, list[NodeRule]] = {}
     for rule in rules:
         for kind in rule.kinds.split():
@@ -124,14 +156,20 @@ def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
     none = f"cast(array() AS array<struct<rule:string,severity:string,message:string,correctable:boolean,fix:string,spans:array<{SPAN_SQL}>>>)"
     each = " ".join(f"WHEN {quoted(kind)} THEN array_compact(array({', '.join(map(_finding, some))}))" for kind, some in by_kind.items() if some)
     found = F.expr(f"CASE kind {each} ELSE {none} END" if each else none)
-    looked = view(rows.filter(F.col("kind").isin(*by_kind))).select("path", F.explode(found).alias("f"))
-    return looked.select("path", "f.*").select("path", "rule", "severity", "message", "correctable", "fix", F.explode("spans").alias("at"))
+    looked = view(rows.filter(F.col("kind").isin("file", *by_kind))).select("path", "dirs", F.explode(F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)).alias("f"))
+    return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "message", "correctable", "fix", F.explode("spans").alias("at"))
+
+
+TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'message', t.message, 'correctable', false, 'fix', cast(null AS string), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"
 
 
-def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
+def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule], directives: bool = False) -> DataFrame:
     """diagnostics(path, line, column, last_line, last_column, length, rule,
-    severity, message, correctable) of files(path, content)."""
+    severity, message, correctable) of files(path, content). With `directives`,
+    without those that comments in the source disable."""
     found = node_findings(nodes(files), rules)
+    if directives:
+        found = found.filter(~F.expr(SUPPRESSED.format(line="at.line")))
     return found.select("path", "at.line", "at.column", "at.last_line", "at.last_column", F.greatest(F.lit(1), F.col("at.end") - F.col("at.start")).alias("length"), "rule", "severity", "message", "correctable")
 
 
