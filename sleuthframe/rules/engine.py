@@ -173,9 +173,13 @@ def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule], directives: bo
     return found.select("path", "at.line", "at.column", "at.last_line", "at.last_column", F.greatest(F.lit(1), F.col("at.end") - F.col("at.start")).alias("length"), "rule", "severity", "message", "correctable")
 
 
-def node_edits(files: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
-    """edits(path, correction_id, start, end, replacement, indirect) of the rules
-    that say what to put in place of what they report."""
-    found = node_findings(nodes(files), [r for r in rules if r.fix])
-    number = F.row_number().over(Window.partitionBy("path").orderBy("at.start", "at.end", "rule"))
-    return found.filter("fix IS NOT NULL").select("path", number.alias("correction_id"), "at.start", "at.end", F.col("fix").alias("replacement"), F.lit(False).alias("indirect"))
+def numbered(found: DataFrame) -> DataFrame:
+    """Findings with a number of their own within each file, in order of place."""
+    order = Window.partitionBy("path").orderBy("at.start", "at.end", "rule", "message")
+    return found.withColumn("correction_id", F.row_number().over(order).cast("long"))
+
+
+def edits(found: DataFrame) -> DataFrame:
+    """edits(path, correction_id, start, end, replacement, indirect) of numbered
+    findings whose rule says what to put in place of what it reports."""
+    return found.filter("fix IS NOT NULL").select("path", "correction_id", "at.start", "at.end", F.col("fix").alias("replacement"), F.lit(False).alias("indirect"))

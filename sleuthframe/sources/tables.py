@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sleuthframe.sources.decode import decode
+
 #: How a table's rows become files; each is SQL that both engines run.
 PATHS = {
     "documents": ("concat('documents/', cast(doc_id AS STRING))", "text"),
@@ -24,10 +28,45 @@ def files(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name).select(F.expr(path).alias("path"), F.coalesce(F.col(content), F.lit("")).alias("content"))
 
 
+#: Names of Ruby sources, and names of folders and files that are left out.
+NAMES = "{*.rb,*.rake,*.gemspec,Gemfile,Rakefile,Guardfile,Dangerfile,config.ru}"
+LEFT_OUT = r"(^|/)(\.[^/]*|node_modules|target|tmp)(/|$)|vendor/(gems|bundle)"
+
+
+def _qualified(spark: SparkSession, folder: str) -> tuple[str, bool]:
+    """The full address of a path, and whether it is a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(path)
+    return full.toString(), fs.getFileStatus(full).isDirectory()
+
+
 def source_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """Ruby sources below a folder as files(path, content), read as binary and
-    decoded as UTF-8. Dot files, build and vendored folders are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    wanted = F.col("path").rlike(r"(\.(rb|rake|gemspec)|/(Gemfile|Rakefile|Guardfile|Capfile|config\.ru))$")
-    hidden = F.col("path").rlike(r"/(\.[^/]+|node_modules|target|tmp|vendor/gems|vendor/bundle)(/|$)")
-    return found.filter(wanted & ~hidden).select("path", F.decode("content", "UTF-8").alias("content"))
+    """Ruby sources below a folder as files(path, content, marker, invalid), paths
+    relative to it. Dot files, build and vendored folders below it are left out;
+    the folder's own name doesn't matter. Bytes that aren't UTF-8 are kept (see
+    decode). Only files of matching names are read. No such files: no rows."""
+    root, _ = _qualified(spark, folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", NAMES).load(root)
+    path = F.substr("path", F.lit(len(root.rstrip("/")) + 2))
+    return decode(found.select(path.alias("path"), F.col("content").alias("raw")).filter(~F.rlike("path", F.lit(LEFT_OUT))))
+
+
+def targets(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """files(path, content, marker, invalid) of a list of files and folders: files
+    whatever their name, folders as by source_tree() with their own path in front.
+    A path that doesn't exist raises an error."""
+    parts = []
+    for p in paths:
+        root, folder = _qualified(spark, p)
+        if folder:
+            parts.append(source_tree(spark, p).withColumn("path", F.concat(F.lit(p.rstrip("/") + "/"), "path")))
+        else:
+            raw = spark.read.format("binaryFile").load(root).select(F.lit(p).alias("path"), F.col("content").alias("raw"))
+            parts.append(decode(raw))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def stdin_file(spark: SparkSession, name: str, raw: bytes) -> DataFrame:
+    """One virtual file of these bytes."""
+    return decode(spark.createDataFrame([(name, bytearray(raw))], "path string, raw binary"))

@@ -1,19 +1,23 @@
 """Positions, directives, corrections, configuration, reports and analytics on small inputs."""
 
-import pytest
+import json
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from sleuthframe.functions.text import lines
+from sleuthframe.functions.text import lines, matches
 from sleuthframe.operators import differential as diff
 from sleuthframe.operators.analysis import analyze, rule_names
 from sleuthframe.operators.config import configured, merged, parse_config, ruby_version
 from sleuthframe.operators.corrections import choose, corrected, rewrite
-from sleuthframe.operators.directives import directives, without_disabled
+from sleuthframe.operators.differential import flattened
+from sleuthframe.operators.directives import directives
 from sleuthframe.operators.file_rules import FILE_RULES, file_diagnostics
 from sleuthframe.operators.line_rules import RULES, diagnostics, selected, severity
 from sleuthframe.operators.positions import around, located, occurrences
-from sleuthframe.operators.reporting import exit_status, json_report, simple_report, totals
+from sleuthframe.operators.findings import report
+from sleuthframe.operators.reporting import document, exit_status, simple_report, totals
 
 
 def files_of(spark, *rows):
@@ -46,11 +50,23 @@ eval(g)
 
 
 def test_directives(spark):
-    files = files_of(spark, ("a", SOURCE), ("b", "eval(a)\n"))
-    found = diagnostics(files, selected(["Security/Eval", "Layout/TrailingWhitespace"]))
-    kept = sorted((r["path"], r["line"], r["rule"]) for r in without_disabled(found, lines(files)).collect())
+    files = files_of(spark, ("a", SOURCE), ("b", "eval(a)\n"), ("c", None))
+    kept = sorted((r["path"], r["line"], r["rule"]) for r in analyze(files, ["Security/Eval", "Layout/TrailingWhitespace"]).collect())
     assert kept == [("a", 1, "Security/Eval"), ("a", 4, "Security/Eval"), ("a", 6, "Security/Eval"), ("a", 9, "Security/Eval"), ("b", 1, "Security/Eval")]
-    assert directives(lines(files)).filter("line = 2").count() == 2
+    told = {r["path"]: r["d"] for r in files.select("path", directives(F.col("content")).alias("d")).collect()}
+    assert [(d["line"], d["disabled"], d["own"], d["names"]) for d in told["a"]][:2] == [(2, True, True, ["Security/Eval", "Layout"]), (4, False, False, ["Security/Eval"])]
+    assert told["b"] == told["c"] == []
+
+
+def test_both_plans_find_the_same(spark):
+    text = "  x = 1\n" + "y" * 130 + "  \n\n\nz\t \n# rubocop:disable Layout/LineLength\n" + "w" * 130 + "\nfit 'x'\n\n"
+    files = files_of(spark, ("spec/A.rb", text), ("spec/b_spec.rb", text.replace("\n", "\r\n")), ("c.rb", "x"), ("d.rb", ""), ("e.rb", "(" + text))
+    names = [r.name for r in (*RULES, *FILE_RULES)]
+    plain = analyze(files, names)
+    parsed = analyze(files, [*names, "Security/Eval"])
+    assert "MapInArrow" not in plain._jdf.queryExecution().toString() and "MapInArrow" in parsed._jdf.queryExecution().toString()
+    assert plain.columns == parsed.columns
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, parsed.collect())) and plain.count() > 20
 
 
 def test_choose_corrections():
@@ -99,11 +115,14 @@ def test_config(spark):
     assert config == {"AllCops": {"TargetRubyVersion": "3.2"}, "Layout/LineLength": {"Max": "10", "AllowedPatterns": ["a", "b"], "Words": ["one", "two"], "Map": {"k": "v"}}}
     assert ruby_version(config) == (3, 2) and ruby_version({}) == (2, 7)
     assert merged(config, {"Layout/LineLength": {"Max": "5", "Map": {"l": "w"}}})["Layout/LineLength"]["Map"] == {"k": "v", "l": "w"}
-    found = diagnostics(files_of(spark, ("a", "x" * 12)), configured(selected(["Layout/LineLength"]), config)).collect()
-    assert [(r["column"], r["length"]) for r in found] == [(11, 2)]
+    found = diagnostics(files_of(spark, ("a", "x" * 12)), configured(selected(["Layout/LineLength"], RULES), config)).collect()
+    assert [(r["column"], r["length"], r["last_column"], r["message"]) for r in found] == [(11, 2, 12, "Line is too long. [12/10]")]
+    odd = parse_config("Layout/LineLength:\n  Max: many\nMetrics/ParameterLists:\n  Max: 1\n")
+    assert configured(selected(["Layout/LineLength"], RULES), odd)[0].options == {"Max": "120"}
+    assert [(r["line"], r["message"]) for r in analyze(files_of(spark, ("a.rb", "def a(b, c)\n  b\nend\n")), ["Metrics"], odd).collect()] == [(1, "Avoid parameter lists longer than 1 parameters. [2/1]")]
 
 
-FILE_CASES = [("lib/a.rb", "", "Lint/EmptyFile"), ("lib/a.rb", "\n\nx\n", "Layout/LeadingEmptyLines"), ("lib/a.rb", "  x\n", "Layout/InitialIndentation"), ("lib/a.rb", "x", "Layout/TrailingEmptyLines"), ("lib/a.rb", "x\r\n", "Layout/EndOfLine"), ("lib/FooBar.rb", "x\n", "Naming/FileName"), ("spec/a__b_spec.rb", "x\n", "RSpec/SpecFilePathFormat"), ("spec/a.rb", "x\n", "RSpec/SpecFilePathSuffix"), ("gems.rb", "x\n", "Bundler/GemFilename"), ("a.gemspec", "x\n", "Gemspec/RequireMFA"), ("a.gemspec", "x\n", "Gemspec/RequiredRubyVersion"), ("lib/a.rb", "x\n", "Style/FrozenStringLiteralComment")]
+FILE_CASES = [("lib/a.rb", "", "Lint/EmptyFile"), ("lib/a.rb", "\n\nx\n", "Layout/LeadingEmptyLines"), ("lib/FooBar.rb", "x\n", "Naming/FileName"), ("spec/a__b_spec.rb", "x\n", "RSpec/SpecFilePathFormat"), ("spec/a.rb", "x\n", "RSpec/SpecFilePathSuffix"), ("gems.rb", "x\n", "Bundler/GemFilename"), ("a.gemspec", "x\n", "Gemspec/RequireMFA"), ("a.gemspec", "x\n", "Gemspec/RequiredRubyVersion"), ("lib/a.rb", "x\n", "Style/FrozenStringLiteralComment")]
 
 
 def test_file_rules(spark):
@@ -114,17 +133,43 @@ def test_file_rules(spark):
     assert {c[2] for c in FILE_CASES} == {r.name for r in FILE_RULES}
 
 
-LINE_CASES = [("/db/migrate/1.rb", "  drop_table :x", "Rails/ReversibleMigration"), ("a.rb", "  pending", "RSpec/PendingWithoutReason"), ("a.rb", "  let(:fooBar) { 1 }", "RSpec/VariableName"), ("a.rb", "x # rubocop:disable A/B # rubocop:disable C/D", "Style/DoubleCopDisableDirective"), ("a.rb", "x # rubocop:disable LineLength", "Migration/DepartmentName"), ("a.rb", "raise 'x'", "Style/ImplicitRuntimeError"), ("a.rb", "ENV['X']", "Style/FetchEnvVar"), ("a.rb", "in 1; x", "Style/InPatternThen"), ("a.rb", "return nil", "Style/ReturnNil"), ("a.rb", "(1..3).each do", "Style/EachForSimpleLoop"), ("a.rb", "class A::B", "Style/ClassAndModuleChildren"), ("a.rb", "if x then", "Style/MultilineIfThen"), ("a.rb", "  extend self", "Style/ModuleFunction"), ("a.rb", "1 .. 2", "Layout/SpaceInsideRangeLiteral"), ("a.rb", "x = 1# y", "Layout/SpaceBeforeComment")]
-CLEAN = ["pending 'why'", "let(:foo_bar) { 1 }", "x # rubocop:disable Layout/LineLength", "raise Foo, 'x'", "ENV.fetch('X')", "in 1 then x", "return", "(1..3).each do |i|", "class B", "if x", "1..2", "x = 1 # y", "x # rubocop:disable Layout"]
+#: path, lines, rule, (line, column, length) of what it reports.
+LINE_CASES = [
+    ("a.rb", "x = 1  \n", "Layout/TrailingWhitespace", (1, 6, 2)),
+    ("a.rb", "x\u3000\n", "Layout/TrailingWhitespace", (1, 2, 1)),
+    ("a.rb", "  \tx\n", "Layout/IndentationStyle", (1, 3, 1)),
+    ("a.rb", "é" * 121 + "\r\n", "Layout/LineLength", (1, 121, 1)),
+    ("a.rb", "x\n\n\ny\n", "Layout/EmptyLines", (3, 1, 1)),
+    ("a.rb", "  x\n", "Layout/InitialIndentation", (1, 3, 1)),
+    ("a.rb", "x\ny", "Layout/TrailingEmptyLines", (2, 1, 1)),
+    ("a.rb", "x\n\n", "Layout/TrailingEmptyLines", (2, 1, 1)),
+    ("a.rb", "x\r\n", "Layout/EndOfLine", (1, 1, 2)),
+    ("/db/migrate/1.rb", "  drop_table :x\n", "Rails/ReversibleMigration", (1, 3, 13)),
+    ("a.rb", "x = default_scope\n", "Rails/DefaultScope", (1, 5, 13)),
+    ("a.rb", "x = File.join(Rails.root, 'y')\n", "Rails/FilePath", (1, 5, 20)),
+    ("/app/jobs/a.rb", "class A < ActiveJob::Base\n", "Rails/ApplicationJob", (1, 11, 15)),
+    ("a.rb", "  fit 'x' do\n", "RSpec/Focus", (1, 3, 10)),
+    ("a.rb", "  pending\n", "RSpec/PendingWithoutReason", (1, 3, 7)),
+    ("a.rb", "x.receive_message_chain(:y)\n", "RSpec/MessageChain", (1, 3, 21)),
+    ("a.rb", "  let(:fooBar) { 1 }\n", "RSpec/VariableName", (1, 8, 6)),
+    ("a.rb", "x # rubocop:disable A/B # rubocop:disable C/D\n", "Style/DoubleCopDisableDirective", (1, 3, 43)),
+    ("a.rb", "x # rubocop:disable LineLength\n", "Migration/DepartmentName", (1, 21, 10)),
+]
+CLEAN = ["pending 'why'\n", "let(:foo_bar) { 1 }\n", "x # rubocop:disable Layout/LineLength\n", "x\n\ny\n", "x # rubocop:disable Layout\n", "x\n", "é" * 120 + "\n", "# default_scope\n"]
 
 
 def test_line_rules(spark):
-    files = files_of(spark, *[(f"{k}{p}", b) for k, (p, b, _) in enumerate(LINE_CASES)])
-    got = {(r["path"], r["rule"]) for r in diagnostics(files).collect()}
-    assert {(f"{k}{p}", rule) for k, (p, _, rule) in enumerate(LINE_CASES)} <= got
-    rules = {c[2] for c in LINE_CASES}
-    clean = diagnostics(files_of(spark, *[(str(k), b) for k, b in enumerate(CLEAN)]), tuple(r for r in RULES if r.name in rules))
-    assert clean.collect() == []
+    files = files_of(spark, *[(f"{k}{p}", b) for k, (p, b, _, _) in enumerate(LINE_CASES)])
+    rules = selected([c[2] for c in LINE_CASES], RULES)
+    got = {(r["path"], r["rule"], r["line"], r["column"], r["length"], r["last_line"], r["last_column"]) for r in diagnostics(files, rules).collect()}
+    assert {(f"{k}{p}", rule, *at, at[0], at[1] + at[2] - 1) for k, (p, _, rule, at) in enumerate(LINE_CASES)} <= got
+    assert {r.name for r in RULES} - {c[2] for c in LINE_CASES} == {"Layout/SpaceAfterComma", "Layout/SpaceAfterSemicolon"}
+    assert diagnostics(files_of(spark, *[(str(k), b) for k, b in enumerate(CLEAN)]), rules).collect() == []
+
+
+def test_all_matches_of_a_line(spark):
+    each = lines(files_of(spark, ("a", "é,b,,c,\n,x"), ("b", "none"), ("c", None)))
+    assert sorted(map(tuple, matches(each, ",[^,]").collect())) == [("a", 1, 2, 2), ("a", 1, 5, 2), ("a", 2, 1, 2)]
 
 
 def test_severity_and_names():
@@ -133,14 +178,20 @@ def test_severity_and_names():
 
 
 def test_analyze_and_reports(spark):
-    files = files_of(spark, ("a.rb", "# frozen_string_literal: true\neval(x)\n"), ("a.rb", "eval(x)\n"), ("b.rb", "# frozen_string_literal: true\n"))
+    files = files_of(spark, ("a.rb", "# frozen_string_literal: true\n\neval(x)\n"), ("a.rb", "eval(x)\n"), ("b.rb", "# frozen_string_literal: true\n"))
     own = lambda f: f.selectExpr("path", "1 AS line", "1 AS column", "1 AS length", "'My/Rule' AS rule", "'convention' AS severity", "'Mine.' AS message")
     found = analyze(files.filter("path = 'b.rb'"), only=["Security"], own=[own])
     assert [r["rule"] for r in found.collect()] == ["My/Rule"]
     assert exit_status(found) == 1 and exit_status(analyze(files, only=["No/Such"])) == 0
     assert [r["text"] for r in simple_report(found).collect()] == ["C:  1:  1: My/Rule: Mine."]
     assert tuple(totals(found, files).first()) == (3, 1, 0, 0)
-    assert '"rule":"My/Rule"' in json_report(found).first()["json"]
+    told = json.loads(document(found, files, {"version": "1"}))
+    assert [f["path"] for f in told["files"]] == ["a.rb", "b.rb"] and told["files"][0]["offenses"] == []
+    assert told["files"][1]["offenses"][0]["location"] == {"start_line": 1, "start_column": 1, "last_line": 1, "last_column": 1, "length": 1, "line": 1, "column": 1}
+    assert told["summary"] == {"offense_count": 1, "target_file_count": 3, "inspected_file_count": 3} and told["metadata"] == {"version": "1"}
+    assert len(analyze(files, only=["Security"]).collect()) == 1
+    flat = flattened(report(found), "b")
+    assert [(r["path"], r["line"], r["rule"]) for r in flat.collect()] == [(".rb", 1, "My/Rule")]
 
 
 def test_analytics(spark):
@@ -160,10 +211,3 @@ def test_empty_tables(spark):
     assert analyze(none).count() == 0
     assert located(none, occurrences(none, ",")).count() == 0
     assert corrected(none, spark.createDataFrame([], "path string, correction_id int, start int, end int, replacement string, indirect boolean")).count() == 0
-
-
-@pytest.mark.parametrize("name", ["json_report", "analyze_documents", "nested_report"])
-def test_queries_without_sql(spark, name):
-    from sleuthframe.plans import analytics, catalog  # noqa: F401
-
-    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
