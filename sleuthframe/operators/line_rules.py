@@ -27,7 +27,7 @@ WARNINGS = frozenset(["Bundler/DuplicatedGem", "Bundler/DuplicatedGroup", "Bundl
 #: Rules that run only when asked for by their full name.
 ON_REQUEST = frozenset(["RSpec/MessageChain", "RSpec/MultipleExpectations", "RSpec/MultipleMemoizedHelpers", "RSpec/PendingWithoutReason", "Security/IoMethods", "Style/Copyright", "Style/Documentation"])
 #: Withdrawn rules, which run only when asked for by their full name as well.
-WITHDRAWN = frozenset(["Layout/SpaceAfterComma", "Layout/SpaceAfterSemicolon"])
+WITHDRAWN = frozenset(["Layout/EmptyLines", "Layout/SpaceAfterComma", "Layout/SpaceAfterSemicolon", "Lint/AssignmentInCondition", "Lint/DuplicateHashKey", "Lint/TopLevelReturnWithArgument", "Style/InlineComment"])
 DIAGNOSTICS = ["path", "line", "column", "last_line", "last_column", "length", "rule", "severity", "message", "correctable"]
 
 

@@ -10,7 +10,12 @@ text of nodes up to SOURCE characters; rules that compare texts pass longer ones
 Rows of kind `line` have the line as it is in `src`, with the insides of literals
 and comments masked in `name`, its number of lines in `depth`, its carriage
 return in `op`, `final` in `open` if the file ends with a newline, and the lines
-before and after as `kids`. `dirs` are the file's comments that suppress rules;
+before and after as `kids`. `prev` and `next` are the lines
+before a row's first and after its last line, `rest` what follows it on that line,
+`ind` the indentation of its first line, `lead` whether it begins that line, `close`
+whether its closing word or bracket begins the last one; `top` and `bot` count the
+blank lines after its heading, which ends on line `hdr`, and before its closing
+line. `dirs` are the file's comments that suppress rules;
 `told` is what the caller carries along, on the row of kind `file`.
 
 A file that can't be parsed gives its lines and one row of kind `error`, and no
@@ -33,21 +38,23 @@ from sleuthframe.parser.ruby import Node, ParseError, parse
 
 SOURCE = 1000
 MASK = "\x01"
+#: Kinds with a heading and a closing word.
+HEADED = frozenset("class module singleton_class def block lambda begin if unless while until for case case_match".split())
 COMMENT = re.compile(r"# rubocop:\s*(disable|todo|enable)(.*)$", re.M)
 #: Rows that go to Spark at once.
 ROWS = 2000
 
 SPAN_SQL = "struct<start:int,end:int,line:int,column:int,last_line:int,last_column:int>"
-KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,n:int,of:int,at:{SPAN_SQL},sel:{SPAN_SQL}>"
-SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string>>, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
+KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,n:int,of:int,lead:boolean,at:{SPAN_SQL},sel:{SPAN_SQL}>"
+SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string>>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
-KID = pa.struct([*_STRINGS, ("n", pa.int32()), ("of", pa.int32()), ("at", SPAN), ("sel", SPAN)])
+KID = pa.struct([*_STRINGS, ("n", pa.int32()), ("of", pa.int32()), ("lead", pa.bool_()), ("at", SPAN), ("sel", SPAN)])
 UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form")])
 DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
 TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
-SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
+SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
 
 
 class Places:
@@ -99,12 +106,17 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
     """The rows of one file."""
     text = text or ""
     places = Places(text)
-    count, dirs = 0, []
+    count, dirs, whole = 0, [], [line.removesuffix("\r") for line in text.split("\n")]
+    n_lines = len(whole) - (whole[-1] == "")
 
     def row(**given) -> dict:
         nonlocal count
         count += 1
-        return {"dirs": dirs, "path": path, "id": count - 1, "parent": None, "ord": None, "depth": None, "kids": [], "kids2": [], "up": [], **given}
+        at = given["at"]
+        first, last = at["line"], at["last_line"]
+        bare = whole[first - 1]
+        beside = {"prev": whole[first - 2][:SOURCE] if first > 1 else None, "next": whole[last][:SOURCE] if last < n_lines else None}
+        return {**beside, "ind": len(bare) - len(bare.lstrip(" \t")), "lead": not bare[: at["column"] - 1].strip(), "dirs": dirs, "path": path, "id": count - 1, "parent": None, "ord": None, "depth": None, "kids": [], "kids2": [], "up": [], **given}
 
     tree, failure = None, None
     try:
@@ -126,7 +138,22 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
     heredocs: list[tuple[int, int]] = []
 
     def kid(role: str, node: Node, of: int | None) -> dict:
-        return {"role": role, "kind": node.kind, "name": node.name, "form": node.form, "op": node.op, "open": node.open, "src": text[node.start : node.end] if node.end - node.start <= SOURCE else None, "n": len(node.kids), "of": of, "at": places.span(node.start, node.end), "sel": places.span(*node.sel) if node.sel else None}
+        return {"role": role, "kind": node.kind, "name": node.name, "form": node.form, "op": node.op, "open": node.open, "src": text[node.start : node.end] if node.end - node.start <= SOURCE else None, "n": len(node.kids), "of": of, "lead": not whole[places.of(node.start)[0] - 1][: places.of(node.start)[1] - 1].strip(), "at": places.span(node.start, node.end), "sel": places.span(*node.sel) if node.sel else None}
+
+    def around(node: Node) -> dict:
+        """Blank lines within a node that has a heading and a closing word."""
+        heads = [k.end for r, k in node.kids if r in ("params", "superclass", "path", "cond", "value", "recv")]
+        if node.kind == "begin":
+            heads = []
+        head = places.of(max([node.sel[1] if node.sel else node.start, *heads]) - 1)[0]
+        last, column = places.of(node.end - 1)
+        top = bot = 0
+        while head + top < last - 1 and not whole[head + top].strip():
+            top += 1
+        while last - 2 - bot > head - 1 and not whole[last - 2 - bot].strip():
+            bot += 1
+        word = 1 if text[node.end - 1] == "}" else 3
+        return {"hdr": head, "top": top, "bot": bot if head + top < last - 1 else 0, "close": not whole[last - 1][: column - word].strip()}
 
     if tree:
         todo: list[tuple[Node, str, int | None, int, tuple, int]] = [(tree, "", None, 0, (), 0)]
@@ -136,7 +163,8 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
                 heredocs.append(node.sel)
             kids = [kid(r, k, None) for r, k in node.kids]
             deeper = [kid(r, g, i) for i, (_, k) in enumerate(node.kids) for r, g in k.kids] if node.kind not in ("program", "class", "module", "singleton_class") else []
-            made = row(parent=parent, ord=order, depth=depth, role=role, kind=node.kind, name=node.name, form=node.form, op=node.op, open=node.open, src=text[node.start : node.end] if node.end - node.start <= SOURCE else None, at=places.span(node.start, node.end), sel=places.span(*node.sel) if node.sel else None, kids=kids, kids2=deeper, up=list(up))
+            geometry = around(node) if node.kind in HEADED else {}
+            made = row(**geometry, rest=whole[places.of(node.end)[0] - 1][places.of(node.end)[1] - 1 :][:SOURCE], parent=parent, ord=order, depth=depth, role=role, kind=node.kind, name=node.name, form=node.form, op=node.op, open=node.open, src=text[node.start : node.end] if node.end - node.start <= SOURCE else None, at=places.span(node.start, node.end), sel=places.span(*node.sel) if node.sel else None, kids=kids, kids2=deeper, up=list(up))
             yield made
             above = ({"kind": node.kind, "name": node.name, "role": role, "form": node.form}, *up)
             todo += [(k, r, made["id"], i, above, depth + 1) for i, (r, k) in reversed(list(enumerate(node.kids)))]
@@ -151,15 +179,9 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
         bare = end - (end > start and text[end - 1] == "\r")
         bounds.append((start, bare, end > bare))
 
-    def beside(k: int, role: str) -> dict:
-        if not 0 <= k < len(bounds):
-            return {"role": role}
-        a, b, _ = bounds[k]
-        return {"role": role, "name": code[a : min(b, a + SOURCE)], "src": text[a : min(b, a + SOURCE)]}
-
     for k, (start, end, cr) in enumerate(bounds):
         form = "heredoc" if any(a <= start < b for a, b in heredocs) else "data" if tree and parser.data is not None and start >= parser.data else None
-        yield row(kind="line", role="", ord=k + 1, depth=len(bounds), name=code[start:end], form=form, src=text[start:end], op="\r" if cr else None, open="final" if text.endswith("\n") else None, at=places.span(start, end), kids=[beside(k - 1, "prev"), beside(k + 1, "next")])
+        yield row(kind="line", role="", ord=k + 1, depth=len(bounds), name=code[start:end], form=form, src=text[start:end], op="\r" if cr else None, open="final" if text.endswith("\n") else None, at=places.span(start, end))
 
 
 def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -249,6 +249,56 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Style/IfUnlessModifierOfIfUnless", "if a\n  b\nend «unless» c\n", "Avoid modifier `unless` after another conditional."),
     ("Style/NumberedParameters", "«a.map do\n  _1 + 1\nend»\nb.map { _1 + 1 }\n".replace("«a.map do", "a.map «do"), "Only use numbered parameters for single-line blocks."),
     ("Lint/UselessElseWithoutRescue", "def a\n  b\n«else»\n  c\nend\n", "`else` without `rescue` is useless."),
+    ("Layout/EmptyLinesAroundMethodBody", "def a\n«\n»  b\n«\n»end\n\ndef c\n  d\nend\n", "Extra empty line detected at method body beginning.", "Extra empty line detected at method body end."),
+    ("Layout/EmptyLinesAroundClassBody", "class A < B\n«\n»  c\nend\n\nclass D\n  e\nend\n", "Extra empty line detected at class body beginning."),
+    ("Layout/EmptyLinesAroundModuleBody", "module A\n  b\n«\n»end\n", "Extra empty line detected at module body end."),
+    ("Layout/EmptyLinesAroundBlockBody", "a.each do |b|\n«\n»  c\nend\n", "Extra empty line detected at block body beginning."),
+    ("Layout/EmptyLinesAroundBeginBody", "begin\n«\n»  a\nrescue B\n  c\nend\n", "Extra empty line detected at `begin` body beginning."),
+    ("Layout/DefEndAlignment", "class A\n  def b\n    c\n«end»\nend\n".replace("«end»", "    «end»"), "`end` at 4, 4 is not aligned with `def` at 2, 2."),
+    ("Layout/EndAlignment", "if a\n  b\n  «end»\nmodule C\n  d\nend\n", "`end` at 3, 2 is not aligned with `if` at 1, 0."),
+    ("Layout/BeginEndAlignment", "begin\n  a\n  «end»\n", "`end` at 3, 2 is not aligned with `begin` at 1, 0."),
+    ("Layout/AccessModifierIndentation", "class A\n«private»\n\n  def b\n    1\n  end\nend\n", "Indent access modifiers like `private`."),
+    ("Layout/BlockEndNewline", "a do\n  b «end»\nc do\n  d\nend\n", "Expression at 2, 5 should be on its own line."),
+    ("Layout/CaseIndentation", "case a\n  «when» 1\n  b\nend\ncase c\nwhen 1\n  d\nend\n", "Indent `when` as deep as `case`."),
+    ("Layout/ConditionPosition", "if\n  «a»\n  b\nend\nif c\n  d\nend\n", "Place the condition on the same line as `if`."),
+    ("Layout/DotPosition", "a«.»\n  b\nc\n  .d\n", "Place the . on the next line, together with the method name."),
+    ("Layout/ElseAlignment", "if a\n  b\n  «else»\n  c\nend\n", "Align `else` with `if`."),
+    ("Layout/EmptyComment", "a\n«#»\nb\n# c\n#\n# d\n", "Source code comment is empty."),
+    ("Layout/EmptyLineAfterGuardClause", "def a\n  «return if b»\n  c\nend\n\ndef d\n  return if e\n\n  f\nend\n", "Add empty line after guard clause."),
+    ("Layout/EmptyLineAfterMultilineCondition", "if «a &&\n   b»\n  c\nend\n", "Use empty line after multiline condition."),
+    ("Layout/EmptyLineBetweenDefs", "class A\n  def b\n    1\n  end\n  «def c»\n    1\n  end\n\n  def d\n    1\n  end\nend\n", "Expected 1 empty line between method definitions; found 0."),
+    ("Layout/EmptyLinesAfterModuleInclusion", "class A\n  «include B»\n  c\nend\n", "Add an empty line after module inclusion."),
+    ("Layout/EmptyLinesAroundAccessModifier", "class A\n  b\n\n  «private»\n  def c\n    1\n  end\nend\n", "Keep a blank line after `private`."),
+    ("Layout/EmptyLinesAroundAttributeAccessor", "class A\n  «attr_reader :b»\n  def c\n    1\n  end\nend\n", "Add an empty line after attribute accessor."),
+    ("Layout/EmptyLinesAroundExceptionHandlingKeywords", "begin\n  a\n«\n»rescue B\n  c\nend\n", "Extra empty line detected before the `rescue`."),
+    ("Layout/ExtraSpacing", "a =« » 1\nbc  = 2\nd   = 3\ne = 'x  y' # z\n".replace("a =« » 1\nbc  = 2\nd   = 3\n", "a =« » 1\n\nbc  = 2\nd   = 3\n"), "Unnecessary spacing detected."),
+    ("Layout/HeredocIndentation", "a = <<~TEXT\n«b\nTEXT»\n", "Use 2 spaces for indentation in a heredoc."),
+    ("Layout/LeadingCommentSpace", "#!/usr/bin/env ruby\n«#a»\n# b\n#: c\n", "Missing space after `#`."),
+    ("Layout/LineContinuationSpacing", "a = b«\\»\n  + 1\nc = d \\\n  + 1\n", "Use one space in front of backslash."),
+    ("Layout/MultilineArrayLineBreaks", "a = [\n  1, «2»,\n  3\n]\n", "Each item in a multi-line array must start on a separate line."),
+    ("Layout/MultilineMethodArgumentLineBreaks", "a(b, «c»,\n  d: 1)\ne(f,\n  g)\n", "Each argument in a multi-line method call must start on a separate line."),
+    ("Layout/MultilineMethodParameterLineBreaks", "def a(b, «c»,\n      d)\n  1\nend\n", "Each parameter in a multi-line method definition must start on a separate line."),
+    ("Layout/MultilineMethodDefinitionBraceLayout", "def a(b,\n      c\n«)»\n  1\nend\n", "Closing method definition brace must be on the same line as the last parameter when opening brace is on the same line as the first parameter."),
+    ("Layout/ParameterAlignment", "def a(b,\n  «c»)\n  1\nend\n", "Align the parameters of a method definition if they span more than one line."),
+    ("Layout/RescueEnsureAlignment", "begin\n  a\n  «rescue» B\n  c\nend\n", "`rescue` at 3, 2 is not aligned with `begin` at 1, 0."),
+    ("Layout/SpaceAfterColon", "a = { b«:»1, c: 2 }\ndef d(e«:»1)\n  e\nend\n", "Space missing after colon."),
+    ("Layout/SpaceAfterMethodName", "def a« »(b)\n  b\nend\n", "Do not put a space between a method name and the opening parenthesis."),
+    ("Layout/SpaceAroundEqualsInParameterDefault", "def a(b«=»1, c = 2)\n  b + c\nend\n", "Surrounding space missing in default value assignment."),
+    ("Layout/SpaceAroundKeyword", "a «if»(b)\n«while»(c)\n  d\nend\ne.if(1)\n", "Space after keyword `if` is missing.", "Space after keyword `while` is missing."),
+    ("Layout/SpaceAroundMethodCallOperator", "a« .»b\nc.d\n", "Avoid using spaces around a method call operator."),
+    ("Layout/SpaceAroundOperators", "a = b«+»c\nd«=»1\ne = f «&&»g\nh = i ** j\nk = i**j\n", "Surrounding space missing for operator."),
+    ("Layout/SpaceBeforeBlockBraces", "a.b«{» c }\na.b { c }\n", "Space missing to the left of {."),
+    ("Layout/SpaceBeforeFirstArg", "a«  »b\nc d\n", "Put one space between the method name and the first argument."),
+    ("Layout/SpaceInLambdaLiteral", "a = «-> (b)» { b }\nc = ->(d) { d }\n", "Do not use spaces between `->` and `(` in lambda literals."),
+    ("Layout/SpaceInsideArrayLiteralBrackets", "a = [« »1, 2« »]\nb = [1, 2]\nc = [\n  1\n]\n", "Space inside array brackets detected."),
+    ("Layout/SpaceInsideArrayPercentLiteral", "a = %w[b«  »c d]\n", "Use only a single space inside array percent literal."),
+    ("Layout/SpaceInsideBlockBraces", "a {«b» }\na { b«}»\na «{|»b| b }\na {« »}\na { b }\na {}\n", "Space missing inside {.", "Space missing inside }.", "Space between { and | missing.", "Space inside empty braces detected."),
+    ("Layout/SpaceInsideParens", "a = («  »b + c« »)\nd(« »e)\nf(g)\n", "Space inside parentheses detected."),
+    ("Layout/SpaceInsidePercentLiteralDelimiters", "a = %w[« »b c« »]\nd = %w[b c]\n", "Do not use spaces inside percent literal delimiters."),
+    ("Layout/SpaceInsideRangeLiteral", "a = «1 .. 2»\nb = 1..2\n", "Space inside range literal."),
+    ("Layout/SpaceInsideReferenceBrackets", "a[« »1« »]\nb[1]\n", "Space inside reference brackets detected."),
+    ("Layout/SpaceInsideStringInterpolation", "a = \"#{« »b« »}\"\nc = \"#{d}\"\n", "Do not use space inside string interpolation."),
+    ("Layout/EmptyLineAfterMagicComment", "# frozen_string_literal: true\n«a»\n", "Add an empty line after magic comments."),
 ]
 
 
@@ -279,6 +329,10 @@ def expected() -> list[tuple[int, str, str, str, list[tuple[int, int, int, int,
         def place(at: int, source=source) -> tuple[int, int]:
             return source.count("\n", 0, at) + 1, at - source.rfind("\n", 0, at)
 
-        rows = [(*place(a), *place(b - 1), b - a, messages[min(i, len(messages) - 1)]) for i, (a, b) in enumerate(spans)]
+        def last(b: int, source=source) -> tuple[int, int]:
+            """Where a span ends; one that takes a line's end along ends on the next."""
+            return (place(b - 1)[0] + 1, 1) if source[b - 1] == "\n" else place(b - 1)
+
+        rows = [(*place(a), *last(b), b - a, messages[min(i, len(messages) - 1)]) for i, (a, b) in enumerate(spans)]
         found.append((k, rule, path, source, rows))
     return found

@@ -103,7 +103,7 @@ def thru(first: str, last: str) -> str:
 
 
 #: What the columns of line rules are called on rows of kind `line`.
-LINE_COLUMNS = {"body": "src", "prev": "get(kids, 0).src", "next": "get(kids, 1).src", "line": "at.line", "n_lines": "depth", "ending": "coalesce(op, '')", "final": "(open <=> 'final')"}
+LINE_COLUMNS = {"body": "src", "prev": "prev", "next": "next", "line": "at.line", "n_lines": "depth", "ending": "coalesce(op, '')", "final": "(open <=> 'final')"}
 
 
 def from_line_rule(rule: LineRule) -> NodeRule:
@@ -122,7 +122,8 @@ def from_line_rule(rule: LineRule) -> NodeRule:
 def hits(pattern: str, column: str = "name") -> str:
     """Spans of all matches of a pattern in a line, in SQL; pattern: of Java."""
     p = quoted(pattern)
-    return f"transform(arrays_zip(regexp_extract_all({column}, {p}, 0) AS m, slice(split({column}, {p}, -1), 1, size(regexp_extract_all({column}, {p}, 0))) AS g), (x, i) -> {span(_START.format(c=column, p=p), _START.format(c=column, p=p) + ' + length(x.m)')})"
+    start = _START.format(c=column, p=p)
+    return f"transform(regexp_extract_all({column}, {p}, 0), (m, i) -> {span(start, start + ' + length(m)')})"
 
 
 _START = "(at.start + aggregate(slice(split({c}, {p}, -1), 1, i + 1), 0, (a, y) -> a + length(y)) + aggregate(slice(regexp_extract_all({c}, {p}, 0), 1, i), 0, (a, y) -> a + length(y)))"
