@@ -10,7 +10,9 @@ text of nodes up to SOURCE characters; rules that compare texts pass longer ones
 Rows of kind `line` have the line as it is in `src`, with the insides of literals
 and comments masked in `name`, its number of lines in `depth`, its carriage
 return in `op`, `final` in `open` if the file ends with a newline, and the lines
-before and after as `kids`. `prev` and `next` are the lines
+before and after as `kids`. `reads`
+are the local variables read within a block, lambda or method, and `super` where
+it calls that. `prev` and `next` are the lines
 before a row's first and after its last line, `rest` what follows it on that line,
 `ind` the indentation of its first line, `lead` whether it begins that line, `close`
 whether its closing word or bracket begins the last one; `top` and `bot` count the
@@ -46,15 +48,15 @@ ROWS = 2000
 
 SPAN_SQL = "struct<start:int,end:int,line:int,column:int,last_line:int,last_column:int>"
 KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,n:int,of:int,lead:boolean,at:{SPAN_SQL},sel:{SPAN_SQL}>"
-SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string>>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
+SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
 KID = pa.struct([*_STRINGS, ("n", pa.int32()), ("of", pa.int32()), ("lead", pa.bool_()), ("at", SPAN), ("sel", SPAN)])
-UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form")])
+UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form", "cond")])
 DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
 TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
-SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
+SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
 
 
 class Places:
@@ -102,6 +104,25 @@ def directive(line: int, comment: str, own: bool) -> dict | None:
     return {"line": line, "disabled": m[1] != "enable", "own": own, "names": names}
 
 
+def names_read(tree: Node) -> dict[Node, set[str]]:
+    """The local variables that are read within each block, lambda and method, and
+    `super` where it calls that."""
+    out: dict[Node, set[str]] = {}
+    todo: list[tuple[Node, tuple[Node, ...]]] = [(tree, ())]
+    while todo:
+        node, inside = todo.pop()
+        name = node.name if node.kind == "local_variable_read" or node.kind.startswith("local_variable_") and node.kind not in ("local_variable_write", "local_variable_target") else None
+        name = node.name if node.form == "shorthand" else "super" if node.kind in ("super", "forwarding_super") else name
+        if name:
+            for n in inside:
+                out[n].add(name)
+        if node.kind in ("block", "lambda", "def"):
+            inside = (node,) if node.kind == "def" else (*inside, node)
+            out[node] = set()
+        todo += [(k, inside) for _, k in node.kids]
+    return out
+
+
 def rows_of(path: str | None, text: str | None, told: list[dict] | None = None) -> Iterator[dict]:
     """The rows of one file."""
     text = text or ""
@@ -156,17 +177,21 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
         return {"hdr": head, "top": top, "bot": bot if head + top < last - 1 else 0, "close": not whole[last - 1][: column - word].strip()}
 
     if tree:
+        reads = names_read(tree)
         todo: list[tuple[Node, str, int | None, int, tuple, int]] = [(tree, "", None, 0, (), 0)]
         while todo:
             node, role, parent, order, up, depth = todo.pop()
             if node.form == "heredoc" and node.sel:
                 heredocs.append(node.sel)
             kids = [kid(r, k, None) for r, k in node.kids]
-            deeper = [kid(r, g, i) for i, (_, k) in enumerate(node.kids) for r, g in k.kids] if node.kind not in ("program", "class", "module", "singleton_class") else []
+            deeper = [kid(r, g, i) for i, (_, k) in enumerate(node.kids) for r, g in k.kids]
             geometry = around(node) if node.kind in HEADED else {}
+            if node in reads:
+                geometry["reads"] = sorted(reads[node])
             made = row(**geometry, rest=whole[places.of(node.end)[0] - 1][places.of(node.end)[1] - 1 :][:SOURCE], parent=parent, ord=order, depth=depth, role=role, kind=node.kind, name=node.name, form=node.form, op=node.op, open=node.open, src=text[node.start : node.end] if node.end - node.start <= SOURCE else None, at=places.span(node.start, node.end), sel=places.span(*node.sel) if node.sel else None, kids=kids, kids2=deeper, up=list(up))
             yield made
-            above = ({"kind": node.kind, "name": node.name, "role": role, "form": node.form}, *up)
+            told_by = node.kid("cond") or node.kid("superclass")
+            above = ({"kind": node.kind, "name": node.name, "role": role, "form": node.form, "cond": text[told_by.start : told_by.end][:SOURCE] if told_by else None}, *up)
             todo += [(k, r, made["id"], i, above, depth + 1) for i, (r, k) in reversed(list(enumerate(node.kids)))]
         for c in comments:
             yield row(kind="comment", role="", name=c.name, form=c.form, src=c.name, at=places.span(c.start, c.end), open="own" if not text[places.starts[places.of(c.start)[0] - 1] : c.start].strip() else "trailing")

@@ -1720,6 +1720,7 @@ class Parser:
                     self.fail("expected a parameter")
                 name = m.group()
                 self.i = m.end()
+                known = "shadows" if name in scope else None
                 scope.add(name)
                 if self.peek() == ":" and self.peek(2) != "::":
                     self.i += 1
@@ -1741,7 +1742,7 @@ class Parser:
                         out.append(("param", Node("optional_parameter", start, value.end, name, [("value", value)], m.span())))
                     else:
                         self.i = at
-                        out.append(("param", Node("required_parameter", start, at, name, sel=m.span())))
+                        out.append(("param", Node("required_parameter", start, at, name, sel=m.span(), form=known)))
             skip()
             if self.peek() == ",":
                 self.i += 1

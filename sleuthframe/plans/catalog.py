@@ -171,7 +171,7 @@ def examples_sql(some: list) -> str:
 
     rows = ", ".join(f"({i}, {k}, {text(path)}, {text(rule)}, {', '.join(map(str, r[:5]))}, {text(r[5])})" for i, (k, rule, path, _, spans) in enumerate(some) for r in spans)
     return f"""WITH e(i, example, name, rule, line, "column", last_line, last_column, length, message) AS (VALUES {rows})
-SELECT concat('part/', p_partkey, '/', example, '/', name) AS path, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", CAST(last_line AS INT) AS last_line, CAST(last_column AS INT) AS last_column, CAST(length AS INT) AS length, rule, message
+SELECT concat('part/', p_partkey, '/', example, '/', name) AS path, CAST(line AS INT) AS line, CAST("column" AS INT) AS "column", CAST(last_line AS INT) AS last_line, CAST(last_column AS INT) AS last_column, CAST(length AS INT) AS length, rule, replace(message, '{{path}}', concat('part/', p_partkey, '/', example, '/', name)) AS message
 FROM part JOIN e ON p_partkey % {len(some)} = i"""
 
 

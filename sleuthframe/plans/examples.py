@@ -299,6 +299,61 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Layout/SpaceInsideReferenceBrackets", "a[« »1« »]\nb[1]\n", "Space inside reference brackets detected."),
     ("Layout/SpaceInsideStringInterpolation", "a = \"#{« »b« »}\"\nc = \"#{d}\"\n", "Do not use space inside string interpolation."),
     ("Layout/EmptyLineAfterMagicComment", "# frozen_string_literal: true\n«a»\n", "Add an empty line after magic comments."),
+    ("Lint/AmbiguousAssignment", "a «=-» 1\nb = -1\nc -= 1\n", "Suspicious assignment detected. Did you mean `-=`?"),
+    ("Lint/AmbiguousBlockAssociation", "«a b { |c| c }»\na(b { |c| c })\n", "Parenthesize the param `b { |c| c }` to make sure that the block will be associated with the `b` method call."),
+    ("Lint/AmbiguousOperator", "a «*»b\na «&»b\na «-»1\na(*b)\na - 1\n", "Ambiguous splat operator. Parenthesize the method arguments if it's surely a splat operator, or add a whitespace to the right of the `*` if it should be a multiplication.", "Ambiguous block operator. Parenthesize the method arguments if it's surely a block operator, or add a whitespace to the right of the `&` if it should be a binary AND.", "Ambiguous negative number operator. Parenthesize the method arguments if it's surely a negative number operator, or add a whitespace to the right of the `-` if it should be a subtraction."),
+    ("Lint/AmbiguousOperatorPrecedence", "a + «b * c»\nd || «e && f»\ng + (h * i)\nj + k - l\n", "Wrap expressions with varying precedence with parentheses to avoid ambiguity."),
+    ("Lint/ConstantOverwrittenInRescue", "begin\n  a\nrescue «=>» StandardError\n  b\nend\n", "`StandardError` is overwritten by `rescue =>`."),
+    ("Lint/ConstantReassignment", "A = 1\nB = 2\n«A = 3»\n", "Constant is already assigned."),
+    ("Lint/DataDefineOverride", "A = Data.define(«:hash», :b)\n", "`:hash` member overrides `Data#hash` and it may be unexpected."),
+    ("Lint/StructNewOverride", "A = Struct.new(:b, «:count»)\n", "`:count` member overrides `Struct#count` and it may be unexpected."),
+    ("Lint/DeprecatedConstants", "a = «NIL»\nb = nil\nc = X::TRUE\n", "Use `nil` instead of `NIL`, deprecated since Ruby 2.4."),
+    ("Lint/DeprecatedOpenSSLConstant", "«OpenSSL::Digest::SHA256.new»\nOpenSSL::Digest.new('SHA256')\n", "Use `OpenSSL::Digest.new('SHA256')` instead of `OpenSSL::Digest::SHA256.new`."),
+    ("Lint/DisjunctiveAssignmentInConstructor", "class A\n  def initialize\n    @b «||=» 1\n    c\n    @d ||= 2\n  end\nend\n", "Unnecessary disjunctive assignment. Use plain assignment."),
+    ("Lint/DuplicateBranch", "if a\n  b\n«else»\n  b\nend\ncase c\nwhen 1\n  d\n«when 2\n  d»\nwhen 3\n  e\nend\n", "Duplicate branch body detected."),
+    ("Lint/DuplicateElsifCondition", "if a\n  1\nelsif b\n  2\nelsif «a»\n  3\nend\n", "Duplicate `elsif` condition detected."),
+    ("Lint/DuplicateMatchPattern", "case a\nin 1\n  b\nin «1»\n  c\nend\n", "Duplicate `in` pattern detected."),
+    ("Lint/DuplicateMethods", "class A\n  def b\n    1\n  end\n\n  «def b»\n    2\n  end\n\n  def self.b\n    3\n  end\nend\n", "Method `A#b` is defined at both {path}:2 and {path}:6."),
+    ("Lint/DuplicateRequire", "require 'a'\nrequire 'b'\n«require 'a'»\n", "Duplicate `require` detected."),
+    ("Lint/FormatParameterMismatch", "«format»('%s %s', a)\nformat('%s %d%%', a, b)\n", "Number of arguments (1) to format string differs from number of fields (2)."),
+    ("Lint/HashNewWithKeywordArgumentsAsDefault", "a = Hash.new(«b: 1»)\nc = Hash.new({ b: 1 })\n", "Use a hash literal instead of keyword arguments."),
+    ("Lint/IneffectiveAccessModifier", "class A\n  private\n\n  «def» self.b\n    1\n  end\nend\n", "`private` (on line 2) does not make singleton methods private. Use `private_class_method` or `private` inside a `class << self` block instead."),
+    ("Lint/LambdaWithoutLiteralBlock", "«lambda(&a)»\nlambda { 1 }\n", "lambda without a literal block is deprecated; use the proc without lambda instead."),
+    ("Lint/MissingSuper", "class A < B\n  «def initialize\n    1\n  end»\nend\n\nclass C < D\n  def initialize\n    super\n  end\nend\n", "Call `super` to initialize state of the parent class."),
+    ("Lint/MixedRegexpCaptureTypes", "a = «/(?<b>c)(d)/»\ne = /(f)(?:g)/\n", "Do not mix named captures and numbered captures in a Regexp literal."),
+    ("Lint/NestedPercentLiteral", "a = «%w[%w(b) c]»\nd = %w[e f]\n", "Within percent literals, nested percent literals do not function and may be unwanted in the result."),
+    ("Lint/NextWithoutAccumulator", "a.reduce(0) do |b, c|\n  «next» if c\n  b + c\nend\n", "Use `next` with an accumulator argument in a `reduce`."),
+    ("Lint/NonDeterministicRequireOrder", "«Dir['*.rb'].each» { |a| require a }\nDir['*.rb'].sort.each { |a| require a }\n", "Sort files before requiring them."),
+    ("Lint/NumericOperationWithConstantResult", "«a * 0»\na * 2\n", "Numeric operation with a constant result detected."),
+    ("Lint/RedundantSafeNavigation", "A«&.»b\nc&.d\n", "Redundant safe navigation detected."),
+    ("Lint/RedundantSplatExpansion", "a(«*[1, 2]»)\na(*b)\n", "Redundant splat expansion."),
+    ("Lint/RedundantTypeConversion", "'a'.«to_s»\nb.to_s.«to_s»\nb.to_i\n", "Redundant `to_s` detected."),
+    ("Lint/RequireParentheses", "«a? b && c»\na?(b) && c\n", "Use parentheses in the method call to avoid confusion about precedence."),
+    ("Lint/RequireRelativeSelfPath", "«require_relative 'a'»\nrequire_relative 'b'\n", "Remove the `require_relative` that requires itself."),
+    ("Lint/ShadowingOuterLocalVariable", "a = 1\nb.each { |«a»| p a }\nb.each { |c| p c }\n", "Shadowing outer local variable."),
+    ("Lint/TripleQuotes", "a = «\"\"\"b\"\"\"»\nc = \"d\"\n", "Delimiting a string with multiple quotes has no effect, use a single quote instead."),
+    ("Lint/UnderscorePrefixedVariableName", "a { |«_b»| p _b }\nc { |_d| p 1 }\n", "Do not use prefix `_` for a variable that is used."),
+    ("Lint/UnescapedBracketInRegexp", "a = /b«]»/\nc = /[d]/\n", "Regular expression has `]` without escape."),
+    ("Lint/UnexpectedBlockArity", "«a.reduce { |b| b }»\na.reduce { |b, c| b + c }\n", "`reduce` expects at least 2 positional arguments, got 1."),
+    ("Lint/UnreachableLoop", "«while a\n  b\n  break\nend»\nwhile a\n  break if b\nend\n«loop { return 1 }»\n", "This loop will have at most one iteration."),
+    ("Lint/UnusedBlockArgument", "a { |«b»| c }\nd { |e, «f»| e }\ng { |_h| i }\nj { |k| k }\n", "Unused block argument - `b`. You can omit the argument if you don't care about it.", "Unused block argument - `f`. If it's necessary, use `_` or `_f` as an argument name to indicate that it won't be used."),
+    ("Lint/UselessAccessModifier", "class A\n  def b\n    1\n  end\n\n  «private»\nend\n", "Useless access modifier."),
+    ("Lint/UselessConstantScoping", "class A\n  private\n\n  «B = 1»\n\n  def c\n    2\n  end\nend\n", "Useless `private` access modifier for constant scope."),
+    ("Lint/UselessDefaultValueArgument", "a.fetch(:b, «c») { d }\na.fetch(:b) { d }\n", "Block supersedes default value argument."),
+    ("Lint/UselessDefined", "p «defined?('A')»\np defined?(A)\n", "Calling `defined?` with a string argument will always return a truthy value."),
+    ("Lint/UselessMethodDefinition", "class A\n  «def b\n    super\n  end»\n\n  def c\n    super\n    1\n  end\nend\n", "Useless method definition detected."),
+    ("Lint/UselessNumericOperation", "p «a + 0»\np «a * 1»\np a + 1\n", "Do not apply inconsequential numeric operations to variables."),
+    ("Lint/UselessOr", "a = b.to_s «|| c»\nd = b || c\n", "`c` will never evaluate because `b.to_s` always returns a truthy value."),
+    ("Lint/UselessRescue", "begin\n  a\n«rescue B => e\n  raise e»\nend\nbegin\n  a\nrescue B\n  raise C\nend\n", "Useless `rescue` detected."),
+    ("Lint/UselessSetterCall", "def a\n  b = C.new\n  «b».d = 1\nend\n", "Useless setter call to local variable `b`."),
+    ("Lint/Void", "def a\n  b «==» c\n  «1»\n  d\nend\n", "Operator `==` used in void context.", "Literal `1` used in void context."),
+    ("Naming/BlockParameterName", "a { |«bC», d| bC + d }\n", "Only use lowercase characters for block parameter."),
+    ("Naming/MemoizedInstanceVariableName", "def a\n  «@b» ||= 1\nend\n\ndef c\n  @c ||= 1\nend\n", "Memoized variable `@b` does not match method name `a`. Use `@a` instead."),
+    ("Bundler/DuplicatedGem", "gem 'a'\ngem 'b'\n«gem 'a', '1'»\n", "Gem `a` requirements already given on line 1 of the Gemfile.", "path=Gemfile"),
+    ("Bundler/OrderedGems", "gem 'b'\n«gem 'a'»\n\ngem '0'\n", "Gems should be sorted in an alphabetical order within their section of the Gemfile. Gem `a` should appear before `b`.", "path=Gemfile"),
+    ("Gemspec/OrderedDependencies", "Gem::Specification.new do |spec|\n  spec.add_dependency 'b'\n  «spec.add_dependency 'a'»\nend\n", "Dependencies should be sorted in an alphabetical order within their section of the gemspec. Dependency `a` should appear before `b`.", "path=a.gemspec"),
+    ("Gemspec/DuplicatedAssignment", "Gem::Specification.new do |spec|\n  spec.name = 'a'\n  spec.x = 1\n  «spec.name = 'b'»\nend\n", "`name=` method calls already given on line 2 of the gemspec.", "path=a.gemspec"),
+    ("Gemspec/DevelopmentDependencies", "Gem::Specification.new do |spec|\n  «spec.add_development_dependency 'a'»\n  spec.add_dependency 'b'\nend\n", "Specify development dependencies in Gemfile.", "path=a.gemspec"),
 ]
 
 

@@ -1,5 +1,5 @@
 """Rules over syntax trees, declared as conditions on the columns of `nodes`."""
 
-from sleuthframe.rules import layout, lint, naming, security, style
+from sleuthframe.rules import layout, lint, lint_more, naming, security, style
 
-RULES = (*layout.RULES, *lint.RULES, *security.RULES, *style.RULES, *naming.RULES)
+RULES = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *naming.RULES)

@@ -55,7 +55,8 @@ VIEW_2 = {
 @dataclass(frozen=True)
 class NodeRule:
     """kinds: node kinds, separated by blanks; where: a condition; message: text,
-    or SQL after `=`; at: SQL of the span to report, or of an array of spans with
+    or SQL after `=`, or after `@` SQL of an array of
+    messages beside those of many=True; at: SQL of the span to report, or of an array of spans with
     many=True; options: configuration keys with their defaults, whose values stand
     for {Key} in where and message; fix: SQL of the text to put at the span."""
 
@@ -80,7 +81,7 @@ class NodeRule:
     @property
     def message_sql(self) -> str:
         text = self.filled(self.message)
-        return text[1:] if text.startswith("=") else quoted(text)
+        return text[1:] if text[0] in "=@" else quoted(text)
 
 
 def quoted(text: str) -> str:
@@ -142,7 +143,8 @@ def view(rows: DataFrame) -> DataFrame:
 def _finding(rule: NodeRule) -> str:
     at = rule.at if rule.many else f"array({rule.at})"
     fix = rule.filled(rule.fix) if rule.fix else "cast(null AS string)"
-    return f"CASE WHEN {rule.filled(rule.where)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'message', {rule.message_sql}, 'correctable', {str(rule.correctable).lower()}, 'fix', {fix}, 'spans', cast({rule.filled(at)} AS array<{SPAN_SQL}>)) END"
+    message = rule.message_sql if rule.message[0] == "@" else f"array({rule.message_sql})"
+    return f"CASE WHEN {rule.filled(rule.where)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'messages', cast({message} AS array<string>), 'correctable', {str(rule.correctable).lower()}, 'fix', {fix}, 'spans', cast({rule.filled(at)} AS array<{SPAN_SQL}>)) END"
 
 
 def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
@@ -154,14 +156,14 @@ def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
             by_kind.setdefault(kind, []).append(rule)
     if not by_kind:
         by_kind = {"": []}
-    none = f"cast(array() AS array<struct<rule:string,severity:string,message:string,correctable:boolean,fix:string,spans:array<{SPAN_SQL}>>>)"
+    none = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,fix:string,spans:array<{SPAN_SQL}>>>)"
     each = " ".join(f"WHEN {quoted(kind)} THEN array_compact(array({', '.join(map(_finding, some))}))" for kind, some in by_kind.items() if some)
     found = F.expr(f"CASE kind {each} ELSE {none} END" if each else none)
     looked = view(rows.filter(F.col("kind").isin("file", *by_kind))).select("path", "dirs", F.explode(F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)).alias("f"))
-    return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "message", "correctable", "fix", F.explode("spans").alias("at"))
+    return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "messages", "correctable", "fix", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "fix", "at")
 
 
-TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'message', t.message, 'correctable', false, 'fix', cast(null AS string), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"
+TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'messages', array(t.message), 'correctable', false, 'fix', cast(null AS string), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"
 
 
 def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule], directives: bool = False) -> DataFrame:
