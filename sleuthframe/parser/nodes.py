@@ -10,7 +10,9 @@ text of nodes up to SOURCE characters; rules that compare texts pass longer ones
 Rows of kind `line` have the line as it is in `src`, with the insides of literals
 and comments masked in `name`, its number of lines in `depth`, its carriage
 return in `op`, `final` in `open` if the file ends with a newline, and the lines
-before and after as `kids`. `reads`
+before and after as `kids`. `i_recv` and the like say which of
+the kids has a role first, `n_arg` and `n_body` how many there are, one after
+another, and `i_scope` which of `up` is the nearest definition or program. `reads`
 are the local variables read within a block, lambda or method, and `super` where
 it calls that. `prev` and `next` are the lines
 before a row's first and after its last line, `rest` what follows it on that line,
@@ -33,6 +35,7 @@ import sys
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -44,11 +47,14 @@ MASK = "\x01"
 HEADED = frozenset("class module singleton_class def block lambda begin if unless while until for case case_match".split())
 COMMENT = re.compile(r"# rubocop:\s*(disable|todo|enable)(.*)$", re.M)
 #: Rows that go to Spark at once.
-ROWS = 2000
+ROWS = 4000
 
 SPAN_SQL = "struct<start:int,end:int,line:int,column:int,last_line:int,last_column:int>"
 KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,n:int,of:int,lead:boolean,at:{SPAN_SQL},sel:{SPAN_SQL}>"
-SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
+#: Where a row's kids of each role are: the index of the first, and how many.
+INDEX = ["recv", "block", "cond", "value", "else", "params", "operator", "arg", "body", "scope"]
+INDEX_SQL = ", ".join([*(f"i_{n} int" for n in INDEX), "n_arg int", "n_body int"])
+SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, {INDEX_SQL}, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
@@ -56,7 +62,7 @@ KID = pa.struct([*_STRINGS, ("n", pa.int32()), ("of", pa.int32()), ("lead", pa.b
 UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form", "cond")])
 DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
 TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
-SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
+SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot", *(f"i_{n}" for n in INDEX), "n_arg", "n_body")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
 
 
 class Places:
@@ -73,7 +79,8 @@ class Places:
         line = bisect_right(self.starts, at)
         return line, at - self.starts[line - 1] + 1
 
-    def span(self, start: int, end: int) -> dict:
+    def span(self, start: int, end: int) -> tuple:
+        """(start, end, line, column, last line, last column)."""
         line, column = self.of(start)
         if end <= start:
             last = (line, column if self.text else 0)
@@ -81,7 +88,7 @@ class Places:
                 last = (line, 0)
         else:
             last = (self.of(end - 1)[0] + 1, 1) if self.text[end - 1] == "\n" else self.of(end - 1)
-        return {"start": start, "end": end, "line": line, "column": column, "last_line": last[0], "last_column": last[1]}
+        return start, end, line, column, *last
 
 
 def masked(text: str, literal: list[tuple[int, int]], comments: list[Node]) -> str:
@@ -123,21 +130,94 @@ def names_read(tree: Node) -> dict[Node, set[str]]:
     return out
 
 
-def rows_of(path: str | None, text: str | None, told: list[dict] | None = None) -> Iterator[dict]:
-    """The rows of one file."""
+#: Fields of a node as a kid, but for its role and the index of its parent.
+Info = tuple
+
+
+class Rows:
+    """Rows of the table, held by column until they are enough for a batch."""
+
+    def __init__(self) -> None:
+        self.plain: list[tuple] = []
+        self.at: list[tuple] = []
+        self.sel: list[tuple | None] = []
+        self.lists: dict[str, tuple[list[int], list[tuple]]] = {n: ([0], []) for n in ("kids", "kids2", "up")}
+
+    def __len__(self) -> int:
+        return len(self.plain)
+
+    def add(self, plain: tuple, at: tuple, sel: tuple | None = None, kids: list | tuple = (), kids2: list | tuple = (), up: tuple = ()) -> None:
+        """plain: the other columns in the order of PLAIN."""
+        self.plain.append(plain)
+        self.at.append(at)
+        self.sel.append(sel)
+        for name, some in (("kids", kids), ("kids2", kids2), ("up", up)):
+            offsets, flat = self.lists[name]
+            flat.extend(some)
+            offsets.append(len(flat))
+
+    @staticmethod
+    def spans(found: list[tuple | None]) -> pa.StructArray:
+        none = np.array([f is None for f in found], bool)
+        values = np.array([f or (0, 0, 0, 0, 0, 0) for f in found], np.int32).reshape(-1, 6)
+        return pa.StructArray.from_arrays([pa.array(values[:, k]) for k in range(6)], fields=list(SPAN), mask=pa.array(none))
+
+    def kids(self, name: str) -> pa.ListArray:
+        offsets, flat = self.lists[name]
+        if name == "up":
+            columns = [pa.array([f[k] for f in flat], pa.string()) for k in range(len(UP))]
+            items = pa.StructArray.from_arrays(columns, fields=list(UP))
+        else:
+            # (role, info, of)
+            info = [f[1] for f in flat]
+            columns = [pa.array([f[0] for f in flat], pa.string()), *(pa.array([i[k] for i in info], pa.string()) for k in range(6)), pa.array([i[6] for i in info], pa.int32()), pa.array([f[2] for f in flat], pa.int32()), pa.array([i[7] for i in info], pa.bool_())]
+            items = pa.StructArray.from_arrays([*columns, self.spans([i[8] for i in info]), self.spans([i[9] for i in info])], fields=list(KID))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+
+    def batch(self) -> pa.RecordBatch:
+        columns = dict(zip(PLAIN, zip(*self.plain, strict=True), strict=True))
+        made = {"at": self.spans(self.at), "sel": self.spans(self.sel), **{n: self.kids(n) for n in self.lists}}
+        return pa.record_batch([made[f.name] if f.name in made else pa.array(columns[f.name], f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+NOWHERE = (*[None] * len(INDEX), 0, 0)
+#: Roles that count as another one's in INDEX.
+AS = {"then": "operator", "do": "operator"}
+SCOPES = frozenset(["def", "class", "module", "singleton_class", "program"])
+
+
+def indexed(node: Node, up: tuple) -> tuple:
+    """Values of the columns of INDEX, and how many arguments and statements there are."""
+    first: dict[str, int] = {}
+    n_arg = n_body = 0
+    for i, (role, _) in enumerate(node.kids):
+        first.setdefault(AS.get(role, role), i)
+        n_arg += role == "arg"
+        n_body += role == "body"
+    scope = next((i for i, u in enumerate(up) if u[0] in SCOPES), None)
+    return (*(first.get(n) for n in INDEX[:-1]), scope, n_arg, n_body)
+
+
+PLAIN = [f.name for f in SCHEMA if f.name not in ("at", "sel", "kids", "kids2", "up")]
+
+
+def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None = None) -> None:
+    """Add the rows of one file."""
     text = text or ""
     places = Places(text)
-    count, dirs, whole = 0, [], [line.removesuffix("\r") for line in text.split("\n")]
+    starts, of, span = places.starts, places.of, places.span
+    count, dirs = 0, []
+    whole = [line.removesuffix("\r") for line in text.split("\n")]
     n_lines = len(whole) - (whole[-1] == "")
+    indents = [len(w) - len(w.lstrip(" \t")) for w in whole]
 
-    def row(**given) -> dict:
+    def put(at: tuple, sel: tuple | None = None, kids=(), kids2=(), up=(), *, parent=None, ord=None, depth=None, role="", kind, name=None, form=None, op=None, open=None, src=None, reads=None, rest=None, close=None, hdr=None, top=None, bot=None, told=(), index=NOWHERE) -> int:
         nonlocal count
+        first, last = at[2], at[4]
+        ind = indents[first - 1]
+        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, *index, dirs, told), at, sel, kids, kids2, up)
         count += 1
-        at = given["at"]
-        first, last = at["line"], at["last_line"]
-        bare = whole[first - 1]
-        beside = {"prev": whole[first - 2][:SOURCE] if first > 1 else None, "next": whole[last][:SOURCE] if last < n_lines else None}
-        return {**beside, "ind": len(bare) - len(bare.lstrip(" \t")), "lead": not bare[: at["column"] - 1].strip(), "dirs": dirs, "path": path, "id": count - 1, "parent": None, "ord": None, "depth": None, "kids": [], "kids2": [], "up": [], **given}
+        return count - 1
 
     tree, failure = None, None
     try:
@@ -147,27 +227,33 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
     literal, comments = (parser.literal, parser.comments) if tree else ([], [])
     if "# rubocop:" in text:
         if tree:
-            seen = [(places.of(c.start)[0], c.name, not text[places.starts[places.of(c.start)[0] - 1] : c.start].strip()) for c in comments]
+            seen = [(of(c.start)[0], c.name, not text[starts[of(c.start)[0] - 1] : c.start].strip()) for c in comments]
         else:
-            seen = [(k, line[line.index("# rubocop:") :], not line.split("# rubocop:")[0].strip()) for k, line in enumerate(text.split("\n"), 1) if "# rubocop:" in line]
+            seen = [(k, line[line.index("# rubocop:") :], not line.split("# rubocop:")[0].strip()) for k, line in enumerate(whole, 1) if "# rubocop:" in line]
         dirs += [d for d in (directive(*c) for c in sorted(seen)) if d]
-    yield row(kind="file", role="", told=told or [], at=places.span(0, min(1, len(text))))
+    put(span(0, min(1, len(text))), kind="file", told=told or ())
     if failure:
         at = min(failure.at, len(text))
-        yield row(kind="error", role="", name=failure.message, at=places.span(at, min(at + 1, len(text))))
+        put(span(at, min(at + 1, len(text))), kind="error", name=failure.message)
     code = masked(text, literal, comments) if tree else text
     heredocs: list[tuple[int, int]] = []
+    infos: dict[Node, Info] = {}
 
-    def kid(role: str, node: Node, of: int | None) -> dict:
-        return {"role": role, "kind": node.kind, "name": node.name, "form": node.form, "op": node.op, "open": node.open, "src": text[node.start : node.end] if node.end - node.start <= SOURCE else None, "n": len(node.kids), "of": of, "lead": not whole[places.of(node.start)[0] - 1][: places.of(node.start)[1] - 1].strip(), "at": places.span(node.start, node.end), "sel": places.span(*node.sel) if node.sel else None}
+    def info(node: Node) -> Info:
+        found = infos.get(node)
+        if found is None:
+            at = span(node.start, node.end)
+            lead = at[3] - 1 <= indents[at[2] - 1]
+            found = infos[node] = (node.kind, node.name, node.form, node.op, node.open, text[node.start : node.end] if node.end - node.start <= SOURCE else None, len(node.kids), lead, at, span(*node.sel) if node.sel else None)
+        return found
 
     def around(node: Node) -> dict:
         """Blank lines within a node that has a heading and a closing word."""
         heads = [k.end for r, k in node.kids if r in ("params", "superclass", "path", "cond", "value", "recv")]
         if node.kind == "begin":
             heads = []
-        head = places.of(max([node.sel[1] if node.sel else node.start, *heads]) - 1)[0]
-        last, column = places.of(node.end - 1)
+        head = of(max([node.sel[1] if node.sel else node.start, *heads]) - 1)[0]
+        last, column = of(node.end - 1)
         top = bot = 0
         while head + top < last - 1 and not whole[head + top].strip():
             top += 1
@@ -183,45 +269,41 @@ def rows_of(path: str | None, text: str | None, told: list[dict] | None = None)
             node, role, parent, order, up, depth = todo.pop()
             if node.form == "heredoc" and node.sel:
                 heredocs.append(node.sel)
-            kids = [kid(r, k, None) for r, k in node.kids]
-            deeper = [kid(r, g, i) for i, (_, k) in enumerate(node.kids) for r, g in k.kids]
-            geometry = around(node) if node.kind in HEADED else {}
+            kind, name, form, op, open_, src, _, _, at, sel = info(node)
+            kids = [(r, info(k), None) for r, k in node.kids]
+            deeper = [(r, info(g), i) for i, (_, k) in enumerate(node.kids) for r, g in k.kids]
+            geometry = around(node) if kind in HEADED else {}
             if node in reads:
                 geometry["reads"] = sorted(reads[node])
-            made = row(**geometry, rest=whole[places.of(node.end)[0] - 1][places.of(node.end)[1] - 1 :][:SOURCE], parent=parent, ord=order, depth=depth, role=role, kind=node.kind, name=node.name, form=node.form, op=node.op, open=node.open, src=text[node.start : node.end] if node.end - node.start <= SOURCE else None, at=places.span(node.start, node.end), sel=places.span(*node.sel) if node.sel else None, kids=kids, kids2=deeper, up=list(up))
-            yield made
+            line, column = of(node.end)
+            me = put(at, sel, kids, deeper, up, parent=parent, ord=order, depth=depth, role=role, kind=kind, name=name, form=form, op=op, open=open_, src=src, rest=whole[line - 1][column - 1 : column - 1 + SOURCE], index=indexed(node, up), **geometry)
             told_by = node.kid("cond") or node.kid("superclass")
-            above = ({"kind": node.kind, "name": node.name, "role": role, "form": node.form, "cond": text[told_by.start : told_by.end][:SOURCE] if told_by else None}, *up)
-            todo += [(k, r, made["id"], i, above, depth + 1) for i, (r, k) in reversed(list(enumerate(node.kids)))]
+            above = ((kind, name, role, form, text[told_by.start : told_by.end][:SOURCE] if told_by else None), *up)
+            todo += [(k, r, me, i, above, depth + 1) for i, (r, k) in reversed(list(enumerate(node.kids)))]
         for c in comments:
-            yield row(kind="comment", role="", name=c.name, form=c.form, src=c.name, at=places.span(c.start, c.end), open="own" if not text[places.starts[places.of(c.start)[0] - 1] : c.start].strip() else "trailing")
+            put(span(c.start, c.end), kind="comment", name=c.name, form=c.form, src=c.name, open="own" if not text[starts[of(c.start)[0] - 1] : c.start].strip() else "trailing")
         for at, form in parser.semicolons:
-            yield row(kind="semicolon", role="", name=";", form=form, src=";", at=places.span(at, at + 1))
-    starts = places.starts if not text.endswith("\n") else places.starts[:-1]
-    bounds = []
-    for k, start in enumerate(starts if text else []):
-        end = starts[k + 1] - 1 if k + 1 < len(starts) else len(text) - text.endswith("\n")
-        bare = end - (end > start and text[end - 1] == "\r")
-        bounds.append((start, bare, end > bare))
-
-    for k, (start, end, cr) in enumerate(bounds):
+            put(span(at, at + 1), kind="semicolon", name=";", form=form, src=";")
+    for k in range(n_lines):
+        start = starts[k]
+        end = start + len(whole[k])
         form = "heredoc" if any(a <= start < b for a, b in heredocs) else "data" if tree and parser.data is not None and start >= parser.data else None
-        yield row(kind="line", role="", ord=k + 1, depth=len(bounds), name=code[start:end], form=form, src=text[start:end], op="\r" if cr else None, open="final" if text.endswith("\n") else None, at=places.span(start, end))
+        cr = text.startswith("\r", end)
+        put((start, end, k + 1, 1, k + 1, max(1, end - start)), kind="line", ord=k + 1, depth=n_lines, name=code[start:end], form=form, src=whole[k], op="\r" if cr else None, open="final" if text.endswith("\n") else None)
 
 
 def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    rows = Rows()
     for batch in batches:
-        held: list[dict] = []
         told = batch.column("told").to_pylist()
         for path, text, carried in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), told, strict=True):
-            for r in rows_of(path, text, carried):
-                held.append(r)
-                if len(held) >= ROWS:
-                    yield pa.RecordBatch.from_pylist(held, SCHEMA)
-                    held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, SCHEMA)
+            fill(rows, path, text, carried)
+            if len(rows) >= ROWS:
+                yield rows.batch()
+                rows = Rows()
+    if len(rows):
+        yield rows.batch()
 
 
 def nodes(files: DataFrame) -> DataFrame:

@@ -39,19 +39,11 @@ class Node:
 KEYWORDS = frozenset("__ENCODING__ __FILE__ __LINE__ BEGIN END alias and begin break case class def defined? do else elsif end ensure false for if in module next nil not or redo rescue retry return self super then true undef unless until when while yield".split())
 #: Keywords that may begin an argument without parentheses.
 ARGUMENT_KEYWORDS = frozenset("__ENCODING__ __FILE__ __LINE__ begin case class def defined? false if nil not self super true unless while until yield".split()) - {"if", "unless", "while", "until"}
-#: Loosest first: operators of a level and whether they group to the right.
-LEVELS: list[tuple[tuple[str, ...], bool]] = [
-    (("...", ".."), False),
-    (("||",), False),
-    (("&&",), False),
-    (("<=>", "===", "==", "!=", "=~", "!~"), False),
-    (("<=", ">=", "<", ">"), False),
-    (("|", "^"), False),
-    (("&",), False),
-    (("<<", ">>"), False),
-    (("+", "-"), False),
-    (("*", "/", "%"), False),
-]
+#: Binary operators from the loosest to the tightest; those of a level group to the left.
+LEVELS = [["...", ".."], ["||"], ["&&"], ["<=>", "===", "==", "!=", "=~", "!~"], ["<=", ">=", "<", ">"], ["|", "^"], ["&"], ["<<", ">>"], ["+", "-"], ["*", "/", "%"]]
+TIGHTNESS = {op: level for level, ops in enumerate(LEVELS) for op in ops}
+BINARY = re.compile("|".join(re.escape(op) for op in sorted(TIGHTNESS, key=len, reverse=True)))
+ASSIGNABLE = frozenset(["||", "&&", "|", "^", "&", "<<", ">>", "+", "-", "*", "/", "%"])
 ASSIGN = re.compile(r"(\*\*|\|\||&&|<<|>>|[-+*/%|&^])?=(?![=~>])")
 IDENT = re.compile("[A-Za-z_\x80-\U0010ffff][A-Za-z0-9_\x80-\U0010ffff]*")
 METHOD = re.compile(r"[^\W\d]\w*[?!]?(?!=[=~>])|[^\W\d]\w*")
@@ -503,41 +495,28 @@ class Parser:
         return Node("defined", start, self.i, kids=[("value", inner)], sel=(start, start + 8), open="(")
 
     def binary(self, level: int) -> Node:
-        if level == len(LEVELS):
-            return self.unary()
-        return self.binary_rest(self.binary(level + 1), level)
-
-    def operator(self, level: int) -> str | None:
-        for op in LEVELS[level][0]:
-            if self.s.startswith(op, self.i):
-                after = self.s[self.i + len(op) : self.i + len(op) + 1]
-                if op in ("|", "&") and after == op or op in ("*",) and after == "*" or op == ".." and after == ".":
-                    continue
-                if op == "=="[:1] or after == "=" and op in ("||", "&&", "|", "^", "&", "<<", ">>", "+", "-", "*", "/", "%") and self.s[self.i + len(op) + 1 : self.i + len(op) + 2] not in ("=", "~"):
-                    return None
-                if op == "&" and after == ".":
-                    return None
-                if op == "<=" and after == ">":
-                    continue
-                if op in ("<", ">") and after in ("<", ">", "=") or op in ("==",) and after == "=":
-                    continue
-                return op
-        return None
+        return self.binary_rest(self.unary(), level)
 
-    def binary_rest(self, left: Node, level: int) -> Node:
-        for lower in range(len(LEVELS) - 1, level, -1):
-            left = self.binary_at(left, lower)
-        return self.binary_at(left, level)
+    def operator(self) -> str | None:
+        """The binary operator at i."""
+        m = BINARY.match(self.s, self.i)
+        if not m:
+            return None
+        op, end = m.group(), m.end()
+        after = self.s[end : end + 1]
+        if after == "=" and op in ASSIGNABLE and self.s[end + 1 : end + 2] not in ("=", "~"):
+            return None
+        if op == "&" and after == "." or op == "*" and after == "*" or op == "|" and self.no_pipe:
+            return None
+        return op
 
-    def binary_at(self, left: Node, level: int) -> Node:
+    def binary_rest(self, left: Node, level: int) -> Node:
+        """Operators of this level and tighter ones after an operand."""
         while True:
             at = self.i
             self.ws()
-            if self.no_pipe and self.peek() == "|" and level == 5:
-                self.i = at
-                return left
-            op = self.operator(level)
-            if not op:
+            op = self.operator()
+            if not op or TIGHTNESS[op] < level:
                 self.i = at
                 return left
             sel = (self.i, self.i + len(op))
@@ -549,12 +528,13 @@ class Parser:
                     self.i = mark
                     return Node("range", left.start, mark, op, [("left", left)], sel)
             self.nl(False)
+            tighter = TIGHTNESS[op] + 1
             if op in ("&&", "||") and self.at_word("not"):
                 right = self.not_expression()
             elif op in ("&&", "||") and self.at_word("return", "break", "next", "raise"):
                 right = self.expression()
             else:
-                right = self.binary(level + 1)
+                right = self.binary(tighter)
                 mark = self.i
                 self.ws()
                 m = ASSIGN.match(self.s, self.i)

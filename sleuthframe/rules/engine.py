@@ -27,28 +27,25 @@ DIAGNOSTICS = ["path", "line", "column", "last_line", "last_column", "length", "
 
 #: Columns that conditions may name beside those of the nodes table.
 VIEW = {
-    "recv": "get(filter(kids, k -> k.role = 'recv'), 0)",
-    "args": "filter(kids, k -> k.role = 'arg')",
-    "blk": "get(filter(kids, k -> k.role = 'block'), 0)",
-    "body": "filter(kids, k -> k.role = 'body')",
-    "cond": "get(filter(kids, k -> k.role = 'cond'), 0)",
-    "val": "get(filter(kids, k -> k.role = 'value'), 0)",
-    "els": "get(filter(kids, k -> k.role = 'else'), 0)",
-    "params": "get(filter(kids, k -> k.role = 'params'), 0)",
-    "oper": "get(filter(kids, k -> k.role in ('operator', 'then', 'do')), 0)",
+    "recv": "get(kids, i_recv)",
+    "args": "slice(kids, coalesce(i_arg, 0) + 1, n_arg)",
+    "blk": "get(kids, i_block)",
+    "body": "slice(kids, coalesce(i_body, 0) + 1, n_body)",
+    "cond": "get(kids, i_cond)",
+    "val": "get(kids, i_value)",
+    "els": "get(kids, i_else)",
+    "params": "get(kids, i_params)",
+    "oper": "get(kids, i_operator)",
     "p": "get(up, 0)",
     "pp": "get(up, 1)",
-}
-#: And these, made of the first ones.
-VIEW_2 = {
-    "a0": "get(args, 0)",
-    "a1": "get(args, 1)",
-    "argc": "size(args)",
-    "nbody": "size(body)",
-    "b0": "get(body, 0)",
-    "rk": "filter(kids2, k -> k.of = 0)",
-    "bk": "filter(kids2, k -> k.of = size(kids) - 1)",
-    "scope": "get(filter(up, u -> u.kind in ('def', 'class', 'module', 'singleton_class', 'program')), 0)",
+    "a0": "if(n_arg > 0, get(kids, i_arg), null)",
+    "a1": "if(n_arg > 1, get(kids, i_arg + 1), null)",
+    "b0": "if(n_body > 0, get(kids, i_body), null)",
+    "argc": "n_arg",
+    "nbody": "n_body",
+    "rk": "slice(kids2, 1, coalesce(get(kids, 0).n, 0))",
+    "bk": "slice(kids2, size(kids2) - coalesce(get(kids, size(kids) - 1).n, 0) + 1, coalesce(get(kids, size(kids) - 1).n, 0))",
+    "scope": "get(up, i_scope)",
 }
 
 
@@ -137,7 +134,7 @@ SUPPRESSED = """exists(array(rule, split(rule, '/')[0], 'all'), n -> CASE
 
 def view(rows: DataFrame) -> DataFrame:
     """The nodes table with the columns that rules name."""
-    return rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in VIEW.items())).selectExpr("*", *(f"{sql} AS {name}" for name, sql in VIEW_2.items()))
+    return rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in VIEW.items()))
 
 
 def _finding(rule: NodeRule) -> str:
@@ -147,6 +144,54 @@ def _finding(rule: NodeRule) -> str:
     return f"CASE WHEN {rule.filled(rule.where)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'messages', cast({message} AS array<string>), 'correctable', {str(rule.correctable).lower()}, 'fix', {fix}, 'spans', cast({rule.filled(at)} AS array<{SPAN_SQL}>)) END"
 
 
+def conjuncts(where: str) -> list[str]:
+    """The parts that a condition joins by AND; the whole, if it has an OR outside
+    of brackets and quotes."""
+    parts, depth, begin, i, quote = [], 0, 0, 0, False
+    while i < len(where):
+        c = where[i]
+        if c == "\\":
+            i += 1
+        elif c == "'":
+            quote = not quote
+        elif not quote:
+            depth += (c == "(") - (c == ")")
+            if depth == 0 and where.startswith(" OR ", i):
+                return [where]
+            if depth == 0 and where.startswith(" BETWEEN ", i):
+                return [where]
+            if depth == 0 and where.startswith(" AND ", i):
+                parts.append(where[begin:i])
+                begin = i + 5
+        i += 1
+    return [*parts, where[begin:]]
+
+
+def names_asked(rule: NodeRule) -> list[str] | None:
+    """The only names of nodes that a rule can hit, as SQL literals, if it says so."""
+    for part in conjuncts(rule.filled(rule.where)):
+        m = re.fullmatch(r"name (?:= ('[^'\\\\]*')|IN \\((('[^'\\\\]*'(, )?)+)\\))", part)
+        if m:
+            return [m[1]] if m[1] else m[2].split(", ")
+    return None
+
+
+def _of_kind(rules: list[NodeRule]) -> str:
+    """Findings of the rules of one kind. Rules that can only hit certain names are
+    tried on rows with one of those names alone."""
+    asked = [(r, names_asked(r)) for r in rules]
+    free, bound = [r for r, n in asked if n is None], [r for r, n in asked if n is not None]
+    some = f"array_compact(array({', '.join(map(_finding, free))}))" if free else None
+    if len(bound) < 8:
+        return f"array_compact(array({', '.join(map(_finding, rules))}))"
+    names = sorted({x for _, n in asked if n for x in n})
+    tried = f"CASE WHEN name IN ({', '.join(names)}) THEN array_compact(array({', '.join(map(_finding, bound))})) ELSE {NONE} END"
+    return f"concat({some}, {tried})" if some else tried
+
+
+NONE = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,fix:string,spans:array<{SPAN_SQL}>>>)"
+
+
 def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
     """(path, dirs, rule, severity, message, correctable, fix, at) of nodes(files),
     and what the files carry along in `told`."""
@@ -156,9 +201,8 @@ def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
             by_kind.setdefault(kind, []).append(rule)
     if not by_kind:
         by_kind = {"": []}
-    none = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,fix:string,spans:array<{SPAN_SQL}>>>)"
-    each = " ".join(f"WHEN {quoted(kind)} THEN array_compact(array({', '.join(map(_finding, some))}))" for kind, some in by_kind.items() if some)
-    found = F.expr(f"CASE kind {each} ELSE {none} END" if each else none)
+    each = " ".join(f"WHEN {quoted(kind)} THEN {_of_kind(some)}" for kind, some in by_kind.items() if some)
+    found = F.expr(f"CASE kind {each} ELSE {NONE} END" if each else NONE)
     looked = view(rows.filter(F.col("kind").isin("file", *by_kind))).select("path", "dirs", F.explode(F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)).alias("f"))
     return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "messages", "correctable", "fix", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "fix", "at")
 

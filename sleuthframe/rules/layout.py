@@ -1,7 +1,7 @@
 """Rules of the Layout department. Names and messages are fixed values."""
 
 from sleuthframe.rules.engine import NodeRule as R
-from sleuthframe.rules.engine import hits, span, tail, thru
+from sleuthframe.rules.engine import hits, quoted, span, tail, thru
 
 #: Whether a call's receiver ends and its name begins on one line, and the text between.
 GAP = "substr(src, recv.at.end - at.start + 1, sel.start - recv.at.end)"
@@ -29,7 +29,7 @@ def aligned_end(rule: str, kinds: str, word: str) -> R:
 
 #: A space that isn't there to align with what the line before or after has.
 UNALIGNED = "NOT coalesce(substr(prev, x.last_column + 1, 1) <> ' ' AND substr(prev, x.last_column, 1) = ' ', false) AND NOT coalesce(substr(next, x.last_column + 1, 1) <> ' ' AND substr(next, x.last_column, 1) = ' ', false)"
-KEYWORDS = ["if", "unless", "while", "until", "case", "when", "elsif", "and", "or", "not", "rescue"]
+KEYWORD = r"(?<![\w.@$:?!])(?:if|unless|while|until|case|when|elsif|and|or|not|rescue)(?=[({\[\"'])"
 
 RULES = (
     *body_rules("Layout/EmptyLinesAroundClassBody", "class singleton_class", "class"),
@@ -70,7 +70,7 @@ RULES = (
     R("Layout/SpaceAfterColon", "optional_keyword_parameter", "sel.end + 1 = val.at.start", "Space missing after colon.", span("sel.end", "sel.end + 1", "sel")),
     R("Layout/SpaceAfterMethodName", "def", "params.open = '(' AND params.at.start > sel.end", "Do not put a space between a method name and the opening parenthesis.", span("sel.end", "params.at.start", "sel"), fix="''"),
     R("Layout/SpaceAroundEqualsInParameterDefault", "optional_parameter", "substr(src, sel.end - at.start + 1, val.at.start - sel.end) <> ' = '", "Surrounding space missing in default value assignment.", span("sel.end", "val.at.start"), fix="' = '"),
-    *(R("Layout/SpaceAroundKeyword", "line", f"form IS NULL AND name rlike '(?<![\\\\w.@$:?!]){k}(?=[({{\\\\[\"\\'])' AND NOT name rlike '(def|alias|undef) +{k}'", f"Space after keyword `{k}` is missing.", hits(f"(?<![\\w.@$:?!]){k}(?=[({{\\[\"'])"), many=True) for k in KEYWORDS),
+    R("Layout/SpaceAroundKeyword", "line", f"form IS NULL AND name rlike {quoted(KEYWORD)} AND NOT name rlike '^\\s*(def|alias|undef) '", f"@transform(regexp_extract_all(name, {quoted(KEYWORD)}, 0), m -> concat('Space after keyword `', m, '` is missing.'))", hits(KEYWORD), many=True),
     R("Layout/SpaceAroundMethodCallOperator", "call", f"op IN ('.', '&.') AND recv.at.last_line = sel.line AND {GAP} rlike '\\\\s'", "Avoid using spaces around a method call operator.", "named_struct('start', recv.at.end, 'end', sel.start, 'line', sel.line, 'column', recv.at.last_column + 1, 'last_line', sel.line, 'last_column', sel.column - 1)"),
     R("Layout/SpaceAroundOperators", "call", "form = 'binary' AND name <> '**' AND recv.at.last_line = sel.line AND a0.at.line = sel.line AND (recv.at.end = sel.start OR a0.at.start = sel.end)", "Surrounding space missing for operator.", "sel"),
     R("Layout/SpaceAroundOperators", "local_variable_write instance_variable_write global_variable_write class_variable_write constant_write local_variable_operator_write instance_variable_operator_write local_variable_or_write instance_variable_or_write", "val.at.line = oper.at.line AND (oper.at.start = sel.end OR val.at.start = oper.at.end)", "Surrounding space missing for operator.", "oper.at"),
