@@ -140,8 +140,9 @@ class Remembered:
     def __len__(self) -> int:
         return len(self.keys)
 
-    def values_of(self, keys: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """The value of each text codes[begin:end], whose keys are given.
+    def values_of(self, keys: np.ndarray, exact: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The value of each text codes[begin:end], whose keys are given, and which
+        of them are exact, that is equal for equal texts only (see text_keys).
         make(indices) works out those of some of the texts."""
         size = end - begin
         if len(self) > self.most:
@@ -151,16 +152,17 @@ class Remembered:
         names, first, back = np.unique(keys[short], return_index=True, return_inverse=True)
         first = short[first]
         # every text against the first one of its key
-        alike = size[short] == size[first][back]
-        alike[alike] = same_text(codes, begin[short][alike], codes, begin[first][back][alike], size[short][alike])
+        alike = exact[short] | (size[short] == size[first][back])
+        ask = np.flatnonzero(alike & ~exact[short] & (first[back] != short))
+        alike[ask] = same_text(codes, begin[short][ask], codes, begin[first][back][ask], size[short][ask])
         at = np.searchsorted(self.keys, names)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == names[known]
         slot = np.zeros(len(names), np.int64)
         slot[known] = self.slots[at[known]]
-        clash = known.copy()
-        clash[known] = self.size[slot[known]] != size[first][known]
-        some = known & ~clash
+        clash = known & ~exact[first]
+        clash[clash] = self.size[slot[clash]] != size[first][clash]
+        some = known & ~clash & ~exact[first]
         clash[some] = ~same_text(codes, begin[first][some], self.codes, self.begin[slot[some]], size[first][some])
         new = np.flatnonzero(~known)
         if len(new):

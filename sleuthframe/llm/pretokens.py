@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from sleuthframe.llm.shingles import spread
+from sleuthframe.llm.shingles import text_keys
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = 0, 1, 2, 3, 4
 #: Code points below this, and general punctuation, have one class everywhere.
@@ -45,7 +45,8 @@ def plain(texts: list[str], specials: tuple[str, ...]) -> np.ndarray:
 
 class Split:
     """Pieces of a batch of plain texts. codes[begin:end]: a piece's code points;
-    hashes: of each piece; first: index of each text's first piece, one more at
+    keys and exact: of
+    each piece, as text_keys() gives them; first: index of each text's first piece, one more at
     the end; piece(i): its string."""
 
     def __init__(self, texts: list[str], *, spaces: bool):
@@ -71,7 +72,7 @@ class Split:
         if not spaces:
             keep &= kind[begin] != SPACE
         self.codes, self.begin, self.end = codes, begin[keep], end[keep]
-        self.hashes = spread(codes, self.begin, self.end - self.begin)
+        self.keys, self.exact = text_keys(codes, self.begin, self.end - self.begin)
         breaks = np.flatnonzero(kind == BREAK)
         self.first = np.concatenate([[0], np.searchsorted(self.begin, breaks)])
 

@@ -60,6 +60,28 @@ def spread(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return mix(np.add.reduceat(value, start) + size.astype(np.uint64))
 
 
+#: Runs of up to so many code points below 256 are their own key.
+PACKED = 7
+
+
+def text_keys(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each run codes[begin : begin + size], and which keys are the
+    text itself: short runs of small code points are packed into theirs with
+    their length; the others get the value of spread(), marked in the top byte."""
+    wide = np.concatenate([[0], np.cumsum(codes > 255)])
+    exact = (size <= PACKED) & (wide[begin + size] == wide[begin])
+    keys = np.zeros(len(begin), np.uint64)
+    some, n = begin[exact], size[exact]
+    packed = n.astype(np.uint64) << np.uint64(56)
+    for k in range(PACKED):
+        there = n > k
+        packed[there] |= codes[some[there] + k].astype(np.uint64) << np.uint64(8 * k)
+    keys[exact] = packed
+    if not exact.all():
+        keys[~exact] = spread(codes, begin[~exact], size[~exact]) | np.uint64(0xFF << 56)
+    return keys, exact
+
+
 def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and for each text the index of its
     first word (one entry more than texts)."""

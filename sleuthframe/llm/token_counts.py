@@ -124,7 +124,7 @@ class PairMerger:
         for i in np.flatnonzero(~easy):
             out[i] = self.exact(whole[i])
         split = Split([t.lower() if ok else "" for t, ok in zip(whole, easy, strict=True)], spaces=False)
-        got = self.counts.values_of(split.hashes, split.codes, split.begin, split.end, lambda some: np.array([self.merged(split.piece(i)) for i in some.tolist()], np.int64))
+        got = self.counts.values_of(split.keys, split.exact, split.codes, split.begin, split.end, lambda some: np.array([self.merged(split.piece(i)) for i in some.tolist()], np.int64))
         sums = np.concatenate([[0], np.cumsum(got)])
         out[easy] = (sums[split.first[1:]] - sums[split.first[:-1]])[easy]
         return out

@@ -93,7 +93,7 @@ class Encoder:
         if len(self.known) > self.known.most or self.used > FLAT:
             self.known.forget()
             self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        found = self.known.values_of(split.hashes, split.codes, split.begin, split.end, lambda some: self._learn([split.piece(i) for i in some.tolist()]))
+        found = self.known.values_of(split.keys, split.exact, split.codes, split.begin, split.end, lambda some: self._learn([split.piece(i) for i in some.tolist()]))
         at, size = found[:, 0], found[:, 1]
         ends = np.cumsum(size)
         ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(at - ends + size, size)]

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.common import Remembered, kept, pieces, shared_folder, table, written
-from sleuthframe.llm.shingles import spread
+from sleuthframe.llm.shingles import text_keys
 
 MAX_LABELLED = 6000
 #: A term is in at least so many toxic sample texts; so many terms explain each of them at most.
@@ -55,9 +55,9 @@ def _stands_in() -> np.ndarray:
     return np.fromiter((chr(c) in "0123456789@$*" for c in range(128)), bool, 128)
 
 
-def letter_runs(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts joined in lower case, and their code points; begin, end and hash
-    of each run of letters; and the index of each text's first run, one more at
+def letter_runs(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined in lower case, and their code points; begin and end of each
+    run of letters; and the index of each text's first run, one more at
     the end."""
     lowered = [t.lower() for t in texts]
     joined = "\n".join(lowered)
@@ -70,7 +70,7 @@ def letter_runs(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarr
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in lowered])])
     first = np.searchsorted(begin, bounds)
-    return joined, codes, begin, end, spread(codes, begin, end - begin), first
+    return joined, codes, begin, end, first
 
 
 class Automaton:
@@ -162,9 +162,9 @@ class Scorer:
 
     def sums(self, texts: list[str | None]) -> np.ndarray:
         """Logarithms of one plus the weighted sums of exact and misspelt hits."""
-        joined, codes, begin, end, hashes, first = letter_runs([t or "" for t in texts])
+        joined, codes, begin, end, first = letter_runs([t or "" for t in texts])
         out = np.zeros((len(texts), 2))
-        weight = self.known.values_of(hashes, codes, begin, end, lambda some: np.array([self.weights(joined[begin[i] : end[i]]) for i in some.tolist()]))
+        weight = self.known.values_of(*text_keys(codes, begin, end - begin), codes, begin, end, lambda some: np.array([self.weights(joined[begin[i] : end[i]]) for i in some.tolist()]))
         hits = np.flatnonzero(weight.any(1))
         owner = np.searchsorted(first, hits, "right") - 1
         for i, t in zip(hits.tolist(), owner.tolist(), strict=True):
@@ -193,7 +193,7 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text"):
             counts: Counter = Counter()
-            joined, _, begin, end, _, first = letter_runs([t or "" for t in part.column("text").to_pylist()])
+            joined, _, begin, end, first = letter_runs([t or "" for t in part.column("text").to_pylist()])
             for t, toxic in enumerate(part.column("toxic").to_pylist()):
                 words = {joined[begin[i] : end[i]] for i in range(first[t], first[t + 1])}
                 found = {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(SHORTEST_PREFIX, LONGEST_PREFIX + 1) if len(w) > n}
@@ -208,7 +208,7 @@ def _members(names: set[tuple[str, bool]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            joined, _, begin, end, _, first = letter_runs([t or "" for t in batch.column("text").to_pylist()])
+            joined, _, begin, end, first = letter_runs([t or "" for t in batch.column("text").to_pylist()])
             for t in range(batch.num_rows):
                 words = {joined[begin[i] : end[i]] for i in range(first[t], first[t + 1])}
                 found = {(w, False) for w in words} | {(w[:n], True) for w in words for n in range(SHORTEST_PREFIX, LONGEST_PREFIX + 1) if len(w) > n}

@@ -26,7 +26,7 @@ from sleuthframe.llm.mixing import mixing_plan, training_documents
 from sleuthframe.llm.nearest import nearest, op5_nearest
 from sleuthframe.llm.ngram_join import band_plan, ngram_join, one_of_each
 from sleuthframe.llm.pii import personal_data
-from sleuthframe.llm.shingles import shingles
+from sleuthframe.llm.shingles import shingles, text_keys
 from sleuthframe.llm.token_counts import token_counts
 from sleuthframe.llm.token_files import FrameReader, FrameWriter, read_token_files, write_token_files
 from sleuthframe.llm.common import dealt_join, shared_folder
@@ -311,7 +311,7 @@ def test_remembered_texts_are_compared():
     texts, asked = ["ab", "cd", "ab", "ef", "x" * 100, "x" * 100, "abc"], []
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     end = np.cumsum([len(t) for t in texts])
-    begin = end - [len(t) for t in texts]
+    begin, no = end - [len(t) for t in texts], np.zeros(7, bool)
     # all keys are equal, or the two that differ are swapped later on
     for keys in (np.zeros(7, np.uint64), np.array([1, 2, 1, 3, 4, 4, 1], np.uint64), np.array([2, 1, 2, 3, 4, 4, 9], np.uint64)):
         memory = Remembered(np.zeros(0, np.int64))
@@ -322,9 +322,13 @@ def test_remembered_texts_are_compared():
 
         want = [sum(map(ord, t)) for t in texts]
         for _ in range(2):
-            assert memory.values_of(keys, codes, begin, end, make).tolist() == want
-        assert memory.values_of(np.roll(keys, 1), codes, begin, end, make).tolist() == want
-        assert memory.values_of(keys[:0], codes, begin[:0], end[:0], make).tolist() == []
+            assert memory.values_of(keys, no, codes, begin, end, make).tolist() == want
+        assert memory.values_of(np.roll(keys, 1), no, codes, begin, end, make).tolist() == want
+        assert memory.values_of(keys[:0], no[:0], codes, begin[:0], end[:0], make).tolist() == []
+    keys, exact = text_keys(codes, begin, end - begin)
+    assert exact.tolist() == [True] * 4 + [False, False, True] and keys[0] == keys[2] and len(set(keys.tolist())) == 5
+    memory = Remembered(np.zeros(0, np.int64))
+    assert memory.values_of(keys, exact, codes, begin, end, make).tolist() == want == memory.values_of(keys, exact, codes, begin, end, make).tolist()
     made = [kept("a", list), kept("a", list), kept("b", dict), kept("a", list)]
     assert made[0] is made[1] and made[2] == {} and made[3] is not made[0]
 
