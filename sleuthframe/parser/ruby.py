@@ -1640,7 +1640,7 @@ class Parser:
         if self.peek() == "=" and self.peek(2) not in ("==", "=~", "=>"):
             self.i += 1
             self.nl(False)
-            body = self.statement()
+            body = self.expression()
             self.locals.pop()
             self.no_do, self.no_brace, self.in_list, self.ternaries, self.no_pipe = saved
             return Node("def", start, body.end, name.group(), [*kids, ("body", body)], name.span(), op, form="endless")

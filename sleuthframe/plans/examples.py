@@ -354,6 +354,78 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Gemspec/OrderedDependencies", "Gem::Specification.new do |spec|\n  spec.add_dependency 'b'\n  «spec.add_dependency 'a'»\nend\n", "Dependencies should be sorted in an alphabetical order within their section of the gemspec. Dependency `a` should appear before `b`.", "path=a.gemspec"),
     ("Gemspec/DuplicatedAssignment", "Gem::Specification.new do |spec|\n  spec.name = 'a'\n  spec.x = 1\n  «spec.name = 'b'»\nend\n", "`name=` method calls already given on line 2 of the gemspec.", "path=a.gemspec"),
     ("Gemspec/DevelopmentDependencies", "Gem::Specification.new do |spec|\n  «spec.add_development_dependency 'a'»\n  spec.add_dependency 'b'\nend\n", "Specify development dependencies in Gemfile.", "path=a.gemspec"),
+    ("Style/AccessModifierDeclarations", "class A\n  «private» def b\n    1\n  end\n\n  private :c\nend\n", "`private` should not be inlined in method definitions."),
+    ("Style/Alias", "class A\n  «alias_method» :b, :c\n  alias d e\nend\n", "Use `alias` instead of `alias_method`."),
+    ("Style/AmbiguousEndlessMethodDefinition", "«def a = 1 if b»\ndef c = 2\n", "Avoid using `if` statements with endless methods."),
+    ("Style/ArrayCoercion", "a = «[*b]»\nc = [*b, 1]\n", "Use `Array(b)` instead of `[*b]`."),
+    ("Style/BisectedAttrAccessor", "class A\n  attr_reader «:b», :c\n  attr_writer «:b»\nend\n", "Combine both accessors into `attr_accessor :b`."),
+    ("Style/BlockDelimiters", "a.b «do» |c| d(c) end\ne.f { |g| g }\n", "Prefer `{...}` over `do...end` for single-line blocks."),
+    ("Style/CollectionCompact", "a.«reject(&:nil?)»\na.compact\n", "Use `compact` instead of `reject(&:nil?)`."),
+    ("Style/CollectionQuerying", "a.«count.positive?»\na.«count.zero?»\na.«count == 1»\na.count(1) == 1\n", "Use `any?` instead.", "Use `none?` instead.", "Use `one?` instead."),
+    ("Style/ComparableBetween", "p «a >= 1 && a <= 9»\np a >= 1 && b <= 9\n", "Prefer `a.between?(1, 9)` over logical comparison."),
+    ("Style/DigChain", "a.«dig(:b).dig(:c)»\na.dig(:b, :c)\n", "Use `dig(:b, :c)` instead of chaining."),
+    ("Style/EachWithObject", "a.«inject»({}) { |b, c| b[c] = 1; b }\na.inject(0) { |b, c| b + c }\n", "Use `each_with_object` instead of `inject`."),
+    ("Style/ExactRegexpMatch", "p «a =~ /\\Abc\\z/»\np a =~ /bc/\n", "Use `a == 'bc'`."),
+    ("Style/ExpandPathArguments", "File.«expand_path»('..', __FILE__)\nFile.expand_path('a')\n", "Use `expand_path(__dir__)` instead of `expand_path('..', __FILE__)`."),
+    ("Style/FileEmpty", "«File.zero?('a')»\nFile.empty?('a')\n", "Use `File.empty?('a')` instead."),
+    ("Style/FileNull", "a = «'/dev/null'»\nb = '/dev/tty'\n", "Use `File::NULL` instead of `/dev/null`."),
+    ("Style/FileRead", "File.«open('a').read»\nFile.read('a')\n", "Use `File.read`."),
+    ("Style/FileWrite", "File.«open('a', 'w').write(b)»\nFile.write('a', b)\n", "Use `File.write`."),
+    ("Style/FileTouch", "«File.open('a', 'a') {}»\nFile.open('a', 'a') { |f| f.write(1) }\n", "Use `FileUtils.touch('a')` instead of `File.open` in append mode with empty block."),
+    ("Style/FloatDivision", "p «a.to_f / b.to_f»\np a.to_f / b\n", "Prefer using `.to_f` on one side only."),
+    ("Style/GuardClause", "def a\n  «if» b\n    c\n    d\n  end\nend\n\ndef e\n  return unless b\n\n  c\nend\n", "Use a guard clause (`return unless b`) instead of wrapping the code inside a conditional expression."),
+    ("Style/HashAsLastArrayItem", "a = [1, «b: 2»]\nc = [1, { b: 2 }]\n", "Wrap hash in `{` and `}`."),
+    ("Style/HashConversion", "«Hash[a]»\n«Hash[1, 2]»\na.to_h\n", "Prefer `ary.to_h` to `Hash[ary]`.", "Prefer literal hash to `Hash[arg1, arg2, ...]`."),
+    ("Style/HashLikeCase", "«case a\nwhen 'b'\n  1\nwhen 'c'\n  2\nwhen 'd'\n  3\nend»\ncase e\nwhen 'b'\n  1\nwhen 'c'\n  f\nwhen 'd'\n  3\nend\n", "Consider replacing `case-when` with a hash lookup."),
+    ("Style/IfUnlessModifier", "«if» a\n  b\nend\nif c\n  d\nelse\n  e\nend\n", "Favor modifier `if` usage when having a single-line body. Another good alternative is the usage of control flow `&&`/`||`."),
+    ("Style/IfWithBooleanLiteralBranches", "«if» a == b\n  true\nelse\n  false\nend\nif a\n  true\nelse\n  false\nend\n", "Remove redundant `if` with boolean literal branches."),
+    ("Style/IfWithSemicolon", "«if a; b else c end»\nif a then b else c end\n", "Do not use `if a;` - use a ternary operator instead."),
+    ("Style/ItAssignment", "«it» = 1\nb = it\n", "`it` is the default block parameter; consider another name."),
+    ("Style/KeywordArgumentsMerging", "a(**«b.merge(c: 1)»)\na(**b, c: 1)\n", "Provide additional arguments directly rather than using `merge`."),
+    ("Style/MapJoin", "a.«map(&:to_s)».join\na.join\n", "Remove redundant `map(&:to_s)` before `join`."),
+    ("Style/MethodCallWithArgsParentheses", "def a\n  «b 1»\n  c(1)\nend\nd 2\n", "Use parentheses for method calls with arguments."),
+    ("Style/MethodCalledOnDoEndBlock", "a do\n  b\n«end.c»\nd { e }.f\n", "Avoid chaining a method call on a do...end block."),
+    ("Style/MinMaxComparison", "a = «b > c ? b : c»\nd = «b < c ? b : c»\n", "Use `[b, c].max` instead.", "Use `[b, c].min` instead."),
+    ("Style/MixinGrouping", "class A\n  «include B, C»\n  include D\nend\n", "Put `include` mixins in separate statements."),
+    ("Style/MultilineMemoization", "«a ||= (\n  b\n)»\nc ||= (d)\n", "Wrap multiline memoization blocks in `begin` and `end`."),
+    ("Style/MultipleComparison", "a = 1\np «a == 1 || a == 2»\np a == 1 || b == 2\n", "Avoid comparing a variable with multiple items in a conditional, use `Array#include?` instead."),
+    ("Style/NegativeArrayIndex", "«a[a.length - 2]»\na[b.length - 2]\n", "Use `a[-2]` instead of `a[a.length - 2]`."),
+    ("Style/NestedParenthesizedCalls", "a(«b c»)\na(b(c))\n", "Add parentheses to nested method call `b c`."),
+    ("Style/Next", "a.each do |b|\n  «if b»\n    c\n    d\n    e\n  end\nend\na.each do |b|\n  if b\n    c\n  end\nend\n", "Use `next` to skip iteration."),
+    ("Style/OperatorMethodCall", "a«.»+ b\na + b\n", "Redundant dot detected."),
+    ("Style/QuotedSymbols", "a = «:\"b c\"»\nd = :'e f'\n", "Prefer single-quoted symbols when you don't need string interpolation or special symbols."),
+    ("Style/RedundantArgument", "a.join«('')»\na.join(',')\nb.split«(' ')»\n", "Argument '' is redundant because it is implied by default.", "Argument ' ' is redundant because it is implied by default."),
+    ("Style/RedundantCondition", "«if a\n  a\nelse\n  b\nend»\n", "Use double pipes `||` instead."),
+    ("Style/RedundantConstantBase", "a = «::»B\nmodule C\n  d = ::B\nend\n", "Remove redundant `::`."),
+    ("Style/RedundantDoubleSplatHashBraces", "a(«**{ b: 1 }»)\na(**c)\n", "Remove the redundant double splat and braces, use keyword arguments directly."),
+    ("Style/RedundantEach", "a.«each».each_with_index { |b, c| p b, c }\na.each_with_index { |b, c| p b, c }\n", "Remove redundant `each`."),
+    ("Style/RedundantFilterChain", "a.«select { |b| b }.any?»\na.any? { |b| b }\n", "Use `any?` instead of `select.any?`."),
+    ("Style/RedundantFormat", "a = «format('b')»\nc = format('%d', 1)\n", "Use `'b'` directly instead of `format`."),
+    ("Style/RedundantHeredocDelimiterQuotes", "a = «<<~'TEXT'»\n  b\nTEXT\nc = <<~'TEXT'\n  #{d}\nTEXT\n", "Remove the redundant heredoc delimiter quotes, use `<<~TEXT` instead."),
+    ("Style/RedundantInitialize", "class A\n  «def initialize\n  end»\nend\n\nclass B\n  def initialize\n    @c = 1\n  end\nend\n", "Remove unnecessary empty `initialize` method."),
+    ("Style/RedundantMinMaxBy", "a.«max_by { |b| b }»\na.max_by { |b| -b }\n", "Use `max` instead of `max_by { |b| b }`."),
+    ("Style/RedundantParentheses", "a = «(1)»\nb = (c + d)\n", "Don't use parentheses around a literal."),
+    ("Style/RedundantPercentQ", "a = «%q(b)»\nc = %q('d' \"e\")\n", "Use `%q` only for strings that contain both single quotes and double quotes."),
+    ("Style/RedundantRegexpArgument", "a.gsub(«/,/», '')\na.gsub(/[,;]/, '')\n", "Use string `','` as argument instead of regexp `/,/`."),
+    ("Style/RedundantRegexpCharacterClass", "a = /b«[c]»/\nd = /[ef]/\n", "Redundant single-element character class, `[c]` can be replaced with `c`."),
+    ("Style/RedundantRegexpConstructor", "a = «Regexp.new(/b/)»\nc = Regexp.new('d')\n", "Remove the redundant `Regexp.new`."),
+    ("Style/SafeNavigationChainLength", "«a&.b&.c&.d»\na&.b&.c\n", "Avoid safe navigation chains longer than 2 calls."),
+    ("Style/SelectByRegexp", "«a.select { |b| b =~ /c/ }»\na.grep(/c/)\n", "Prefer `grep` to `select` with a regexp match."),
+    ("Style/SendWithLiteralMethodName", "a.«public_send(:b)»\na.public_send(c)\n", "Use `b` method call directly instead."),
+    ("Style/TrailingBodyOnClass", "class A; «b»\nend\n", "Place the first line of class body on its own line."),
+    ("Style/TrailingBodyOnModule", "module A; «b»\nend\n", "Place the first line of module body on its own line."),
+    ("Style/TrailingBodyOnMethodDefinition", "def a; «b»\nend\n", "Place the first line of a multi-line method definition's body on its own line."),
+    ("Style/TrailingCommaInBlockArgs", "a { |b, c«,»| b + c }\na { |b,| b }\n", "Useless trailing comma present in block arguments."),
+    ("Style/TrailingMethodEndStatement", "def a\n  b «end»\n", "Place the end statement of a multi-line method on its own line."),
+    ("Style/TrailingUnderscoreVariable", "a, «_» = b\n_, c = b\n", "Do not use trailing `_`s in parallel assignment. Prefer `a, = b`."),
+    ("Style/YAMLFileRead", "YAML.«load(File.read(a))»\nYAML.load(b)\n", "Use `load_file(a)` instead."),
+    ("Style/YodaExpression", "p «1 + a»\np a + 1\n", "Non-literal operand (`a`) should be first."),
+    ("RSpec/EmptyExampleGroup", "«describe A do»\n  b\nend\ndescribe C do\n  it { d }\nend\n", "Empty example group detected.", "path=a_spec.rb"),
+    ("RSpec/ExampleLength", "describe A do\n  «it 'b' do»\n" + "    c\n" * 16 + "  end\nend\n", "Example has too many lines. [16/15]", "path=a_spec.rb"),
+    ("RSpec/MultipleExpectations", "describe A do\n  «it 'b' do»\n    expect(c).to d\n    expect(e).to f\n  end\nend\n", "Example has too many expectations.", "path=a_spec.rb"),
+    ("RSpec/MultipleMemoizedHelpers", "«describe A do»\n" + "".join(f"  let(:b{k}) {{ {k} }}\n" for k in range(11)) + "  it { c }\nend\n", "Example group has too many memoized helpers.", "path=a_spec.rb"),
+    ("RSpec/NestedGroups", "describe A do\n  context 'b' do\n    context 'c' do\n      context 'd' do\n        «context 'e' do»\n          it { f }\n        end\n      end\n    end\n  end\nend\n", "Maximum example group nesting exceeded.", "path=a_spec.rb"),
+    ("RSpec/ScatteredSetup", "describe A do\n  before { b }\n  «before { c }»\n  it { d }\nend\n", "Do not scatter setup blocks throughout an example group.", "path=a_spec.rb"),
 ]
 
 
