@@ -426,6 +426,51 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("RSpec/MultipleMemoizedHelpers", "«describe A do»\n" + "".join(f"  let(:b{k}) {{ {k} }}\n" for k in range(11)) + "  it { c }\nend\n", "Example group has too many memoized helpers.", "path=a_spec.rb"),
     ("RSpec/NestedGroups", "describe A do\n  context 'b' do\n    context 'c' do\n      context 'd' do\n        «context 'e' do»\n          it { f }\n        end\n      end\n    end\n  end\nend\n", "Maximum example group nesting exceeded.", "path=a_spec.rb"),
     ("RSpec/ScatteredSetup", "describe A do\n  before { b }\n  «before { c }»\n  it { d }\nend\n", "Do not scatter setup blocks throughout an example group.", "path=a_spec.rb"),
+    ("Layout/CommentIndentation", "def a\n«# b»\n  c\n  # d\n  e\nend\n", "Incorrect indentation detected (column 0 instead of 2)."),
+    ("Lint/CopDirectiveSyntax", "a «# rubocop:disable»\nb «# rubocop:disble Layout/LineLength»\nc # rubocop:disable Layout/LineLength, Style/Not -- why\n", "Malformed directive comment detected. The cop name is missing.", "Malformed directive comment detected. The mode name must be one of `enable`, `disable`, `todo`, `push`, or `pop`."),
+    ("Lint/ElseLayout", "if a\n  b\nelse «c»\n  d\nend\n", "Odd `else` layout detected. Did you mean to use `elsif`?"),
+    ("Lint/NumberConversion", "«a.to_i»\n«a.to_f»\nInteger(a, 10)\n", "Replace unsafe number conversion with number class parsing, instead of using `a.to_i`, use stricter `Integer(a, 10)`.", "Replace unsafe number conversion with number class parsing, instead of using `a.to_f`, use stricter `Float(a)`."),
+    ("Lint/ParenthesesAsGroupedExpression", "a« »(b)\nc(d)\n", "`(b)` interpreted as grouped expression."),
+    ("Metrics/ModuleLength", "«module A\n" + "  b\n" * 101 + "end»\n", "Module has too many lines. [101/100]"),
+    ("Style/AccessorGrouping", "class A\n  «attr_reader :b»\n  «attr_reader :c»\n  attr_writer :d\nend\n", "Group together all `attr_reader` attributes."),
+    ("Style/ClassMethodsDefinitions", "class A\n  «class << self\n    def b\n      1\n    end\n  end»\nend\n", "Do not define public methods within class << self."),
+    ("Style/CombinableLoops", "a.each { |b| c(b) }\n«a.each { |b| d(b) }»\ne.each { |b| d(b) }\n", "Combine this loop with the previous loop."),
+    ("Style/CommentAnnotation", "# «todo: »a\n# TODO: b\n# «FIXME »c\n# Note that d\n", "Annotation keywords like `todo` should be all upper case, followed by a colon, and a space, then a note describing the problem.", "Annotation keywords like `FIXME` should be all upper case, followed by a colon, and a space, then a note describing the problem."),
+    ("Style/ConstantVisibility", "class A\n  «B = 1»\nend\n\nclass C\n  D = 1\n  private_constant :D\nend\n", "Explicitly make `B` public or private using either `#public_constant` or `#private_constant`."),
+    ("Style/DirEmpty", "«Dir.children('a').empty?»\nDir.empty?('a')\n", "Use `Dir.empty?('a')` instead."),
+    ("Style/Documentation", "«class A»\n  def b\n    1\n  end\nend\n\n# Told.\nclass C\n  def d\n    1\n  end\nend\n", "Missing top-level documentation comment for `class A`."),
+    ("Style/EmptyHeredoc", "a = «<<~TEXT»\nTEXT\nb = ''\n", "Use an empty string literal instead of heredoc."),
+    ("Style/Encoding", "«# encoding: utf-8»\na\n", "Unnecessary utf-8 encoding comment."),
+    ("Style/EndlessMethod", "«def a = [\n  1\n]»\ndef b = 2\n", "Avoid endless method definitions with multiple lines."),
+    ("Style/IdenticalConditionalBranches", "if a\n  b\n  «c»\nelse\n  d\n  «c»\nend\n", "Move `c` out of the conditional."),
+    ("Style/IfInsideElse", "if a\n  1\nelse\n  «if» b\n    2\n  end\nend\n", "Convert `if` nested inside `else` to `elsif`."),
+    ("Style/InvertibleUnlessCondition", "«p 1 unless a != b»\n«p 1 unless c.zero?»\np 1 unless d\n", "Prefer `if a == b` over `unless a != b`.", "Prefer `if c.nonzero?` over `unless c.zero?`."),
+    ("Style/KeywordParametersOrder", "def a(«b: 1», c:)\n  b + c\nend\n\ndef d(e:, f: 1)\n  e + f\nend\n", "Place optional keyword parameters at the end of the parameters list."),
+    ("Style/LineEndConcatenation", "a = 'b' «+»\n    'c'\nd = 'e' + f\n", "Use `\\` instead of `+` to concatenate multiline strings."),
+    ("Style/MissingRespondToMissing", "class A\n  «def method_missing(name)\n    name\n  end»\nend\n", "When using `method_missing`, define `respond_to_missing?`."),
+    ("Style/ModuleMemberExistenceCheck", "A.«instance_methods.include?(:b)»\nA.method_defined?(:b)\n", "Use `method_defined?(:b)` instead."),
+    ("Style/MultilineBlockChain", "a.b do |c|\n  c\n«end.d» do |e|\n  e\nend\n", "Avoid multi-line chains of blocks."),
+    ("Style/MultilineIfModifier", "«{\n  a: 1\n} if b»\n".replace("«{", "«c(\n  {").replace("} if", "  }\n) if"), "Favor a normal if-statement over a modifier clause in a multiline statement."),
+    ("Style/MultilineWhenThen", "case a\nwhen 1 «then»\n  b\nwhen 2 then c\nend\n", "Do not use `then` for multiline `when` statement."),
+    ("Style/MultilineInPatternThen", "case a\nin 1 «then»\n  b\nin 2 then c\nend\n", "Do not use `then` for multiline `in` statement."),
+    ("Style/MultilineMethodSignature", "«def a(b,\n      c)»\n  b + c\nend\n", "Avoid multi-line method signatures."),
+    ("Style/NegatedIfElseCondition", "a = «!b ? 1 : 2»\nif c\n  1\nelse\n  2\nend\n", "Invert the negated condition and swap the ternary branches."),
+    ("Style/OneLineConditional", "«if a then b else c end»\na ? b : c\n", "Favor the ternary operator (`?:`) over single-line `if/then/else/end` constructs."),
+    ("Style/PredicateWithKind", "«a.any? { |b| b.is_a?(C) }»\na.any?(C)\n", "Prefer `any?(C)` to `any? { ... }` with a kind check."),
+    ("Style/RandomWithOffset", "«rand(6) + 1»\nrand(1..6)\n", "Prefer ranges when generating random numbers instead of integers with offsets."),
+    ("Style/RedundantAssignment", "def a\n  «b = c»\n  b\nend\n", "Redundant assignment before returning detected."),
+    ("Style/RedundantSelfAssignment", "a = []\na «=» a.concat(b)\na = b.concat(a)\n", "Redundant self assignment detected. Method `concat` modifies its receiver in place."),
+    ("Style/RequireOrder", "require 'b'\n«require 'a'»\n\nrequire '0'\n", "Sort `require` in alphabetical order."),
+    ("Style/ReturnNilInPredicateMethodDefinition", "def a?\n  «return» if b\n\n  true\nend\n", "Return `false` instead of `nil` in predicate methods."),
+    ("Style/SingleLineBlockParams", "a.reduce { «|b, c|» b + c }\na.reduce { |acc, elem| acc + elem }\n", "Name `reduce` block params `|acc, elem|`."),
+    ("Style/SingleLineDoEndBlock", "«a do |b| c(b) end»\nd { |e| f(e) }\n", "Prefer multiline `do`...`end` block."),
+    ("Style/SingleLineMethods", "«def a; b; end»\ndef c; end\n", "Avoid single-line method definitions."),
+    ("Style/SoleNestedConditional", "if a\n  «if» b\n    c\n  end\nend\n", "Consider merging nested conditions into outer `if` conditions."),
+    ("Style/StaticClass", "«class A\n  def self.b\n    1\n  end\nend»\n\nclass C\n  def d\n    1\n  end\nend\n", "Prefer modules to classes with only class methods."),
+    ("Style/StringConcatenation", "a = «'b' + c»\nd = 'e' + 'f'\n", "Prefer string interpolation to string concatenation."),
+    ("Style/StringLiteralsInInterpolation", "a = \"#{b[«\"c\"»]}\"\nd = \"#{e['f']}\"\n", "Prefer single-quoted strings inside interpolations."),
+    ("Style/UnlessLogicalOperators", "«p 1 unless a && b || c»\np 1 unless a && b\n", "Do not use mixed logical operators in an `unless`."),
+    ("Style/WhileUntilModifier", "«while» a\n  b\nend\nc while d\n", "Favor modifier `while` usage when having a single-line body."),
 ]
 
 

@@ -1,5 +1,5 @@
 """Rules over syntax trees, declared as conditions on the columns of `nodes`."""
 
-from sleuthframe.rules import layout, lint, lint_more, naming, security, style, style_more
+from sleuthframe.rules import layout, lint, lint_more, naming, rest, security, style, style_more
 
-RULES = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES)
+RULES = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES, *rest.RULES)

@@ -86,7 +86,7 @@ RULES = (
     R("Style/YAMLFileRead", "call", f"name IN ('load', 'parse') AND {root('recv', 'YAML')} AND a0.kind = 'call' AND a0.name = 'read' AND a0.src rlike '^(::)?File[.]read[(]'", "=concat('Use `', name, '_file(', regexp_extract(a0.src, '^(?:::)?File[.]read[(](.*)[)]$', 1), ')` instead.')", FROM_SEL),
     R("Style/YodaExpression", "call", "form = 'binary' AND name IN ('*', '+', '&', '|') AND recv.kind IN ('integer', 'float', 'string') AND a0.kind IN ('call', 'local_variable_read', 'instance_variable_read')", "=concat('Non-literal operand (`', a0.src, '`) should be first.')"),
     R("RSpec/EmptyExampleGroup", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND NOT blk.src rlike '\\\\b(it|specify|example|scenario|its|it_behaves_like|include_examples|it_should_behave_like|xit|fit|pending)\\\\b'", "Empty example group detected.", LINE, correctable=False),
-    R("RSpec/ExampleLength", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND size(filter(split(blk.src, '\\n'), l -> trim(l) <> '')) - 2 > 15", "=concat('Example has too many lines. [', size(filter(split(blk.src, '\\n'), l -> trim(l) <> '')) - 2, '/15]')", LINE, correctable=False),
+    R("RSpec/ExampleLength", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND full > 15", "=concat('Example has too many lines. [', full, '/15]')", LINE, correctable=False),
     R("RSpec/MultipleExpectations", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND size(filter(split(blk.src, '\\n'), l -> l like '%expect(%' OR l like '%is_expected%')) > 1", "Example has too many expectations.", LINE, correctable=False),
     R("RSpec/MultipleMemoizedHelpers", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(bk, k -> k.role = 'body' AND k.name IN ('let', 'let!', 'subject'))) > 10", "Example group has too many memoized helpers.", LINE, correctable=False),
     R("RSpec/NestedGroups", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(up, u -> u.kind = 'call' AND u.name IN ({GROUPS}))) >= 4", "Maximum example group nesting exceeded.", LINE, correctable=False),
