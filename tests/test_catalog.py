@@ -9,7 +9,7 @@ import __spark_entry__
 from sleuthframe.functions.text import lines
 from sleuthframe.operators.findings import compare
 from sleuthframe.operators.line_rules import RULES, selected
-from sleuthframe.plans import analytics, catalog  # noqa: F401
+from sleuthframe.plans import analytics, catalog, sources  # noqa: F401
 from sleuthframe.rules import RULES as NODE_RULES
 
 SF = "/root/testdata/sf0.001"
