@@ -340,7 +340,7 @@ def colliding(letters: int) -> tuple[str, str]:
 
 
 @pytest.mark.parametrize("turn", [1, -1])
-@pytest.mark.parametrize("letters", [32, 64, 1024, 2048])
+@pytest.mark.parametrize("letters", [64, 1024, 2048])
 def test_words_of_equal_polynomial_hashes(spark, letters, turn):
     pair = colliding(letters)[::turn]
     docs = spark.createDataFrame([(i, " ".join([*"abcd", w, *"fghi"])) for i, w in enumerate(pair * 2)], "doc_id long, text string").coalesce(1)
