@@ -23,8 +23,8 @@ line; `code` and `full` its lines between that aren't blank, without and with th
 of comments alone (of a call: its block's). `dirs` are the file's comments that suppress rules;
 `told` is what the caller carries along, on the row of kind `file`.
 
-A file that can't be parsed gives its lines and one row of kind `error`, and no
-nodes or comments. A null content counts as empty; a null path stays null.
+A file that can't be parsed gives its lines, without `name`, and one row of kind
+`error`, and no nodes or comments. A null content counts as empty; a null path stays null.
 Repeated paths give repeated rows; no files give no rows. Only path and content
 are read, so other columns may have any names.
 """
@@ -236,7 +236,7 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
     if failure:
         at = min(failure.at, len(text))
         put(span(at, min(at + 1, len(text))), kind="error", name=failure.message)
-    code = masked(text, literal, comments) if tree else text
+    code = masked(text, literal, comments) if tree else ""
     heredocs: list[tuple[int, int]] = []
     infos: dict[Node, Info] = {}
 
@@ -294,7 +294,7 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
         end = start + len(whole[k])
         form = "heredoc" if any(a <= start < b for a, b in heredocs) else "data" if tree and parser.data is not None and start >= parser.data else None
         cr = text.startswith("\r", end)
-        put((start, end, k + 1, 1, k + 1, max(1, end - start)), kind="line", ord=k + 1, depth=n_lines, name=code[start:end], form=form, src=whole[k], op="\r" if cr else None, open="final" if text.endswith("\n") else None)
+        put((start, end, k + 1, 1, k + 1, max(1, end - start)), kind="line", ord=k + 1, depth=n_lines, name=code[start:end] if tree else None, form=form, src=whole[k], op="\r" if cr else None, open="final" if text.endswith("\n") else None)
 
 
 def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,7 @@ NUMBER = re.compile(r"(?:0[xX][0-9a-fA-F_]+|0[bB][01_]+|0[dD][0-9_]+|0[oO]?[0-7_
 OPERATOR_NAME = re.compile(r"\[\]=?|\*\*|<=>|===?|=~|![=~]?|<<|>>|<=|>=|[+\-~]@|[+\-*/%<>~^&|`]")
 CLOSERS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 SPACE = re.compile(r"(?:[ \t\f\v\r]|\\\r?\n)*")
+BLANKS = frozenset(" \t\f\v\r\\")
 CONTINUES = re.compile(r"(?:[ \t\r]*(?:#[^\n]*)?\n)*[ \t\r]*(?:&\.|\.(?!\.))")
 HEREDOC = re.compile(r"<<([~-]?)(?:([\"'`])(.+?)\2|([^\W\d]\w*))")
 SETTER = re.compile(r"[^\W\d]\w*=(?![=~>]|\s*[^\s(&*\w])")
@@ -81,7 +82,8 @@ class Parser:
         raise ParseError(self.i, message)
 
     def ws(self) -> None:
-        self.i = SPACE.match(self.s, self.i).end()
+        if self.s[self.i : self.i + 1] in BLANKS:
+            self.i = SPACE.match(self.s, self.i).end()
 
     def peek(self, n: int = 1) -> str:
         return self.s[self.i : self.i + n]

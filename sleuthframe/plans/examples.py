@@ -471,6 +471,20 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Style/StringLiteralsInInterpolation", "a = \"#{b[«\"c\"»]}\"\nd = \"#{e['f']}\"\n", "Prefer single-quoted strings inside interpolations."),
     ("Style/UnlessLogicalOperators", "«p 1 unless a && b || c»\np 1 unless a && b\n", "Do not use mixed logical operators in an `unless`."),
     ("Style/WhileUntilModifier", "«while» a\n  b\nend\nc while d\n", "Favor modifier `while` usage when having a single-line body."),
+    ("Lint/ErbNewArguments", "ERB.new(a, nil, «'-'»)\nERB.new(a, trim_mode: '-')\n", "Passing trim_mode with the 3rd argument of `ERB.new` is deprecated. Use keyword argument like `ERB.new(str, trim_mode: '-')` instead."),
+    ("Lint/ItWithoutArgumentsInBlock", "a { «it» }\nb { it(1) }\n", "`it` calls without arguments will refer to the first block param in Ruby 3.4; use `it()` or `self.it`."),
+    ("Bundler/GemComment", "# Told.\ngem 'a'\n«gem 'b'»\n", "Missing gem description comment.", "path=Gemfile"),
+    ("Bundler/GemVersion", "«gem 'a'»\ngem 'b', '1'\n", "Gem version specification is required.", "path=Gemfile"),
+    ("Bundler/DuplicatedGroup", "group :a do\n  gem 'b'\nend\n«group :a» do\n  gem 'c'\nend\n", "Gem group `:a` already defined on line 1 of the Gemfile.", "path=Gemfile"),
+    ("Gemspec/DependencyVersion", "Gem::Specification.new do |spec|\n  «spec.add_dependency 'a'»\n  spec.add_dependency 'b', '1'\nend\n", "Dependency version specification is required.", "path=a.gemspec"),
+    ("Style/SwapValues", "a = 1\nb = 2\n«c = a»\na = b\nb = c\n", "Replace this and assignments at lines 4 and 5 with `a, b = b, a`."),
+    ("Style/SafeNavigation", "p «a && a.b»\n@c = 1\n«@c.d if @c»\np a && b.c\n", "Use safe navigation (`&.`) instead of checking if an object exists before calling the method."),
+    ("Style/EvalWithLocation", "«A.class_eval 'b'»\n«eval 'c'»\nA.class_eval { d }\n", "Pass `__FILE__` and `__LINE__` to `class_eval`.", "Pass a binding, `__FILE__`, and `__LINE__` to `eval`."),
+    ("Style/MagicCommentFormat", "# «frozen-string-literal»: true\n\na\n", "Prefer snake case for magic comments."),
+    ("Style/HashTransformValues", "«a.map { |b, c| [b, c.d] }.to_h»\na.map { |b, c| [b, b.d(c)] }.to_h\n", "Prefer `transform_values` over `map {...}.to_h`."),
+    ("Style/HashTransformKeys", "«a.map { |b, c| [b.d, c] }.to_h»\na.map { |b, c| [c, b] }.to_h\n", "Prefer `transform_keys` over `map {...}.to_h`."),
+    ("Style/HashSlice", "a.«select { |b, c| b == :d }»\na.select { |b, c| c == :d }\n", "Use `slice(:d)` instead."),
+    ("Style/ComparableClamp", "p «[[a, b].max, c].min»\np [a, b].max\n", "Use `Comparable#clamp` instead."),
 ]
 
 

@@ -4,7 +4,8 @@ comments. Names, messages and listed names are fixed values."""
 from sleuthframe.rules.engine import NodeRule as R
 from sleuthframe.rules.engine import span, thru
 
-from sleuthframe.rules.style import RECV_ON, names, table
+from sleuthframe.rules.lint_more import repeated
+from sleuthframe.rules.style import FROM_SEL, RECV_ON, names, table
 
 WRITES = "local_variable_write instance_variable_write class_variable_write global_variable_write"
 #: Which of the kids the else branch is, and the statements in it.
@@ -23,6 +24,9 @@ BODIES = "program def block begin class module if"
 NEIGHBOURS = "transform(body, (b, i) -> named_struct('b', b, 'a', get(body, i - 1), 'r', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i AND k.role = 'recv'), 0).src, 's', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i - 1 AND k.role = 'recv'), 0).src, 't', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i AND k.role = 'arg'), 0).name, 'u', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i - 1 AND k.role = 'arg'), 0).name))"
 LOOPED = f"filter({NEIGHBOURS}, x -> x.b.kind = 'call' AND x.a.kind = 'call' AND x.b.name IN ({LOOPS}) AND x.b.name = x.a.name AND x.r = x.s AND x.b.src rlike '([{{]|\\\\\\\\bdo\\\\\\\\b)' AND x.a.src rlike '([{{]|\\\\\\\\bdo\\\\\\\\b)')"
 UNSORTED = f"filter({NEIGHBOURS}, x -> x.b.kind = 'call' AND x.b.name IN ('require', 'require_relative') AND x.a.name = x.b.name AND x.a.at.last_line + 1 = x.b.at.line AND x.t < x.u)"
+AGAIN = repeated("body", "k.kind = 'call' AND k.name = 'group'", "regexp_extract({x}.src, '^group +(.*?) do', 1)")
+#: Three assignments that swap two variables by a third one.
+SWAPS = "filter(transform(body, (a, i) -> named_struct('a', a, 'b', get(body, i + 1), 'c', get(body, i + 2), 'x', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i AND k.role = 'value'), 0).src, 'y', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i + 1 AND k.role = 'value'), 0).src, 'z', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i + 2 AND k.role = 'value'), 0).src)), x -> x.a.kind = 'local_variable_write' AND x.b.kind like '%_variable_write' AND x.c.kind like '%_variable_write' AND x.x = x.b.name AND x.y = x.c.name AND x.z = x.a.name)"
 CLAUSE = "form IS NULL AND open IN ('if', 'unless')"
 
 RULES = (
@@ -70,4 +74,20 @@ RULES = (
     R("Style/StringLiteralsInInterpolation", "string", "open = '\"' AND NOT name rlike '[\\\\\\\\\\'\\n]|#[{@$]' AND exists(up, u -> u.kind = 'embedded_statements') AND exists(up, u -> u.kind IN ('interpolated_string', 'interpolated_symbol', 'interpolated_regular_expression')) AND role <> 'part'", "Prefer single-quoted strings inside interpolations."),
     R("Style/UnlessLogicalOperators", "unless", "cond.kind IN ('and', 'or') AND exists(kids2, k -> k.of = i_cond AND k.kind IN ('and', 'or') AND k.kind <> cond.kind)", "Do not use mixed logical operators in an `unless`.", correctable=False),
     R("Style/WhileUntilModifier", "while until", "coalesce(form, '') <> 'modifier' AND nbody = 1 AND at.last_line - at.line = 2 AND b0.at.line = b0.at.last_line AND cond.at.line = cond.at.last_line AND NOT src like '%#%' AND ind + length(b0.src) + length(cond.src) + 7 <= 120", "=concat('Favor modifier `', kind, '` usage when having a single-line body.')", "sel"),
+    R("Lint/ErbNewArguments", "call", "name = 'new' AND recv.src IN ('ERB', '::ERB') AND argc >= 3 AND get(args, 2).kind NOT IN ('keyword_hash', 'nil')", "=concat('Passing trim_mode with the 3rd argument of `ERB.new` is deprecated. Use keyword argument like `ERB.new(str, trim_mode: ', get(args, 2).src, ')` instead.')", "get(args, 2).at"),
+    R("Lint/ItWithoutArgumentsInBlock", "call", "recv IS NULL AND name = 'it' AND form = 'name' AND p.kind IN ('block', 'call') AND exists(slice(up, 1, 3), u -> u.kind = 'block') AND NOT exists(up, u -> u.kind = 'call' AND u.name IN ('describe', 'context'))", "`it` calls without arguments will refer to the first block param in Ruby 3.4; use `it()` or `self.it`.", correctable=False),
+    R("Bundler/GemComment", "call", "recv IS NULL AND name = 'gem' AND a0.kind = 'string' AND path rlike '(^|/)(Gemfile|gems[.]rb)$' AND NOT coalesce(prev rlike '^\\\\s*#', false) AND NOT rest rlike '^\\\\s*#'", "Missing gem description comment.", correctable=False),
+    R("Bundler/GemVersion", "call", "recv IS NULL AND name = 'gem' AND a0.kind = 'string' AND path rlike '(^|/)(Gemfile|gems[.]rb)$' AND (argc = 1 OR a1.kind <> 'string') AND NOT src rlike '(branch|ref|tag):'", "Gem version specification is required.", correctable=False),
+    R("Bundler/DuplicatedGroup", "program", f"path rlike '(^|/)(Gemfile|gems[.]rb)$' AND size({AGAIN}) > 0", f"@transform({AGAIN}, x -> concat('Gem group `', regexp_extract(x.k.src, '^group +(.*?) do\\\\b', 1), '` already defined on line ', x.f.at.line, ' of the Gemfile.'))", f"transform({AGAIN}, x -> {span('x.k.at.start', 'x.k.at.start + length(regexp_extract(x.k.src, ' + chr(39) + '^(group +.*?) do' + chr(39) + ', 1))', 'x.k.at')})", many=True),
+    R("Gemspec/DependencyVersion", "call", "name IN ('add_dependency', 'add_runtime_dependency', 'add_development_dependency') AND recv IS NOT NULL AND a0.kind = 'string' AND argc = 1 AND path like '%.gemspec'", "Dependency version specification is required.", correctable=False),
+    R("Style/SwapValues", BODIES, f"nbody > 2 AND size({SWAPS}) > 0", f"@transform({SWAPS}, x -> concat('Replace this and assignments at lines ', x.b.at.line, ' and ', x.c.at.line, ' with `', x.b.name, ', ', x.c.name, ' = ', x.c.name, ', ', x.b.name, '`.'))", f"transform({SWAPS}, x -> x.a.at)", many=True),
+    R("Style/SafeNavigation", "and", "name = '&&' AND get(kids, 0).kind IN ('local_variable_read', 'instance_variable_read', 'call') AND get(kids, 1).kind = 'call' AND get(kids, 1).op = '.' AND get(kids, 1).name NOT IN ('nil?', '!', 'empty?') AND get(filter(kids2, k -> k.of = 1 AND k.role = 'recv'), 0).src = get(kids, 0).src AND p.kind NOT IN ('and', 'or') AND get(kids, 0).form IS DISTINCT FROM 'binary'", "Use safe navigation (`&.`) instead of checking if an object exists before calling the method."),
+    R("Style/SafeNavigation", "if", "form = 'modifier' AND cond.kind IN ('local_variable_read', 'instance_variable_read') AND b0.kind = 'call' AND b0.op = '.' AND b0.name NOT IN ('nil?', '!', 'empty?') AND get(filter(kids2, k -> k.of = i_body AND k.role = 'recv'), 0).src = cond.src", "Use safe navigation (`&.`) instead of checking if an object exists before calling the method."),
+    R("Style/EvalWithLocation", "call", "name IN ('class_eval', 'module_eval', 'instance_eval') AND argc = 1 AND a0.kind IN ('string', 'interpolated_string') AND blk IS NULL", "=concat('Pass `__FILE__` and `__LINE__` to `', name, '`.')"),
+    R("Style/EvalWithLocation", "call", "name = 'eval' AND recv IS NULL AND argc = 1 AND a0.kind IN ('string', 'interpolated_string')", "Pass a binding, `__FILE__`, and `__LINE__` to `eval`."),
+    R("Style/MagicCommentFormat", "comment", "at.line <= 3 AND name rlike '(?i)frozen-string-literal:'", "Prefer snake case for magic comments.", span("at.start + regexp_instr(name, '(?i)frozen-string-literal') - 1", "at.start + regexp_instr(name, '(?i)frozen-string-literal') + 20")),
+    R("Style/HashTransformValues", "call", "name = 'to_h' AND argc = 0 AND blk IS NULL AND recv.name IN ('map', 'collect') AND src rlike '[.](map|collect) [{] [|](\\\\w+), (\\\\w+)[|] \\\\[\\\\2, (?!.*\\\\b\\\\2\\\\b).*\\\\] [}][.]to_h$'", "=concat('Prefer `transform_values` over `', recv.name, ' {...}.to_h`.')"),
+    R("Style/HashTransformKeys", "call", "name = 'to_h' AND argc = 0 AND blk IS NULL AND recv.name IN ('map', 'collect') AND src rlike '[.](map|collect) [{] [|](\\\\w+), (\\\\w+)[|] \\\\[(?!.*\\\\b\\\\3\\\\b.*,).*, \\\\3\\\\] [}][.]to_h$'", "=concat('Prefer `transform_keys` over `', recv.name, ' {...}.to_h`.')"),
+    R("Style/HashSlice", "call", "name IN ('select', 'filter') AND recv IS NOT NULL AND argc = 0 AND blk.kind = 'block' AND blk.src rlike '^[{] [|](\\\\w+), \\\\w+[|] \\\\1 == :\\\\w+ [}]$'", "=concat('Use `slice(', regexp_extract(blk.src, '== (.*) [}]$', 1), ')` instead.')", FROM_SEL),
+    R("Style/ComparableClamp", "call", "name = 'min' AND argc = 0 AND recv.kind = 'array' AND recv.n = 2 AND get(rk, 0).src rlike '^\\\\[[^\\\\[\\\\]]+, [^\\\\[\\\\]]+\\\\][.]max$'", "Use `Comparable#clamp` instead.", correctable=False),
 )
