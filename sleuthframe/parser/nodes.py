@@ -5,7 +5,8 @@ A row holds what predicates ask for, so that rules need no joins: the node's
 kids and theirs (`kids`, `kids2`, whose `of` is the index of the parent among
 `kids`), and what it stands in (`up`, nearest first). Spans are offsets in code
 points from 0 and lines and columns from 1, the last ones inclusive. `src` is the
-text of nodes up to SOURCE characters; rules that compare texts pass longer ones by.
+text of nodes up to SOURCE characters, of kids `k0`
+that of their own first kid and `a0` the name of their first argument; rules that compare texts pass longer ones by.
 
 Rows of kind `line` have the line as it is in `src`, with the insides of literals
 and comments masked in `name`, its number of lines in `depth`, its carriage
@@ -43,6 +44,8 @@ from pyspark.sql import DataFrame
 from sleuthframe.parser.ruby import Node, ParseError, parse
 
 SOURCE = 1000
+#: The text of a kid's first kid is told up to so many characters.
+NEAR = 200
 MASK = "\x01"
 #: Kinds with a heading and a closing word.
 HEADED = frozenset("class module singleton_class def block lambda begin if unless while until for case case_match".split())
@@ -51,7 +54,7 @@ COMMENT = re.compile(r"# rubocop:\s*(disable|todo|enable)(.*)$", re.M)
 ROWS = 4000
 
 SPAN_SQL = "struct<start:int,end:int,line:int,column:int,last_line:int,last_column:int>"
-KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,n:int,of:int,lead:boolean,at:{SPAN_SQL},sel:{SPAN_SQL}>"
+KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,open:string,src:string,k0:string,a0:string,n:int,of:int,lead:boolean,at:{SPAN_SQL},sel:{SPAN_SQL}>"
 #: Where a row's kids of each role are: the index of the first, and how many.
 INDEX = ["recv", "block", "cond", "value", "else", "params", "operator", "arg", "body", "scope"]
 INDEX_SQL = ", ".join([*(f"i_{n} int" for n in INDEX), "n_arg int", "n_body int"])
@@ -59,7 +62,7 @@ SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string,
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
-KID = pa.struct([*_STRINGS, ("n", pa.int32()), ("of", pa.int32()), ("lead", pa.bool_()), ("at", SPAN), ("sel", SPAN)])
+KID = pa.struct([*_STRINGS, ("k0", pa.string()), ("a0", pa.string()), ("n", pa.int32()), ("of", pa.int32()), ("lead", pa.bool_()), ("at", SPAN), ("sel", SPAN)])
 UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form", "cond")])
 DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
 TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
@@ -171,7 +174,7 @@ class Rows:
         else:
             # (role, info, of)
             info = [f[1] for f in flat]
-            columns = [pa.array([f[0] for f in flat], pa.string()), *(pa.array([i[k] for i in info], pa.string()) for k in range(6)), pa.array([i[6] for i in info], pa.int32()), pa.array([f[2] for f in flat], pa.int32()), pa.array([i[7] for i in info], pa.bool_())]
+            columns = [pa.array([f[0] for f in flat], pa.string()), *(pa.array([i[k] for i in info], pa.string()) for k in (*range(6), 10, 11)), pa.array([i[6] for i in info], pa.int32()), pa.array([f[2] for f in flat], pa.int32()), pa.array([i[7] for i in info], pa.bool_())]
             items = pa.StructArray.from_arrays([*columns, self.spans([i[8] for i in info]), self.spans([i[9] for i in info])], fields=list(KID))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
 
@@ -245,7 +248,10 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
         if found is None:
             at = span(node.start, node.end)
             lead = at[3] - 1 <= indents[at[2] - 1]
-            found = infos[node] = (node.kind, node.name, node.form, node.op, node.open, text[node.start : node.end] if node.end - node.start <= SOURCE else None, len(node.kids), lead, at, span(*node.sel) if node.sel else None)
+            first = node.kids[0][1] if node.kids else None
+            begins = text[first.start : first.end] if first is not None and first.end - first.start <= NEAR else None
+            argument = next((k.name for r, k in node.kids if r == "arg"), None) if node.kind == "call" else None
+            found = infos[node] = (node.kind, node.name, node.form, node.op, node.open, text[node.start : node.end] if node.end - node.start <= SOURCE else None, len(node.kids), lead, at, span(*node.sel) if node.sel else None, begins, argument)
         return found
 
     def around(node: Node) -> dict:
@@ -271,7 +277,7 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
             node, role, parent, order, up, depth = todo.pop()
             if node.form == "heredoc" and node.sel:
                 heredocs.append(node.sel)
-            kind, name, form, op, open_, src, _, _, at, sel = info(node)
+            kind, name, form, op, open_, src, _, _, at, sel, _, _ = info(node)
             kids = [(r, info(k), None) for r, k in node.kids]
             deeper = [(r, info(g), i) for i, (_, k) in enumerate(node.kids) for r, g in k.kids]
             geometry = around(node) if kind in HEADED else {}

@@ -14,23 +14,26 @@ TIGHT = "CASE WHEN {x} = '**' THEN 0 WHEN {x} IN ('*', '/', '%') THEN 1 WHEN {x}
 MODIFIER = "b.kind = 'call' AND b.form = 'name' AND b.name IN ('private', 'protected', 'public')"
 
 
-def numbered(of: str, where: str = "true") -> str:
-    """{k, i} of the elements of an array that a condition on k holds for."""
-    return f"transform(filter({of}, k -> {where}), (k, i) -> named_struct('k', k, 'i', i))"
+def repeated(of: str, where: str, same: str) -> str:
+    """{k, f} of elements k that equal an earlier one f, among those that a
+    condition on k holds for; same: SQL over {x}."""
+    each = f"transform(filter({of}, k -> {where}), (k, i) -> named_struct('k', k, 'i', i))"
+    pairs = f"filter(transform(e, x -> named_struct('k', x.k, 'f', get(filter(e, y -> y.i < x.i AND {same.format(x='y.k')} = {same.format(x='x.k')}), 0).k)), x -> x.f IS NOT NULL)"
+    # bound once, so that the list isn't made again for each of its elements
+    return f"transform(array({each}), e -> {pairs})[0]"
 
 
-def repeated(of: str, where: str, same: str) -> str:
-    """{k, f} of elements that equal an earlier one f; same: SQL over {x}."""
-    each = numbered(of, where)
-    return f"filter(transform({each}, x -> named_struct('k', x.k, 'f', get(filter({each}, y -> y.i < x.i AND {same.format(x='y.k')} = {same.format(x='x.k')}), 0).k)), x -> x.f IS NOT NULL)"
+def sorted_wrong(names: str) -> str:
+    """{k, b} of calls k that follow b on the next line, though their first arguments' order is another."""
+    each = f"filter(body, k -> k.kind = 'call' AND k.name IN ({names}) AND k.a0 IS NOT NULL)"
+    pairs = "filter(transform(e, (k, i) -> named_struct('k', k, 'b', get(e, i - 1))), z -> z.b.name = z.k.name AND z.b.at.last_line + 1 = z.k.at.line AND lower(z.k.a0) < lower(z.b.a0))"
+    return f"transform(array({each}), e -> {pairs})[0]"
 
 
 METHODS = repeated("body", "k.kind = 'def'", "concat({x}.name, regexp_extract({x}.src, '^def +(self[.])?', 1))")
-GEMS = "filter(transform(kids, (k, i) -> named_struct('k', k, 'a', get(filter(kids2, x -> x.of = i AND x.role = 'arg'), 0))), x -> x.k.kind = 'call' AND x.k.name = 'gem' AND x.a.kind = 'string')"
-GEM_PAIRS = f"filter(transform({GEMS}, (x, i) -> named_struct('x', x, 'b', get({GEMS}, i - 1))), z -> z.b.k.at.last_line + 1 = z.x.k.at.line AND lower(z.x.a.name) < lower(z.b.a.name))"
-GEM_AGAIN = f"filter(transform(transform({GEMS}, (x, i) -> named_struct('x', x, 'i', i)), z -> named_struct('x', z.x, 'f', get(filter({GEMS}, y -> y.a.name = z.x.a.name AND y.k.at.start < z.x.k.at.start), 0))), z -> z.f IS NOT NULL)"
-DEPENDENCIES = "filter(transform(kids, (k, i) -> named_struct('k', k, 'a', get(filter(kids2, x -> x.of = i AND x.role = 'arg'), 0))), x -> x.k.kind = 'call' AND x.k.name IN ('add_dependency', 'add_runtime_dependency', 'add_development_dependency') AND x.a.kind = 'string')"
-DEPENDENCY_PAIRS = f"filter(transform({DEPENDENCIES}, (x, i) -> named_struct('x', x, 'b', get({DEPENDENCIES}, i - 1))), z -> z.b.k.name = z.x.k.name AND z.b.k.at.last_line + 1 = z.x.k.at.line AND lower(z.x.a.name) < lower(z.b.a.name))"
+GEM_PAIRS = sorted_wrong("'gem'")
+GEM_AGAIN = repeated("body", "k.kind = 'call' AND k.name = 'gem' AND k.a0 IS NOT NULL", "{x}.a0")
+DEPENDENCY_PAIRS = sorted_wrong("'add_dependency', 'add_runtime_dependency', 'add_development_dependency'")
 ASSIGNED = repeated("body", "k.kind = 'call_write'", "{x}.name")
 REQUIRED = repeated("body", "k.kind = 'call' AND k.name IN ('require', 'require_relative')", "{x}.src")
 PARAMS = "filter(kids2, k -> k.role = 'param' AND k.kind IN ('required_parameter', 'optional_parameter') AND NOT k.name like '\\\\_%')"
@@ -93,9 +96,9 @@ RULES = (
     R("Lint/Void", "def begin block program", f"nbody > 1 AND exists(slice(body, 1, nbody - 1), b -> b.kind IN ({BASIC}, 'string', 'local_variable_read', 'instance_variable_read'))", f"@transform(filter(slice(body, 1, nbody - 1), b -> b.kind IN ({BASIC}, 'string', 'local_variable_read', 'instance_variable_read')), b -> concat(if(b.kind like '%variable_read', 'Variable', 'Literal'), ' `', b.src, '` used in void context.'))", f"transform(filter(slice(body, 1, nbody - 1), b -> b.kind IN ({BASIC}, 'string', 'local_variable_read', 'instance_variable_read')), b -> b.at)", many=True),
     R("Naming/BlockParameterName", "required_parameter optional_parameter", "p.kind = 'block_parameters' AND name rlike '[A-Z]'", "Only use lowercase characters for block parameter.", "sel", correctable=False),
     R("Naming/MemoizedInstanceVariableName", "def", "nbody > 0 AND get(body, nbody - 1).kind = 'instance_variable_or_write' AND nbody = 1 AND name NOT IN ('initialize') AND regexp_replace(b0.name, '^@_?', '') <> regexp_replace(name, '[?!]$', '')", "=concat('Memoized variable `', b0.name, '` does not match method name `', name, '`. Use `@', regexp_replace(name, '[?!]$', ''), '` instead.')", "b0.sel"),
-    R("Bundler/DuplicatedGem", "program", f"path rlike '(^|/)(Gemfile|gems[.]rb)$' AND size({GEM_AGAIN}) > 0", f"@transform({GEM_AGAIN}, z -> concat('Gem `', z.x.a.name, '` requirements already given on line ', z.f.k.at.line, ' of the Gemfile.'))", f"transform({GEM_AGAIN}, z -> z.x.k.at)", many=True, correctable=False),
-    R("Bundler/OrderedGems", "program", f"path rlike '(^|/)(Gemfile|gems[.]rb)$' AND size({GEM_PAIRS}) > 0", f"@transform({GEM_PAIRS}, z -> concat('Gems should be sorted in an alphabetical order within their section of the Gemfile. Gem `', z.x.a.name, '` should appear before `', z.b.a.name, '`.'))", f"transform({GEM_PAIRS}, z -> z.x.k.at)", many=True),
-    R("Gemspec/OrderedDependencies", "block", f"path like '%.gemspec' AND size({DEPENDENCY_PAIRS}) > 0", f"@transform({DEPENDENCY_PAIRS}, z -> concat('Dependencies should be sorted in an alphabetical order within their section of the gemspec. Dependency `', z.x.a.name, '` should appear before `', z.b.a.name, '`.'))", f"transform({DEPENDENCY_PAIRS}, z -> z.x.k.at)", many=True),
+    R("Bundler/DuplicatedGem", "program", f"path rlike '(^|/)(Gemfile|gems[.]rb)$' AND size({GEM_AGAIN}) > 0", f"@transform({GEM_AGAIN}, z -> concat('Gem `', z.k.a0, '` requirements already given on line ', z.f.at.line, ' of the Gemfile.'))", f"transform({GEM_AGAIN}, z -> z.k.at)", many=True, correctable=False),
+    R("Bundler/OrderedGems", "program", f"path rlike '(^|/)(Gemfile|gems[.]rb)$' AND size({GEM_PAIRS}) > 0", f"@transform({GEM_PAIRS}, z -> concat('Gems should be sorted in an alphabetical order within their section of the Gemfile. Gem `', z.k.a0, '` should appear before `', z.b.a0, '`.'))", f"transform({GEM_PAIRS}, z -> z.k.at)", many=True),
+    R("Gemspec/OrderedDependencies", "block", f"path like '%.gemspec' AND size({DEPENDENCY_PAIRS}) > 0", f"@transform({DEPENDENCY_PAIRS}, z -> concat('Dependencies should be sorted in an alphabetical order within their section of the gemspec. Dependency `', z.k.a0, '` should appear before `', z.b.a0, '`.'))", f"transform({DEPENDENCY_PAIRS}, z -> z.k.at)", many=True),
     R("Gemspec/DuplicatedAssignment", "block", f"path like '%.gemspec' AND size({ASSIGNED}) > 0", f"@transform({ASSIGNED}, x -> concat('`', x.k.name, '=` method calls already given on line ', x.f.at.line, ' of the gemspec.'))", f"transform({ASSIGNED}, x -> x.k.at)", many=True, correctable=False),
     R("Gemspec/DevelopmentDependencies", "call", "name = 'add_development_dependency' AND recv IS NOT NULL AND path like '%.gemspec' AND a0.kind = 'string'", "Specify development dependencies in Gemfile.", correctable=False),
 )

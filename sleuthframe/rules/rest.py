@@ -20,13 +20,13 @@ NUMBERS = {"to_i": "Integer", "to_f": "Float", "to_c": "Complex", "to_r": "Ratio
 KEYWORDS = "(?i)^(#+ ?)(TODO|FIXME|OPTIMIZE|HACK|REVIEW|NOTE)(\\\\s*:)?(\\\\s+)?(.*)$"
 LOOPS = "'each', 'each_with_index', 'each_with_object', 'reverse_each', 'each_pair', 'each_key', 'each_value'"
 BODIES = "program def block begin class module if"
-#: Statements beside the one before them, and what the calls among them are called on.
-NEIGHBOURS = "transform(body, (b, i) -> named_struct('b', b, 'a', get(body, i - 1), 'r', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i AND k.role = 'recv'), 0).src, 's', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i - 1 AND k.role = 'recv'), 0).src, 't', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i AND k.role = 'arg'), 0).name, 'u', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i - 1 AND k.role = 'arg'), 0).name))"
-LOOPED = f"filter({NEIGHBOURS}, x -> x.b.kind = 'call' AND x.a.kind = 'call' AND x.b.name IN ({LOOPS}) AND x.b.name = x.a.name AND x.r = x.s AND x.b.src rlike '([{{]|\\\\\\\\bdo\\\\\\\\b)' AND x.a.src rlike '([{{]|\\\\\\\\bdo\\\\\\\\b)')"
-UNSORTED = f"filter({NEIGHBOURS}, x -> x.b.kind = 'call' AND x.b.name IN ('require', 'require_relative') AND x.a.name = x.b.name AND x.a.at.last_line + 1 = x.b.at.line AND x.t < x.u)"
+#: Statements beside the one before them.
+NEIGHBOURS = "transform(body, (b, i) -> named_struct('b', b, 'a', get(body, i - 1)))"
+LOOPED = f"filter({NEIGHBOURS}, x -> x.b.kind = 'call' AND x.a.kind = 'call' AND x.b.name IN ({LOOPS}) AND x.b.name = x.a.name AND x.b.k0 = x.a.k0 AND x.b.src rlike '([{{]|\\\\bdo\\\\b)' AND x.a.src rlike '([{{]|\\\\bdo\\\\b)')"
+UNSORTED = f"filter({NEIGHBOURS}, x -> x.b.kind = 'call' AND x.b.name IN ('require', 'require_relative') AND x.a.name = x.b.name AND x.a.at.last_line + 1 = x.b.at.line AND x.b.a0 < x.a.a0)"
 AGAIN = repeated("body", "k.kind = 'call' AND k.name = 'group'", "regexp_extract({x}.src, '^group +(.*?) do', 1)")
 #: Three assignments that swap two variables by a third one.
-SWAPS = "filter(transform(body, (a, i) -> named_struct('a', a, 'b', get(body, i + 1), 'c', get(body, i + 2), 'x', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i AND k.role = 'value'), 0).src, 'y', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i + 1 AND k.role = 'value'), 0).src, 'z', get(filter(kids2, k -> k.of = coalesce(i_body, 0) + i + 2 AND k.role = 'value'), 0).src)), x -> x.a.kind = 'local_variable_write' AND x.b.kind like '%_variable_write' AND x.c.kind like '%_variable_write' AND x.x = x.b.name AND x.y = x.c.name AND x.z = x.a.name)"
+SWAPS = "filter(transform(body, (a, i) -> named_struct('a', a, 'b', get(body, i + 1), 'c', get(body, i + 2))), x -> x.a.kind = 'local_variable_write' AND x.b.kind like '%_variable_write' AND x.c.kind like '%_variable_write' AND x.a.k0 = x.b.name AND x.b.k0 = x.c.name AND x.c.k0 = x.a.name)"
 CLAUSE = "form IS NULL AND open IN ('if', 'unless')"
 
 RULES = (
@@ -37,7 +37,7 @@ RULES = (
     R("Lint/ParenthesesAsGroupedExpression", "call", "form = 'command' AND argc = 1 AND a0.kind = 'parentheses' AND a0.n = 1 AND a0.at.start = sel.end + 1", "=concat('`', a0.src, '` interpreted as grouped expression.')", span("sel.end", "a0.at.start", "sel"), fix="''"),
     R("Style/AccessorGrouping", "class module singleton_class", "exists(body, b -> b.kind = 'call' AND b.name IN ('attr_reader', 'attr_writer', 'attr_accessor'))", "@transform(filter(body, b -> b.kind = 'call' AND b.name IN ('attr_reader', 'attr_writer', 'attr_accessor') AND size(filter(body, o -> o.kind = 'call' AND o.name = b.name)) > 1), b -> concat('Group together all `', b.name, '` attributes.'))", "transform(filter(body, b -> b.kind = 'call' AND b.name IN ('attr_reader', 'attr_writer', 'attr_accessor') AND size(filter(body, o -> o.kind = 'call' AND o.name = b.name)) > 1), b -> b.at)", many=True),
     R("Style/ClassMethodsDefinitions", "singleton_class", "val.kind = 'self' AND nbody > 0 AND forall(body, b -> b.kind = 'def')", "Do not define public methods within class << self."),
-    R("Style/CombinableLoops", BODIES, f"nbody > 1 AND size({LOOPED}) > 0", "Combine this loop with the previous loop.", f"transform({LOOPED}, x -> x.b.at)", many=True),
+    R("Style/CombinableLoops", BODIES, f"nbody > 1 AND exists(body, b -> b.kind = 'call' AND b.name IN ({LOOPS})) AND size({LOOPED}) > 0", "Combine this loop with the previous loop.", f"transform({LOOPED}, x -> x.b.at)", many=True),
     R("Style/CommentAnnotation", "comment", f"form IS NULL AND name rlike '{KEYWORDS}' AND (regexp_extract(name, '{KEYWORDS}', 3) <> '' OR regexp_extract(name, '{KEYWORDS}', 4) <> '') AND NOT (initcap(regexp_extract(name, '{KEYWORDS}', 2)) = regexp_extract(name, '{KEYWORDS}', 2) AND regexp_extract(name, '{KEYWORDS}', 3) = '' AND regexp_extract(name, '{KEYWORDS}', 5) <> '') AND NOT (regexp_extract(name, '{KEYWORDS}', 2) = upper(regexp_extract(name, '{KEYWORDS}', 2)) AND regexp_extract(name, '{KEYWORDS}', 3) = ':' AND regexp_extract(name, '{KEYWORDS}', 4) = ' ' AND regexp_extract(name, '{KEYWORDS}', 5) <> '') AND NOT (lower(regexp_extract(name, '{KEYWORDS}', 2)) = regexp_extract(name, '{KEYWORDS}', 2) AND regexp_extract(name, '{KEYWORDS}', 3) = '')", f"=if(regexp_extract(name, '{KEYWORDS}', 5) = '', concat('Annotation comment, with keyword `', upper(regexp_extract(name, '{KEYWORDS}', 2)), '`, is missing a note.'), concat('Annotation keywords like `', regexp_extract(name, '{KEYWORDS}', 2), '` should be all upper case, followed by a colon, and a space, then a note describing the problem.'))", span(f"at.start + length(regexp_extract(name, '{KEYWORDS}', 1))", f"at.end - length(regexp_extract(name, '{KEYWORDS}', 5))")),
     R("Style/ConstantVisibility", "class module", "exists(body, b -> b.kind = 'constant_write') AND NOT exists(body, b -> b.kind = 'call' AND b.name IN ('private_constant', 'public_constant'))", "@transform(filter(body, b -> b.kind = 'constant_write'), b -> concat('Explicitly make `', b.name, '` public or private using either `#public_constant` or `#private_constant`.'))", "transform(filter(body, b -> b.kind = 'constant_write'), b -> b.at)", many=True, correctable=False),
     R("Style/DirEmpty", "call", "(name = 'empty?' AND recv.name IN ('children') OR name = 'none?' AND recv.name = 'each_child') AND recv.kind = 'call' AND get(rk, 0).src IN ('Dir', '::Dir') AND size(rk) = 2 AND argc = 0", "=concat('Use `', get(rk, 0).src, '.empty?(', get(rk, 1).src, ')` instead.')"),
@@ -80,7 +80,7 @@ RULES = (
     R("Bundler/GemVersion", "call", "recv IS NULL AND name = 'gem' AND a0.kind = 'string' AND path rlike '(^|/)(Gemfile|gems[.]rb)$' AND (argc = 1 OR a1.kind <> 'string') AND NOT src rlike '(branch|ref|tag):'", "Gem version specification is required.", correctable=False),
     R("Bundler/DuplicatedGroup", "program", f"path rlike '(^|/)(Gemfile|gems[.]rb)$' AND size({AGAIN}) > 0", f"@transform({AGAIN}, x -> concat('Gem group `', regexp_extract(x.k.src, '^group +(.*?) do\\\\b', 1), '` already defined on line ', x.f.at.line, ' of the Gemfile.'))", f"transform({AGAIN}, x -> {span('x.k.at.start', 'x.k.at.start + length(regexp_extract(x.k.src, ' + chr(39) + '^(group +.*?) do' + chr(39) + ', 1))', 'x.k.at')})", many=True),
     R("Gemspec/DependencyVersion", "call", "name IN ('add_dependency', 'add_runtime_dependency', 'add_development_dependency') AND recv IS NOT NULL AND a0.kind = 'string' AND argc = 1 AND path like '%.gemspec'", "Dependency version specification is required.", correctable=False),
-    R("Style/SwapValues", BODIES, f"nbody > 2 AND size({SWAPS}) > 0", f"@transform({SWAPS}, x -> concat('Replace this and assignments at lines ', x.b.at.line, ' and ', x.c.at.line, ' with `', x.b.name, ', ', x.c.name, ' = ', x.c.name, ', ', x.b.name, '`.'))", f"transform({SWAPS}, x -> x.a.at)", many=True),
+    R("Style/SwapValues", BODIES, f"nbody > 2 AND exists(body, b -> b.kind = 'local_variable_write') AND size({SWAPS}) > 0", f"@transform({SWAPS}, x -> concat('Replace this and assignments at lines ', x.b.at.line, ' and ', x.c.at.line, ' with `', x.b.name, ', ', x.c.name, ' = ', x.c.name, ', ', x.b.name, '`.'))", f"transform({SWAPS}, x -> x.a.at)", many=True),
     R("Style/SafeNavigation", "and", "name = '&&' AND get(kids, 0).kind IN ('local_variable_read', 'instance_variable_read', 'call') AND get(kids, 1).kind = 'call' AND get(kids, 1).op = '.' AND get(kids, 1).name NOT IN ('nil?', '!', 'empty?') AND get(filter(kids2, k -> k.of = 1 AND k.role = 'recv'), 0).src = get(kids, 0).src AND p.kind NOT IN ('and', 'or') AND get(kids, 0).form IS DISTINCT FROM 'binary'", "Use safe navigation (`&.`) instead of checking if an object exists before calling the method."),
     R("Style/SafeNavigation", "if", "form = 'modifier' AND cond.kind IN ('local_variable_read', 'instance_variable_read') AND b0.kind = 'call' AND b0.op = '.' AND b0.name NOT IN ('nil?', '!', 'empty?') AND get(filter(kids2, k -> k.of = i_body AND k.role = 'recv'), 0).src = cond.src", "Use safe navigation (`&.`) instead of checking if an object exists before calling the method."),
     R("Style/EvalWithLocation", "call", "name IN ('class_eval', 'module_eval', 'instance_eval') AND argc = 1 AND a0.kind IN ('string', 'interpolated_string') AND blk IS NULL", "=concat('Pass `__FILE__` and `__LINE__` to `', name, '`.')"),
