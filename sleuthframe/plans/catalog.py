@@ -153,7 +153,9 @@ def example_files(spark: SparkSession, sf_dir: str, some: list) -> DataFrame:
     """files(path, content, example): each row of part is a file that holds one of
     the examples, by its key; the examples are a bounded table."""
     known = spark.createDataFrame([(i, k, path, source) for i, (k, _, path, source, _) in enumerate(some)], "i int, example int, name string, content string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(len(some))).cast("int").alias("i"))
+    # the keys are dealt out before they become sources, for parsing takes the time
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism)
+    parts = keys.select("p_partkey", F.pmod("p_partkey", F.lit(len(some))).cast("int").alias("i"))
     return parts.join(F.broadcast(known), "i").select(F.concat(F.lit("part/"), "p_partkey", F.lit("/"), "example", F.lit("/"), "name").alias("path"), "content")
 
 
