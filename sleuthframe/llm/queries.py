@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sleuthframe.llm.decontamination import OP2_SQL, op2_decontamination
+from sleuthframe.llm.lexical_search import OP11_SQL, op11_lexical_search
 from sleuthframe.llm.main_text import op6_main_text
 from sleuthframe.llm.mixing import OP9_SQL, op9_mixing
 from sleuthframe.llm.nearest import op5_nearest
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_pii": OP3_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_pii": OP3_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL, "op11_lexical_search": OP11_SQL}
