@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sleuthframe.llm.ascii_words import WINDOW, Words, text_bytes, windows, word_spans
-from sleuthframe.llm.common import dealt_join, grouped, shared_folder, table, tidy, written
+from sleuthframe.llm.common import dealt_join, grouped, pieces, shared_folder, table, written
 
 #: (query, term) rows that a search takes to its tasks at once; more queries go in blocks.
 BLOCK = 500_000
@@ -103,8 +103,7 @@ def _sharded(documents: int, terms: int, id_type: pa.DataType, piece: int):
         task = (context.partitionId() if context else 0) << 32
         names = ["shard", "term", "docs", "impacts", "ids"]
         for batch in batches:
-            size = np.diff(text_bytes(batch.column("text"))[1])
-            for part in _rows(batch, size, piece):
+            for part in pieces(batch, "text", piece):
                 order = pa.compute.sort_indices(part.column("id"))
                 part = part.take(order)
                 words, code, doc, tf, n = counted(part.column("text"))
@@ -130,20 +129,10 @@ def _sharded(documents: int, terms: int, id_type: pa.DataType, piece: int):
                 ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
                 none = pa.nulls(1, pa.list_(pa.int32()))
                 yield pa.record_batch([pa.array([shard]), pa.nulls(1, pa.binary()), none, none, ids], names)
-            tidy()
 
     return run
 
 
-def _rows(batch: pa.RecordBatch, size: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about `most` bytes of text; a longer text goes alone."""
-    total, begin = np.cumsum(size), 0
-    while begin < batch.num_rows:
-        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + most, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def index(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", piece: int = WINDOW) -> tuple[DataFrame, int]:
     """The index of docs, written to a folder, and N. Its rows are posting lists
     (shard, term, docs, impacts) and, where term is null, the shard's ids. piece:

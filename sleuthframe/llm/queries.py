@@ -9,6 +9,7 @@ from sleuthframe.llm.mixing import OP9_SQL, op9_mixing
 from sleuthframe.llm.nearest import op5_nearest
 from sleuthframe.llm.ngram_join import OP4_SQL, op4_ngram_join
 from sleuthframe.llm.pii import OP3_SQL, op3_pii
+from sleuthframe.llm.resampling import OP13_SQL, op13_resampling
 from sleuthframe.llm.token_counts import op7_token_counts
 from sleuthframe.llm.token_files import op8_token_files
 from sleuthframe.llm.toxicity import op1_toxicity
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op11_lexical_search": op11_lexical_search,
+    "op13_resampling": op13_resampling,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_pii": OP3_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL, "op11_lexical_search": OP11_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_pii": OP3_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_resampling": OP13_SQL}
