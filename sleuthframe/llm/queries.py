@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sleuthframe.llm.decontamination import OP2_SQL, op2_decontamination
+from sleuthframe.llm.language_id import op12_language_id
 from sleuthframe.llm.lexical_search import OP11_SQL, op11_lexical_search
 from sleuthframe.llm.main_text import op6_main_text
 from sleuthframe.llm.mixing import OP9_SQL, op9_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
     "op11_lexical_search": op11_lexical_search,
+    "op12_language_id": op12_language_id,
     "op13_resampling": op13_resampling,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op3_pii": OP3_SQL, "op4_ngram_join": OP4_SQL, "op9_mixing": OP9_SQL, "op10_warc": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_resampling": OP13_SQL}
