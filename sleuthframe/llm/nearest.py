@@ -7,8 +7,10 @@ table concatenates as many functions as it takes for the axes of all but the
 last to part the vectors into groups of no more than SLICE on average; the last
 axis parts a group once more. A query looks under its best combinations of axes
 in every table, as many as a bounded sample of queries, ranked against all
-vectors, shows are needed for the recall asked for. What it finds is ranked by
-the exact inner product of the original vectors.
+vectors, shows are needed for the recall asked for. If MOST_PROBES combinations
+don't reach it, the number of tables is doubled, up to MOST_TABLES; if that
+doesn't either, nothing is hashed and all queries are ranked against all
+candidates in blocks. What a query finds is ranked by the exact inner product of the original vectors.
 
 Only candidates of like norms share tables: they are parted into shells by
 norm, each with a longest of its own, for next to one far longer vector all
@@ -22,7 +24,9 @@ queries, so a task holds a bounded part of it. Vectors that are null, zero or
 hold null or non-finite components, and rows with a null id, take no part;
 shorter vectors count as padded with zeros. Rows that repeat an id and vector
 count once. With fewer candidates than asked for, a query gets all of them.
-Ties, of equal exact inner products, go to the smaller id. Empty tables give an
+Ties, of equal exact inner products, go to the smaller id; an inner product that
+is not a number, of terms beyond the range of doubles, comes last. Norms are held
+as logarithms, so that no vector is too long or too short for them. Empty tables give an
 empty result; other columns may have any names.
 """
 
@@ -39,8 +43,8 @@ from pyspark.sql import functions as F
 from sleuthframe.llm.common import grouped, shared_folder, table, written
 from sleuthframe.llm.shingles import constants
 
-#: Tables; the share of true neighbours that a sample of so many queries must find; and combinations of axes that a query may look under in a table.
-TABLES, RECALL, SAMPLE, MOST_PROBES = 12, 0.95, 100, 4096
+#: Tables; the share of true neighbours that a sample of so many queries must find; combinations of axes that a query may look under in a table; and tables that may be tried.
+TABLES, RECALL, SAMPLE, MOST_PROBES, MOST_TABLES = 12, 0.95, 100, 4096, 48
 #: Rows of one group that a slice holds.
 SLICE = 4096
 #: Pairs of vectors that are multiplied at once.
@@ -90,11 +94,11 @@ def filed_under(x: np.ndarray, table: int, functions: int) -> tuple[np.ndarray,
     return group, axis
 
 
-def looked_under(x: np.ndarray, table: int, functions: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+def looked_under(x: np.ndarray, table: int, functions: int, probes: int, most: int = MOST_PROBES) -> tuple[np.ndarray, np.ndarray]:
     """Where a table has each row of x look, best first: (groups, last axes), two
     matrices. A combination of axes is as good as its functions' squared
-    shortfalls from their nearest axes are small."""
-    wide = min(2 * x.shape[1], int(MOST_PROBES ** (1 / functions)))
+    shortfalls from their nearest axes are small. most: combinations that are looked at."""
+    wide = min(2 * x.shape[1], max(1, int(most ** (1 / functions))))
     loss, group = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
     for f in range(functions):
         turned = rotated(x, table * 16 + f)
@@ -119,16 +123,28 @@ def matrix(column, dims: int) -> np.ndarray:
     return out
 
 
+def log_norm(vector: str) -> Column:
+    """log2 of the norm of an array of doubles that is neither empty nor zero;
+    squares are of the components over the largest, so none leaves a double's range."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    return F.log2(most) + 0.5 * F.log2(squares)
+
+
 def on_sphere(x: np.ndarray, longest: float, *, query: bool) -> np.ndarray:
     """Unit vectors of which queries and candidates have inner products in the
-    order of the original ones. The last coordinate of x is free for that."""
-    out = x / (np.linalg.norm(x, axis=1, keepdims=True) if query else longest)
-    if not query:
-        out[:, -1] = np.sqrt(np.maximum(0, 1 - (out * out).sum(1)))
+    order of the original ones. longest: log2 of the greatest norm of candidates.
+    The last coordinate of x is free for that."""
+    if query:
+        out = x / np.abs(x).max(1, keepdims=True)
+        return out / np.linalg.norm(out, axis=1, keepdims=True)
+    whole = int(np.floor(longest))
+    out = np.ldexp(x, -whole) * 2.0 ** (whole - longest)
+    out[:, -1] = np.sqrt(np.maximum(0, 1 - (out * out).sum(1)))
     return out
 
 
-def _filed(dims: int, shells: list[tuple[float, bool]], tables: int, functions: int, probes: int):
+def _filed(dims: int, shells: list[tuple[float, bool]], tables: int, functions: int, probes: int, most: int):
     """(g, kind, at) of each vector, and once more as a query: at holds (table,
     group, last axes) of where it is filed or looks. Each shell, (longest, is
     ranked whole), has tables of its own, and one with one group if it is ranked
@@ -153,10 +169,10 @@ def _filed(dims: int, shells: list[tuple[float, bool]], tables: int, functions:
                 batch = whole.slice(begin, 500)
                 asked = np.flatnonzero(batch.column("query").to_numpy(zero_copy_only=False).astype(bool))
                 x, group, shell = matrix(batch.column("vector"), dims), batch.column("g").to_numpy(), batch.column("shell").to_numpy()
-                asking = on_sphere(x[asked], 1.0, query=True)
+                asking = on_sphere(x[asked], 0.0, query=True)
                 hashed = not all(exact for _, exact in shells)
                 found: tuple[list, list] = ([], [])
-                looks = [looked_under(asking, k, functions, probes) for k in range(tables)] if hashed and len(asked) else []
+                looks = [looked_under(asking, k, functions, probes, most) for k in range(tables)] if hashed and len(asked) else []
                 for s, (longest, exact) in enumerate(shells):
                     there = np.flatnonzero(shell == s)
                     if exact:
@@ -208,6 +224,11 @@ def _scored(x: np.ndarray, asked: np.ndarray, there: np.ndarray, own: np.ndarray
         begin = end
 
 
+def falling() -> Column:
+    """Scores from the highest; what is not a number comes last."""
+    return F.desc_nulls_last(F.nanvl("score", F.lit(None).cast("double")))
+
+
 def _searched(dims: int, k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -249,9 +270,9 @@ def _searched(dims: int, k: int):
 
 
 def _shells(groups: DataFrame, longest: float) -> tuple[list[tuple[float, bool]], DataFrame]:
-    """(longest, is ranked whole) of each shell, and groups with the number of
+    """(log2 of the longest norm, is ranked whole) of each shell, and groups with the number of
     their shell. Neighbours that fit one slice together become one shell."""
-    ring = F.floor(F.least(F.lit(5000.0), SHELLS * F.log2(F.lit(longest) / F.col("norm")))).cast("int")
+    ring = F.floor(F.least(F.lit(5000.0), SHELLS * (F.lit(longest) - F.col("norm")))).cast("int")
     groups = groups.withColumn("ring", ring)
     shells, number, room = [], [], 0
     # a row for each ring that has vectors: SHELLS for each halving of the longest norm
@@ -290,7 +311,7 @@ def _completed(groups: DataFrame, found: DataFrame, k: int, dims: int, folder: s
     asked = short.select(*none, each(blocks).alias("c"), dealt("gq", parts).alias("q"), F.lit(1).alias("kind"), F.col("gq").alias("g"), whole, "vector")
     dealt_out = there.union(asked).repartition("t", "p", "c", "q").sortWithinPartitions("t", "p", "c", "q", "kind")
     ranked = dealt_out.mapInArrow(_searched(dims, k + 1), "gq bigint, g bigint, score double")
-    order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
+    order = W.partitionBy("gq").orderBy(falling(), "g")
     ranked = ranked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     return found.select("gq", "g", "score").join(short.select("gq"), "gq", "left_anti").union(ranked.select("gq", "g", "score"))
 
@@ -311,42 +332,49 @@ def _ranked(dims: int, queries: np.ndarray, names: np.ndarray, k: int):
     return run
 
 
-def probes_needed(points: DataFrame, shells: list[tuple[float, bool]], dims: int, functions: int, k: int, tables: int, recall: float, sample: int = SAMPLE) -> int:
-    """How many combinations a query must look under in each table, so that a
+def probes_needed(points: DataFrame, shells: list[tuple[float, bool]], dims: int, functions: int, k: int, tables: int, recall: float, most: int = MOST_PROBES, sample: int = SAMPLE) -> tuple[int, int] | None:
+    """(tables, combinations that a query must look under in each), so that a
     sample of queries (those of least hash, at most `sample`) finds the share
-    `recall` of the k best of all candidates. The driver gets sample x k rows."""
+    `recall` of the k best of all candidates; None if MOST_TABLES tables don't
+    reach it. The driver gets sample x k rows."""
     asking = points.filter("query").orderBy(F.xxhash64("g"), "g").limit(sample).select("g", "vector").collect()
     if not asking:
-        return 1
+        return tables, 1
     x, names = np.zeros((len(asking), dims)), np.array([r["g"] for r in asking])
     for i, r in enumerate(asking):
         x[i, : len(r["vector"])] = r["vector"]
-    order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
+    order = W.partitionBy("gq").orderBy(falling(), "g")
     true = points.mapInArrow(_ranked(dims, x, names, k), "gq bigint, g bigint, score double, vector array<double>, shell int")
-    true = true.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= k) & (F.col("score") > float("-inf"))).collect()
-    where, unit = {int(g): i for i, g in enumerate(names)}, on_sphere(x, 1.0, query=True)
+    true = true.withColumn("n", F.row_number().over(order)).filter((F.col("n") <= k) & (F.col("gq") != F.col("g"))).collect()
+    where, unit = {int(g): i for i, g in enumerate(names)}, on_sphere(x, 0.0, query=True)
     true = [r for r in true if not shells[r["shell"]][1]]
     if not true:
-        return 1
+        return tables, 1
     owner = np.array([where[r["gq"]] for r in true])
     near = np.zeros((len(true), dims))
     for i, r in enumerate(true):
         near[i, : len(r["vector"])] = r["vector"]
         near[i : i + 1] = on_sphere(near[i : i + 1], shells[r["shell"]][0], query=False)
-    rank = np.full(len(true), MOST_PROBES)
-    for table in range(tables):
-        groups, lasts = looked_under(unit, table, functions, MOST_PROBES)
-        p, last = filed_under(near, table, functions)
-        for a in range(0, len(true), 500):
-            hit = (groups[owner[a : a + 500]] == p[a : a + 500, None]) & (lasts[owner[a : a + 500]] == last[a : a + 500, None])
-            rank[a : a + 500] = np.where(hit.any(1), np.minimum(rank[a : a + 500], hit.argmax(1)), rank[a : a + 500])
-    return min(MOST_PROBES, int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]) + 1)
-
-
-def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, probes: int | None = None) -> DataFrame:
+    rank, made = np.full(len(true), most), 0
+    while made < MOST_TABLES:
+        for table in range(made, tables):
+            groups, lasts = looked_under(unit, table, functions, most, most)
+            p, last = filed_under(near, table, functions)
+            for a in range(0, len(true), 500):
+                hit = (groups[owner[a : a + 500]] == p[a : a + 500, None]) & (lasts[owner[a : a + 500]] == last[a : a + 500, None])
+                rank[a : a + 500] = np.where(hit.any(1), np.minimum(rank[a : a + 500], hit.argmax(1)), rank[a : a + 500])
+        needed = int(np.sort(rank)[min(len(rank) - 1, int(np.ceil(recall * len(rank))))])
+        if needed < most:
+            return tables, needed + 1
+        made, tables = tables, min(2 * tables, MOST_TABLES)
+    return None
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, probes: int | None = None, most_probes: int = MOST_PROBES) -> DataFrame:
     """(query_id, rank, id, score): the k rows of largest inner product found for
     each row of df where is_query holds, itself left out. probes: combinations
-    looked under in a table, in place of those that the sample asks for."""
+    looked under in a table, in place of those that the sample asks for;
+    most_probes: the most that it may ask for."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession)
     v = F.col(vector_col).cast("array<double>")
     rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), is_query.alias("query"))
@@ -359,15 +387,19 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     groups = least.groupBy("name", "vector").agg(F.min("id").alias("g"), F.sort_array(F.collect_list("id")).alias("members"))
     asking = rows.filter("query").groupBy("name", "vector").agg(F.lit(True).alias("query"))
     groups = groups.join(asking, ["name", "vector"], "left").withColumn("query", F.coalesce("query", F.lit(False)))
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    groups = written(groups.withColumn("norm", norm), f"{folder}/groups")
+    groups = written(groups.withColumn("norm", log_norm("vector")), f"{folder}/groups")
     longest, width, n_groups = groups.agg(F.max("norm"), F.max(F.size("vector")), F.count("*")).first()
     dims = 1 << int(np.ceil(np.log2((width or 1) + 1)))
-    shells, groups = _shells(groups, longest or 1.0)
+    shells, groups = _shells(groups, longest or 0.0)
     points, functions = groups.select("g", "query", "vector", "shell"), functions_needed(n_groups, dims)
-    if probes is None:
-        probes = 1 if all(exact for _, exact in shells) else probes_needed(points, shells, dims, functions, k, tables, recall)
-    filed = points.mapInArrow(_filed(dims, shells, tables, functions, probes), "g bigint, kind int, at array<struct<t:int,p:bigint,last:array<int>>>")
+    if probes is None and all(exact for _, exact in shells):
+        probes = 1
+    elif probes is None:
+        plan = probes_needed(points, shells, dims, functions, k, tables, recall, most_probes)
+        if plan is None:
+            shells, plan = [(longest, True) for longest, _ in shells], (tables, 1)
+        tables, probes = plan
+    filed = points.mapInArrow(_filed(dims, shells, tables, functions, probes, most_probes), "g bigint, kind int, at array<struct<t:int,p:bigint,last:array<int>>>")
     filed = written(filed, f"{folder}/filed").join(groups.select("g", "vector"), "g").select("g", "kind", "vector", F.explode("at").alias("at")).select("g", "kind", "vector", "at.*")
     crowds = filed.groupBy("t", "p").agg(F.sum(1 - F.col("kind")).alias("cs"), F.sum("kind").alias("qs"))
     # groups that no query looks under go, crowded ones are dealt out; there are few for their size
@@ -381,13 +413,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     filed = filed.select("t", "p", F.when(F.col("kind") == 0, F.col("own")).otherwise(F.col("other")).alias("c"), F.when(F.col("kind") == 0, F.col("other")).otherwise(F.col("own")).alias("q"), "kind", "g", "last", "vector")
     filed = filed.repartition("t", "p", "c", "q").sortWithinPartitions("t", "p", "c", "q", "kind")
     found = filed.mapInArrow(_searched(dims, k + 1), "gq bigint, g bigint, score double").dropDuplicates(["gq", "g"])
-    order = W.partitionBy("gq").orderBy(F.desc("score"), "g")
+    order = W.partitionBy("gq").orderBy(falling(), "g")
     found = written(found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).drop("n"), f"{folder}/found")
     if not all(exact for _, exact in shells):
         found = _completed(groups, found, k, dims, folder)
     queries = rows.filter("query").select(F.col("id").alias("query_id"), "name", "vector").join(groups.select("name", "vector", F.col("g").alias("gq")), ["name", "vector"]).select("query_id", "gq")
     pairs = queries.join(found, "gq").join(groups.select("g", "members"), "g").select("query_id", "score", F.explode("members").alias("id")).filter("id <> query_id")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(falling(), "id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
