@@ -120,10 +120,12 @@ class PairMerger:
     def count(self, texts: list[str | None]) -> np.ndarray:
         whole = [t or "" for t in texts]
         out = np.zeros(len(whole), np.int64)
-        easy = plain(whole, self.specials)
+        lowered = [t.lower() for t in whole]
+        # some settled capitals have small letters that are not
+        easy = plain(whole, self.specials) & plain(lowered, ())
         for i in np.flatnonzero(~easy):
             out[i] = self.exact(whole[i])
-        split = Split([t.lower() if ok else "" for t, ok in zip(whole, easy, strict=True)], spaces=False)
+        split = Split([t if ok else "" for t, ok in zip(lowered, easy, strict=True)], spaces=False)
         got = self.counts.values_of(split.keys, split.exact, split.codes, split.begin, split.end, lambda some: np.array([self.merged(split.piece(i)) for i in some.tolist()], np.int64))
         sums = np.concatenate([[0], np.cumsum(got)])
         out[easy] = (sums[split.first[1:]] - sums[split.first[:-1]])[easy]
