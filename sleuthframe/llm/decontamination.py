@@ -9,8 +9,8 @@ item's shingles decides. So the search is exact, however long the document is.
 
 An item of one to four words is one shingle of all its words, and documents are
 cut into shingles of as many words to look for it. Shingles are compared as
-64-bit values; of what they find, the words themselves decide (in the path that
-shuffles only the values do).
+64-bit values; of what they find, the words themselves decide, in the path that
+shuffles as in the other.
 
 Null, empty and wordless texts or items match nothing. Repeated rows give
 repeated results, null ids stay null. Either table empty: no rows. Only ids and
@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import kept, pieces, shared_folder, table, written
+from sleuthframe.llm.common import dealt_join, kept, pieces, shared_folder, table, written
 from sleuthframe.llm.shingles import SHINGLE_SQL, SIMILARITY, WORDS, WORDS_SQL, constants, distinct, joined_words, shingles, split_words, words
 
-#: Items' shingles that may be sent to every worker (8 bytes each); more are joined by shuffling.
-BROADCAST_SHINGLES = 2_000_000
-#: Tasks that share the documents' occurrences of one shingle when they are joined by shuffling.
-SALTS = 16
+#: Items' shingles (8 bytes each) and bytes of text that may be sent to every worker; more are joined by shuffling.
+BROADCAST_SHINGLES, BROADCAST_BYTES = 2_000_000, 64_000_000
 
 
 def least_shared(n: np.ndarray, containment: float) -> np.ndarray:
@@ -158,7 +156,8 @@ def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     asked = items.select(F.col(item_col).alias("id"), F.col(item_text_col).cast("string").alias("text"))
     asked = written(asked.mapInArrow(_items(containment), f"item {item_kind}, n bigint, shingles array<bigint>, sketch bigint, words bigint, text string").filter("n > 0").withColumn("k", F.monotonically_increasing_id()), f"{folder}/items")
     schema = f"id {kind}, print bigint, item {item_kind}, shared bigint, n bigint"
-    if (asked.agg(F.sum("n")).first()[0] or 0) <= broadcast_shingles:
+    n_shingles, n_bytes = asked.agg(F.sum("n"), F.sum(F.octet_length("text"))).first()
+    if (n_shingles or 0) <= broadcast_shingles and (n_bytes or 0) <= BROADCAST_BYTES:
         from pyspark.sql.pandas.types import to_arrow_type
 
         held = spark.sparkContext.broadcast([tuple(r) for r in asked.select("item", "shingles", "sketch", "words", "text").collect()])
@@ -166,14 +165,36 @@ def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_c
     sizes = sorted(r["words"] for r in asked.select("words").distinct().collect())
     rows = narrow.withColumn("row", F.monotonically_increasing_id())
     rows = written(rows.mapInArrow(_document_sets(sizes), f"id {kind}, print bigint, row bigint, shingles array<bigint>"), f"{folder}/sets")
-    each = rows.select("row", F.pmod("row", F.lit(SALTS)).alias("salt"), F.explode("shingles").alias("g"))
+    each = rows.select("row", F.explode("shingles").alias("g"))
     sketch = asked.select("k", F.explode(F.slice("shingles", F.lit(1), F.col("sketch").cast("int"))).alias("g"))
-    sketch = sketch.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    pairs = each.join(sketch, ["g", "salt"]).select("row", "k").distinct()
-    whole = asked.select("item", "n", "shingles", "k")
-    found = pairs.join(whole, "k").join(rows.select("id", "print", "row", F.col("shingles").alias("own")), "row")
-    found = found.select("id", "print", "item", F.size(F.array_intersect("shingles", "own")).cast("long").alias("shared"), "n")
-    return found.filter(F.col("shared") * 10_000 >= F.col("n") * round(containment * 10_000))
+    pairs = written(dealt_join(each, sketch, "g", "row", "inner").select("row", "k").distinct(), f"{folder}/pairs")
+    found = dealt_join(pairs, asked.select("k", "n", "shingles"), "k", "row", "inner").join(rows.select("id", "print", "row", F.col("shingles").alias("own")), "row")
+    found = found.withColumn("shared", F.size(F.array_intersect("shingles", "own"))).filter(F.col("shared") * 10_000 >= F.col("n") * round(containment * 10_000))
+    found = written(found.select("id", "print", "row", "k"), f"{folder}/found")
+    # the texts of what the values found: equal ids and prints are equal texts, of which one is enough
+    meant = found.select(F.col("id").alias("_id"), F.col("print").alias("_print")).distinct()
+    texts = narrow.join(meant, narrow["id"].eqNullSafe(meant["_id"]) & (narrow["print"] == meant["_print"]), "left_semi").dropDuplicates(["id", "print"]).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "text")
+    both = found.join(texts, found["id"].eqNullSafe(texts["_id"]) & (found["print"] == texts["_print"])).select("id", "print", "row", "k", "text")
+    both = dealt_join(both, asked.select("k", "item", "words", F.col("text").alias("item_text")), "k", "row", "inner")
+    return both.mapInArrow(_verified(containment), schema)
+
+
+def _verified(containment: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, shared, sizes = [], [], []
+            for i in range(batch.num_rows):
+                text, item, n = (batch.column(c)[i].as_py() for c in ("text", "item_text", "words"))
+                asked = word_shingles(item, n)
+                both = len(asked & word_shingles(text, n))
+                if both >= least_shared(len(asked), containment):
+                    keep.append(i)
+                    shared.append(both)
+                    sizes.append(len(asked))
+            at = pa.array(keep, pa.int64())
+            yield pa.record_batch([*(batch.column(c).take(at) for c in ("id", "print", "item")), pa.array(shared, pa.int64()), pa.array(sizes, pa.int64())], ["id", "print", "item", "shared", "n"])
+
+    return run
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", containment: float = SIMILARITY, broadcast_shingles: int = BROADCAST_SHINGLES) -> DataFrame:
