@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +56,25 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or local path, and the path in it."""
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    if uri.startswith(("s3a:", "s3n:")):
+        uri = f"s3:{uri[4:]}"
     return pafs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, attempt: str, write) -> None:
-    """Write a file under a name of this attempt and rename it, so that a task
-    that runs twice leaves one whole file."""
+def put_file(uri: str, write) -> None:
+    """Write a file. Its name must hold the task's attempt (see attempt_name), so
+    that none is there yet, and the table that the task returns must tell it: of
+    a task that ran twice one attempt's rows count, whichever it was, and the
+    other's file is never read."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(f"{path}.{attempt}") as out:
+    with fs.open_output_stream(path) as out:
         write(out)
-    fs.move(f"{path}.{attempt}", path)
+
+
+def attempt_name(context: TaskContext) -> str:
+    """A name that no other attempt of any task of this application has."""
+    return f"{context.partitionId():06d}-{context.taskAttemptId()}"
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[pa.RecordBatch]:

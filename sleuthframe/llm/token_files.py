@@ -33,7 +33,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import Remembered, filesystem, kept, pieces, put_file, shared_folder, table, written
+from sleuthframe.llm.common import Remembered, attempt_name, filesystem, kept, pieces, put_file, shared_folder, table, written
 from sleuthframe.llm.pretokens import Split, plain
 
 #: Fixed values of the public zstandard seekable layout.
@@ -191,8 +191,8 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
                         counts[1] += len(ids) + 1
             frames.finish()
 
-        file = f"{folder}/part-{part:06d}.tokens.zst"
-        put_file(file, f"attempt{context.taskAttemptId()}", write)
+        file = f"{folder}/part-{attempt_name(context)}.tokens.zst"
+        put_file(file, write)
         yield pa.record_batch([[part], [file], [counts[0]], [counts[1]]], schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")

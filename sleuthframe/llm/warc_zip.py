@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sleuthframe.llm.common import dealt_join, filesystem, put_file, shared_folder, table, written
+from sleuthframe.llm.common import attempt_name, dealt_join, filesystem, put_file, shared_folder, table, written
 
 RECORDS, INDEX = "archive/records.warc", "indexes/index.json"
 SMALLEST = 1000
@@ -186,8 +186,8 @@ def write_archives(pages: DataFrame, folder: str, smallest: int = SMALLEST, date
             pack.end()
             pack.finish()
 
-        file = f"{folder}/pages-{context.partitionId():06d}.zip"
-        put_file(file, f"attempt{context.taskAttemptId()}", write)
+        file = f"{folder}/pages-{attempt_name(context)}.zip"
+        put_file(file, write)
         yield pa.record_batch([[file], [len(lines)]], schema=pa.schema([("file", pa.string()), ("records", pa.int64())]))
 
     return written(joined.mapInArrow(run, "file string, records bigint"), f"{folder}/files")
