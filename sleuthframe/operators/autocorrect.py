@@ -21,7 +21,7 @@ from sleuthframe.rules.engine import SUPPRESSED, NodeRule, edits, node_findings,
 def autocorrect(files: DataFrame, rules: Iterable[NodeRule], directives: bool = True) -> tuple[DataFrame, DataFrame]:
     """(diagnostics with a column `corrected`, files(path, content, accepted,
     subsumed) after the accepted edits)."""
-    found = node_findings(nodes(files), rules)
+    found = node_findings(nodes(files), rules, corrects=True)
     if directives:
         found = found.filter(~F.expr(SUPPRESSED.format(line="at.line")))
     found = numbered(found)

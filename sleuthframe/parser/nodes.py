@@ -20,7 +20,8 @@ before a row's first and after its last line, `rest` what follows it on that lin
 `ind` the indentation of its first line, `lead` whether it begins that line, `close`
 whether its closing word or bracket begins the last one; `top` and `bot` count the
 blank lines after its heading, which ends on line `hdr`, and before its closing
-line; `code` and `full` its lines between that aren't blank, without and with those
+line, `top_at` to `top_to` and `bot_at` to `bot_to` the offsets of these; `nl` is the
+length of the file's line ends; `code` and `full` its lines between that aren't blank, without and with those
 of comments alone (of a call: its block's). `dirs` are the file's comments that suppress rules;
 `told` is what the caller carries along, on the row of kind `file`.
 
@@ -58,7 +59,7 @@ KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,ope
 #: Where a row's kids of each role are: the index of the first, and how many.
 INDEX = ["recv", "block", "cond", "value", "else", "params", "operator", "arg", "body", "scope"]
 INDEX_SQL = ", ".join([*(f"i_{n} int" for n in INDEX), "n_arg int", "n_body int"])
-SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, code int, full int, {INDEX_SQL}, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
+SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, code int, full int, top_at int, top_to int, bot_at int, bot_to int, nl int, {INDEX_SQL}, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
@@ -66,7 +67,7 @@ KID = pa.struct([*_STRINGS, ("k0", pa.string()), ("a0", pa.string()), ("n", pa.i
 UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form", "cond")])
 DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
 TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
-SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot", "code", "full", *(f"i_{n}" for n in INDEX), "n_arg", "n_body")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
+SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot", "code", "full", "top_at", "top_to", "bot_at", "bot_to", "nl", *(f"i_{n}" for n in INDEX), "n_arg", "n_body")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
 
 
 class Places:
@@ -213,13 +214,14 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
     count, dirs = 0, []
     whole = [line.removesuffix("\r") for line in text.split("\n")]
     n_lines = len(whole) - (whole[-1] == "")
+    line_end = 2 if "\r\n" in text else 1
     indents = [len(w) - len(w.lstrip(" \t")) for w in whole]
 
-    def put(at: tuple, sel: tuple | None = None, kids=(), kids2=(), up=(), *, parent=None, ord=None, depth=None, role="", kind, name=None, form=None, op=None, open=None, src=None, reads=None, rest=None, close=None, hdr=None, top=None, bot=None, code_lines=None, full=None, told=(), index=NOWHERE) -> int:
+    def put(at: tuple, sel: tuple | None = None, kids=(), kids2=(), up=(), *, parent=None, ord=None, depth=None, role="", kind, name=None, form=None, op=None, open=None, src=None, reads=None, rest=None, close=None, hdr=None, top=None, bot=None, code_lines=None, full=None, blank=(None,) * 4, told=(), index=NOWHERE) -> int:
         nonlocal count
         first, last = at[2], at[4]
         ind = indents[first - 1]
-        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, code_lines, full, *index, dirs, told), at, sel, kids, kids2, up)
+        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, code_lines, full, *blank, line_end, *index, dirs, told), at, sel, kids, kids2, up)
         count += 1
         return count - 1
 
@@ -268,7 +270,8 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
             bot += 1
         word = 1 if text[node.end - 1] == "}" else 3
         inside = [w.strip() for w in whole[head : last - 1]]
-        return {"code_lines": sum(bool(w) and w[0] != "#" for w in inside), "full": sum(map(bool, inside)), "hdr": head, "top": top, "bot": bot if head + top < last - 1 else 0, "close": not whole[last - 1][: column - word].strip()}
+        edge = (starts[head], starts[head + top], starts[last - 1 - bot], starts[last - 1]) if head < last else (None,) * 4
+        return {"code_lines": sum(bool(w) and w[0] != "#" for w in inside), "full": sum(map(bool, inside)), "blank": edge, "hdr": head, "top": top, "bot": bot if head + top < last - 1 else 0, "close": not whole[last - 1][: column - word].strip()}
 
     if tree:
         reads = names_read(tree)

@@ -1,5 +1,24 @@
 """Rules over syntax trees, declared as conditions on the columns of `nodes`."""
 
+import dataclasses
+from collections import Counter
+
 from sleuthframe.rules import layout, lint, lint_more, naming, rest, security, style, style_more
+from sleuthframe.rules.edits import EDITS
+
+_DECLARED = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES, *rest.RULES)
+
+
+def _with_edits(rules: tuple) -> tuple:
+    """The rules with their edits, which are told by name and order of declaration."""
+    seen: Counter = Counter()
+    out = []
+    for r in rules:
+        told = EDITS.get(r.name)
+        mine = (told[seen[r.name]] if seen[r.name] < len(told) else None) if isinstance(told, tuple) else told
+        seen[r.name] += 1
+        out.append(dataclasses.replace(r, edits=mine) if mine is not None else r)
+    return tuple(out)
+
 
-RULES = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES, *rest.RULES)
+RULES = _with_edits(_DECLARED)

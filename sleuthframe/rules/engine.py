@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 
 from sleuthframe.operators.line_rules import LineRule, severity
 from sleuthframe.parser.nodes import SPAN_SQL, nodes
+from sleuthframe.rules.edits import LINE_EDITS
 
 DIAGNOSTICS = ["path", "line", "column", "last_line", "last_column", "length", "rule", "severity", "message", "correctable"]
 
+#: An edit puts a text in place of what lies between two offsets; equal ones insert.
+EDIT_SQL = "struct<start:int,end:int,text:string>"
+EDITS_SQL = f"array<{EDIT_SQL}>"
+
 #: Columns that conditions may name beside those of the nodes table.
 VIEW = {
     "recv": "get(kids, i_recv)",
@@ -55,7 +60,11 @@ class NodeRule:
     or SQL after `=`, or after `@` SQL of an array of
     messages beside those of many=True; at: SQL of the span to report, or of an array of spans with
     many=True; options: configuration keys with their defaults, whose values stand
-    for {Key} in where and message; fix: SQL of the text to put at the span."""
+    for {Key} in where and message; fix: SQL of the text to put at the span;
+    edits: SQL of an array of edits (see EDIT_SQL) instead, in which x is the
+    reported span and {told} the first text in backquotes of the message. A finding
+    whose edits come out null, or have a null in them, has none. indirect: the
+    correction counts as done too if others rewrite all that it would."""
 
     name: str
     kinds: str
@@ -64,13 +73,24 @@ class NodeRule:
     at: str = "at"
     many: bool = False
     fix: str | None = None
-    correctable: bool = True
+    edits: str | None = None
+    indirect: bool = False
     options: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def severity(self) -> str:
         return severity(self.name)
 
+    @property
+    def correctable(self) -> bool:
+        return self.edits_sql is not None
+
+    @property
+    def edits_sql(self) -> str | None:
+        if self.edits is not None:
+            return self.filled(self.edits).replace("{told}", f"regexp_extract({self.message_sql}, '`([^`]*)`', 1)")
+        return f"array(named_struct('start', x.start, 'end', x.end, 'text', {self.filled(self.fix)}))" if self.fix is not None else None
+
     def filled(self, text: str) -> str:
         """text with the options' values in place of {Key}."""
         return re.sub(r"\{(\w+)\}", lambda m: str(self.options[m[1]]) if m[1] in self.options else m[0], text)
@@ -114,7 +134,7 @@ def from_line_rule(rule: LineRule) -> NodeRule:
 
     message = rule.message_sql
     start = f"at.start + ({sql(rule.column)}) - 1"
-    return NodeRule(rule.name, "line", sql(rule.where_sql), "=" + sql(message), span(start, f"{start} + greatest(1, {sql(rule.length)})"), correctable=rule.correctable)
+    return NodeRule(rule.name, "line", sql(rule.where_sql), "=" + sql(message), span(start, f"{start} + greatest(1, {sql(rule.length)})"), edits=LINE_EDITS.get(rule.name))
 
 
 def hits(pattern: str, column: str = "name") -> str:
@@ -137,11 +157,11 @@ def view(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("*", *(f"{sql} AS {name}" for name, sql in VIEW.items()))
 
 
-def _finding(rule: NodeRule) -> str:
-    at = rule.at if rule.many else f"array({rule.at})"
-    fix = rule.filled(rule.fix) if rule.fix else "cast(null AS string)"
+def _finding(rule: NodeRule, corrects: bool) -> str:
+    at = f"cast({rule.filled(rule.at if rule.many else f'array({rule.at})')} AS array<{SPAN_SQL}>)"
+    edits = f"transform({at}, x -> cast({rule.edits_sql} AS {EDITS_SQL}))" if corrects and rule.correctable else f"cast(null AS array<{EDITS_SQL}>)"
     message = rule.message_sql if rule.message[0] == "@" else f"array({rule.message_sql})"
-    return f"CASE WHEN {rule.filled(rule.where)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'messages', cast({message} AS array<string>), 'correctable', {str(rule.correctable).lower()}, 'fix', {fix}, 'spans', cast({rule.filled(at)} AS array<{SPAN_SQL}>)) END"
+    return f"CASE WHEN {rule.filled(rule.where)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'messages', cast({message} AS array<string>), 'correctable', {str(rule.correctable).lower()}, 'indirect', {str(rule.indirect).lower()}, 'edits', {edits}, 'spans', {at}) END"
 
 
 def conjuncts(where: str) -> list[str]:
@@ -176,38 +196,38 @@ def names_asked(rule: NodeRule) -> list[str] | None:
     return None
 
 
-def _of_kind(rules: list[NodeRule]) -> str:
+def _of_kind(rules: list[NodeRule], corrects: bool) -> str:
     """Findings of the rules of one kind. Rules that can only hit certain names are
     tried on rows with one of those names alone."""
     asked = [(r, names_asked(r)) for r in rules]
     free, bound = [r for r, n in asked if n is None], [r for r, n in asked if n is not None]
-    some = f"array_compact(array({', '.join(map(_finding, free))}))" if free else None
+    some = f"array_compact(array({', '.join(_finding(r, corrects) for r in free)}))" if free else None
     if len(bound) < 8:
-        return f"array_compact(array({', '.join(map(_finding, rules))}))"
+        return f"array_compact(array({', '.join(_finding(r, corrects) for r in rules)}))"
     names = sorted({x for _, n in asked if n for x in n})
-    tried = f"CASE WHEN name IN ({', '.join(names)}) THEN array_compact(array({', '.join(map(_finding, bound))})) ELSE {NONE} END"
+    tried = f"CASE WHEN name IN ({', '.join(names)}) THEN array_compact(array({', '.join(_finding(r, corrects) for r in bound)})) ELSE {NONE} END"
     return f"concat({some}, {tried})" if some else tried
 
 
-NONE = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,fix:string,spans:array<{SPAN_SQL}>>>)"
+NONE = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,indirect:boolean,edits:array<{EDITS_SQL}>,spans:array<{SPAN_SQL}>>>)"
 
 
-def node_findings(rows: DataFrame, rules: Iterable[NodeRule]) -> DataFrame:
-    """(path, dirs, rule, severity, message, correctable, fix, at) of nodes(files),
-    and what the files carry along in `told`."""
+def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = False) -> DataFrame:
+    """(path, dirs, rule, severity, message, correctable, indirect, edits, at) of nodes(files),
+    and what the files carry along in `told`. edits are null unless it `corrects`."""
     by_kind: dict[str, list[NodeRule]] = {}
     for rule in rules:
         for kind in rule.kinds.split():
             by_kind.setdefault(kind, []).append(rule)
     if not by_kind:
         by_kind = {"": []}
-    each = " ".join(f"WHEN {quoted(kind)} THEN {_of_kind(some)}" for kind, some in by_kind.items() if some)
+    each = " ".join(f"WHEN {quoted(kind)} THEN {_of_kind(some, corrects)}" for kind, some in by_kind.items() if some)
     found = F.expr(f"CASE kind {each} ELSE {NONE} END" if each else NONE)
     looked = view(rows.filter(F.col("kind").isin("file", *by_kind))).select("path", "dirs", F.explode(F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)).alias("f"))
-    return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "messages", "correctable", "fix", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "fix", "at")
+    return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "messages", "correctable", "indirect", "edits", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "indirect", F.expr("get(edits, i)").alias("edits"), "at")
 
 
-TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'messages', array(t.message), 'correctable', false, 'fix', cast(null AS string), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"
+TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'messages', array(t.message), 'correctable', false, 'indirect', false, 'edits', cast(null AS array<{EDITS_SQL}>), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"
 
 
 def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule], directives: bool = False) -> DataFrame:
@@ -228,5 +248,6 @@ def numbered(found: DataFrame) -> DataFrame:
 
 def edits(found: DataFrame) -> DataFrame:
     """edits(path, correction_id, start, end, replacement, indirect) of numbered
-    findings whose rule says what to put in place of what it reports."""
-    return found.filter("fix IS NOT NULL").select("path", "correction_id", "at.start", "at.end", F.col("fix").alias("replacement"), F.lit(False).alias("indirect"))
+    findings that say how to correct what they report: a row for each edit."""
+    whole = found.filter("edits IS NOT NULL AND forall(edits, e -> e.start IS NOT NULL AND e.end IS NOT NULL AND e.text IS NOT NULL)")
+    return whole.select("path", "correction_id", "indirect", F.explode("edits").alias("e")).select("path", "correction_id", "e.start", "e.end", F.col("e.text").alias("replacement"), "indirect")

@@ -41,20 +41,20 @@ RULES = (
     R("Style/ArrayFirstLast", "call", "name = '[]' AND form = 'index' AND argc = 1 AND a0.src IN ('0', '-1') AND NOT (role = 'recv' AND p.kind = 'call' AND p.name = '[]') AND NOT (recv.kind = 'call' AND recv.name = '[]') AND recv.kind <> 'constant_read'", "=concat('Use `', if(a0.src = '0', 'first', 'last'), '`.')", "sel", fix="if(a0.src = '0', '.first', '.last')"),
     R("Style/ArrayIntersectWithSingleElement", "call", "name = 'intersect?' AND argc = 1 AND a0.kind = 'array' AND a0.n = 1 AND open = '('", "Use `include?(element)` instead of `intersect?([element])`.", FROM_SEL),
     R("Style/ArrayJoin", "call", "name = '*' AND recv.kind = 'array' AND a0.kind = 'string'", "Favor `Array#join` over `Array#*`.", "sel"),
-    R("Style/AsciiComments", "comment", "name rlike '[^\\\\x00-\\\\x7F]'", "Use only ascii symbols in comments.", span("at.start + regexp_instr(name, '[^\\\\x00-\\\\x7F]') - 1", "at.start + regexp_instr(name, '[^\\\\x00-\\\\x7F]') - 1 + length(regexp_substr(name, '[^\\\\x00-\\\\x7F]+'))"), correctable=False, options={"AllowedChars": "['©']"}),
+    R("Style/AsciiComments", "comment", "name rlike '[^\\\\x00-\\\\x7F]'", "Use only ascii symbols in comments.", span("at.start + regexp_instr(name, '[^\\\\x00-\\\\x7F]') - 1", "at.start + regexp_instr(name, '[^\\\\x00-\\\\x7F]') - 1 + length(regexp_substr(name, '[^\\\\x00-\\\\x7F]+'))"), options={"AllowedChars": "['©']"}),
     R("Style/Attr", "call", "recv IS NULL AND name = 'attr' AND argc > 0", "=concat('Do not use `attr`. Use `', if(a1.kind = 'true', 'attr_accessor', 'attr_reader'), '` instead.')", "sel"),
-    R("Style/AutoResourceCleanup", "call", "name IN ('open', 'new') AND op = '.' AND recv.src IN ('File', '::File', 'Tempfile', '::Tempfile') AND blk IS NULL AND (name = 'open') AND NOT (role = 'recv' AND p.kind = 'call' AND p.name IN ('close', 'close!'))", "=concat('Use the block version of `', recv.src, '.open`.')", correctable=False),
+    R("Style/AutoResourceCleanup", "call", "name IN ('open', 'new') AND op = '.' AND recv.src IN ('File', '::File', 'Tempfile', '::Tempfile') AND blk IS NULL AND (name = 'open') AND NOT (role = 'recv' AND p.kind = 'call' AND p.name IN ('close', 'close!'))", "=concat('Use the block version of `', recv.src, '.open`.')"),
     R("Style/BarePercentLiterals", "string interpolated_string", "open like '%Q_'", "Use `%` instead of `%Q`.", span("at.start", "at.start + length(open)")),
-    R("Style/BeginBlock", "pre_execution", "true", "Avoid the use of `BEGIN` blocks.", "sel", correctable=False),
+    R("Style/BeginBlock", "pre_execution", "true", "Avoid the use of `BEGIN` blocks.", "sel"),
     R("Style/BitwisePredicate", "call", "name IN ('>', '!=') AND a0.src = '0' AND recv.kind = 'parentheses' AND exists(rk, k -> k.kind = 'call' AND k.name = '&' AND k.n = 2)", "=concat('Replace with `', regexp_replace(substr(recv.src, 2, length(recv.src) - 2), '^(.*) & (.*)$', '$1.anybits?($2)'), '` for comparison with bit flags.')"),
     R("Style/BlockComments", "comment", "form = 'block'", "Do not use block comments."),
     R("Style/CaseEquality", "call", "name = '===' AND recv IS NOT NULL AND recv.kind <> 'regular_expression'", "Avoid the use of the case equality operator `===`.", "sel"),
     R("Style/CharacterLiteral", "string", "open = '?' AND length(src) = 2", "Do not use the character literal - use string literal instead.", fix="concat('\\'', name, '\\'')"),
-    R("Style/ClassAndModuleChildren", "class module", "get(kids, 0).kind = 'constant_path' AND coalesce(get(kids, 0).open, '') <> '::'", "Use nested module/class definitions instead of compact style.", "get(kids, 0).at", correctable=False),
+    R("Style/ClassAndModuleChildren", "class module", "get(kids, 0).kind = 'constant_path' AND coalesce(get(kids, 0).open, '') <> '::'", "Use nested module/class definitions instead of compact style.", "get(kids, 0).at"),
     R("Style/ClassCheck", "call", "name = 'kind_of?' AND argc = 1", "Prefer `Object#is_a?` over `Object#kind_of?`.", "sel", fix="'is_a?'"),
     R("Style/ClassEqualityComparison", "call", "name IN ('==', 'equal?', 'eql?') AND recv.kind = 'call' AND recv.name = 'class' AND recv.n = 1 AND argc = 1 AND NOT (scope.kind = 'def' AND scope.name IN ('==', 'equal?', 'eql?'))", "=concat('Use `instance_of?(', a0.src, ')` instead of comparing classes.')", RECV_ON),
     R("Style/ClassMethods", "def", "recv.kind = 'constant_read' AND p.kind IN ('class', 'module') AND p.name = recv.name", "=concat('Use `self.', name, '` instead of `', recv.name, '.', name, '`.')", "recv.at"),
-    R("Style/ClassVars", "class_variable_write class_variable_or_write class_variable_operator_write class_variable_and_write class_variable_target", "true", "=concat('Replace class var ', name, ' with a class instance var.')", "sel", correctable=False),
+    R("Style/ClassVars", "class_variable_write class_variable_or_write class_variable_operator_write class_variable_and_write class_variable_target", "true", "=concat('Replace class var ', name, ' with a class instance var.')", "sel"),
     R("Style/CollectionMethods", "call", f"recv IS NOT NULL AND name IN ({names(COLLECTION)}) AND (blk IS NOT NULL OR name IN ('inject', 'member?') AND argc > 0)", f"=concat('Prefer `', {table('name', COLLECTION)}, '` over `', name, '`.')", "sel", fix=table("name", COLLECTION)),
     R("Style/ColonMethodCall", "call", "op = '::' AND name rlike '^[a-z_]' AND NOT coalesce(recv.src like 'Java%', false)", "Do not use `::` for method calls.", span("sel.start - 2", "sel.start", "sel"), fix="'.'"),
     R("Style/ColonMethodDefinition", "def", "op = '::'", "Do not use `::` for defining class methods.", span("sel.start - 2", "sel.start", "sel"), fix="'.'"),
@@ -78,21 +78,21 @@ RULES = (
     R("Style/EndBlock", "post_execution", "true", "Avoid the use of `END` blocks. Use `Kernel#at_exit` instead.", "sel", fix="'at_exit'"),
     R("Style/EnvHome", "call", "recv.src IN ('ENV', '::ENV') AND name IN ('[]', 'fetch') AND a0.kind = 'string' AND a0.name = 'HOME' AND (argc = 1 OR argc = 2 AND a1.kind = 'nil')", "Use `Dir.home` instead.", fix="'Dir.home'"),
     R("Style/EvenOdd", "call", "name IN ('==', '!=') AND a0.src IN ('0', '1') AND (recv.kind = 'call' AND recv.name = '%' AND exists(rk, k -> k.role = 'arg' AND k.src = '2') OR recv.kind = 'parentheses' AND recv.src rlike '^[(][\\\\w.@]+ % 2[)]$')", "=concat('Replace with `Integer#', if((name = '==') = (a0.src = '0'), 'even', 'odd'), '?`.')"),
-    R("Style/ExponentialNotation", "float", "name rlike '[eE]' AND NOT name rlike '^-?[1-9]([.]\\\\d*[0-9])?[eE]'", "Use a mantissa >= 1 and < 10.", correctable=False),
+    R("Style/ExponentialNotation", "float", "name rlike '[eE]' AND NOT name rlike '^-?[1-9]([.]\\\\d*[0-9])?[eE]'", "Use a mantissa >= 1 and < 10."),
     R("Style/FetchEnvVar", "call", "recv.src IN ('ENV', '::ENV') AND name = '[]' AND argc = 1 AND NOT role IN ('cond') AND p.kind NOT IN ('and', 'or', 'index_write') AND NOT (p.kind = 'call' AND role = 'recv') AND NOT p.kind like '%_or_write'", "=concat('Use `ENV.fetch(', a0.src, ', nil)` instead of `', src, '`.')", fix="concat('ENV.fetch(', a0.src, ', nil)')"),
     R("Style/For", "for", "true", "Prefer `each` over `for`."),
     R("Style/FormatString", "call", "name = 'sprintf' AND (recv IS NULL OR recv.src IN ('Kernel', '::Kernel')) AND argc > 1 OR name = '%' AND form = 'binary' AND recv.kind IN ('string', 'interpolated_string')", "=concat('Favor `format` over `', if(name = '%', 'String#%', name), '`.')", "sel"),
     R("Style/GlobalStdStream", "constant_read", "name IN ('STDIN', 'STDOUT', 'STDERR') AND role <> 'parent'", "=concat('Use `$', lower(name), '` instead of `', name, '`.')", fix="concat('$', lower(name))"),
-    R("Style/GlobalVars", "global_variable_read global_variable_write global_variable_or_write global_variable_and_write global_variable_operator_write global_variable_target", f"name NOT IN ({GLOBALS})", "Do not introduce global variables.", "sel", correctable=False),
+    R("Style/GlobalVars", "global_variable_read global_variable_write global_variable_or_write global_variable_and_write global_variable_operator_write global_variable_target", f"name NOT IN ({GLOBALS})", "Do not introduce global variables.", "sel"),
     R("Style/HashEachMethods", "call", "name = 'each' AND recv.kind = 'call' AND recv.name IN ('keys', 'values') AND recv.n = 1 AND blk IS NOT NULL AND argc = 0", "=concat('Use `each_', if(recv.name = 'keys', 'key', 'value'), '` instead of `', recv.name, '.each`.')", RECV_SEL, fix="if(recv.name = 'keys', 'each_key', 'each_value')"),
     R("Style/HashSyntax", "hash keyword_hash", "size(kids) > 0 AND forall(kids, k -> k.kind = 'assoc_splat' OR k.open = 'label' OR k.src rlike '^:[a-zA-Z_][a-zA-Z0-9_]*[?!]?\\\\s*=>')", "Use the new Ruby 1.9 hash syntax.", "transform(filter(kids, k -> k.open = '=>'), k -> named_struct('start', k.at.start, 'end', k.sel.end, 'line', k.at.line, 'column', k.at.column, 'last_line', k.sel.last_line, 'last_column', k.sel.last_column))", many=True),
     R("Style/IfUnlessModifierOfIfUnless", "if unless", "form = 'modifier' AND b0.kind IN ('if', 'unless')", "=concat('Avoid modifier `', substr(src, sel.start - at.start + 1, sel.end - sel.start), '` after another conditional.')", "sel"),
-    R("Style/ImplicitRuntimeError", "call", "recv IS NULL AND name IN ('raise', 'fail') AND argc = 1 AND a0.kind IN ('string', 'interpolated_string')", "=concat('Use `', name, '` with an explicit exception class and message, rather than just a message.')", correctable=False),
+    R("Style/ImplicitRuntimeError", "call", "recv IS NULL AND name IN ('raise', 'fail') AND argc = 1 AND a0.kind IN ('string', 'interpolated_string')", "=concat('Use `', name, '` with an explicit exception class and message, rather than just a message.')"),
     R("Style/InfiniteLoop", "while until", "coalesce(form, '') <> 'modifier' AND (kind = 'while' AND cond.kind IN ('true', 'integer', 'float', 'array', 'hash') OR kind = 'until' AND cond.kind IN ('false', 'nil'))", "Use `Kernel#loop` for infinite loops.", "sel"),
-    R("Style/InlineComment", "comment", "open = 'trailing' AND NOT name rlike '#\\\\s*rubocop:'", "Avoid trailing inline comments.", correctable=False),
+    R("Style/InlineComment", "comment", "open = 'trailing' AND NOT name rlike '#\\\\s*rubocop:'", "Avoid trailing inline comments."),
     R("Style/InPatternThen", "in", "oper.name = ';'", "=concat('Do not use `in ', get(kids, 0).src, ';`. Use `in ', get(kids, 0).src, ' then` instead.')", "oper.at", fix="' then'"),
     R("Style/InverseMethods", "call", f"name = '!' AND open = '!' AND recv.kind IN ('call', 'parentheses') AND (recv.kind = 'call' AND recv.form IS NULL AND recv.name IN ('any?', 'none?', 'even?', 'odd?') AND recv.n < 3)", f"=concat('Use `', {table('recv.name', INVERSE)}, '` instead of inverting `', recv.name, '`.')"),
-    R("Style/IpAddresses", "string", "name <> '::' AND (name rlike '^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$' OR name rlike '^([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$')", "Do not hardcode IP addresses.", correctable=False),
+    R("Style/IpAddresses", "string", "name <> '::' AND (name rlike '^((25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])[.]){3}(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$' OR name rlike '^([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$')", "Do not hardcode IP addresses."),
     R("Style/Lambda", "call", "recv IS NULL AND name = 'lambda' AND blk.kind = 'block' AND at.line = at.last_line", "Use the `-> { ... }` lambda literal syntax for single line lambdas.", "sel"),
     R("Style/Lambda", "lambda", "at.line <> at.last_line", "Use the `lambda` method for multiline lambdas.", "sel"),
     R("Style/LambdaCall", "call", "name = 'call' AND recv IS NOT NULL AND sel.start = sel.end AND open = '('", f"=concat('Prefer the use of `', recv.src, op, 'call(', array_join(transform(args, a -> a.src), ', '), ')` over `', src, '`.')"),
@@ -101,7 +101,7 @@ RULES = (
     R("Style/MethodCallWithoutArgsParentheses", "call", "open = '(' AND argc = 0 AND NOT coalesce(blk.kind = 'block_argument', false) AND NOT name rlike '^[A-Z]' AND sel.end > sel.start AND NOT (recv IS NULL AND name = 'it') AND NOT (p.kind = 'local_variable_write' AND p.name = name AND recv IS NULL)", "Do not use parentheses for method calls with no arguments.", span("sel.end", "sel.end + 2", "sel"), fix="''"),
     R("Style/MethodDefParentheses", "def", "params IS NOT NULL AND params.open IS NULL AND params.n > 0", "Use def with parentheses when there are parameters.", "params.at"),
     R("Style/MinMax", "array", "open = '[' AND size(kids) = 2 AND get(kids, 0).name = 'min' AND get(kids, 1).name = 'max' AND get(kids, 0).n = 1 AND get(kids, 1).n = 1 AND get(kids2, 0).src = get(kids2, 1).src", "=concat('Use `', get(kids2, 0).src, '.minmax` instead of `', src, '`.')"),
-    R("Style/MixinUsage", "call", "recv IS NULL AND name IN ('include', 'extend', 'prepend') AND p.kind = 'program' AND argc > 0 AND forall(args, a -> a.kind IN ('constant_read', 'constant_path'))", "=concat('`', name, '` is used at the top level. Use inside `class` or `module`.')", correctable=False),
+    R("Style/MixinUsage", "call", "recv IS NULL AND name IN ('include', 'extend', 'prepend') AND p.kind = 'program' AND argc > 0 AND forall(args, a -> a.kind IN ('constant_read', 'constant_path'))", "=concat('`', name, '` is used at the top level. Use inside `class` or `module`.')"),
     R("Style/ModuleFunction", "call", "recv IS NULL AND name = 'extend' AND argc = 1 AND a0.kind = 'self' AND p.kind = 'module'", "Use `module_function` instead of `extend self`."),
     R("Style/MultilineIfThen", "if unless", "oper.name = 'then' AND coalesce(form, '') NOT IN ('modifier', 'ternary') AND at.line <> at.last_line AND (nbody = 0 OR b0.at.line > oper.at.line)", "=concat('Do not use `then` for multi-line `', open, '`.')", "oper.at"),
     R("Style/MultilineTernaryOperator", "if", "form = 'ternary' AND at.line <> at.last_line", "Avoid multi-line ternary operators, use `if` or `unless` instead."),
@@ -116,16 +116,16 @@ RULES = (
     R("Style/NilLambda", "call", f"(recv IS NULL AND name IN ('lambda', 'proc') OR {root('recv', 'Proc')} AND name = 'new') AND blk.kind = 'block' AND size(filter(bk, k -> k.role = 'body')) = 1 AND exists(bk, k -> k.role = 'body' AND k.src IN ('nil', 'return nil', 'next nil', 'break nil'))", "=concat('Use an empty ', if(name = 'lambda', 'lambda', 'proc'), ' instead of always returning nil.')"),
     R("Style/NonNilCheck", "call", "name = '!=' AND a0.kind = 'nil' AND NOT (role = 'body' AND p.kind = 'def' AND p.name like '%?')", "=concat('Prefer `!', recv.src, '.nil?` over `', src, '`.')"),
     R("Style/Not", "call", "name = '!' AND open = 'not'", "Use `!` instead of `not`.", "sel"),
-    R("Style/NumberedParameters", "block", "at.line <> at.last_line AND src rlike '(?<![\\\\w@$:.])_[1-9](?![\\\\w])' AND NOT exists(kids, k -> k.role = 'params')", "Only use numbered parameters for single-line blocks.", correctable=False),
+    R("Style/NumberedParameters", "block", "at.line <> at.last_line AND src rlike '(?<![\\\\w@$:.])_[1-9](?![\\\\w])' AND NOT exists(kids, k -> k.role = 'params')", "Only use numbered parameters for single-line blocks."),
     R("Style/NumericLiteralPrefix", "integer", "name rlike '^-?(0[0-7]|0O|0X|0B|0[dD])'", "=CASE WHEN name rlike '^-?0X' THEN 'Use 0x for hexadecimal literals.' WHEN name rlike '^-?0B' THEN 'Use 0b for binary literals.' WHEN name rlike '^-?0[dD]' THEN 'Do not use prefixes for decimal literals.' ELSE 'Use 0o for octal literals.' END"),
     R("Style/NumericLiterals", "integer float", "NOT name rlike '^-?0[xXbBoOdD0-7]' AND length(regexp_replace(regexp_extract(name, '^-?([0-9_]+)', 1), '_', '')) >= {MinDigits} AND (NOT contains(regexp_extract(name, '^-?([0-9_]+)', 1), '_') OR NOT regexp_extract(name, '^-?([0-9_]+)', 1) rlike '^\\\\d{1,3}(_\\\\d{3})*$')", "Use underscores(_) as thousands separator and separate every 3 digits with them.", options={"MinDigits": "5"}),
     R("Style/NumericPredicate", "call", "form = 'binary' AND name IN ('==', '>', '<') AND (a0.src = '0' AND recv.kind NOT IN ('global_variable_read', 'integer') OR recv.src = '0' AND a0.kind NOT IN ('integer', 'global_variable_read') AND a0 IS NOT NULL)", "=if(a0.src = '0', concat('Use `', if(recv.kind IN ('call') AND recv.form IN ('binary', 'index'), concat('(', recv.src, ')'), recv.src), '.', CASE name WHEN '==' THEN 'zero?' WHEN '>' THEN 'positive?' ELSE 'negative?' END, '` instead of `', src, '`.'), concat('Use `', if(a0.kind IN ('call') AND a0.form = 'binary', concat('(', a0.src, ')'), a0.src), '.', CASE name WHEN '==' THEN 'zero?' WHEN '>' THEN 'negative?' ELSE 'positive?' END, '` instead of `', src, '`.'))"),
     R("Style/ObjectThen", "call", "name = 'yield_self' AND (blk IS NOT NULL)", "Prefer `then` over `yield_self`.", "sel", fix="'then'"),
-    R("Style/OneClassPerFile", "program", "size(filter(kids, k -> k.kind IN ('class', 'module'))) > 1", "Do not define multiple classes/modules at the top level in a single file.", "transform(slice(filter(transform(kids, (k, i) -> named_struct('k', k, 'g', array(named_struct('at', named_struct('end', k.sel.end + length(regexp_extract(substr(k.src, k.sel.end - k.at.start + 1), '^\\\\s*[\\\\w:]+', 0)), 'last_line', k.sel.last_line, 'last_column', k.sel.last_column + length(regexp_extract(substr(k.src, k.sel.end - k.at.start + 1), '^\\\\s*[\\\\w:]+', 0))))))), x -> x.k.kind IN ('class', 'module')), 2, 1000000), x -> named_struct('start', x.k.at.start, 'end', get(x.g, 0).at.end, 'line', x.k.at.line, 'column', x.k.at.column, 'last_line', get(x.g, 0).at.last_line, 'last_column', get(x.g, 0).at.last_column))", many=True, correctable=False),
-    R("Style/OpenStructUse", "constant_read constant_path", "name = 'OpenStruct' AND (kind = 'constant_read' OR open = '::') AND NOT (role = 'path')", "Avoid using `OpenStruct`; use `Struct`, `Hash`, a class or test doubles instead.", correctable=False),
-    R("Style/OptionalArguments", "parameters", "p.kind = 'def'", "Optional arguments should appear at the end of the argument list.", "transform(filter(transform(kids, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k.kind = 'optional_parameter' AND exists(slice(kids, x.i + 2, 1000), y -> y.kind = 'required_parameter') AND NOT exists(kids, y -> y.kind = 'rest_parameter')), x -> x.k.at)", many=True, correctable=False),
-    R("Style/OptionalBooleanParameter", "optional_parameter", "val.kind IN ('true', 'false') AND p.kind = 'parameters' AND pp.name NOT IN ('respond_to_missing?')", "=concat('Prefer keyword arguments for arguments with a boolean default value; use `', name, ': ', val.src, '` instead of `', src, '`.')", correctable=False),
-    R("Style/OptionHash", "parameters block_parameters", "get(kids, size(kids) - 1).kind = 'optional_parameter' AND get(kids, size(kids) - 1).name IN ('options', 'opts', 'args', 'params', 'parameters') AND exists(kids2, k -> k.of = size(kids) - 1 AND k.kind = 'hash' AND k.n = 0)", "Prefer keyword arguments to options hashes.", "get(kids, size(kids) - 1).at", correctable=False),
+    R("Style/OneClassPerFile", "program", "size(filter(kids, k -> k.kind IN ('class', 'module'))) > 1", "Do not define multiple classes/modules at the top level in a single file.", "transform(slice(filter(transform(kids, (k, i) -> named_struct('k', k, 'g', array(named_struct('at', named_struct('end', k.sel.end + length(regexp_extract(substr(k.src, k.sel.end - k.at.start + 1), '^\\\\s*[\\\\w:]+', 0)), 'last_line', k.sel.last_line, 'last_column', k.sel.last_column + length(regexp_extract(substr(k.src, k.sel.end - k.at.start + 1), '^\\\\s*[\\\\w:]+', 0))))))), x -> x.k.kind IN ('class', 'module')), 2, 1000000), x -> named_struct('start', x.k.at.start, 'end', get(x.g, 0).at.end, 'line', x.k.at.line, 'column', x.k.at.column, 'last_line', get(x.g, 0).at.last_line, 'last_column', get(x.g, 0).at.last_column))", many=True),
+    R("Style/OpenStructUse", "constant_read constant_path", "name = 'OpenStruct' AND (kind = 'constant_read' OR open = '::') AND NOT (role = 'path')", "Avoid using `OpenStruct`; use `Struct`, `Hash`, a class or test doubles instead."),
+    R("Style/OptionalArguments", "parameters", "p.kind = 'def'", "Optional arguments should appear at the end of the argument list.", "transform(filter(transform(kids, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k.kind = 'optional_parameter' AND exists(slice(kids, x.i + 2, 1000), y -> y.kind = 'required_parameter') AND NOT exists(kids, y -> y.kind = 'rest_parameter')), x -> x.k.at)", many=True),
+    R("Style/OptionalBooleanParameter", "optional_parameter", "val.kind IN ('true', 'false') AND p.kind = 'parameters' AND pp.name NOT IN ('respond_to_missing?')", "=concat('Prefer keyword arguments for arguments with a boolean default value; use `', name, ': ', val.src, '` instead of `', src, '`.')"),
+    R("Style/OptionHash", "parameters block_parameters", "get(kids, size(kids) - 1).kind = 'optional_parameter' AND get(kids, size(kids) - 1).name IN ('options', 'opts', 'args', 'params', 'parameters') AND exists(kids2, k -> k.of = size(kids) - 1 AND k.kind = 'hash' AND k.n = 0)", "Prefer keyword arguments to options hashes.", "get(kids, size(kids) - 1).at"),
     R("Style/OrAssignment", PLAIN_WRITE, "val.kind = 'if' AND val.form = 'ternary' AND exists(kids2, k -> k.of = 0 AND k.role = 'cond' AND k.name = name) AND exists(kids2, k -> k.of = 0 AND k.role = 'body' AND k.name = name)", "Use the double pipe equals operator `||=` instead."),
     R("Style/ParallelAssignment", "multi_write", "size(filter(kids, k -> k.role = 'value')) > 1 AND size(filter(kids, k -> k.role = 'value')) = size(filter(kids, k -> k.role = 'target')) AND NOT exists(kids, k -> k.kind IN ('splat', 'mlhs')) AND NOT (size(kids) = 4 AND get(kids, 0).src = get(kids, 3).src AND get(kids, 1).src = get(kids, 2).src)", "Do not use parallel assignment."),
     R("Style/ParenthesesAroundCondition", "if unless while until", "cond.kind = 'parentheses' AND cond.n = 1 AND coalesce(form, '') <> 'ternary' AND NOT exists(kids2, k -> k.of = array_position(transform(kids, x -> x.role), 'cond') - 1 AND (k.kind like '%_write' OR k.kind IN ('if', 'rescue_modifier') OR k.name IN ('and', 'or')))", "=concat('Don\\'t use parentheses around the condition of ', if(kind IN ('until', 'while'), 'a', 'an'), ' `', coalesce(if(form = 'modifier', kind, open), kind), '`.')", "cond.at"),
@@ -160,7 +160,7 @@ RULES = (
     R("Style/SelfAssignment", PLAIN_WRITE, "val.kind = 'call' AND val.form = 'binary' AND val.name IN ('+', '-', '*', '/', '**', '|', '&') AND get(kids2, 0).name = name AND get(kids2, 0).kind = replace(kind, '_write', '_read')", "=concat('Use self-assignment shorthand `', val.name, '=`.')"),
     R("Style/SelfAssignment", PLAIN_WRITE, "val.kind IN ('and', 'or') AND val.name IN ('&&', '||') AND get(kids2, 0).name = name AND get(kids2, 0).kind = replace(kind, '_write', '_read')", "=concat('Use self-assignment shorthand `', val.name, '=`.')"),
     R("Style/Semicolon", "semicolon", "true", "Do not use semicolons to terminate expressions."),
-    R("Style/Send", "call", "name = 'send' AND argc > 0 AND recv IS NOT NULL", "Prefer `Object#__send__` or `Object#public_send` to `send`.", "sel", correctable=False),
+    R("Style/Send", "call", "name = 'send' AND argc > 0 AND recv IS NOT NULL", "Prefer `Object#__send__` or `Object#public_send` to `send`.", "sel"),
     R("Style/SignalException", "call", "name = 'fail' AND (recv IS NULL OR recv.src IN ('Kernel', '::Kernel'))", "Always use `raise` to signal exceptions.", "sel", fix="'raise'"),
     R("Style/SingleArgumentDig", "call", "name = 'dig' AND recv IS NOT NULL AND argc = 1 AND op = '.' AND a0.kind NOT IN ('splat', 'keyword_hash', 'forwarding_arguments') AND NOT (recv.kind = 'call' AND recv.name = 'dig') AND NOT (role = 'recv' AND p.name = 'dig')", "=concat('Use `', recv.src, '[', a0.src, ']` instead of `', src, '`.')", fix="concat(recv.src, '[', a0.src, ']')"),
     R("Style/SlicingWithRange", "call", "name = '[]' AND argc = 1 AND a0.kind = 'range' AND a0.name = '..' AND a0.src rlike '^[^.]+[.][.]-1$' AND a0.src <> '0..-1'", "=concat('Prefer `[', regexp_replace(a0.src, '-1$', ''), ']` over `[', a0.src, ']`.')", "sel"),
@@ -179,7 +179,7 @@ RULES = (
     R("Style/SymbolLiteral", "symbol", "open IN (':\"', ':\\'') AND name rlike '^[a-zA-Z_][a-zA-Z0-9_]*$'", "Do not use strings for word-like symbol literals.", fix="concat(':', name)"),
     R("Style/SymbolProc", "call", "blk.kind = 'block' AND argc = 0 AND name NOT IN ('define_method', 'lambda', 'proc') AND NOT (name = 'new' AND recv.src IN ('Proc', '::Proc')) AND size(bk) = 2 AND get(bk, 0).kind = 'block_parameters' AND get(bk, 0).n = 1 AND get(bk, 1).kind = 'call' AND get(bk, 1).n = 1 AND get(bk, 1).op = '.' AND blk.src rlike concat('[|]', substr(get(bk, 0).src, 2, length(get(bk, 0).src) - 2), '[|]\\\\s*', substr(get(bk, 0).src, 2, length(get(bk, 0).src) - 2), '[.]\\\\w+[?!]?\\\\s*([}]|end)$')", "=concat('Pass `&:', get(bk, 1).name, '` as an argument to `', name, '` instead of a block.')", "blk.at"),
     R("Style/TernaryParentheses", "if", "form = 'ternary' AND cond.kind = 'parentheses' AND cond.n = 1 AND NOT exists(kids2, k -> k.of = 0 AND (k.kind like '%_write' OR k.kind IN ('if', 'and', 'or') AND k.name IN ('and', 'or') OR k.kind = 'call' AND k.form = 'command'))", "Omit parentheses for ternary conditions."),
-    R("Style/TopLevelMethodDefinition", "def", "p.kind = 'program'", "Do not define methods at the top-level.", correctable=False),
+    R("Style/TopLevelMethodDefinition", "def", "p.kind = 'program'", "Do not define methods at the top-level."),
     R("Style/TrailingCommaInArrayLiteral", "array", "open = '[' AND size(kids) > 0 AND src rlike ',[ \\\\t]*\\\\]$'", "Avoid comma after the last item of an array.", tail("get(kids, size(kids) - 1).at.end + length(regexp_extract(substr(src, get(kids, size(kids) - 1).at.end - at.start + 1), '^\\\\s*', 0))", "get(kids, size(kids) - 1).at.end + length(regexp_extract(substr(src, get(kids, size(kids) - 1).at.end - at.start + 1), '^\\\\s*', 0)) + 1"), fix="''"),
     R("Style/TrailingCommaInHashLiteral", "hash", "open = '{{' AND size(kids) > 0 AND src rlike ',[ \\\\t]*[}}]$'".replace("{{", "{").replace("}}", "}"), "Avoid comma after the last item of a hash.", tail("get(kids, size(kids) - 1).at.end", "get(kids, size(kids) - 1).at.end + 1"), fix="''"),
     R("Style/TrailingCommaInArguments", "call", "open = '(' AND argc > 0 AND blk IS NULL AND src rlike ',[ \\\\t]*[)]$'", "Avoid comma after the last parameter of a method call.", tail("get(args, argc - 1).at.end", "get(args, argc - 1).at.end + 1"), fix="''"),

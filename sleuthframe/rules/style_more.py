@@ -23,7 +23,7 @@ RULES = (
     R("Style/AmbiguousEndlessMethodDefinition", "if unless while until", "form = 'modifier' AND b0.kind = 'def' AND b0.form = 'endless'", "=concat('Avoid using `', kind, '` statements with endless methods.')"),
     R("Style/ArrayCoercion", "array", "open = '[' AND size(kids) = 1 AND get(kids, 0).kind = 'splat' AND get(kids, 0).n = 1", "=concat('Use `Array(', get(kids2, 0).src, ')` instead of `', src, '`.')", fix="concat('Array(', get(kids2, 0).src, ')')"),
     R("Style/BisectedAttrAccessor", "class module singleton_class", "exists(body, b -> b.name = 'attr_reader') AND exists(body, b -> b.name = 'attr_writer')", "@transform(filter(kids2, k -> k.role = 'arg' AND get(kids, k.of).name IN ('attr_reader', 'attr_writer') AND exists(kids2, o -> o.role = 'arg' AND o.src = k.src AND get(kids, o.of).name IN ('attr_reader', 'attr_writer') AND get(kids, o.of).name <> get(kids, k.of).name)), k -> concat('Combine both accessors into `attr_accessor ', k.src, '`.'))", "transform(filter(kids2, k -> k.role = 'arg' AND get(kids, k.of).name IN ('attr_reader', 'attr_writer') AND exists(kids2, o -> o.role = 'arg' AND o.src = k.src AND get(kids, o.of).name IN ('attr_reader', 'attr_writer') AND get(kids, o.of).name <> get(kids, k.of).name)), k -> k.at)", many=True),
-    R("Style/BlockDelimiters", "block", "open = 'do' AND at.line = at.last_line", "Prefer `{...}` over `do...end` for single-line blocks.", "sel", correctable=False),
+    R("Style/BlockDelimiters", "block", "open = 'do' AND at.line = at.last_line", "Prefer `{...}` over `do...end` for single-line blocks.", "sel"),
     R("Style/CollectionCompact", "call", "name IN ('reject', 'reject!') AND recv IS NOT NULL AND blk.kind = 'block_argument' AND blk.src = '&:nil?' AND argc = 0", f"=concat('Use `', if(name = 'reject', 'compact', 'compact!'), '` instead of `', {SEL_SRC}, '`.')", FROM_SEL, fix="if(name = 'reject', 'compact', 'compact!')"),
     R("Style/CollectionQuerying", "call", "recv.kind = 'call' AND recv.name = 'count' AND exists(rk, k -> k.role = 'recv') AND NOT exists(rk, k -> k.role = 'arg') AND (name IN ('positive?', 'zero?') AND argc = 0 OR form = 'binary' AND name = '>' AND a0.src = '0' OR form = 'binary' AND name = '==' AND a0.src IN ('0', '1'))", "=concat('Use `', CASE WHEN name IN ('positive?', '>') THEN 'any?' WHEN a0.src = '1' THEN 'one?' ELSE 'none?' END, '` instead.')", f"if(form = 'binary', {thru('recv.sel', 'at')}, {RECV_SEL})"),
     R("Style/ComparableBetween", "and", "get(kids, 0).kind = 'call' AND get(kids, 1).kind = 'call' AND get(kids, 0).name = '>=' AND get(kids, 1).name = '<=' AND get(kids2, 0).src = get(kids2, 2).src", "=concat('Prefer `', get(kids2, 0).src, '.between?(', get(kids2, 1).src, ', ', get(kids2, 3).src, ')` over logical comparison.')"),
@@ -40,15 +40,15 @@ RULES = (
     R("Style/GuardClause", "def", "nbody > 0 AND get(body, nbody - 1).kind IN ('if', 'unless') AND get(body, nbody - 1).form IS NULL AND NOT exists(kids2, k -> k.role = 'else' AND k.at.start >= get(body, nbody - 1).at.start) AND get(body, nbody - 1).at.last_line - get(body, nbody - 1).at.line > 1 AND NOT exists(kids, k -> k.role IN ('rescue', 'ensure')) AND NOT exists(kids2, k -> k.role = 'cond' AND k.at.start >= get(body, nbody - 1).at.start AND (k.kind like '%_write' OR k.kind = 'parentheses' OR k.at.line <> k.at.last_line))", "=concat('Use a guard clause (`return ', if(get(body, nbody - 1).kind = 'if', 'unless', 'if'), ' ', get(filter(kids2, k -> k.role = 'cond' AND k.at.start >= get(body, nbody - 1).at.start), 0).src, '`) instead of wrapping the code inside a conditional expression.')", "get(body, nbody - 1).sel"),
     R("Style/HashAsLastArrayItem", "array", "open = '[' AND size(kids) > 1 AND get(kids, size(kids) - 1).kind = 'keyword_hash'", "Wrap hash in `{` and `}`.", "get(kids, size(kids) - 1).at"),
     R("Style/HashConversion", "call", f"name = '[]' AND {root('recv', 'Hash')} AND argc > 0", "=CASE WHEN a0.kind = 'splat' THEN 'Prefer `array_of_pairs.to_h` to `Hash[*array]`.' WHEN argc > 1 THEN 'Prefer literal hash to `Hash[arg1, arg2, ...]`.' WHEN a0.kind = 'keyword_hash' THEN 'Prefer literal hash to `Hash[key: value, ...]`.' ELSE 'Prefer `ary.to_h` to `Hash[ary]`.' END"),
-    R("Style/HashLikeCase", "case", "val IS NOT NULL AND els IS NULL AND size(filter(kids, k -> k.kind = 'when')) >= {MinBranchesCount} AND forall(filter(kids, k -> k.kind = 'when'), k -> k.n <= 3) AND forall(filter(kids2, k -> k.role = 'cond'), k -> k.kind IN ('string', 'symbol')) AND forall(filter(kids2, k -> k.role = 'body' AND get(kids, k.of).kind = 'when'), k -> k.kind IN ('string', 'symbol', 'integer', 'float', 'true', 'false', 'nil')) AND size(filter(kids2, k -> k.role = 'body')) = size(filter(kids, k -> k.kind = 'when'))", "Consider replacing `case-when` with a hash lookup.", correctable=False, options={"MinBranchesCount": "3"}),
+    R("Style/HashLikeCase", "case", "val IS NOT NULL AND els IS NULL AND size(filter(kids, k -> k.kind = 'when')) >= {MinBranchesCount} AND forall(filter(kids, k -> k.kind = 'when'), k -> k.n <= 3) AND forall(filter(kids2, k -> k.role = 'cond'), k -> k.kind IN ('string', 'symbol')) AND forall(filter(kids2, k -> k.role = 'body' AND get(kids, k.of).kind = 'when'), k -> k.kind IN ('string', 'symbol', 'integer', 'float', 'true', 'false', 'nil')) AND size(filter(kids2, k -> k.role = 'body')) = size(filter(kids, k -> k.kind = 'when'))", "Consider replacing `case-when` with a hash lookup.", options={"MinBranchesCount": "3"}),
     R("Style/IfUnlessModifier", "if unless", "form IS NULL AND open IN ('if', 'unless') AND els IS NULL AND nbody = 1 AND at.last_line - at.line = 2 AND b0.at.line = at.line + 1 AND b0.at.last_line = b0.at.line AND cond.at.line = cond.at.last_line AND NOT src like '%#%' AND b0.kind NOT IN ('if', 'unless', 'while', 'until', 'case', 'rescue_modifier') AND NOT cond.kind like '%_write' AND ind + length(b0.src) + length(open) + length(cond.src) + 2 <= {Max} AND role IN ('body')", "=concat('Favor modifier `', open, '` usage when having a single-line body. Another good alternative is the usage of control flow `&&`/`||`.')", "sel", options={"Max": "120"}),
     R("Style/IfWithBooleanLiteralBranches", "if unless", "open IN ('if', 'unless') AND form IS NULL AND nbody = 1 AND els.kind = 'else' AND els.n = 1 AND cond.kind = 'call' AND (cond.name IN ('==', '!=', '<', '>', '<=', '>=', '!', '===') OR cond.name like '%?') AND exists(kids2, k -> get(kids, k.of).role = 'else' AND k.kind IN ('true', 'false') AND k.kind <> b0.kind) AND b0.kind IN ('true', 'false')", "=concat('Remove redundant `', open, '` with boolean literal branches.')", "sel"),
     R("Style/IfWithSemicolon", "if unless", "form IS NULL AND open IN ('if', 'unless') AND at.line = at.last_line AND els.kind = 'else' AND src rlike '^(if|unless) [^;]+;'", "=concat('Do not use `', open, ' ', cond.src, ';` - use a ternary operator instead.')"),
-    R("Style/ItAssignment", "local_variable_write", "name = 'it'", "`it` is the default block parameter; consider another name.", "sel", correctable=False),
+    R("Style/ItAssignment", "local_variable_write", "name = 'it'", "`it` is the default block parameter; consider another name.", "sel"),
     R("Style/KeywordArgumentsMerging", "assoc_splat", "val.kind = 'call' AND val.name = 'merge' AND val.n > 1 AND p.kind = 'keyword_hash'", "Provide additional arguments directly rather than using `merge`.", "val.at"),
     R("Style/MapJoin", "call", "name = 'join' AND recv.kind = 'call' AND recv.name IN ('map', 'collect') AND exists(rk, k -> k.role = 'block' AND k.src = '&:to_s')", "=concat('Remove redundant `', recv.name, '(&:to_s)` before `join`.')", thru("recv.sel", "recv.at")),
     R("Style/MethodCallWithArgsParentheses", "call", "form = 'command' AND argc > 0 AND NOT (recv IS NULL AND (scope.kind <> 'def'))", "Use parentheses for method calls with arguments."),
-    R("Style/MethodCalledOnDoEndBlock", "call", "recv.kind = 'call' AND exists(rk, k -> k.role = 'block' AND k.open = 'do' AND k.at.line <> k.at.last_line AND k.at.end = recv.at.end) AND op IN ('.', '&.')", "Avoid chaining a method call on a do...end block.", "named_struct('start', recv.at.end - 3, 'end', sel.end, 'line', recv.at.last_line, 'column', recv.at.last_column - 2, 'last_line', sel.last_line, 'last_column', sel.last_column)", correctable=False),
+    R("Style/MethodCalledOnDoEndBlock", "call", "recv.kind = 'call' AND exists(rk, k -> k.role = 'block' AND k.open = 'do' AND k.at.line <> k.at.last_line AND k.at.end = recv.at.end) AND op IN ('.', '&.')", "Avoid chaining a method call on a do...end block.", "named_struct('start', recv.at.end - 3, 'end', sel.end, 'line', recv.at.last_line, 'column', recv.at.last_column - 2, 'last_line', sel.last_line, 'last_column', sel.last_column)"),
     R("Style/MinMaxComparison", "if", "form = 'ternary' AND cond.kind = 'call' AND cond.name IN ('<', '>', '<=', '>=') AND cond.n = 2 AND (get(kids2, 0).src = b0.src AND get(kids2, 1).src = els.src OR get(kids2, 1).src = b0.src AND get(kids2, 0).src = els.src)", "=concat('Use `[', get(kids2, 0).src, ', ', get(kids2, 1).src, '].', if((cond.name like '>%') = (get(kids2, 0).src = b0.src), 'max', 'min'), '` instead.')"),
     R("Style/MixinGrouping", "call", "recv IS NULL AND name IN ('include', 'extend', 'prepend') AND argc > 1 AND p.kind IN ('class', 'module', 'singleton_class')", "=concat('Put `', name, '` mixins in separate statements.')"),
     R("Style/MultilineMemoization", "local_variable_or_write instance_variable_or_write", "val.kind = 'parentheses' AND val.at.line <> val.at.last_line", "Wrap multiline memoization blocks in `begin` and `end`."),
@@ -74,21 +74,21 @@ RULES = (
     R("Style/RedundantRegexpArgument", "call", f"name IN ('gsub', 'gsub!', 'sub', 'sub!', 'split', 'partition', 'rpartition', 'start_with?', 'index', 'rindex') AND recv IS NOT NULL AND a0.kind = 'regular_expression' AND a0.open = '/' AND a0.op = '' AND a0.name rlike {CASE_OF_REGEXP} AND a0.name <> ' '", "=concat('Use string `\\'', a0.name, '\\'` as argument instead of regexp `', a0.src, '`.')", "a0.at", fix="concat('\\'', a0.name, '\\'')"),
     R("Style/RedundantRegexpCharacterClass", "regular_expression", r"name rlike '^[^\\[\\\\]*\\[[a-zA-Z0-9]\\]'", r"=concat('Redundant single-element character class, `', regexp_substr(name, '\\[[a-zA-Z0-9]\\]'), '` can be replaced with `', substr(regexp_substr(name, '\\[[a-zA-Z0-9]\\]'), 2, 1), '`.')", span(r"at.start + length(open) + regexp_instr(name, '\\[[a-zA-Z0-9]\\]') - 1", r"at.start + length(open) + regexp_instr(name, '\\[[a-zA-Z0-9]\\]') + 2")),
     R("Style/RedundantRegexpConstructor", "call", f"name IN ('new', 'compile') AND {root('recv', 'Regexp')} AND argc = 1 AND a0.kind = 'regular_expression'", "=concat('Remove the redundant `Regexp.', name, '`.')", fix="a0.src"),
-    R("Style/SafeNavigationChainLength", "call", "op = '&.' AND recv.kind = 'call' AND recv.op = '&.' AND get(rk, 0).kind = 'call' AND get(rk, 0).op = '&.'", "Avoid safe navigation chains longer than {Max} calls.", correctable=False, options={"Max": "2"}),
+    R("Style/SafeNavigationChainLength", "call", "op = '&.' AND recv.kind = 'call' AND recv.op = '&.' AND get(rk, 0).kind = 'call' AND get(rk, 0).op = '&.'", "Avoid safe navigation chains longer than {Max} calls.", options={"Max": "2"}),
     R("Style/SelectByRegexp", "call", "name IN ('select', 'filter', 'find_all', 'reject') AND recv IS NOT NULL AND blk.kind = 'block' AND size(bk) = 2 AND get(bk, 1).kind = 'call' AND (get(bk, 1).name IN ('=~', 'match?') AND get(bk, 1).src rlike concat('^', substr(get(bk, 0).src, 2, length(get(bk, 0).src) - 2), '( =~ |[.]match[?][(])/[^/]+/[)]?$'))", "=concat('Prefer `', if(name = 'reject', 'grep_v', 'grep'), '` to `', name, '` with a regexp match.')"),
     R("Style/SendWithLiteralMethodName", "call", "name = 'public_send' AND recv IS NOT NULL AND a0.kind IN ('symbol', 'string') AND a0.name rlike '^[a-z_][a-zA-Z0-9_]*[?!]?$'", "=concat('Use `', a0.name, '` method call directly instead.')", FROM_SEL),
     R("Style/TrailingBodyOnClass", "class singleton_class", "at.line <> at.last_line AND nbody > 0 AND b0.at.line = at.line", "Place the first line of class body on its own line.", "b0.at"),
     R("Style/TrailingBodyOnModule", "module", "at.line <> at.last_line AND nbody > 0 AND b0.at.line = at.line", "Place the first line of module body on its own line.", "b0.at"),
-    R("Style/TrailingBodyOnMethodDefinition", "def", "at.line <> at.last_line AND nbody > 0 AND b0.at.line = at.line AND coalesce(form, '') <> 'endless'", "Place the first line of a multi-line method definition's body on its own line.", "b0.at", correctable=False),
+    R("Style/TrailingBodyOnMethodDefinition", "def", "at.line <> at.last_line AND nbody > 0 AND b0.at.line = at.line AND coalesce(form, '') <> 'endless'", "Place the first line of a multi-line method definition's body on its own line.", "b0.at"),
     R("Style/TrailingCommaInBlockArgs", "block_parameters", "open = '|' AND size(kids) > 1 AND src rlike ',\\\\s*[|]$'", "Useless trailing comma present in block arguments.", tail("get(kids, size(kids) - 1).at.end", "get(kids, size(kids) - 1).at.end + 1"), fix="''"),
     R("Style/TrailingMethodEndStatement", "def", "at.line <> at.last_line AND NOT close AND nbody > 0 AND coalesce(form, '') <> 'endless'", "Place the end statement of a multi-line method on its own line.", tail("at.end - 3", "at.end")),
     R("Style/TrailingUnderscoreVariable", "multi_write", "size(filter(kids, k -> k.role = 'target')) > 1 AND get(reverse(filter(kids, k -> k.role = 'target')), 0).name = '_' AND NOT exists(kids, k -> k.role = 'target' AND k.kind IN ('splat', 'mlhs')) AND get(kids, 0).name <> '_'", "=concat('Do not use trailing `_`s in parallel assignment. Prefer `', array_join(transform(filter(kids, k -> k.role = 'target' AND k.name <> '_'), k -> k.src), ', '), ', = ', array_join(transform(filter(kids, k -> k.role = 'value'), k -> k.src), ', '), '`.')", "get(reverse(filter(kids, k -> k.role = 'target')), 0).at"),
     R("Style/YAMLFileRead", "call", f"name IN ('load', 'parse') AND {root('recv', 'YAML')} AND a0.kind = 'call' AND a0.name = 'read' AND a0.src rlike '^(::)?File[.]read[(]'", "=concat('Use `', name, '_file(', regexp_extract(a0.src, '^(?:::)?File[.]read[(](.*)[)]$', 1), ')` instead.')", FROM_SEL),
     R("Style/YodaExpression", "call", "form = 'binary' AND name IN ('*', '+', '&', '|') AND recv.kind IN ('integer', 'float', 'string') AND a0.kind IN ('call', 'local_variable_read', 'instance_variable_read')", "=concat('Non-literal operand (`', a0.src, '`) should be first.')"),
-    R("RSpec/EmptyExampleGroup", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND NOT blk.src rlike '\\\\b(it|specify|example|scenario|its|it_behaves_like|include_examples|it_should_behave_like|xit|fit|pending)\\\\b'", "Empty example group detected.", LINE, correctable=False),
-    R("RSpec/ExampleLength", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND full > 15", "=concat('Example has too many lines. [', full, '/15]')", LINE, correctable=False),
-    R("RSpec/MultipleExpectations", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND size(filter(split(blk.src, '\\n'), l -> l like '%expect(%' OR l like '%is_expected%')) > 1", "Example has too many expectations.", LINE, correctable=False),
-    R("RSpec/MultipleMemoizedHelpers", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(bk, k -> k.role = 'body' AND k.name IN ('let', 'let!', 'subject'))) > 10", "Example group has too many memoized helpers.", LINE, correctable=False),
-    R("RSpec/NestedGroups", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(up, u -> u.kind = 'call' AND u.name IN ({GROUPS}))) >= 4", "Maximum example group nesting exceeded.", LINE, correctable=False),
-    R("RSpec/ScatteredSetup", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(bk, k -> k.role = 'body' AND k.name = 'before')) > 1", "Do not scatter setup blocks throughout an example group.", "transform(slice(filter(bk, k -> k.role = 'body' AND k.name = 'before'), 2, 1000), k -> named_struct('start', k.at.start, 'end', k.at.start + length(substring_index(k.src, '\\n', 1)), 'line', k.at.line, 'column', k.at.column, 'last_line', k.at.line, 'last_column', k.at.column + length(substring_index(k.src, '\\n', 1)) - 1))", many=True, correctable=False),
+    R("RSpec/EmptyExampleGroup", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND NOT blk.src rlike '\\\\b(it|specify|example|scenario|its|it_behaves_like|include_examples|it_should_behave_like|xit|fit|pending)\\\\b'", "Empty example group detected.", LINE),
+    R("RSpec/ExampleLength", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND full > 15", "=concat('Example has too many lines. [', full, '/15]')", LINE),
+    R("RSpec/MultipleExpectations", "call", f"name IN ('it', 'specify', 'example', 'scenario') AND blk.open = 'do' AND {SPEC} AND size(filter(split(blk.src, '\\n'), l -> l like '%expect(%' OR l like '%is_expected%')) > 1", "Example has too many expectations.", LINE),
+    R("RSpec/MultipleMemoizedHelpers", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(bk, k -> k.role = 'body' AND k.name IN ('let', 'let!', 'subject'))) > 10", "Example group has too many memoized helpers.", LINE),
+    R("RSpec/NestedGroups", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(up, u -> u.kind = 'call' AND u.name IN ({GROUPS}))) >= 4", "Maximum example group nesting exceeded.", LINE),
+    R("RSpec/ScatteredSetup", "call", f"name IN ({GROUPS}) AND blk.kind = 'block' AND {SPEC} AND size(filter(bk, k -> k.role = 'body' AND k.name = 'before')) > 1", "Do not scatter setup blocks throughout an example group.", "transform(slice(filter(bk, k -> k.role = 'body' AND k.name = 'before'), 2, 1000), k -> named_struct('start', k.at.start, 'end', k.at.start + length(substring_index(k.src, '\\n', 1)), 'line', k.at.line, 'column', k.at.column, 'last_line', k.at.line, 'last_column', k.at.column + length(substring_index(k.src, '\\n', 1)) - 1))", many=True),
 )
