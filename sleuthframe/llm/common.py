@@ -68,7 +68,7 @@ def put_file(uri: str, write) -> None:
     other's file is never read."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:
         write(out)
 
 
