@@ -11,6 +11,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import tempfile
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from sleuthframe.operators.analysis import analyze, one_of_each_path, rule_names
 from sleuthframe.operators.autocorrect import autocorrect
-from sleuthframe.operators.config import configured, parse_config
+from sleuthframe.operators.config import parse_config
+from sleuthframe.operators.file_rules import FILE_RULES
 from sleuthframe.operators.line_rules import RULES as LINE_RULES
 from sleuthframe.operators.line_rules import selected
 from sleuthframe.operators.reporting import document, exit_status, simple_report, totals
@@ -59,13 +61,27 @@ def parse_args(args: list[str]) -> argparse.Namespace:
 
 
 def write_back(after: DataFrame, files: DataFrame) -> None:
-    """Write files whose text changed to where they were read, with their own bytes."""
+    """Write files whose text changed to where they were read, with their own
+    bytes. What is to be written is a table first, so that a task that runs again
+    never reads a file that was written; all must run on this machine, for the
+    paths are its own. Each file is put in its place whole."""
+    spark = after.sparkSession
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("files are corrected in place by a local master only")
     changed = after.alias("a").join(files.alias("f"), "path").filter("a.content <> f.content").select("path", F.col("a.content").alias("content"), "f.marker", "f.invalid")
+    with tempfile.TemporaryDirectory() as folder:
+        changed.write.parquet(f"file://{folder}/changed")
+        _put(spark.read.parquet(f"file://{folder}/changed"))
+
+
+def _put(changed: DataFrame) -> None:
 
     def run(rows: Iterable) -> None:
         for r in rows:
-            with open(r["path"], "wb") as out:
+            made = f"{r['path']}.{os.getpid()}.corrected"
+            with open(made, "wb") as out:
                 out.write(restored(r["content"], r["marker"], bytes(r["invalid"] or b"")))
+            os.replace(made, r["path"])
 
     changed.foreachPartition(run)
 
@@ -93,10 +109,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=N
         else:
             files = targets(spark, options.paths or ["."])
         if options.autocorrect and options.stdin is None:
-            files = files.dropDuplicates(["path"])
-            rules = configured(selected(options.only, NODE_RULES), config)
-            found, after = autocorrect(files, (*rules, *map(from_line_rule, configured(selected(options.only, LINE_RULES), config))))
-            found = found.persist()
+            rest = [c for c in files.columns if c != "path"]
+            files = files.groupBy("path").agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64("content"), "content")).alias("r")).select("path", "r.*")
+            rules = (*selected(options.only, NODE_RULES), *map(from_line_rule, selected(options.only, LINE_RULES)))
+            found, after = autocorrect(files, rules, config=config, file_rules=selected(options.only, FILE_RULES))
+            found, after = found.persist(), after.persist()
             found.count()
             write_back(after, files)
         else:

@@ -1,6 +1,7 @@
 """One call from files to diagnostics: built-in rules, configuration, own rules.
 
-The plan depends on the rules asked for. Rules over lines and whole files alone
+Settings and globs of the configuration are data beside the files (see settings
+and eligibility). The plan depends on the rules asked for. Rules over lines and whole files alone
 are evaluated without parsing; as soon as a rule needs syntax trees, everything
 is evaluated over the nodes table, in one pass over the files.
 
@@ -21,6 +22,7 @@ from sleuthframe.operators import file_rules as whole
 from sleuthframe.operators.config import Value, configured
 from sleuthframe.operators.directives import directives as directives_of
 from sleuthframe.operators.directives import without_disabled
+from sleuthframe.operators.eligibility import looked_at, with_skips
 from sleuthframe.operators.file_rules import FILE_RULES, file_diagnostics
 from sleuthframe.operators.line_rules import DIAGNOSTICS, diagnostics, selected
 from sleuthframe.operators.line_rules import RULES as LINE_RULES
@@ -47,17 +49,20 @@ def analyze(files: DataFrame, only: list[str] | None = None, config: dict[str, d
     """Diagnostics of the selected rules and of `own`; a path counts once. With
     `directives`, comments in the source suppress findings of every kind."""
     files = one_of_each_path(files.select("path", F.coalesce(F.col("content").cast("string"), F.lit("")).alias("content")))
-    line_rules, file_rules, node_rules = (configured(selected(only, rules), config or {}) for rules in (LINE_RULES, FILE_RULES, NODE_RULES))
+    line_rules, file_rules, node_rules = (selected(only, rules) for rules in (LINE_RULES, FILE_RULES, NODE_RULES))
+    looked = with_skips(files, [r.name for r in (*line_rules, *file_rules, *node_rules)], config)
     parts = []
     if node_rules:
-        told = files.withColumn("told", whole.findings_in(file_rules)) if file_rules else files
-        parts.append(node_diagnostics(told, (*node_rules, *map(from_line_rule, line_rules)), directives))
+        told = looked.withColumn("told", whole.findings_in(file_rules)) if file_rules else looked
+        parts.append(node_diagnostics(told, (*node_rules, *map(from_line_rule, line_rules)), directives, config))
     else:
-        marked = files.withColumn("dirs", directives_of(F.col("content"))) if directives else files
-        keep = ("dirs",) if directives else ()
+        marked = looked.withColumn("dirs", directives_of(F.col("content"))) if directives else looked
+        keep = ("dirs", "skip") if directives else ("skip",)
+        line_rules = configured(line_rules, config or {})
         found = [diagnostics(marked, line_rules, *keep)] if line_rules else []
         found += [file_diagnostics(marked, file_rules, *keep)] if file_rules else []
-        parts += [without_disabled(f).select(*DIAGNOSTICS) if directives else f for f in found]
+        found = [f.filter(looked_at(F.col("rule"))) for f in found]
+        parts += [(without_disabled(f) if directives else f).select(*DIAGNOSTICS) for f in found]
     for rule in own:
         found = rule(files)
         for name, other in (("last_line", F.col("line")), ("last_column", F.col("column") + F.col("length") - 1), ("correctable", F.lit(False))):

@@ -1,31 +1,38 @@
 """Corrections that rules propose, accepted and applied to the files.
 
-One pass finds and one applies: there is no second round over corrected text. Null
-contents count as empty. A path must not repeat (see analysis.one_of_each_path).
-No files or no edits give no rows or unchanged files.
+One pass finds and one applies: there is no second round over corrected text. Rules
+over whole files report beside the others. Null contents count as empty. A path
+must not repeat (see analysis.one_of_each_path). No files or no edits give no rows
+or unchanged files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sleuthframe.operators import file_rules as whole
 from sleuthframe.operators.corrections import corrected
+from sleuthframe.operators.eligibility import with_skips
 from sleuthframe.operators.line_rules import DIAGNOSTICS
 from sleuthframe.parser.nodes import nodes
 from sleuthframe.rules.engine import SUPPRESSED, NodeRule, edits, node_findings, numbered
 
 
-def autocorrect(files: DataFrame, rules: Iterable[NodeRule], directives: bool = True) -> tuple[DataFrame, DataFrame]:
+def autocorrect(files: DataFrame, rules: Iterable[NodeRule], directives: bool = True, config: Mapping | None = None, file_rules: Iterable = ()) -> tuple[DataFrame, DataFrame]:
     """(diagnostics with a column `corrected`, files(path, content, accepted,
     subsumed) after the accepted edits)."""
-    found = node_findings(nodes(files), rules, corrects=True)
+    rules, file_rules = tuple(rules), tuple(file_rules)
+    files = files.select("path", F.coalesce("content", F.lit("")).alias("content"))
+    looked = with_skips(files, [r.name for r in (*rules, *file_rules)], config)
+    looked = looked.withColumn("told", whole.findings_in(file_rules)) if file_rules else looked
+    found = node_findings(nodes(looked), rules, corrects=True, config=config)
     if directives:
         found = found.filter(~F.expr(SUPPRESSED.format(line="at.line")))
     found = numbered(found)
-    after = corrected(files.select("path", F.coalesce("content", F.lit("")).alias("content")), edits(found))
+    after = corrected(files, edits(found))
     done = after.select("path", F.explode(F.concat("accepted", "subsumed")).alias("correction_id")).withColumn("corrected", F.lit(True))
     told = found.join(done, ["path", "correction_id"], "left").withColumn("corrected", F.coalesce("corrected", F.lit(False)))
     told = told.select("path", "at.line", "at.column", "at.last_line", "at.last_column", F.greatest(F.lit(1), F.col("at.end") - F.col("at.start")).alias("length"), "rule", "severity", "message", "correctable", "corrected")

@@ -79,7 +79,7 @@ def part(pattern: str) -> dict[str, str]:
 TRIMMED = {"column": "length(body) - length(ltrim(body)) + 1", "length": "length(trim(body))"}
 #: Messages are fixed values.
 RULES = (
-    LineRule("Layout/LineLength", "=concat('Line is too long. [', length(body), '/{Max}]')", "length(body) > {Max}", "{Max} + 1", "length(body) - {Max}", options={"Max": "120"}),
+    LineRule("Layout/LineLength", "=concat('Line is too long. [', length(body), '/', {Max}, ']')", "length(body) > {Max}", "{Max} + 1", "length(body) - {Max}", options={"Max": "120"}),
     LineRule("Layout/TrailingWhitespace", "Trailing whitespace detected.", "right(body, 1) IN (' ', '	', '　')", "length(regexp_replace(body, '[ \t　]+$', '')) + 1", "length(body) - length(regexp_replace(body, '[ \t　]+$', ''))", correctable=True),
     LineRule("Layout/IndentationStyle", "Tab detected in indentation.", correctable=True, needs="\t", **part("^( *)(\t+)")),
     LineRule("Layout/EmptyLines", "Extra blank line detected.", "line > 1 AND trim(body) = '' AND trim(prev) = ''", length="1", correctable=True),

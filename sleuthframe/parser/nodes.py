@@ -23,7 +23,8 @@ blank lines after its heading, which ends on line `hdr`, and before its closing
 line, `top_at` to `top_to` and `bot_at` to `bot_to` the offsets of these; `nl` is the
 length of the file's line ends; `code` and `full` its lines between that aren't blank, without and with those
 of comments alone (of a call: its block's). `dirs` are the file's comments that suppress rules;
-`told` is what the caller carries along, on the row of kind `file`.
+`told` is what the caller carries along, on the row of kind `file`, and `skip`, on
+all rows, the rules that pass the file by.
 
 A file that can't be parsed gives its lines, without `name`, and one row of kind
 `error`, and no nodes or comments. A null content counts as empty; a null path stays null.
@@ -59,7 +60,7 @@ KID_SQL = f"struct<role:string,kind:string,name:string,form:string,op:string,ope
 #: Where a row's kids of each role are: the index of the first, and how many.
 INDEX = ["recv", "block", "cond", "value", "else", "params", "operator", "arg", "body", "scope"]
 INDEX_SQL = ", ".join([*(f"i_{n} int" for n in INDEX), "n_arg int", "n_body int"])
-SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, code int, full int, top_at int, top_to int, bot_at int, bot_to int, nl int, {INDEX_SQL}, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>"
+SCHEMA_SQL = f"path string, id int, parent int, ord int, depth int, role string, kind string, name string, form string, op string, open string, src string, at {SPAN_SQL}, sel {SPAN_SQL}, kids array<{KID_SQL}>, kids2 array<{KID_SQL}>, up array<struct<kind:string,name:string,role:string,form:string,cond:string>>, reads array<string>, prev string, next string, rest string, ind int, lead boolean, close boolean, hdr int, top int, bot int, code int, full int, top_at int, top_to int, bot_at int, bot_to int, nl int, {INDEX_SQL}, dirs array<struct<line:int,disabled:boolean,own:boolean,names:array<string>>>, told array<struct<rule:string,severity:string,message:string>>, skip array<string>"
 
 SPAN = pa.struct([(n, pa.int32()) for n in ("start", "end", "line", "column", "last_line", "last_column")])
 _STRINGS = [(n, pa.string()) for n in ("role", "kind", "name", "form", "op", "open", "src")]
@@ -67,7 +68,7 @@ KID = pa.struct([*_STRINGS, ("k0", pa.string()), ("a0", pa.string()), ("n", pa.i
 UP = pa.struct([(n, pa.string()) for n in ("kind", "name", "role", "form", "cond")])
 DIRECTIVE = pa.struct([("line", pa.int32()), ("disabled", pa.bool_()), ("own", pa.bool_()), ("names", pa.list_(pa.string()))])
 TOLD = pa.struct([(n, pa.string()) for n in ("rule", "severity", "message")])
-SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot", "code", "full", "top_at", "top_to", "bot_at", "bot_to", "nl", *(f"i_{n}" for n in INDEX), "n_arg", "n_body")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD))])
+SCHEMA = pa.schema([("path", pa.string()), *[(n, pa.int32()) for n in ("id", "parent", "ord", "depth")], *_STRINGS, ("at", SPAN), ("sel", SPAN), ("kids", pa.list_(KID)), ("kids2", pa.list_(KID)), ("up", pa.list_(UP)), ("reads", pa.list_(pa.string())), *[(n, pa.string()) for n in ("prev", "next", "rest")], ("ind", pa.int32()), ("lead", pa.bool_()), ("close", pa.bool_()), *[(n, pa.int32()) for n in ("hdr", "top", "bot", "code", "full", "top_at", "top_to", "bot_at", "bot_to", "nl", *(f"i_{n}" for n in INDEX), "n_arg", "n_body")], ("dirs", pa.list_(DIRECTIVE)), ("told", pa.list_(TOLD)), ("skip", pa.list_(pa.string()))])
 
 
 class Places:
@@ -206,7 +207,7 @@ def indexed(node: Node, up: tuple) -> tuple:
 PLAIN = [f.name for f in SCHEMA if f.name not in ("at", "sel", "kids", "kids2", "up")]
 
 
-def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None = None) -> None:
+def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None = None, skip: list[str] | None = None) -> None:
     """Add the rows of one file."""
     text = text or ""
     places = Places(text)
@@ -221,7 +222,7 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
         nonlocal count
         first, last = at[2], at[4]
         ind = indents[first - 1]
-        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, code_lines, full, *blank, line_end, *index, dirs, told), at, sel, kids, kids2, up)
+        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, code_lines, full, *blank, line_end, *index, dirs, told, skip), at, sel, kids, kids2, up)
         count += 1
         return count - 1
 
@@ -310,9 +311,9 @@ def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     rows = Rows()
     for batch in batches:
-        told = batch.column("told").to_pylist()
-        for path, text, carried in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), told, strict=True):
-            fill(rows, path, text, carried)
+        columns = (batch.column(n).to_pylist() for n in ("path", "content", "told", "skip"))
+        for path, text, told, skip in zip(*columns, strict=True):
+            fill(rows, path, text, told, skip)
             if len(rows) >= ROWS:
                 yield rows.batch()
                 rows = Rows()
@@ -322,6 +323,7 @@ def _nodes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def nodes(files: DataFrame) -> DataFrame:
     """The table of nodes, comments, lines and errors of files(path, content), and
-    of what files carry in an array `told`, if they do."""
+    of what files carry in arrays `told` and `skip`, if they do."""
+    skip = "skip" if "skip" in files.columns else "cast(array() AS array<string>) AS skip"
     told = "told" if "told" in files.columns else "cast(array() AS array<struct<rule:string,severity:string,message:string>>) AS told"
-    return files.selectExpr("path", "cast(content AS string) AS content", told).mapInArrow(_nodes, SCHEMA_SQL)
+    return files.selectExpr("path", "cast(content AS string) AS content", told, skip).mapInArrow(_nodes, SCHEMA_SQL)

@@ -5,6 +5,7 @@ from collections import Counter
 
 from sleuthframe.rules import layout, lint, lint_more, naming, rest, security, style, style_more
 from sleuthframe.rules.edits import EDITS
+from sleuthframe.rules.policy import POLICY, STYLES
 
 _DECLARED = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES, *rest.RULES)
 
@@ -21,4 +22,10 @@ def _with_edits(rules: tuple) -> tuple:
     return tuple(out)
 
 
-RULES = _with_edits(_DECLARED)
+def _with_policy(rules: tuple, styles: tuple) -> tuple:
+    """The rules with what configuration may change, and their other styles."""
+    asked = [dataclasses.replace(r, options={**POLICY[r.name][0], **r.options}, only=POLICY[r.name][1]) if r.name in POLICY else r for r in rules]
+    return (*asked, *(dataclasses.replace(r, options={**POLICY.get(r.name, ({}, ""))[0], **r.options}) for r in styles))
+
+
+RULES = _with_policy(_with_edits(_DECLARED), STYLES)

@@ -20,7 +20,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sleuthframe.operators.eligibility import looked_at
 from sleuthframe.operators.line_rules import LineRule, severity
+from sleuthframe.operators.settings import setting, settings
 from sleuthframe.parser.nodes import SPAN_SQL, nodes
 from sleuthframe.rules.edits import LINE_EDITS
 
@@ -59,8 +61,9 @@ class NodeRule:
     """kinds: node kinds, separated by blanks; where: a condition; message: text,
     or SQL after `=`, or after `@` SQL of an array of
     messages beside those of many=True; at: SQL of the span to report, or of an array of spans with
-    many=True; options: configuration keys with their defaults, whose values stand
-    for {Key} in where and message; fix: SQL of the text to put at the span;
+    many=True; options: configuration keys with their defaults, whose values {Key}
+    and lists {Key[]} are in all SQL of the rule (see operators.settings); only: a
+    condition beside where, on the configuration; fix: SQL of the text to put at the span;
     edits: SQL of an array of edits (see EDIT_SQL) instead, in which x is the
     reported span and {told} the first text in backquotes of the message. A finding
     whose edits come out null, or have a null in them, has none. indirect: the
@@ -75,7 +78,8 @@ class NodeRule:
     fix: str | None = None
     edits: str | None = None
     indirect: bool = False
-    options: Mapping[str, str] = field(default_factory=dict)
+    only: str = "true"
+    options: Mapping[str, str | tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def severity(self) -> str:
@@ -92,8 +96,15 @@ class NodeRule:
         return f"array(named_struct('start', x.start, 'end', x.end, 'text', {self.filled(self.fix)}))" if self.fix is not None else None
 
     def filled(self, text: str) -> str:
-        """text with the options' values in place of {Key}."""
-        return re.sub(r"\{(\w+)\}", lambda m: str(self.options[m[1]]) if m[1] in self.options else m[0], text)
+        """text with SQL of the settings in place of {Key} and {Key[]}."""
+
+        def sql(m: re.Match) -> str:
+            if m[1] not in self.options:
+                return m[0]
+            values, default = setting(self.name, m[1]), self.options[m[1]]
+            return values if m[2] else f"cast(get({values}, 0) AS int)" if isinstance(default, str) and default.isdecimal() else f"get({values}, 0)"
+
+        return re.sub(r"\{(\w+)(\[\])?\}", sql, text)
 
     @property
     def message_sql(self) -> str:
@@ -128,13 +139,14 @@ def from_line_rule(rule: LineRule) -> NodeRule:
     """The same rule over the rows of kind `line`."""
 
     def sql(text: str) -> str:
-        pieces = re.split(r"('(?:[^']|'')*')", rule.filled(text))
+        pieces = re.split(r"('(?:[^']|'')*')", text)
         pieces[::2] = [re.sub(r"\b(" + "|".join(LINE_COLUMNS) + r")\b", lambda m: LINE_COLUMNS[m[1]], p) for p in pieces[::2]]
         return "".join(pieces).replace("\\", "\\\\")
 
-    message = rule.message_sql
+    message = rule.message[1:] if rule.message.startswith("=") else rule.message_sql
     start = f"at.start + ({sql(rule.column)}) - 1"
-    return NodeRule(rule.name, "line", sql(rule.where_sql), "=" + sql(message), span(start, f"{start} + greatest(1, {sql(rule.length)})"), edits=LINE_EDITS.get(rule.name))
+    where = f"contains(body, '{rule.needs}') AND ({rule.where})" if rule.needs else rule.where
+    return NodeRule(rule.name, "line", sql(where), "=" + sql(message), span(start, f"{start} + greatest(1, {sql(rule.length)})"), edits=LINE_EDITS.get(rule.name), options=rule.options)
 
 
 def hits(pattern: str, column: str = "name") -> str:
@@ -161,7 +173,12 @@ def _finding(rule: NodeRule, corrects: bool) -> str:
     at = f"cast({rule.filled(rule.at if rule.many else f'array({rule.at})')} AS array<{SPAN_SQL}>)"
     edits = f"transform({at}, x -> cast({rule.edits_sql} AS {EDITS_SQL}))" if corrects and rule.correctable else f"cast(null AS array<{EDITS_SQL}>)"
     message = rule.message_sql if rule.message[0] == "@" else f"array({rule.message_sql})"
-    return f"CASE WHEN {rule.filled(rule.where)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'messages', cast({message} AS array<string>), 'correctable', {str(rule.correctable).lower()}, 'indirect', {str(rule.indirect).lower()}, 'edits', {edits}, 'spans', {at}) END"
+    return f"CASE WHEN {_asked(rule)} THEN named_struct('rule', {quoted(rule.name)}, 'severity', {quoted(rule.severity)}, 'messages', cast({message} AS array<string>), 'correctable', {str(rule.correctable).lower()}, 'indirect', {str(rule.indirect).lower()}, 'edits', {edits}, 'spans', {at}) END"
+
+
+def _asked(rule: NodeRule) -> str:
+    where = rule.filled(rule.where)
+    return where if rule.only == "true" else f"({where}) AND ({rule.filled(rule.only)})"
 
 
 def conjuncts(where: str) -> list[str]:
@@ -212,10 +229,10 @@ def _of_kind(rules: list[NodeRule], corrects: bool) -> str:
 NONE = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,indirect:boolean,edits:array<{EDITS_SQL}>,spans:array<{SPAN_SQL}>>>)"
 
 
-def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = False) -> DataFrame:
+def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = False, config: Mapping | None = None) -> DataFrame:
     """(path, dirs, rule, severity, message, correctable, indirect, edits, at) of nodes(files),
     and what the files carry along in `told`. edits are null unless it `corrects`."""
-    by_kind: dict[str, list[NodeRule]] = {}
+    rules, by_kind = list(rules), {}
     for rule in rules:
         for kind in rule.kinds.split():
             by_kind.setdefault(kind, []).append(rule)
@@ -223,18 +240,21 @@ def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = F
         by_kind = {"": []}
     each = " ".join(f"WHEN {quoted(kind)} THEN {_of_kind(some, corrects)}" for kind, some in by_kind.items() if some)
     found = F.expr(f"CASE kind {each} ELSE {NONE} END" if each else NONE)
-    looked = view(rows.filter(F.col("kind").isin("file", *by_kind))).select("path", "dirs", F.explode(F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)).alias("f"))
+    # one row
+    rows = rows.filter(F.col("kind").isin("file", *by_kind)).crossJoin(F.broadcast(settings(rows.sparkSession, rules, config)))
+    found = F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)
+    looked = view(rows).select("path", "dirs", F.explode(F.filter(found, lambda f: looked_at(f["rule"]))).alias("f"))
     return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "messages", "correctable", "indirect", "edits", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "indirect", F.expr("get(edits, i)").alias("edits"), "at")
 
 
 TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'messages', array(t.message), 'correctable', false, 'indirect', false, 'edits', cast(null AS array<{EDITS_SQL}>), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"
 
 
-def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule], directives: bool = False) -> DataFrame:
+def node_diagnostics(files: DataFrame, rules: Iterable[NodeRule], directives: bool = False, config: Mapping | None = None) -> DataFrame:
     """diagnostics(path, line, column, last_line, last_column, length, rule,
     severity, message, correctable) of files(path, content). With `directives`,
     without those that comments in the source disable."""
-    found = node_findings(nodes(files), rules)
+    found = node_findings(nodes(files), rules, config=config)
     if directives:
         found = found.filter(~F.expr(SUPPRESSED.format(line="at.line")))
     return found.select("path", "at.line", "at.column", "at.last_line", "at.last_column", F.greatest(F.lit(1), F.col("at.end") - F.col("at.start")).alias("length"), "rule", "severity", "message", "correctable")

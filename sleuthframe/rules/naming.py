@@ -20,11 +20,11 @@ RULES = (
     R("Naming/MethodParameterName", "required_parameter optional_parameter required_keyword_parameter optional_keyword_parameter rest_parameter keyword_rest_parameter block_parameter", "p.kind = 'parameters' AND name IS NOT NULL AND length(ltrim('_', name)) < {MinNameLength} AND name NOT IN ('as', 'at', 'by', 'cc', 'db', 'id', 'if', 'in', 'io', 'ip', 'of', 'on', 'os', 'pp', 'to', '_') AND NOT name rlike '^_+$'", "=concat('Method parameter must be at least ', {MinNameLength}, ' characters long.')", "sel", options={"MinNameLength": "3"}),
     R("Naming/MethodParameterName", "required_parameter optional_parameter required_keyword_parameter optional_keyword_parameter", "p.kind = 'parameters' AND name rlike '[A-Z]'", "Only use lowercase characters for method parameter.", "sel"),
     R("Naming/PredicatePrefix", "def", "name rlike '^(is|has|have|does)_[a-z]' AND name NOT like '%=' AND name NOT IN ('is_a?')", "=concat('Rename `', name, '` to `', if(name like 'is\\\\_%', concat(regexp_replace(regexp_replace(name, '^is_', ''), '[?]$', ''), '?'), concat(regexp_replace(regexp_replace(name, '^(has|have|does)_', ''), '[?]$', ''), '?')), '`.')", "sel"),
-    R("Naming/RescuedExceptionsVariableName", "rescue", "exists(kids, k -> k.role = 'target' AND k.kind = 'local_variable_target' AND k.name NOT IN ('{PreferredName}', '_{PreferredName}'))", "=concat('Use `{PreferredName}` instead of `', get(filter(kids, k -> k.role = 'target'), 0).name, '`.')", "get(filter(kids, k -> k.role = 'target'), 0).at", options={"PreferredName": "e"}),
-    R("Metrics/ParameterLists", "parameters", "p.kind = 'def' AND pp.kind IS NOT NULL AND size(filter(kids, k -> k.kind <> 'block_parameter')) > {Max} AND NOT (p.name = 'initialize' AND pp.kind = 'block')", "=concat('Avoid parameter lists longer than {Max} parameters. [', size(filter(kids, k -> k.kind <> 'block_parameter')), '/{Max}]')", options={"Max": "5"}),
-    R("Metrics/MethodLength", "def", "coalesce(form, '') <> 'endless' AND code > {Max}", "=concat('Method has too many lines. [', code, '/{Max}]')", options={"Max": "10"}),
-    R("Metrics/ModuleLength", "module", "code > {Max}", "=concat('Module has too many lines. [', code, '/{Max}]')", options={"Max": "100"}),
-    R("Metrics/BlockLength", "call", "blk.kind = 'block' AND name NOT IN ('refine', 'class_eval', 'new') AND code > {Max}", "=concat('Block has too many lines. [', code, '/{Max}]')", options={"Max": "25"}),
+    R("Naming/RescuedExceptionsVariableName", "rescue", "exists(kids, k -> k.role = 'target' AND k.kind = 'local_variable_target' AND k.name NOT IN ({PreferredName}, concat('_', {PreferredName})))", "=concat('Use `', {PreferredName}, '` instead of `', get(filter(kids, k -> k.role = 'target'), 0).name, '`.')", "get(filter(kids, k -> k.role = 'target'), 0).at", options={"PreferredName": "e"}),
+    R("Metrics/ParameterLists", "parameters", "p.kind = 'def' AND pp.kind IS NOT NULL AND size(filter(kids, k -> k.kind <> 'block_parameter')) > {Max} AND NOT (p.name = 'initialize' AND pp.kind = 'block')", "=concat('Avoid parameter lists longer than ', {Max}, ' parameters. [', size(filter(kids, k -> k.kind <> 'block_parameter')), '/', {Max}, ']')", options={"Max": "5"}),
+    R("Metrics/MethodLength", "def", "coalesce(form, '') <> 'endless' AND code > {Max}", "=concat('Method has too many lines. [', code, '/', {Max}, ']')", options={"Max": "10"}),
+    R("Metrics/ModuleLength", "module", "code > {Max}", "=concat('Module has too many lines. [', code, '/', {Max}, ']')", options={"Max": "100"}),
+    R("Metrics/BlockLength", "call", "blk.kind = 'block' AND name NOT IN ('refine', 'class_eval', 'new') AND code > {Max}", "=concat('Block has too many lines. [', code, '/', {Max}, ']')", options={"Max": "25"}),
     R("Metrics/CollectionLiteralLength", "array hash", "size(kids) >= {LengthThreshold}", "Avoid hard coding large quantities of data in code. Prefer reading the data from an external source.", options={"LengthThreshold": "250"}),
     R("Bundler/InsecureProtocolSource", "call", "recv IS NULL AND name = 'source' AND a0.kind = 'symbol' AND a0.name IN ('gemcutter', 'rubygems', 'rubyforge')", "=concat('The source `:', a0.name, '` is deprecated because HTTP requests are insecure. Please change your source to \\'https://rubygems.org\\' if possible, or \\'http://rubygems.org\\' if not.')", "a0.at", fix="'\\'https://rubygems.org\\''"),
     R("Gemspec/AddRuntimeDependency", "call", "name = 'add_runtime_dependency' AND recv IS NOT NULL AND path like '%.gemspec'", "Use `add_dependency` instead of `add_runtime_dependency`.", "sel", fix="'add_dependency'"),

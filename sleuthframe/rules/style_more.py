@@ -74,7 +74,7 @@ RULES = (
     R("Style/RedundantRegexpArgument", "call", f"name IN ('gsub', 'gsub!', 'sub', 'sub!', 'split', 'partition', 'rpartition', 'start_with?', 'index', 'rindex') AND recv IS NOT NULL AND a0.kind = 'regular_expression' AND a0.open = '/' AND a0.op = '' AND a0.name rlike {CASE_OF_REGEXP} AND a0.name <> ' '", "=concat('Use string `\\'', a0.name, '\\'` as argument instead of regexp `', a0.src, '`.')", "a0.at", fix="concat('\\'', a0.name, '\\'')"),
     R("Style/RedundantRegexpCharacterClass", "regular_expression", r"name rlike '^[^\\[\\\\]*\\[[a-zA-Z0-9]\\]'", r"=concat('Redundant single-element character class, `', regexp_substr(name, '\\[[a-zA-Z0-9]\\]'), '` can be replaced with `', substr(regexp_substr(name, '\\[[a-zA-Z0-9]\\]'), 2, 1), '`.')", span(r"at.start + length(open) + regexp_instr(name, '\\[[a-zA-Z0-9]\\]') - 1", r"at.start + length(open) + regexp_instr(name, '\\[[a-zA-Z0-9]\\]') + 2")),
     R("Style/RedundantRegexpConstructor", "call", f"name IN ('new', 'compile') AND {root('recv', 'Regexp')} AND argc = 1 AND a0.kind = 'regular_expression'", "=concat('Remove the redundant `Regexp.', name, '`.')", fix="a0.src"),
-    R("Style/SafeNavigationChainLength", "call", "op = '&.' AND recv.kind = 'call' AND recv.op = '&.' AND get(rk, 0).kind = 'call' AND get(rk, 0).op = '&.'", "Avoid safe navigation chains longer than {Max} calls.", options={"Max": "2"}),
+    R("Style/SafeNavigationChainLength", "call", "op = '&.' AND recv.kind = 'call' AND recv.op = '&.' AND get(rk, 0).kind = 'call' AND get(rk, 0).op = '&.'", "=concat('Avoid safe navigation chains longer than ', {Max}, ' calls.')", options={"Max": "2"}),
     R("Style/SelectByRegexp", "call", "name IN ('select', 'filter', 'find_all', 'reject') AND recv IS NOT NULL AND blk.kind = 'block' AND size(bk) = 2 AND get(bk, 1).kind = 'call' AND (get(bk, 1).name IN ('=~', 'match?') AND get(bk, 1).src rlike concat('^', substr(get(bk, 0).src, 2, length(get(bk, 0).src) - 2), '( =~ |[.]match[?][(])/[^/]+/[)]?$'))", "=concat('Prefer `', if(name = 'reject', 'grep_v', 'grep'), '` to `', name, '` with a regexp match.')"),
     R("Style/SendWithLiteralMethodName", "call", "name = 'public_send' AND recv IS NOT NULL AND a0.kind IN ('symbol', 'string') AND a0.name rlike '^[a-z_][a-zA-Z0-9_]*[?!]?$'", "=concat('Use `', a0.name, '` method call directly instead.')", FROM_SEL),
     R("Style/TrailingBodyOnClass", "class singleton_class", "at.line <> at.last_line AND nbody > 0 AND b0.at.line = at.line", "Place the first line of class body on its own line.", "b0.at"),
