@@ -22,9 +22,11 @@ from sleuthframe.operators import file_rules as whole
 from sleuthframe.operators.config import Value, configured
 from sleuthframe.operators.directives import directives as directives_of
 from sleuthframe.operators.directives import without_disabled
+from sleuthframe.operators.directive_rules import NAMES as DIRECTIVE_RULES
+from sleuthframe.operators.directive_rules import directive_diagnostics
 from sleuthframe.operators.eligibility import looked_at, with_skips
 from sleuthframe.operators.file_rules import FILE_RULES, file_diagnostics
-from sleuthframe.operators.line_rules import DIAGNOSTICS, diagnostics, selected
+from sleuthframe.operators.line_rules import DIAGNOSTICS, diagnostics, enabled, selected
 from sleuthframe.operators.line_rules import RULES as LINE_RULES
 from sleuthframe.rules import RULES as NODE_RULES
 from sleuthframe.rules.engine import from_line_rule, node_diagnostics
@@ -35,7 +37,7 @@ OwnRule = Callable[[DataFrame], DataFrame]
 
 def rule_names() -> list[str]:
     """The names of all built-in rules, sorted, each once."""
-    return sorted({r.name for r in (*LINE_RULES, *FILE_RULES, *NODE_RULES)})
+    return sorted({*(r.name for r in (*LINE_RULES, *FILE_RULES, *NODE_RULES)), *DIRECTIVE_RULES})
 
 
 def one_of_each_path(files: DataFrame) -> DataFrame:
@@ -69,4 +71,10 @@ def analyze(files: DataFrame, only: list[str] | None = None, config: dict[str, d
             found = found if name in found.columns else found.withColumn(name, other)
         found = found.select(*DIAGNOSTICS)
         parts.append(without_disabled(found.join(files.select("path", directives_of(F.col("content")).alias("dirs")), "path", "left")).select(*DIAGNOSTICS) if directives else found)
+    asked = [n for n in DIRECTIVE_RULES if enabled(n, only)] if directives else []
+    if asked:
+        # what is found before suppression, from the same files
+        run = sorted({r.name for r in (*line_rules, *file_rules, *node_rules)})
+        raw = analyze(files, run, config, own, directives=False) if run else diagnostics(files).limit(0)
+        parts.append(directive_diagnostics(files, raw, asked, run, only is None, config))
     return functools.reduce(DataFrame.unionByName, parts) if parts else diagnostics(files).limit(0)

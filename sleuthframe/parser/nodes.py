@@ -22,7 +22,7 @@ whether its closing word or bracket begins the last one; `top` and `bot` count t
 blank lines after its heading, which ends on line `hdr`, and before its closing
 line, `top_at` to `top_to` and `bot_at` to `bot_to` the offsets of these; `nl` is the
 length of the file's line ends; `code` and `full` its lines between that aren't blank, without and with those
-of comments alone (of a call: its block's). `dirs` are the file's comments that suppress rules;
+of comments alone (of a call: its block's). `dirs` are the file's comments that suppress rules, as far as they can matter there;
 `told` is what the caller carries along, on the row of kind `file`, and `skip`, on
 all rows, the rules that pass the file by.
 
@@ -36,7 +36,7 @@ from __future__ import annotations
 
 import re
 import sys
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -140,6 +140,36 @@ def names_read(tree: Node) -> dict[Node, set[str]]:
 Info = tuple
 
 
+class Near:
+    """Of a file's directives, those that can matter for some lines: those on them
+    or beside them, and before them the last ones on lines of their own that name
+    something. So a row carries few, however many the file has."""
+
+    #: Lines beside a node in which its rules may report.
+    BESIDE = 2
+
+    def __init__(self, dirs: list[dict]):
+        self.dirs, self.lines = dirs, [d["line"] for d in dirs]
+        self.known: dict[tuple[int, int], list[dict]] = {}
+        self.last: list[tuple[dict, ...]] = [()]
+        held: dict[str, int] = {}
+        for i, d in enumerate(dirs):
+            if d["own"]:
+                held.update((n, i) for n in d["names"])
+            self.last.append(tuple(dirs[k] for k in sorted(set(held.values()))) if len(dirs) > self.FEW else ())
+
+    #: So many are carried as they are.
+    FEW = 8
+
+    def of(self, first: int, last: int) -> list[dict]:
+        if len(self.dirs) <= self.FEW:
+            return self.dirs
+        at = bisect_left(self.lines, first - self.BESIDE), bisect_right(self.lines, last + self.BESIDE)
+        if at not in self.known:
+            self.known[at] = [*self.last[at[0]], *self.dirs[at[0] : at[1]]]
+        return self.known[at]
+
+
 class Rows:
     """Rows of the table, held by column until they are enough for a batch."""
 
@@ -222,7 +252,7 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
         nonlocal count
         first, last = at[2], at[4]
         ind = indents[first - 1]
-        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, code_lines, full, *blank, line_end, *index, dirs, told, skip), at, sel, kids, kids2, up)
+        rows.add((path, count, parent, ord, depth, role, kind, name, form, op, open, src, reads, whole[first - 2][:SOURCE] if first > 1 else None, whole[last][:SOURCE] if last < n_lines else None, rest, ind, at[3] - 1 <= ind, close, hdr, top, bot, code_lines, full, *blank, line_end, *index, near.of(first, last), told, skip), at, sel, kids, kids2, up)
         count += 1
         return count - 1
 
@@ -238,6 +268,7 @@ def fill(rows: Rows, path: str | None, text: str | None, told: list[dict] | None
         else:
             seen = [(k, line[line.index("# rubocop:") :], not line.split("# rubocop:")[0].strip()) for k, line in enumerate(whole, 1) if "# rubocop:" in line]
         dirs += [d for d in (directive(*c) for c in sorted(seen)) if d]
+    near = Near(dirs)
     put(span(0, min(1, len(text))), kind="file", told=told or ())
     if failure:
         at = min(failure.at, len(text))
