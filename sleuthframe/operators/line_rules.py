@@ -126,7 +126,8 @@ def _finding(rule: LineRule) -> str:
 
 def findings_in(rules: Iterable[LineRule]):
     """Array of the findings of a line."""
-    return F.expr(f"array_compact(array({', '.join(map(_finding, rules))}))")
+    each = [_finding(r) for r in rules]
+    return F.expr(f"array_compact(array({', '.join(each)}))" if each else "cast(array() AS array<struct<rule:string,severity:string,message:string,column:int,length:int,correctable:boolean>>)")
 
 
 def diagnostics(files: DataFrame, rules: tuple[LineRule, ...] | None = None, *keep: str) -> DataFrame:

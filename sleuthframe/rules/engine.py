@@ -229,9 +229,10 @@ def _of_kind(rules: list[NodeRule], corrects: bool) -> str:
 NONE = f"cast(array() AS array<struct<rule:string,severity:string,messages:array<string>,correctable:boolean,indirect:boolean,edits:array<{EDITS_SQL}>,spans:array<{SPAN_SQL}>>>)"
 
 
-def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = False, config: Mapping | None = None) -> DataFrame:
+def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = False, config: Mapping | None = None, settings_rows: DataFrame | None = None) -> DataFrame:
     """(path, dirs, rule, severity, message, correctable, indirect, edits, at) of nodes(files),
-    and what the files carry along in `told`. edits are null unless it `corrects`."""
+    and what the files carry along in `told`. edits are null unless it `corrects`.
+    settings_rows(cfg, bit): rows of settings to look under, in place of those of config."""
     rules, by_kind = list(rules), {}
     for rule in rules:
         for kind in rule.kinds.split():
@@ -240,11 +241,13 @@ def node_findings(rows: DataFrame, rules: Iterable[NodeRule], corrects: bool = F
         by_kind = {"": []}
     each = " ".join(f"WHEN {quoted(kind)} THEN {_of_kind(some, corrects)}" for kind, some in by_kind.items() if some)
     found = F.expr(f"CASE kind {each} ELSE {NONE} END" if each else NONE)
-    # one row
-    rows = rows.filter(F.col("kind").isin("file", *by_kind)).crossJoin(F.broadcast(settings(rows.sparkSession, rules, config)))
+    # one row, or as many as there are configurations
+    told = settings(rows.sparkSession, rules, config) if settings_rows is None else settings_rows
+    bit = [] if settings_rows is None else ["bit"]
+    rows = rows.filter(F.col("kind").isin("file", *by_kind)).crossJoin(F.broadcast(told))
     found = F.when(F.col("kind") == "file", F.expr(TOLD)).otherwise(found)
-    looked = view(rows).select("path", "dirs", F.explode(F.filter(found, lambda f: looked_at(f["rule"]))).alias("f"))
-    return looked.select("path", "dirs", "f.*").select("path", "dirs", "rule", "severity", "messages", "correctable", "indirect", "edits", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "indirect", F.expr("get(edits, i)").alias("edits"), "at")
+    looked = view(rows).select("path", "dirs", *bit, F.explode(F.filter(found, lambda f: looked_at(f["rule"]))).alias("f"))
+    return looked.select("path", "dirs", *bit, "f.*").select("path", "dirs", *bit, "rule", "severity", "messages", "correctable", "indirect", "edits", F.posexplode("spans").alias("i", "at")).select("path", "dirs", "rule", "severity", F.expr("coalesce(get(messages, i), get(messages, 0))").alias("message"), "correctable", "indirect", F.expr("get(edits, i)").alias("edits"), "at", *bit)
 
 
 TOLD = f"transform(told, t -> named_struct('rule', t.rule, 'severity', t.severity, 'messages', array(t.message), 'correctable', false, 'indirect', false, 'edits', cast(null AS array<{EDITS_SQL}>), 'spans', cast(array(named_struct('start', 0, 'end', 1, 'line', 1, 'column', 1, 'last_line', 1, 'last_column', 1)) AS array<{SPAN_SQL}>)))"

@@ -36,7 +36,7 @@ def test_ranges_of_directives(spark):
     ])
     # of rules that did not run nothing is said
     some = told(directive_diagnostics(files, found.filter("rule = 'Style/Not'"), NAMES[:1], ["Style/Not"], whole_run=False))
-    assert [(r[1], r[2], r[5]) for r in some] == [(5, 26, "Unnecessary disabling of `Style/Not`.")]
+    assert [(r[1], r[2], r[5]) for r in some] == [(5, 21, "Unnecessary disabling of `Style/Not`.")]
     assert told(directive_diagnostics(files.filter("false"), found.filter("false"))) == []
 
 
