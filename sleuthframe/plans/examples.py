@@ -485,6 +485,14 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Style/HashTransformKeys", "«a.map { |b, c| [b.d, c] }.to_h»\na.map { |b, c| [c, b] }.to_h\n", "Prefer `transform_keys` over `map {...}.to_h`."),
     ("Style/HashSlice", "a.«select { |b, c| b == :d }»\na.select { |b, c| c == :d }\n", "Use `slice(:d)` instead."),
     ("Style/ComparableClamp", "p «[[a, b].max, c].min»\np [a, b].max\n", "Use `Comparable#clamp` instead."),
+    ("Style/ZeroLengthPredicate", "File.stat(a).size == 0\nStringIO.new('b').size.zero?\nc&.length > 0\nsize == 0\n«d&.size == 0»\n".replace("«d&.", "d&.«"), "Use `empty?` instead of `size == 0`."),
+    ("Style/ZeroLengthPredicate", "Tempfile.new('a').length > 0\n::File.new('b').size != 0\nlength != 0\n"),
+    ("Style/EmptyCaseCondition", "a = case\n    when b then 1\n    else return 2\n    end\nputs case\n     when c then 1\n     end\n"),
+    ("Style/OperatorMethodCall", "a.+(@b).to_s\nA.+(b)\na.==(*c)\na.+(b, c)\n!a\n"),
+    ("Style/DigChain", "a.dig.dig(:b, :c)\na.dig(b: 1).dig(c: 2)\na.dig({ b: 1 }).dig({ c: 2 })\na.dig(:b).first.dig(:c)\n"),
+    ("Style/WhileUntilModifier", "while a\n  b if c\nend\nuntil a\n  b ? c : d\nend\nwhile (e = f)\n  g\nend\nwhile h\n  i while j\nend\n"),
+    ("Style/WhileUntilModifier", "«until» a\n  b.c(1)\nend\nwhile a\n  # why\n  b\nend\n", "Favor modifier `until` usage when having a single-line body."),
+    ("Layout/EmptyLineAfterGuardClause", "def a(b)\n  raise C, <<~TEXT unless b\n    text\n  TEXT\n  d\nend\n"),
 ]
 
 

@@ -47,7 +47,7 @@ RULES = (
     R("Layout/DotPosition", "call", f"op IN ('.', '&.') AND recv.at.last_line < sel.line AND {GAP} rlike '^[ \\\\t]*(&?[.])\\\\s*\\\\n'", "=concat('Place the ', op, ' on the next line, together with the method name.')", f"named_struct('start', recv.at.end, 'end', recv.at.end + length(op), 'line', recv.at.last_line, 'column', recv.at.last_column + 1 + length(regexp_extract({GAP}, '^[ \\\\t]*', 0)), 'last_line', recv.at.last_line, 'last_column', recv.at.last_column + length(regexp_extract({GAP}, '^[ \\\\t]*', 0)) + length(op))"),
     R("Layout/ElseAlignment", "if unless case", "lead AND els.kind = 'else' AND els.lead AND els.at.column <> at.column AND at.line <> els.at.line", "=concat('Align `else` with `', if(kind = 'case', 'when', open), '`.')", "els.sel"),
     R("Layout/EmptyComment", "comment", "name rlike '^#\\\\s*$' AND NOT coalesce(prev rlike '^\\\\s*#', false) AND NOT coalesce(next rlike '^\\\\s*#', false)", "Source code comment is empty."),
-    R("Layout/EmptyLineAfterGuardClause", "if unless", "form = 'modifier' AND role = 'body' AND p.kind <> 'if' AND b0.kind IN ('return', 'next', 'break', 'call') AND (b0.kind <> 'call' OR b0.name IN ('raise', 'fail') AND b0.src NOT LIKE '%.%') AND next IS NOT NULL AND trim(next) <> '' AND NOT next rlike '^\\\\s*(end\\\\b|else\\\\b|elsif\\\\b|when\\\\b|in\\\\b|rescue\\\\b|ensure\\\\b|[}]|#)' AND NOT next rlike '^\\\\s*(return|next|break|raise|fail)\\\\b.*\\\\b(if|unless)\\\\b' AND at.line = at.last_line", "Add empty line after guard clause."),
+    R("Layout/EmptyLineAfterGuardClause", "if unless", "form = 'modifier' AND role = 'body' AND p.kind <> 'if' AND b0.kind IN ('return', 'next', 'break', 'call') AND (b0.kind <> 'call' OR b0.name IN ('raise', 'fail') AND b0.src NOT LIKE '%.%') AND NOT src rlike '<<[-~]?[\\'\"A-Z]' AND next IS NOT NULL AND trim(next) <> '' AND NOT next rlike '^\\\\s*(end\\\\b|else\\\\b|elsif\\\\b|when\\\\b|in\\\\b|rescue\\\\b|ensure\\\\b|[}]|#)' AND NOT next rlike '^\\\\s*(return|next|break|raise|fail)\\\\b.*\\\\b(if|unless)\\\\b' AND at.line = at.last_line", "Add empty line after guard clause."),
     R("Layout/EmptyLineAfterMagicComment", "comment", f"name rlike {MAGIC} AND at.line <= 3 AND next IS NOT NULL AND trim(next) <> '' AND NOT next rlike '^\\\\s*#'", "Add an empty line after magic comments.", "named_struct('start', at.end + 1, 'end', at.end + 2, 'line', at.line + 1, 'column', 1, 'last_line', at.line + 1, 'last_column', 1)"),
     R("Layout/EmptyLineAfterMultilineCondition", "if unless while until", "coalesce(form, '') NOT IN ('modifier', 'ternary') AND cond.at.line <> cond.at.last_line AND hdr IS NOT NULL AND top = 0 AND nbody > 0 AND b0.at.line = cond.at.last_line + 1", "Use empty line after multiline condition.", "cond.at"),
     R("Layout/EmptyLineBetweenDefs", "def", "role = 'body' AND lead AND prev rlike '^\\\\s*end\\\\s*$' AND p.kind IN ('class', 'module', 'singleton_class', 'program', 'block')", "Expected 1 empty line between method definitions; found 0.", thru("named_struct('start', at.start, 'line', at.line, 'column', at.column)", "sel")),

@@ -73,7 +73,7 @@ RULES = (
     R("Style/StringConcatenation", "call", "name = '+' AND form = 'binary' AND (recv.kind IN ('string', 'interpolated_string') AND a0.kind NOT IN ('string', 'interpolated_string') OR a0.kind IN ('string', 'interpolated_string') AND recv.kind NOT IN ('string', 'interpolated_string')) AND NOT (p.kind = 'call' AND p.name = '+') AND at.line = at.last_line", "Prefer string interpolation to string concatenation."),
     R("Style/StringLiteralsInInterpolation", "string", "open = '\"' AND NOT name rlike '[\\\\\\\\\\'\\n]|#[{@$]' AND exists(up, u -> u.kind = 'embedded_statements') AND exists(up, u -> u.kind IN ('interpolated_string', 'interpolated_symbol', 'interpolated_regular_expression')) AND role <> 'part'", "Prefer single-quoted strings inside interpolations."),
     R("Style/UnlessLogicalOperators", "unless", "cond.kind IN ('and', 'or') AND exists(kids2, k -> k.of = i_cond AND k.kind IN ('and', 'or') AND k.kind <> cond.kind)", "Do not use mixed logical operators in an `unless`."),
-    R("Style/WhileUntilModifier", "while until", "coalesce(form, '') <> 'modifier' AND nbody = 1 AND at.last_line - at.line = 2 AND b0.at.line = b0.at.last_line AND cond.at.line = cond.at.last_line AND NOT src like '%#%' AND ind + length(b0.src) + length(cond.src) + 7 <= 120", "=concat('Favor modifier `', kind, '` usage when having a single-line body.')", "sel"),
+    R("Style/WhileUntilModifier", "while until", "coalesce(form, '') <> 'modifier' AND nbody = 1 AND at.last_line - at.line = 2 AND b0.at.line = b0.at.last_line AND cond.at.line = cond.at.last_line AND NOT src like '%#%' AND b0.kind NOT IN ('if', 'unless', 'while', 'until', 'case', 'case_match', 'rescue_modifier') AND NOT cond.kind like '%\\\\_write' AND NOT exists(kids2, k -> k.of = i_cond AND k.kind like '%\\\\_write') AND ind + length(b0.src) + length(cond.src) + 7 <= 120", "=concat('Favor modifier `', kind, '` usage when having a single-line body.')", "sel"),
     R("Lint/ErbNewArguments", "call", "name = 'new' AND recv.src IN ('ERB', '::ERB') AND argc >= 3 AND get(args, 2).kind NOT IN ('keyword_hash', 'nil')", "=concat('Passing trim_mode with the 3rd argument of `ERB.new` is deprecated. Use keyword argument like `ERB.new(str, trim_mode: ', get(args, 2).src, ')` instead.')", "get(args, 2).at"),
     R("Lint/ItWithoutArgumentsInBlock", "call", "recv IS NULL AND name = 'it' AND form = 'name' AND p.kind IN ('block', 'call') AND exists(slice(up, 1, 3), u -> u.kind = 'block') AND NOT exists(up, u -> u.kind = 'call' AND u.name IN ('describe', 'context'))", "`it` calls without arguments will refer to the first block param in Ruby 3.4; use `it()` or `self.it`."),
     R("Bundler/GemComment", "call", "recv IS NULL AND name = 'gem' AND a0.kind = 'string' AND path rlike '(^|/)(Gemfile|gems[.]rb)$' AND NOT coalesce(prev rlike '^\\\\s*#', false) AND NOT rest rlike '^\\\\s*#'", "Missing gem description comment."),

@@ -70,7 +70,7 @@ RULES = (
     R("Style/DoubleNegation", "call", "name = '!' AND open = '!' AND recv.kind = 'call' AND recv.name = '!' AND recv.open = '!' AND NOT (role IN ('cond') ) AND NOT (role = 'body' AND p.kind = 'def')", "Avoid the use of double negation (`!!`).", "sel"),
     R("Style/EachForSimpleLoop", "call", "name = 'each' AND recv.kind = 'parentheses' AND exists(rk, k -> k.kind = 'range') AND recv.src rlike '^[(]\\\\s*\\\\d+\\\\s*[.]{2,3}\\\\s*\\\\d+\\\\s*[)]$' AND blk.kind = 'block' AND NOT exists(bk, k -> k.role = 'params' AND k.n > 0)", "Use `Integer#times` for a simple loop which iterates a fixed number of times.", CALL),
     R("Style/EmptyBlockParameter", "block_parameters", "open = '|' AND size(kids) = 0 AND p.kind = 'block'", "Omit pipes for the empty block parameters."),
-    R("Style/EmptyCaseCondition", "case", "NOT exists(kids, k -> k.role = 'value')", "Do not use empty `case` condition, instead use an `if` expression.", "sel"),
+    R("Style/EmptyCaseCondition", "case", "NOT exists(kids, k -> k.role = 'value') AND p.kind NOT IN ('return', 'break', 'next', 'call') AND NOT coalesce(src rlike '\\\\breturn\\\\b', false)", "Do not use empty `case` condition, instead use an `if` expression.", "sel"),
     R("Style/EmptyElse", "else", "p.kind IN ('if', 'unless', 'case') AND form IS NULL AND (nbody = 0 OR nbody = 1 AND b0.kind = 'nil')", "Redundant `else`-clause.", "sel"),
     R("Style/EmptyLambdaParameter", "block_parameters", "open = '(' AND size(kids) = 0 AND p.kind = 'lambda'", "Omit parentheses for the empty lambda parameters."),
     R("Style/EmptyLiteral", "call", f"name = 'new' AND argc = 0 AND blk IS NULL AND {root('recv', 'Array', 'Hash')}", "=if(recv.src like '%Array', 'Use array literal `[]` instead of `Array.new`.', 'Use hash literal `{}` instead of `Hash.new`.')", fix="if(recv.src like '%Array', '[]', '{}')"),
@@ -193,7 +193,7 @@ RULES = (
     R("Style/WordArray", "array", f"open = '[' AND p.kind <> 'array' AND size(kids) >= {{MinSize}} AND forall(kids, k -> k.kind = 'string' AND k.name rlike '{WORDY}')", "Use `%w` or `%W` for an array of words.", options={"MinSize": "2"}),
     R("Style/WordArray", "array", f"open = '[' AND exists(kids, k -> k.kind = 'array') AND NOT exists(kids2, k -> k.kind = 'string' AND NOT k.name rlike '{WORDY}')", "Use `%w` or `%W` for an array of words.", "transform(filter(transform(kids, (k, i) -> named_struct('k', k, 'e', filter(kids2, x -> x.of = i))), x -> x.k.kind = 'array' AND x.k.open = '[' AND size(x.e) >= {MinSize} AND forall(x.e, y -> y.kind = 'string')), x -> x.k.at)", many=True, options={"MinSize": "2"}),
     R("Style/YodaCondition", "call", "form = 'binary' AND name IN ('==', '!=', '<', '>', '<=', '>=') AND recv.kind IN ('integer', 'float', 'string', 'symbol', 'true', 'false', 'nil', 'array', 'hash', 'rational') AND a0.kind NOT IN ('integer', 'float', 'string', 'symbol', 'true', 'false', 'nil', 'array', 'hash', 'rational', 'interpolated_string') AND NOT (name IN ('==') AND false)", "=concat('Reverse the order of the operands `', src, '`.')"),
-    R("Style/ZeroLengthPredicate", "call", "form = 'binary' AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND (name = '==' AND a0.src = '0' OR name = '<' AND a0.src = '1')", f"=concat('Use `empty?` instead of `', {RECV_SRC}, '`.')", RECV_ON),
-    R("Style/ZeroLengthPredicate", "call", "form = 'binary' AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND (name IN ('>', '!=') AND a0.src = '0' OR name = '>=' AND a0.src = '1')", f"=concat('Use `!empty?` instead of `', {RECV_SRC}, '`.')"),
-    R("Style/ZeroLengthPredicate", "call", "name = 'zero?' AND argc = 0 AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv')", "=concat('Use `empty?` instead of `', recv.name, '.zero?`.')", RECV_ON),
+    R("Style/ZeroLengthPredicate", "call", "form = 'binary' AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND NOT get(rk, 0).src rlike '^(::)?(File[.](stat|new|open)|(Tempfile|StringIO)[.](new|open))\\\\b' AND (name = '==' AND a0.src = '0' OR name = '<' AND a0.src = '1')", f"=concat('Use `empty?` instead of `', {RECV_SRC}, '`.')", RECV_ON),
+    R("Style/ZeroLengthPredicate", "call", "form = 'binary' AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND NOT get(rk, 0).src rlike '^(::)?(File[.](stat|new|open)|(Tempfile|StringIO)[.](new|open))\\\\b' AND recv.op = '.' AND (name IN ('>', '!=') AND a0.src = '0' OR name = '>=' AND a0.src = '1')", f"=concat('Use `!empty?` instead of `', {RECV_SRC}, '`.')"),
+    R("Style/ZeroLengthPredicate", "call", "name = 'zero?' AND argc = 0 AND recv.kind = 'call' AND recv.name IN ('length', 'size') AND recv.n = 1 AND exists(rk, k -> k.role = 'recv') AND NOT get(rk, 0).src rlike '^(::)?(File[.](stat|new|open)|(Tempfile|StringIO)[.](new|open))\\\\b'", "=concat('Use `empty?` instead of `', recv.name, '.zero?`.')", RECV_ON),
 )

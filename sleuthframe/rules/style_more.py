@@ -27,7 +27,7 @@ RULES = (
     R("Style/CollectionCompact", "call", "name IN ('reject', 'reject!') AND recv IS NOT NULL AND blk.kind = 'block_argument' AND blk.src = '&:nil?' AND argc = 0", f"=concat('Use `', if(name = 'reject', 'compact', 'compact!'), '` instead of `', {SEL_SRC}, '`.')", FROM_SEL, fix="if(name = 'reject', 'compact', 'compact!')"),
     R("Style/CollectionQuerying", "call", "recv.kind = 'call' AND recv.name = 'count' AND exists(rk, k -> k.role = 'recv') AND NOT exists(rk, k -> k.role = 'arg') AND (name IN ('positive?', 'zero?') AND argc = 0 OR form = 'binary' AND name = '>' AND a0.src = '0' OR form = 'binary' AND name = '==' AND a0.src IN ('0', '1'))", "=concat('Use `', CASE WHEN name IN ('positive?', '>') THEN 'any?' WHEN a0.src = '1' THEN 'one?' ELSE 'none?' END, '` instead.')", f"if(form = 'binary', {thru('recv.sel', 'at')}, {RECV_SEL})"),
     R("Style/ComparableBetween", "and", "get(kids, 0).kind = 'call' AND get(kids, 1).kind = 'call' AND get(kids, 0).name = '>=' AND get(kids, 1).name = '<=' AND get(kids2, 0).src = get(kids2, 2).src", "=concat('Prefer `', get(kids2, 0).src, '.between?(', get(kids2, 1).src, ', ', get(kids2, 3).src, ')` over logical comparison.')"),
-    R("Style/DigChain", "call", "name = 'dig' AND recv.kind = 'call' AND recv.name = 'dig' AND argc > 0 AND exists(rk, k -> k.role = 'recv') AND NOT (role = 'recv' AND p.name = 'dig')", "=concat('Use `dig(', array_join(transform(filter(rk, k -> k.role = 'arg'), k -> k.src), ', '), ', ', array_join(transform(args, a -> a.src), ', '), ')` instead of chaining.')", RECV_ON),
+    R("Style/DigChain", "call", "name = 'dig' AND recv.kind = 'call' AND recv.name = 'dig' AND argc > 0 AND exists(rk, k -> k.role = 'recv') AND exists(rk, k -> k.role = 'arg') AND NOT exists(concat(args, filter(rk, k -> k.role <> 'recv')), k -> k.kind IN ('hash', 'keyword_hash', 'forwarding_arguments', 'block_argument', 'block')) AND blk IS NULL AND NOT (role = 'recv' AND p.name = 'dig')", "=concat('Use `dig(', array_join(transform(filter(rk, k -> k.role = 'arg'), k -> k.src), ', '), ', ', array_join(transform(args, a -> a.src), ', '), ')` instead of chaining.')", RECV_ON),
     R("Style/EachWithObject", "call", f"name IN ('inject', 'reduce') AND argc = 1 AND a0.kind NOT IN ({BASIC}, 'string') AND blk.kind = 'block' AND size(bk) > 1 AND get(bk, 0).n = 2 AND get(bk, size(bk) - 1).kind = 'local_variable_read' AND get(bk, size(bk) - 1).name = {FIRST}", "=concat('Use `each_with_object` instead of `', name, '`.')", "sel"),
     R("Style/ExactRegexpMatch", "call", r"name IN ('=~', '===', 'match?') AND argc = 1 AND a0.kind = 'regular_expression' AND a0.name rlike '^\\\\A[\\w ]+\\\\z$' AND recv IS NOT NULL AND recv.kind <> 'regular_expression'", r"=concat('Use `', recv.src, ' == \'', regexp_replace(a0.name, '^\\\\A|\\\\z$', ''), '\'`.')"),
     R("Style/ExpandPathArguments", "call", "name = 'expand_path' AND recv.src IN ('File', '::File') AND a0.kind = 'string' AND a0.name IN ('.', '..', '../..') AND a1.src = '__FILE__'", "=concat('Use `expand_path(', CASE a0.name WHEN '.' THEN '__FILE__' WHEN '..' THEN '__dir__' ELSE '\\'..\\', __dir__' END, ')` instead of `expand_path(', a0.src, ', __FILE__)`.')", "sel"),
@@ -56,7 +56,7 @@ RULES = (
     R("Style/NegativeArrayIndex", "call", "name = '[]' AND argc = 1 AND a0.kind = 'call' AND a0.name = '-' AND a0.src rlike concat('^\\\\Q', recv.src, '\\\\E[.](length|size|count) - \\\\d+$')", "=concat('Use `', recv.src, '[-', regexp_extract(a0.src, '(\\\\d+)$', 1), ']` instead of `', src, '`.')"),
     R("Style/NestedParenthesizedCalls", "call", "open = '(' AND exists(args, a -> a.kind = 'call' AND a.form = 'command')", "@transform(filter(args, a -> a.kind = 'call' AND a.form = 'command'), a -> concat('Add parentheses to nested method call `', a.src, '`.'))", "transform(filter(args, a -> a.kind = 'call' AND a.form = 'command'), a -> a.at)", many=True),
     R("Style/Next", "block", f"nbody > 0 AND p.kind = 'call' AND p.name IN ({ENUMERATORS}) AND get(body, nbody - 1).kind IN ('if', 'unless') AND get(body, nbody - 1).form IS NULL AND get(body, nbody - 1).at.last_line - get(body, nbody - 1).at.line > {{MinBodyLength}} AND NOT exists(kids2, k -> k.role = 'else' AND k.at.start >= get(body, nbody - 1).at.start)", "Use `next` to skip iteration.", "named_struct('start', get(body, nbody - 1).at.start, 'end', get(filter(kids2, k -> k.role = 'cond' AND k.at.start >= get(body, nbody - 1).at.start), 0).at.end, 'line', get(body, nbody - 1).at.line, 'column', get(body, nbody - 1).at.column, 'last_line', get(filter(kids2, k -> k.role = 'cond' AND k.at.start >= get(body, nbody - 1).at.start), 0).at.last_line, 'last_column', get(filter(kids2, k -> k.role = 'cond' AND k.at.start >= get(body, nbody - 1).at.start), 0).at.last_column)", options={"MinBodyLength": "3"}),
-    R("Style/OperatorMethodCall", "call", "op = '.' AND argc = 1 AND name IN ('|', '^', '&', '<=>', '==', '===', '=~', '>', '>=', '<', '<=', '<<', '>>', '+', '-', '*', '/', '%', '**', '!=')", "Redundant dot detected.", span("sel.start - 1", "sel.start", "sel"), fix="' '"),
+    R("Style/OperatorMethodCall", "call", "op = '.' AND argc = 1 AND a0.kind NOT IN ('splat', 'keyword_hash', 'forwarding_arguments', 'block_argument') AND recv.kind NOT IN ('constant_read', 'constant_path') AND NOT (role = 'recv' AND coalesce(open, '') = '(') AND name IN ('|', '^', '&', '<=>', '==', '===', '=~', '>', '>=', '<', '<=', '<<', '>>', '+', '-', '*', '/', '%', '**', '!=')", "Redundant dot detected.", span("sel.start - 1", "sel.start", "sel"), fix="' '"),
     R("Style/QuotedSymbols", "symbol", r"open = ':\"' AND NOT name rlike '[\\\\\'#]' AND NOT name rlike '^[a-zA-Z_][a-zA-Z0-9_]*$'", "Prefer single-quoted symbols when you don't need string interpolation or special symbols.", fix="concat(':\\'', name, '\\'')"),
     R("Style/RedundantArgument", "call", f"open = '(' AND argc = 1 AND blk IS NULL AND ({' OR '.join(f'name = {chr(39)}{k}{chr(39)} AND a0.src IN ({chr(39)}{v}{chr(39)})' for k, v in IMPLIED.items())}) AND (recv IS NOT NULL OR name = 'exit')", "=concat('Argument ', a0.src, ' is redundant because it is implied by default.')", tail("sel.end", "at.end"), fix="''"),
     R("Style/RedundantCondition", "if", "form IS NULL AND open = 'if' AND nbody = 1 AND b0.src = cond.src AND els.kind = 'else' AND els.n = 1", "Use double pipes `||` instead."),
