@@ -492,6 +492,13 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Style/DigChain", "a.dig.dig(:b, :c)\na.dig(b: 1).dig(c: 2)\na.dig({ b: 1 }).dig({ c: 2 })\na.dig(:b).first.dig(:c)\n"),
     ("Style/WhileUntilModifier", "while a\n  b if c\nend\nuntil a\n  b ? c : d\nend\nwhile (e = f)\n  g\nend\nwhile h\n  i while j\nend\n"),
     ("Style/WhileUntilModifier", "«until» a\n  b.c(1)\nend\nwhile a\n  # why\n  b\nend\n", "Favor modifier `until` usage when having a single-line body."),
+    ("Layout/ArrayAlignment", "a = [1,\n  «2»,\n     3]\nb = [\n  1,\n  2\n]\nc = [1, 2,\n     3]\nd = [1,\n     2]\n", "Align the elements of an array literal if they span more than one line."),
+    ("Layout/AssignmentIndentation", "a =\n«b + c»\nd =\n  e\n@f =\n    «g»\nh = [\n  1\n]\n", "Indent the first line of the right-hand-side of a multi-line assignment."),
+    ("Layout/FirstArgumentIndentation", "a(\n«1»,\n2\n)\nb(\n  1,\n  2\n)\nc(1,\n  2)\nd e(\n    «f»\n  )\n".replace("d e(\n    «f»\n  )\n", ""), "Indent the first argument one step more than the start of the previous line."),
+    ("Layout/FirstHashElementIndentation", "a = {\n    «b: 1»,\n    c: 2\n  «}»\nd = {\n  e: 1\n}\nf(g, {\n    h: 1\n  })\n", "Use 2 spaces for indentation in a hash, relative to the start of the line where the left curly brace is.", "Indent the right brace the same as the start of the line where the left brace is."),
+    ("Layout/FirstParameterIndentation", "def a(\n«b»,\n  c\n)\n  1\nend\n\ndef d(\n  e\n)\n  1\nend\n", "Use 2 spaces for indentation in method args, relative to the start of the line where the left parenthesis is."),
+    ("Layout/ClosingParenthesisIndentation", "a(\n  b\n  «)»\nc(\n  d\n)\ndef e(\n  f\n    «)»\n  1\nend\n", "Indent `)` to column 0 (not 2)", "Indent `)` to column 0 (not 4)"),
+    ("Layout/BlockAlignment", "a.each do |b|\n  c(b)\n  «end»\nd { |e|\n  f(e)\n    «}»\ng.map do |h|\n  h\nend\ni = j do\n  k\nend\n", "`end` at 3, 2 is not aligned with `a.each do |b|` at 1, 0.", "`}` at 6, 4 is not aligned with `d { |e|` at 4, 0."),
     ("Layout/EmptyLineAfterGuardClause", "def a(b)\n  raise C, <<~TEXT unless b\n    text\n  TEXT\n  d\nend\n"),
 ]
 

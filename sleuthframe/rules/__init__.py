@@ -3,11 +3,11 @@
 import dataclasses
 from collections import Counter
 
-from sleuthframe.rules import layout, lint, lint_more, naming, rest, security, style, style_more
+from sleuthframe.rules import alignment, layout, lint, lint_more, naming, rest, security, style, style_more
 from sleuthframe.rules.edits import EDITS
 from sleuthframe.rules.policy import POLICY, STYLES
 
-_DECLARED = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES, *rest.RULES)
+_DECLARED = (*layout.RULES, *lint.RULES, *lint_more.RULES, *security.RULES, *style.RULES, *style_more.RULES, *naming.RULES, *rest.RULES, *alignment.RULES)
 
 
 def _with_edits(rules: tuple) -> tuple:

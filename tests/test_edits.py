@@ -319,6 +319,13 @@ CORRECTED = [
     ('Style/HashTransformValues', 'a.map { |b, c| [b, c.d] }.to_h\na.map { |b, c| [b, b.d(c)] }.to_h\n', 'a.transform_values { |c| c.d }\na.map { |b, c| [b, b.d(c)] }.to_h\n'),
     ('Style/HashTransformKeys', 'a.map { |b, c| [b.d, c] }.to_h\na.map { |b, c| [c, b] }.to_h\n', 'a.transform_keys { |b| b.d }\na.map { |b, c| [c, b] }.to_h\n'),
     ('Style/HashSlice', 'a.select { |b, c| b == :d }\na.select { |b, c| c == :d }\n', 'a.slice(:d)\na.select { |b, c| c == :d }\n'),
+    ("Layout/ArrayAlignment", "a = [1,\n  2,\n     3]\n", "a = [1,\n     2,\n     3]\n"),
+    ("Layout/AssignmentIndentation", "a =\nb + c\n@f =\n    g\n", "a =\n  b + c\n@f =\n  g\n"),
+    ("Layout/FirstArgumentIndentation", "a(\n1,\n  2\n)\n", "a(\n  1,\n  2\n)\n"),
+    ("Layout/FirstHashElementIndentation", "a = {\n    b: 1\n  }\n", "a = {\n  b: 1\n}\n"),
+    ("Layout/FirstParameterIndentation", "def a(\nb,\n  c\n)\n  1\nend\n", "def a(\n  b,\n  c\n)\n  1\nend\n"),
+    ("Layout/ClosingParenthesisIndentation", "a(\n  b\n  )\n", "a(\n  b\n)\n"),
+    ("Layout/BlockAlignment", "a.each do |b|\n  c(b)\n  end\n", "a.each do |b|\n  c(b)\nend\n"),
 ]
 
 

@@ -99,6 +99,8 @@ STYLED = [
     ("Style/StringConcatenation", {"Mode": "conservative"}, "a = «'b' + c»\nd = e + 'f'\n", "Prefer string interpolation to string concatenation.", None),
     ("Style/TrivialAccessors", {"AllowedMethods": ["b"]}, "class A\n  def b\n    @b\n  end\n\n  «def» c\n    @c\n  end\nend\n", "Use `attr_reader` to define trivial reader methods.", None),
     ("Style/YodaExpression", {"SupportedOperators": ["*"]}, "p 1 + a\np «2 * a»\n", "Non-literal operand (`a`) should be first.", None),
+    ("Layout/ArrayAlignment", {"EnforcedStyle": "with_fixed_indentation"}, "a = [1,\n     «2»]\nb = [1,\n  2]\n", "Use one level of indentation for elements following the first line of a multi-line array.", "a = [1,\n  2]\nb = [1,\n  2]\n"),
+    ("Layout/FirstArgumentIndentation", {"IndentationWidth": "4"}, "a(\n  «1»\n)\nb(\n    1\n)\n", "Indent the first argument one step more than the start of the previous line.", "a(\n    1\n)\nb(\n    1\n)\n"),
     ("Metrics/MethodLength", {"Max": "1", "AllowedMethods": ["a"]}, "def a\n  1\n  2\nend\n\n«def b\n  1\n  2\nend»\n", "Method has too many lines. [2/1]", None),
     ("Metrics/ParameterLists", {"Max": "1"}, "def a«(b, c)»\n  1\nend\n", "Avoid parameter lists longer than 1 parameters. [2/1]", None),
     ("Naming/RescuedExceptionsVariableName", {"PreferredName": "error"}, "begin\n  a\nrescue B => «e»\n  c\nend\n", "Use `error` instead of `e`.", None),
