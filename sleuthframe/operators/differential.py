@@ -1,10 +1,19 @@
-"""Analytics over compared diagnostics and over tables of results per rule."""
+"""Analytics over compared diagnostics and over tables of results per rule.
+
+Null keys are a group like others; null values take no part (a group of nothing
+else has null percentiles, and counts as not passed). Repeated rows count as often
+as they occur; empty tables give empty results. Other columns are not read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Parts between the least and the greatest value of a key.
+BUCKETS = 1024
+
 
 def match_ratio(classes: DataFrame) -> DataFrame:
     """Per rule: what both sides have over what either has; 1 where neither has any."""
@@ -54,8 +63,40 @@ def pass_rates(cases: DataFrame) -> DataFrame:
 
 
 def timings(samples: DataFrame, key: str, value: str) -> DataFrame:
-    """Median and 95th percentile of a value for each key."""
-    return samples.groupBy(key).agg(F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(F.percentile(value, 0.95), 6).alias("p95"))
+    """Median and 95th percentile of a value for each key, interpolated between
+    neighbours. Values are counted, and the counts of BUCKETS equal parts between a
+    key's least and greatest value tell in which part a percentile lies; only that
+    part's values are then put in order. So no task holds all values of a key."""
+    v = F.col("v")
+    rows = samples.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v"))
+    each = rows.filter("v IS NOT NULL").groupBy("key", "v").agg(F.count("*").alias("n"))
+    span = each.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
+
+    def same_key(left: DataFrame, right: DataFrame, *also: str) -> DataFrame:
+        right = right.select(*(F.col(c).alias(f"_{c}" if c in ("key", *also) else c) for c in right.columns))
+        on = left["key"].eqNullSafe(right["_key"])
+        for c in also:
+            on = on & (left[c] == right[f"_{c}"])
+        return left.join(right, on).drop("_key", *(f"_{c}" for c in also))
+
+    part = F.when(F.col("high") == F.col("low"), 0).otherwise(F.least(F.lit(BUCKETS - 1), F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * BUCKETS))).cast("int")
+    placed = same_key(each, span).select("key", "v", "n", "total", part.alias("part"))
+    parts = placed.groupBy("key", "part").agg(F.sum("n").alias("held"), F.max("total").alias("total"))
+    parts = parts.withColumn("before", F.sum("held").over(W.partitionBy("key").orderBy("part")) - F.col("held"))
+    at = F.array(*(F.struct(F.lit(name).alias("name"), rank(F.lit(p) * (F.col("total") - 1)).cast("long").alias("rank")) for name, p, rank in (("m0", 0.5, F.floor), ("m1", 0.5, F.ceil), ("p0", 0.95, F.floor), ("p1", 0.95, F.ceil))))
+    asked = parts.select("key", "part", "before", "held", F.explode(at).alias("a")).filter("a.rank >= before AND a.rank < before + held").select("key", "part", "before", "a.name", "a.rank")
+    own = W.partitionBy("key", "part", "name").orderBy("v")
+    near = same_key(placed.select("key", "part", "v", "n"), asked, "part").withColumn("upto", F.col("before") + F.sum("n").over(own))
+    hit = near.filter("rank < upto AND rank >= upto - n")
+    values = hit.groupBy("key").agg(*(F.max(F.when(F.col("name") == n, v)).alias(n) for n in ("m0", "m1", "p0", "p1")))
+
+    def between(low: str, high: str, p: float):
+        share = F.lit(p) * (F.col("total") - 1) - F.floor(F.lit(p) * (F.col("total") - 1))
+        return F.round(F.col(low) + (F.col(high) - F.col(low)) * share, 6)
+
+    told = same_key(values, span.select("key", "total")).select("key", between("m0", "m1", 0.5).alias("median"), between("p0", "p1", 0.95).alias("p95"))
+    told = told.unionByName(rows.groupBy("key").agg(F.count("v").alias("c")).filter("c = 0").select("key", F.lit(None).cast("double").alias("median"), F.lit(None).cast("double").alias("p95")))
+    return told.withColumnRenamed("key", key)
 
 
 def flattened(reports: DataFrame, root: str = "") -> DataFrame:
