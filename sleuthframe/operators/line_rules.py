@@ -25,7 +25,7 @@ from sleuthframe.functions.text import neighbours
 #: Rules outside Lint that warn.
 WARNINGS = frozenset(["Bundler/DuplicatedGem", "Bundler/DuplicatedGroup", "Bundler/InsecureProtocolSource", "Gemspec/DeprecatedAttributeAssignment", "Gemspec/DuplicatedAssignment", "Gemspec/RequireMFA", "Gemspec/RequiredRubyVersion", "Gemspec/RubyVersionGlobalsUsage", "Layout/BeginEndAlignment", "Layout/DefEndAlignment", "Layout/EndAlignment"])
 #: Rules that run only when asked for by their full name.
-ON_REQUEST = frozenset(["RSpec/MessageChain", "RSpec/MultipleExpectations", "RSpec/MultipleMemoizedHelpers", "RSpec/PendingWithoutReason", "Security/IoMethods", "Style/Copyright", "Style/DisableCopsWithinSourceCodeDirective", "Style/Documentation"])
+ON_REQUEST = frozenset(["Naming/InclusiveLanguage", "RSpec/MessageChain", "RSpec/MultipleExpectations", "RSpec/MultipleMemoizedHelpers", "RSpec/PendingWithoutReason", "Security/IoMethods", "Style/Copyright", "Style/DisableCopsWithinSourceCodeDirective", "Style/Documentation"])
 #: Withdrawn rules, which run only when asked for by their full name as well.
 WITHDRAWN = frozenset(["Layout/EmptyLines", "Layout/SpaceAfterComma", "Layout/SpaceAfterSemicolon", "Lint/AssignmentInCondition", "Lint/DuplicateHashKey", "Lint/TopLevelReturnWithArgument", "Style/InlineComment"])
 DIAGNOSTICS = ["path", "line", "column", "last_line", "last_column", "length", "rule", "severity", "message", "correctable"]

@@ -492,6 +492,7 @@ EXAMPLES: list[tuple[str, ...]] = [
     ("Style/DigChain", "a.dig.dig(:b, :c)\na.dig(b: 1).dig(c: 2)\na.dig({ b: 1 }).dig({ c: 2 })\na.dig(:b).first.dig(:c)\n"),
     ("Style/WhileUntilModifier", "while a\n  b if c\nend\nuntil a\n  b ? c : d\nend\nwhile (e = f)\n  g\nend\nwhile h\n  i while j\nend\n"),
     ("Style/WhileUntilModifier", "«until» a\n  b.c(1)\nend\nwhile a\n  # why\n  b\nend\n", "Favor modifier `until` usage when having a single-line body."),
+    ("Naming/InclusiveLanguage", "«whitelist» = 1\nA_«BLACK_LIST» = :a_«slave»\n# a «white list», and a «whitelist»\nb = 'whitelist'\nenslaved = 1\n", "Consider replacing 'whitelist' with 'allowlist' or 'permit'.", "Consider replacing 'black_list' with 'denylist' or 'block'.", "Consider replacing 'slave' with 'replica', 'secondary', or 'follower'.", "Consider replacing 'white list' with 'allowlist' or 'permit'.", "Consider replacing 'whitelist' with 'allowlist' or 'permit'."),
     ("Layout/ArrayAlignment", "a = [1,\n  «2»,\n     3]\nb = [\n  1,\n  2\n]\nc = [1, 2,\n     3]\nd = [1,\n     2]\n", "Align the elements of an array literal if they span more than one line."),
     ("Layout/AssignmentIndentation", "a =\n«b + c»\nd =\n  e\n@f =\n    «g»\nh = [\n  1\n]\n", "Indent the first line of the right-hand-side of a multi-line assignment."),
     ("Layout/FirstArgumentIndentation", "a(\n«1»,\n2\n)\nb(\n  1,\n  2\n)\nc(1,\n  2)\nd e(\n    «f»\n  )\n".replace("d e(\n    «f»\n  )\n", ""), "Indent the first argument one step more than the start of the previous line."),

@@ -2,11 +2,23 @@
 nodes. Names, messages and limits are fixed values."""
 
 from sleuthframe.rules.engine import NodeRule as R
-from sleuthframe.rules.engine import span
+from sleuthframe.rules.engine import hits, quoted, span
 
 OPERATORS = "'+', '-', '*', '/', '%', '**', '==', '!=', '<', '>', '<=', '>=', '<=>', '&', '|', '^', '<<', '>>', 'eql?', 'equal?'"
 GEM = "recv IS NULL AND name = 'gem' AND a0.kind = 'string'"
 
+#: Terms to be replaced, all in one pattern, and what by.
+TERMS = "(?i)white[-_\\s]?list|black[-_\\s]?list|(?<![a-z0-9])slave(?![a-z0-9])"
+SUGGESTED = {"white": "'allowlist' or 'permit'", "black": "'denylist' or 'block'", "slave": "'replica', 'secondary', or 'follower'"}
+
+
+def _terms(kind: str, setting: str, column: str, where: str = "true") -> R:
+    """The terms in one kind of text; column: SQL of the text, which begins where the node does."""
+    told = " ".join(f"WHEN lower(m) like '{k}%' THEN {quoted(v)}" for k, v in SUGGESTED.items())
+    message = f"@transform(regexp_extract_all({column}, {quoted(TERMS)}, 0), m -> concat('Consider replacing \\'', lower(m), '\\' with ', CASE {told} END, '.'))"
+    return R("Naming/InclusiveLanguage", kind, f"{where} AND {column} rlike {quoted(TERMS)}", message, hits(TERMS, column), many=True, only=f"{{{setting}}} = 'true'", options={setting: "true"})
+
+
 RULES = (
     R("Naming/AccessorMethodName", "def", "name rlike '^get_' AND (params IS NULL OR params.n = 0)", "Do not prefix reader method names with `get_`.", "sel"),
     R("Naming/AccessorMethodName", "def", "name rlike '^set_' AND params.n = 1 AND exists(kids2, k -> k.role = 'param' AND k.kind = 'required_parameter')", "Do not prefix writer method names with `set_`.", "sel"),
@@ -30,4 +42,6 @@ RULES = (
     R("Gemspec/AddRuntimeDependency", "call", "name = 'add_runtime_dependency' AND recv IS NOT NULL AND path like '%.gemspec'", "Use `add_dependency` instead of `add_runtime_dependency`.", "sel", fix="'add_dependency'"),
     R("Gemspec/RubyVersionGlobalsUsage", "constant_read", "name = 'RUBY_VERSION' AND path like '%.gemspec'", "Do not use `RUBY_VERSION` in gemspec file."),
     R("Gemspec/DeprecatedAttributeAssignment", "call_write", "name IN ('test_files', 'date', 'specification_version', 'rubygems_version') AND path like '%.gemspec'", "=concat('Do not set `', name, '` in gemspec.')"),
+    _terms("line", "CheckIdentifiers", "name", "form IS NULL"),
+    _terms("comment", "CheckComments", "name", "coalesce(form, '') <> 'block'"),
 )
