@@ -208,7 +208,15 @@ def test_command_line_corrects(spark, tree):
     assert status == 0 and path.read_bytes() == b"x = 'a' # \xff\n" and "1 corrected" in text
 
 
-def test_options_replace_defaults():
+def test_options_replace_defaults(spark):
+    """A setting takes the place of the default in condition and message alike."""
     rule = next(r for r in RULES if r.name == "Metrics/ParameterLists")
-    changed = dataclasses.replace(rule, options={"Max": "2"})
-    assert "[', size(filter(kids, k -> k.kind <> 'block_parameter')), '/2]'" in changed.message_sql and "> 2" in changed.filled(changed.where)
+    files = spark.createDataFrame([("a.rb", "def a(b, c, d)\n  b\nend\n\ndef e(f, g)\n  f\nend\n")], "path string, content string")
+
+    def found(*given):
+        return [(r["line"], r["message"]) for r in node_diagnostics(files, *given).collect()]
+
+    told = [(1, "Avoid parameter lists longer than 2 parameters. [3/2]")]
+    assert found([dataclasses.replace(rule, options={"Max": "2"})]) == told
+    assert found([rule], False, {"Metrics/ParameterLists": {"Max": "2"}}) == told
+    assert found([rule]) == []
