@@ -208,6 +208,27 @@ def test_command_line_corrects(spark, tree):
     assert status == 0 and path.read_bytes() == b"x = 'a' # \xff\n" and "1 corrected" in text
 
 
+def test_command_line_corrects_by_rules_of_every_kind(spark, tree):
+    """Line, node and file rules report under -a; settings and globs act; each file is put back whole."""
+    a, b = tree / "lib" / "a.rb", tree / "lib" / "b.rb"
+    a.write_text("x.is_a?(B)  \nraise Exception, 'c' if !d\n")
+    b.write_text("y.is_a?(B)  \n")
+    told = tree / "settings.yml"
+    told.write_text("Style/ClassCheck:\n  EnforcedStyle: kind_of?\n  Exclude:\n    - '*/b.rb'\n")
+    only = "Style/ClassCheck,Style/NegatedIf,Lint/RaiseException,Layout/TrailingWhitespace,Style/FrozenStringLiteralComment"
+    status, text = run(spark, "-a", "--only", only, "--config", str(told), str(a), str(b))
+    assert status == 1 and text.count("Missing frozen string literal comment.") == 2 and "5 corrected" in text
+    assert a.read_text() == "x.kind_of?(B)\nraise StandardError, 'c' unless d\n" and b.read_text() == "y.is_a?(B)\n"
+    assert sorted(p.name for p in (tree / "lib").iterdir() if "corrected" in p.name) == []
+
+
+def test_files_are_corrected_by_a_local_master_only(spark, monkeypatch):
+    files = spark.createDataFrame([("a.rb", "x", None, None)], "path string, content string, marker string, invalid binary")
+    monkeypatch.setattr(files.sparkSession.sparkContext, "master", "spark://far:7077")
+    with pytest.raises(ValueError, match="local master"):
+        cli.write_back(files.select("path", "content"), files)
+
+
 def test_options_replace_defaults(spark):
     """A setting takes the place of the default in condition and message alike."""
     rule = next(r for r in RULES if r.name == "Metrics/ParameterLists")
