@@ -72,9 +72,10 @@ def analyze(files: DataFrame, only: list[str] | None = None, config: dict[str, d
         found = found.select(*DIAGNOSTICS)
         parts.append(without_disabled(found.join(files.select("path", directives_of(F.col("content")).alias("dirs")), "path", "left")).select(*DIAGNOSTICS) if directives else found)
     asked = [n for n in DIRECTIVE_RULES if enabled(n, only)] if directives else []
-    if asked:
-        # what is found before suppression, from the same files
+    some = files.filter(F.contains("content", F.lit("# rubocop:")))
+    if asked and some.limit(1).count():
+        # what is found before suppression, in the files that have directives
         run = sorted({r.name for r in (*line_rules, *file_rules, *node_rules)})
-        raw = analyze(files, run, config, own, directives=False) if run else diagnostics(files).limit(0)
-        parts.append(directive_diagnostics(files, raw, asked, run, only is None, config))
+        raw = analyze(some, run, config, own, directives=False) if run else diagnostics(some).limit(0)
+        parts.append(directive_diagnostics(some, raw, asked, run, only is None, config))
     return functools.reduce(DataFrame.unionByName, parts) if parts else diagnostics(files).limit(0)
