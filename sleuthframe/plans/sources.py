@@ -10,24 +10,28 @@ from sleuthframe.operators.analysis import analyze
 from sleuthframe.operators.autocorrect import autocorrect
 from sleuthframe.operators.config import parse_config
 from sleuthframe.operators.line_rules import selected
-from sleuthframe.parser.nodes import nodes
+from sleuthframe.parser.nodes import ALWAYS, Asked, nodes
 from sleuthframe.plans.catalog import register
 from sleuthframe.rules import RULES
 from sleuthframe.sources.decode import decode
-from sleuthframe.sources.tables import table
+from sleuthframe.sources.tables import spread, table
 
+#: Small sources that one task parses.
+PER_TASK = 5000
 PATH = "concat('part/', cast(p_partkey AS STRING), '.rb')"
 
 
 def made(spark: SparkSession, sf_dir: str, content: str) -> DataFrame:
     """files(path, content): a source for each row of part, by an SQL expression."""
-    return table(spark, sf_dir, "part").select(F.expr(PATH).alias("path"), F.expr(content).alias("content"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), PER_TASK)
+    return part.select(F.expr(PATH).alias("path"), F.expr(content).alias("content"))
 
 
 NODES = "concat('part_', cast(p_partkey AS STRING), '(', cast(p_size AS STRING), ')\\nclass C', cast(p_partkey AS STRING), '\\n  def m; end\\nend\\n')"
+SHOWN = frozenset(["call", "integer", "class", "constant_read", "def"])
 register(
     "nodes_table",
-    lambda s, d: nodes(made(s, d, NODES)).filter("kind IN ('call', 'integer', 'class', 'constant_read', 'def')").select("path", "kind", "name", "role", "depth", "at.line", "at.column", "at.last_line", "at.last_column"),
+    lambda s, d: nodes(made(s, d, NODES), Asked(SHOWN, columns=ALWAYS)).filter(F.col("kind").isin(*SHOWN)).select("path", "kind", "name", "role", "depth", "at.line", "at.column", "at.last_line", "at.last_column"),
     f"""WITH t AS (SELECT {PATH.replace("STRING", "VARCHAR")} AS path, CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS n FROM part)
 SELECT path, 'call' AS kind, concat('part_', k) AS name, 'body' AS role, CAST(1 AS INT) AS depth, CAST(1 AS INT) AS line, CAST(1 AS INT) AS "column", CAST(1 AS INT) AS last_line, CAST(len(k) + len(n) + 7 AS INT) AS last_column FROM t
 UNION ALL SELECT path, 'integer', n, 'arg', 2, 1, len(k) + 7, 1, len(k) + len(n) + 6 FROM t
