@@ -21,7 +21,7 @@ from py4j.protocol import Py4JJavaError
 from sleuthframe.operators.config import Value
 from sleuthframe.operators.settings import settings
 from sleuthframe.parser.nodes import nodes
-from sleuthframe.rules.engine import NodeRule, node_findings
+from sleuthframe.rules.engine import NodeRule, asked_of, node_findings
 
 #: Configurations that one pass compares: a bit of a 64-bit number each.
 MOST_CONFIGS = 62
@@ -64,7 +64,7 @@ def under_configurations(files: DataFrame, rules: Iterable[NodeRule], configs: S
         rows = one if rows is None else rows.unionByName(one)
     if rows is None:
         rows = settings(files.sparkSession, rules, {}).withColumn("bit", F.lit(0).cast("long")).filter("false")
-    found = node_findings(nodes(files), rules, settings_rows=rows)
+    found = node_findings(nodes(files, asked_of(rules)), rules, settings_rows=rows)
     key = ["path", "at.line", "at.column", "at.last_line", "at.last_column", "rule", "message"]
     each = found.select(*key, "bit").groupBy("path", "line", "column", "last_line", "last_column", "rule", "message", "bit").agg(F.count("*").alias("n"))
     return each.groupBy("path", "line", "column", "last_line", "last_column", "rule", "message", "n").agg(F.bit_or("bit").alias("configs"))
@@ -92,15 +92,21 @@ def batches(results: DataFrame) -> DataFrame:
     it begins and ends, how many positions and islands, sums and a map of its
     classifications. A run whose batches are of several revisions or versions,
     that has a position twice or leaves one out is rejected; its sums are null."""
-    sums = results.groupBy("run").agg(
-        *(F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"n_{c}") for c in ("revision", "version", "batch")),
-        F.count("*").alias("n"), F.count_distinct("position").alias("positions"), F.min("position").alias("first"), F.max("position").alias("last"),
-        *(F.sum(c).alias(c) for c in ("left", "right", "exact", "left_seconds", "right_seconds")),
+    # all windows lie within a run's, so results are shuffled once
+    place, before = W.partitionBy("run").orderBy("position"), F.lag("position").over(W.partitionBy("run").orderBy("position"))
+    told = results.withColumn("classification", F.coalesce("classification", F.lit("none"))).withColumn("batch", F.coalesce(F.col("batch").cast("string"), F.lit("")))
+    told = told.withColumn("begins", F.col("position").isNotNull() & (before.isNull() | (before != F.col("position"))))
+    told = told.withColumn("island", (F.row_number().over(place) == 1) | F.col("begins") & (before.isNull() | (F.col("position") - before > 1)))
+    kind = W.partitionBy("run", "classification")
+    told = told.withColumn("k", F.count("*").over(kind)).withColumn("first_kind", F.row_number().over(kind.orderBy("position")) == 1)
+    told = told.withColumn("first_batch", F.row_number().over(W.partitionBy("run", "batch").orderBy("position")) == 1)
+    several = [(F.min(c) != F.max(c)).alias(f"n_{n}") for n in ("revision", "version") for c in (F.coalesce(F.col(n).cast("string"), F.lit("")),)]
+    out = told.groupBy("run").agg(
+        *several, F.count_if("first_batch").alias("n_batch"), F.count("*").alias("n"), F.count_if("begins").alias("positions"), F.count_if("island").alias("islands"),
+        F.min("position").alias("first"), F.max("position").alias("last"), *(F.sum(c).alias(c) for c in ("left", "right", "exact", "left_seconds", "right_seconds")),
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("first_kind"), F.struct("classification", "k"))))).alias("classifications"),
     )
-    kinds = results.groupBy("run", "classification").agg(F.count("*").alias("k"))
-    kinds = kinds.groupBy("run").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("classification", F.lit("none")), "k")))).alias("classifications"))
-    status = F.when(F.col("n_revision") > 1, "several revisions").when(F.col("n_version") > 1, "several versions").when(F.col("n") > F.col("positions"), "repeated positions").when(F.col("last") - F.col("first") + 1 > F.col("positions"), "missing positions").otherwise("complete")
-    ranges = islands(results).groupBy("run").agg(F.count("*").alias("islands"))
-    out = sums.withColumn("status", status).join(ranges, "run", "left").join(kinds, "run", "left")
+    status = F.when(F.col("n_revision"), "several revisions").when(F.col("n_version"), "several versions").when(F.col("n") > F.col("positions"), "repeated positions").when(F.col("last") - F.col("first") + 1 > F.col("positions"), "missing positions").otherwise("complete")
+    out = out.withColumn("status", status)
     kept = [F.when(F.col("status") == "complete", F.col(c)).alias(c) for c in ("left", "right", "exact", "left_seconds", "right_seconds")]
     return out.select("run", "status", F.col("n_batch").alias("batches"), "first", "last", "positions", "islands", *kept, "classifications")
