@@ -92,6 +92,11 @@ def first_position() -> Column:
     return F.when(F.col("taken") > 0, position(F.col("begin") / F.col("demand"), F.col("slope")))
 
 
+def in_order(df: DataFrame, place: str, *ties: str) -> DataFrame:
+    """df in training order, sorted by ranges of positions; what has none comes last."""
+    return df.orderBy(F.col(place).asc_nulls_last(), *ties)
+
+
 def training_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as whole documents, in training order: a document comes once for
     each pass that reaches its middle word. The columns are those of df."""
@@ -107,12 +112,13 @@ def training_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if docs.groupBy(id_col, "_key").count().filter("count > 1").limit(1).count():
         docs = docs.dropDuplicates([id_col, "_key"])
     joined = docs.join(takes, docs[id_col].eqNullSafe(takes["_take_id"]) & (docs["_key"] == takes["_take_key"]))
-    return joined.orderBy("_position", "_take_id", "_take_key").select(*[docs[c] for c in df.columns])
+    return in_order(joined, "_position", "_take_id", "_take_key").select(*[docs[c] for c in df.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing_plan(table(spark, sf_dir, "documents"))
-    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", first_position().alias("position"))
+    """The plan's documents in the order of their first takes."""
+    plan = in_order(mixing_plan(table(spark, sf_dir, "documents")).withColumn("position", first_position()), "position", "id", "key")
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "position")
 
 
 OP9_SQL = r"""

@@ -262,6 +262,12 @@ def test_mixing_targets_and_order(spark, odd):
     assert training_documents(odd).columns == odd.columns and mixing_plan(empty(odd)).collect() == [] and training_documents(empty(odd)).collect() == []
 
 
+def test_mixing_query_is_in_training_order(spark):
+    rows = queries.QUERIES["op9_mixing"](spark, SF).collect()
+    places = [(r["position"] is None, r["position"] or 0.0, r["doc_id"]) for r in rows]
+    assert places == sorted(places) and any(r["position"] for r in rows)
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_warc_round_trip(spark, zip64):
     long, short = "ä" * 900, "s" * 10
