@@ -1,12 +1,9 @@
 """What keeps large inputs within their limits: tables dealt out, rows and columns
 asked for, statements known by their shape, results shuffled once."""
 
-import sys
-
-import pytest
-
 from sleuthframe.operators.audits import batches
-from sleuthframe.operators.line_rules import selected
+from sleuthframe.operators.directive_rules import directive_diagnostics
+from sleuthframe.operators.line_rules import diagnostics, selected
 from sleuthframe.parser import ruby
 from sleuthframe.parser.nodes import Asked, nodes
 from sleuthframe.plans import sources
@@ -87,3 +84,10 @@ def test_results_of_a_run_are_shuffled_once(spark):
     assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange") == 1
+
+
+def test_names_of_directives_are_found_once(spark):
+    files = spark.createDataFrame([("a.rb", "# rubocop:disable Style/Not\nx = 1\n# rubocop:enable Style/Not\n")], "path string, content string")
+    found = directive_diagnostics(files, diagnostics(files).limit(0), run=["Style/Not"])
+    assert "InMemoryRelation" in found._jdf.queryExecution().withCachedData().toString()
+    assert [r["line"] for r in found.collect() if r["rule"] == "Lint/RedundantCopDisableDirective"] == [1]
