@@ -20,7 +20,7 @@ from py4j.protocol import Py4JJavaError
 
 from sleuthframe.operators.config import Value
 from sleuthframe.operators.settings import settings
-from sleuthframe.parser.nodes import nodes
+from sleuthframe.parser.nodes import shared_nodes
 from sleuthframe.rules.engine import NodeRule, asked_of, node_findings
 
 #: Configurations that one pass compares: a bit of a 64-bit number each.
@@ -64,7 +64,7 @@ def under_configurations(files: DataFrame, rules: Iterable[NodeRule], configs: S
         rows = one if rows is None else rows.unionByName(one)
     if rows is None:
         rows = settings(files.sparkSession, rules, {}).withColumn("bit", F.lit(0).cast("long")).filter("false")
-    found = node_findings(nodes(files, asked_of(rules)), rules, settings_rows=rows)
+    found = node_findings(shared_nodes(files, asked_of(rules)), rules, settings_rows=rows)
     key = ["path", "at.line", "at.column", "at.last_line", "at.last_column", "rule", "message"]
     each = found.select(*key, "bit").groupBy("path", "line", "column", "last_line", "last_column", "rule", "message", "bit").agg(F.count("*").alias("n"))
     return each.groupBy("path", "line", "column", "last_line", "last_column", "rule", "message", "n").agg(F.bit_or("bit").alias("configs"))

@@ -1,14 +1,17 @@
 """What keeps large inputs within their limits: tables dealt out, rows and columns
 asked for, statements known by their shape, results shuffled once."""
 
+import pyarrow as pa
+
 from sleuthframe.operators.audits import batches
 from sleuthframe.operators.directive_rules import directive_diagnostics
 from sleuthframe.operators.line_rules import diagnostics, selected
 from sleuthframe.parser import ruby
-from sleuthframe.parser.nodes import Asked, nodes
-from sleuthframe.plans import sources
+from sleuthframe.parser import nodes as table
+from sleuthframe.parser.nodes import ALWAYS, Asked, nodes, shared_nodes
+from sleuthframe.plans import documents, sources
 from sleuthframe.rules import RULES
-from sleuthframe.rules.engine import asked_of, names_asked
+from sleuthframe.rules.engine import asked_of, names_asked, node_findings, reads_path
 from sleuthframe.sources.tables import spread
 
 LINES = ["{a} == nil", "not {a}", "@{a} = {{ :{b} => {c}, :{a} => 1 }}", "{a}.{b} if !{c} # {b}", "{a}.map {{ |v| [v, {b}] }}.to_h", "raise Exception, '{c}'", "{a} = 1", "{a} ? {b} : {c}", "puts \"#{{{a}}} {b}\"", "{a}.{b}({c}) do |x| x end", "%w[{a} {b}]", "{a} /{b}/ {c}", "?a.{b}", "{a}\n  .{b}", "{a} rescue {b}", "def {a}({b}) = {c}", "{a} <<~{b}\n  {b}\n{b}", "{b} [{c}]", "{a} :{b}, {c}: 1"]
@@ -62,6 +65,57 @@ def test_only_what_rules_look_at(spark):
     assert nodes(files, Asked()).count() == len(every)
 
 
+def made_rows(contents, asked, by_columns):
+    """Rows of two batches of files, and how many files were left to be read."""
+    table.FILES.clear(), ruby.SHAPES.clear()
+    read, filled, kept = [], table.fill, table.Tables.sorted_out
+
+    def counted(rows, paths, text, *rest):
+        read.append(text)
+        return filled(rows, paths, text, *rest)
+
+    table.fill = counted
+    if not by_columns:
+        table.Tables.sorted_out = lambda self, files: (files, iter(()))
+    try:
+        batches = [pa.RecordBatch.from_pylist([{"path": str(i), "content": c, "told": [], "skip": ["x"] * (i % 2)} for i, c in enumerate(contents)], pa.schema([("path", pa.string()), ("content", pa.string()), ("told", table.SCHEMA.field("told").type), ("skip", pa.list_(pa.string()))])) for _ in range(2)]
+        out = [r for b in table._nodes(iter(batches), asked) for r in b.to_pylist()]
+    finally:
+        table.fill, table.Tables.sorted_out = filled, kept
+    return sorted(map(repr, out)), len(read)
+
+
+def test_rows_made_by_columns_are_those_read():
+    lines = [s for s, _ in documents.STATEMENTS] + list(documents.TOLD)
+    corpus = ["".join(f"{'  ' * (k % 3)}{s.format(x=f'qa{k % 7}', y='q' + 'b' * (k % 5), z=f'qc{i}')}\n{chr(10) * (k % 2)}" for k, s in enumerate(lines)) for i in range(60)]
+    small = [f"part_{i}({i % 50 + 1})\nclass C{i}\n  def m; end\nend\n" for i in range(60)] + [f"x.kind_of?(Part{i})\ny = ?{'ab'[i % 2]}{' # rubocop:disable Style/CharacterLiteral' if i % 2 else ''}\n" for i in range(100)]
+    odd = ["", "x1 = (5", "__END__\nx1", "a1 = 1\na1 == nil\n", "qa1 == nil\n  .foo\n", "qä == nil\n"]
+    asks = [asked_of(selected(n, RULES), c) for n, c in ((documents.CORRECTING, True), (list(documents.CONFIG), False), (["Style/NilComparison", "Style/Not"], False), (sources.FIXERS, True))] + [Asked(sources.SHOWN, columns=ALWAYS)]
+    for asked in asks:
+        fast, read = made_rows(corpus + small + odd, asked, True)
+        slow, all_read = made_rows(corpus + small + odd, asked, False)
+        assert fast == slow and len(fast) > 200
+        assert all_read == 2 * len(corpus + small + odd) and read < all_read / 2 + 30, (read, all_read)
+
+
+def test_rows_of_equal_contents_are_shared(spark):
+    files = spark.createDataFrame([(f"{i}.rb", ("a == nil\n", "not b\n")[i % 2]) for i in range(200)], "path string, content string").coalesce(1)
+    rules = selected(["Style/NilComparison", "Style/Not"], RULES)
+    rows = shared_nodes(files, asked_of(rules))
+    assert rows.count() == 2 and nodes(files, asked_of(rules)).count() == 200
+    assert node_findings(rows, rules).select("path").distinct().count() == 200
+    by_path = selected(["Gemspec/AddRuntimeDependency"], RULES)
+    assert reads_path(by_path[0]) and not any(map(reads_path, rules))
+    kept, table.COPIES = table.COPIES, 20
+    try:
+        schema = pa.schema([("path", pa.string()), ("content", pa.string()), ("told", table.SCHEMA.field("told").type), ("skip", pa.list_(pa.string()))])
+        some = pa.RecordBatch.from_pylist([{"path": str(i), "content": "a == nil\n" * 4, "told": [], "skip": []} for i in range(50)], schema)
+        out = [r for b in table._nodes([some], asked_of(rules)) for r in b.to_pylist()]
+    finally:
+        table.COPIES = kept
+    assert len(out) == 40 and max(len(r["paths"]) for r in out) == 5 and len({(p, r["id"]) for r in out for p in r["paths"]}) == 200
+
+
 def test_names_in_a_list_bound_a_rule():
     rule = next(r for r in RULES if r.name == "Style/NilComparison" and "IN" in r.where)
     assert names_asked(rule) == ["'=='", "'==='"]
