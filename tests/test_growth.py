@@ -4,6 +4,7 @@ asked for, statements known by their shape, results shuffled once."""
 import pyarrow as pa
 
 from sleuthframe.operators.audits import batches
+from sleuthframe.operators.autocorrect import autocorrect
 from sleuthframe.operators.directive_rules import directive_diagnostics
 from sleuthframe.operators.line_rules import diagnostics, selected
 from sleuthframe.parser import ruby
@@ -116,6 +117,16 @@ def test_rows_of_equal_contents_are_shared(spark):
     assert len(out) == 40 and max(len(r["paths"]) for r in out) == 5 and len({(p, r["id"]) for r in out for p in r["paths"]}) == 200
 
 
+def test_corrections_are_made_from_findings_made_once(spark):
+    files = spark.createDataFrame([("a.rb", "a == nil\nnot b\n"), ("b.rb", None), (None, "not c\n"), ("d.rb", "1\n")], "path string, content string")
+    found, after = autocorrect(files, selected(["Style/NilComparison", "Style/Not"], RULES))
+    for out in (found, after):
+        # one that reads the sources, one that writes them
+        assert str(out._jdf.queryExecution().optimizedPlan().toString()).count("MapInArrow") == 2
+    assert sorted((r["path"] or "", r["rule"], r["corrected"]) for r in found.collect()) == [("", "Style/Not", False), ("a.rb", "Style/NilComparison", True), ("a.rb", "Style/Not", True)]
+    assert sorted((r["path"] or "", r["content"], r["accepted"], r["subsumed"]) for r in after.collect()) == [("", "not c\n", [], []), ("a.rb", "a.nil?\n!b\n", [1, 2], []), ("b.rb", "", [], []), ("d.rb", "1\n", [], [])]
+
+
 def test_names_in_a_list_bound_a_rule():
     rule = next(r for r in RULES if r.name == "Style/NilComparison" and "IN" in r.where)
     assert names_asked(rule) == ["'=='", "'==='"]
