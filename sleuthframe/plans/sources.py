@@ -14,16 +14,16 @@ from sleuthframe.parser.nodes import ALWAYS, Asked, nodes
 from sleuthframe.plans.catalog import register
 from sleuthframe.rules import RULES
 from sleuthframe.sources.decode import decode
-from sleuthframe.sources.tables import spread, table
+from sleuthframe.sources.tables import FEW_CONTENTS, spread, table
 
-#: Small sources that one task parses.
+#: Small sources of different contents that one task parses.
 PER_TASK = 5000
 PATH = "concat('part/', cast(p_partkey AS STRING), '.rb')"
 
 
-def made(spark: SparkSession, sf_dir: str, content: str) -> DataFrame:
+def made(spark: SparkSession, sf_dir: str, content: str, per_task: int = PER_TASK) -> DataFrame:
     """files(path, content): a source for each row of part, by an SQL expression."""
-    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), PER_TASK)
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), per_task)
     return part.select(F.expr(PATH).alias("path"), F.expr(content).alias("content"))
 
 
@@ -41,13 +41,13 @@ UNION ALL SELECT path, 'def', 'm', 'body', 2, 3, 3, 3, 12 FROM t""",
 )
 register(
     "parse_errors",
-    lambda s, d: analyze(made(s, d, "if(p_partkey % 3 = 0, concat('x = (', cast(p_size AS STRING)), 'x = 1\\n')"), ["Lint/Syntax", "Style/Not"]).select("path", "rule", "severity", "line", "column"),
+    lambda s, d: analyze(made(s, d, "if(p_partkey % 3 = 0, concat('x = (', cast(p_size AS STRING)), 'x = 1\\n')", FEW_CONTENTS), ["Lint/Syntax", "Style/Not"]).select("path", "rule", "severity", "line", "column"),
     f"SELECT {PATH.replace('STRING', 'VARCHAR')} AS path, 'Lint/Syntax' AS rule, 'warning' AS severity, CAST(1 AS INT) AS line, CAST(6 + len(CAST(p_size AS VARCHAR)) AS INT) AS \"column\" FROM part WHERE p_partkey % 3 = 0",
 )
 DISABLED = "concat('eval(a)\\n# rubocop:disable Security/Eval -- known\\n', repeat('eval(b)\\n', p_size % 4), '# rubocop:enable Security/Eval\\neval(c) # rubocop:todo Security\\neval(d)\\n')"
 register(
     "suppressed_by_directives",
-    lambda s, d: analyze(made(s, d, DISABLED), ["Security/Eval"]),
+    lambda s, d: analyze(made(s, d, DISABLED, FEW_CONTENTS), ["Security/Eval"]),
     f"""WITH t AS (SELECT {PATH.replace("STRING", "VARCHAR")} AS path, unnest([1, p_size % 4 + 5]) AS line FROM part)
 SELECT path, CAST(line AS INT) AS line, CAST(1 AS INT) AS "column", CAST(line AS INT) AS last_line, CAST(4 AS INT) AS last_column, CAST(4 AS INT) AS length, 'Security/Eval' AS rule, 'convention' AS severity, 'The use of `eval` is a serious security risk.' AS message, false AS correctable FROM t""",
 )
@@ -68,7 +68,7 @@ LIMITS = parse_config("Metrics/ParameterLists:\n  Max: 3\nLayout/LineLength:\n
 SIGNED = "concat('def m(', array_join(transform(sequence(1, 1 + p_size % 7), i -> concat('a', cast(i AS STRING))), ', '), ')\\nend\\n')"
 register(
     "configured_limits",
-    lambda s, d: analyze(made(s, d, SIGNED), ["Metrics/ParameterLists", "Layout/LineLength"], LIMITS).select("path", "rule", "line", "column", "last_column", "message"),
+    lambda s, d: analyze(made(s, d, SIGNED, FEW_CONTENTS), ["Metrics/ParameterLists", "Layout/LineLength"], LIMITS).select("path", "rule", "line", "column", "last_column", "message"),
     f"""WITH t AS (SELECT {PATH.replace("STRING", "VARCHAR")} AS path, 1 + p_size % 7 AS n FROM part), u AS (SELECT path, n, 4 * n + 5 AS wide FROM t)
 SELECT path, 'Metrics/ParameterLists' AS rule, CAST(1 AS INT) AS line, CAST(6 AS INT) AS "column", CAST(wide AS INT) AS last_column, concat('Avoid parameter lists longer than 3 parameters. [', n, '/3]') AS message FROM u WHERE n > 3
 UNION ALL SELECT path, 'Layout/LineLength', 1, 21, CAST(wide AS INT), concat('Line is too long. [', wide, '/20]') FROM u WHERE wide > 20""",
@@ -80,6 +80,6 @@ register(
 )
 register(
     "repeated_paths",
-    lambda s, d: analyze(made(s, d, "'!!x\\n'").union(made(s, d, "'!!x\\n'")), ["Style/DoubleNegation"]).select("path", "line", "column"),
+    lambda s, d: analyze(made(s, d, "'!!x\\n'", FEW_CONTENTS).union(made(s, d, "'!!x\\n'", FEW_CONTENTS)), ["Style/DoubleNegation"]).select("path", "line", "column"),
     f"SELECT {PATH.replace('STRING', 'VARCHAR')} AS path, CAST(1 AS INT) AS line, CAST(1 AS INT) AS \"column\" FROM part",
 )

@@ -13,7 +13,7 @@ from sleuthframe.parser.nodes import ALWAYS, Asked, nodes, shared_nodes
 from sleuthframe.plans import documents, sources
 from sleuthframe.rules import RULES
 from sleuthframe.rules.engine import asked_of, names_asked, node_findings, reads_path
-from sleuthframe.sources.tables import spread
+from sleuthframe.sources.tables import FEW_CONTENTS, spread
 
 LINES = ["{a} == nil", "not {a}", "@{a} = {{ :{b} => {c}, :{a} => 1 }}", "{a}.{b} if !{c} # {b}", "{a}.map {{ |v| [v, {b}] }}.to_h", "raise Exception, '{c}'", "{a} = 1", "{a} ? {b} : {c}", "puts \"#{{{a}}} {b}\"", "{a}.{b}({c}) do |x| x end", "%w[{a} {b}]", "{a} /{b}/ {c}", "?a.{b}", "{a}\n  .{b}", "{a} rescue {b}", "def {a}({b}) = {c}", "{a} <<~{b}\n  {b}\n{b}", "{b} [{c}]", "{a} :{b}, {c}: 1"]
 WORDS = [("foo", "bar", "baz"), ("q", "r", "q"), ("Foo", "x1", "Bar"), ("long_name", "i", "w"), ("nil", "foo", "self"), ("a12", "b", "c"), ("foo", "foo", "foo"), ("ärger", "x", "y")]
@@ -156,3 +156,17 @@ def test_names_of_directives_are_found_once(spark):
     found = directive_diagnostics(files, diagnostics(files).limit(0), run=["Style/Not"])
     assert "InMemoryRelation" in found._jdf.queryExecution().withCachedData().toString()
     assert [r["line"] for r in found.collect() if r["rule"] == "Lint/RedundantCopDisableDirective"] == [1]
+
+
+def test_tasks_of_few_contents_are_few(spark, tmp_path):
+    spark.range(250_000).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = sources.made(spark, str(tmp_path), "'x'", FEW_CONTENTS)
+    assert files.rdd.getNumPartitions() == 5 and files.count() == 250_000
+    assert sources.made(spark, str(tmp_path), "'x'").rdd.getNumPartitions() == 50
+
+
+def test_empty_lists_are_not_made_one_by_one():
+    kind = pa.list_(pa.string())
+    assert table._lists(pa.array([[], None, []], kind)) == [(), (), ()]
+    assert table._lists(pa.array([["a"], None, []], kind)) == [["a"], None, []]
+    assert table._lists(pa.array([["a"], [], []], kind).slice(1)) == [(), ()]
