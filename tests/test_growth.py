@@ -13,6 +13,7 @@ from sleuthframe.parser.nodes import ALWAYS, Asked, nodes, shared_nodes
 from sleuthframe.plans import documents, sources
 from sleuthframe.rules import RULES
 from sleuthframe.rules.engine import asked_of, names_asked, node_findings, reads_path
+from sleuthframe.plans.catalog import example_files
 from sleuthframe.sources.tables import FEW_CONTENTS, spread
 
 LINES = ["{a} == nil", "not {a}", "@{a} = {{ :{b} => {c}, :{a} => 1 }}", "{a}.{b} if !{c} # {b}", "{a}.map {{ |v| [v, {b}] }}.to_h", "raise Exception, '{c}'", "{a} = 1", "{a} ? {b} : {c}", "puts \"#{{{a}}} {b}\"", "{a}.{b}({c}) do |x| x end", "%w[{a} {b}]", "{a} /{b}/ {c}", "?a.{b}", "{a}\n  .{b}", "{a} rescue {b}", "def {a}({b}) = {c}", "{a} <<~{b}\n  {b}\n{b}", "{b} [{c}]", "{a} :{b}, {c}: 1"]
@@ -160,8 +161,9 @@ def test_names_of_directives_are_found_once(spark):
 
 def test_tasks_of_few_contents_are_few(spark, tmp_path):
     spark.range(250_000).selectExpr("id AS p_partkey", "cast(id % 50 AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
-    files = sources.made(spark, str(tmp_path), "'x'", FEW_CONTENTS)
-    assert files.rdd.getNumPartitions() == 5 and files.count() == 250_000
+    some = [(k, "Style/Not", "a.rb", "not a\n", []) for k in range(3)]
+    for files in (sources.made(spark, str(tmp_path), "'x'", FEW_CONTENTS), example_files(spark, str(tmp_path), some)):
+        assert files.rdd.getNumPartitions() == 5 and files.count() == 250_000
     assert sources.made(spark, str(tmp_path), "'x'").rdd.getNumPartitions() == 50
 
 
