@@ -12,6 +12,7 @@ from sleuthframe.parser import nodes as table
 from sleuthframe.parser.nodes import ALWAYS, Asked, nodes, shared_nodes
 from sleuthframe.plans import documents, sources
 from sleuthframe.rules import RULES
+from sleuthframe.rules import engine
 from sleuthframe.rules.engine import asked_of, names_asked, node_findings, reads_path
 from sleuthframe.plans.catalog import example_files
 from sleuthframe.sources.tables import FEW_CONTENTS, spread
@@ -172,3 +173,21 @@ def test_empty_lists_are_not_made_one_by_one():
     assert table._lists(pa.array([[], None, []], kind)) == [(), (), ()]
     assert table._lists(pa.array([["a"], None, []], kind)) == [["a"], None, []]
     assert table._lists(pa.array([["a"], [], []], kind).slice(1)) == [(), ()]
+
+
+def test_paths_are_asked_of_findings(spark, monkeypatch):
+    text = "Gem::Specification.new do |s|\n  s.add_runtime_dependency 'a'\nend\nx == nil\n"
+    files = spark.createDataFrame([(p, text) for p in ("a.gemspec", "b.rb", "c.gemspec", None, "gemspec")], "path string, content string").coalesce(1)
+    rules, dealt = selected(["Gemspec/AddRuntimeDependency", "Gemspec/DependencyVersion", "Style/NilComparison"], RULES), []
+    monkeypatch.setattr(engine, "of_each_path", lambda rows: dealt.append(rows.columns) or table.of_each_path(rows))
+    got = sorted((r["path"] or "", r["rule"]) for r in node_findings(shared_nodes(files, asked_of(rules)), rules).collect())
+    # rows are dealt out to paths once they are findings
+    assert len(dealt) == 1 and "rule" in dealt[0]
+    want = sorted((r["path"] or "", r["rule"]) for r in node_findings(nodes(files, asked_of(rules)), rules).collect())
+    assert got == want and len(got) == 2 * 2 + 5 and {p for p, r in got if r.startswith("Gemspec")} == {"a.gemspec", "c.gemspec"}
+    # what a file carries along isn't asked for its path
+    carried = files.selectExpr("*", "array(named_struct('rule', 'Gemspec/DependencyVersion', 'severity', 'warning', 'message', 'm')) AS told")
+    assert node_findings(shared_nodes(carried, asked_of(rules)), rules).filter("message = 'm'").count() == 5
+    # a rule that reads the path beside other columns sees each path
+    both = [*rules, *selected(["Lint/RequireRelativeSelfPath"], RULES)]
+    assert engine.asked_of_paths(both) == (both, {})
