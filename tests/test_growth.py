@@ -3,6 +3,7 @@ asked for, statements known by their shape, results shuffled once."""
 
 import pyarrow as pa
 
+from sleuthframe.operators.analysis import analyze
 from sleuthframe.operators.audits import batches
 from sleuthframe.operators.autocorrect import autocorrect
 from sleuthframe.operators.directive_rules import directive_diagnostics
@@ -191,3 +192,28 @@ def test_paths_are_asked_of_findings(spark, monkeypatch):
     # a rule that reads the path beside other columns sees each path
     both = [*rules, *selected(["Lint/RequireRelativeSelfPath"], RULES)]
     assert engine.asked_of_paths(both) == (both, {})
+
+
+def test_lines_with_comments_are_made_by_columns():
+    lines = ["q{a} == nil", "q{a} == nil # rubocop:disable Style/NilComparison", "  # rubocop:enable Style/NilComparison, ALL -- why", "q{a}.nil? # no reason", "# rubocop:disable Style/Not", "", "not q{a}"]
+    corpus = ["".join(lines[(i + k) % 7].format(a=chr(97 + i % 26) * (1 + i // 26 + k % 3)) + "\n" for k in range(30)) for i in range(80)]
+    odd = ["# only\n", "qa == '#'\n", "qa == nil # it's\n", "qa ? # x\n  1 : 2\n", "qa == ?# # b\n", "qa == nil # x\n# y\n  .foo\n", "qa == :# x\n", "qa == nil # rubocop:disable Style/Not"]
+    asked = asked_of(selected(["Style/NilComparison", "Style/Not"], RULES))
+    fast, read = made_rows(corpus + odd, asked, True)
+    slow, all_read = made_rows(corpus + odd, asked, False)
+    assert fast == slow and len(fast) > 1000 and any("'own': False" in r for r in fast)
+    assert read < all_read / 2 + 20, (read, all_read)
+
+
+def test_files_with_directives_are_read_once(spark):
+    files = spark.createDataFrame([("a.rb", "# rubocop:disable Style/Not\nnot x\n# rubocop:enable Style/Not\nnot y\n"), ("b.rb", "not z\n"), ("c.rb", "# rubocop:disable Style/Not\n")], "path string, content string")
+    found = analyze(files, ["Style/Not", "Lint/RedundantCopDisableDirective", "Lint/MissingCopEnableDirective"], own=[lambda f: f.selectExpr("path", "1 AS line", "1 AS column", "1 AS length", "'Style/Not' AS rule", "'x' AS severity", "'own' AS message").filter("path = 'c.rb'")])
+    # those without directives; what is found in the others is kept
+    outside, kept = [], None
+    for line in found._jdf.queryExecution().withCachedData().toString().split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        if kept is None or at <= kept:
+            kept = at if "InMemoryRelation" in line else None
+            outside.append(line)
+    assert sum("MapInArrow" in line for line in outside) == 1
+    assert sorted((r["path"], r["line"], r["rule"], r["message"] == "own") for r in found.collect()) == [("a.rb", 4, "Style/Not", False), ("b.rb", 1, "Style/Not", False), ("c.rb", 1, "Lint/MissingCopEnableDirective", False)]
