@@ -4,7 +4,7 @@ asked for, statements known by their shape, results shuffled once."""
 import pyarrow as pa
 
 from sleuthframe.operators.analysis import analyze
-from sleuthframe.operators.audits import batches
+from sleuthframe.operators.audits import batches, under_configurations
 from sleuthframe.operators.autocorrect import autocorrect
 from sleuthframe.operators.directive_rules import directive_diagnostics
 from sleuthframe.operators.line_rules import diagnostics, selected
@@ -217,3 +217,22 @@ def test_files_with_directives_are_read_once(spark):
             outside.append(line)
     assert sum("MapInArrow" in line for line in outside) == 1
     assert sorted((r["path"], r["line"], r["rule"], r["message"] == "own") for r in found.collect()) == [("a.rb", 4, "Style/Not", False), ("b.rb", 1, "Style/Not", False), ("c.rb", 1, "Lint/MissingCopEnableDirective", False)]
+
+
+def test_findings_under_configurations_are_shuffled_once(spark):
+    files = spark.createDataFrame([("a.rb", "a == nil\nb.nil?\n"), ("a.rb", "a == nil\n"), (None, "c == nil\n")], "path string, content string")
+    other = {"Style/NilComparison": {"EnforcedStyle": "comparison"}}
+    rules = selected(["Style/NilComparison"], RULES)
+    out = under_configurations(files, rules, [{}, other, {}])
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["path"] or "", r["line"], r["n"], r["configs"]) for r in out.collect()) == [("", 1, 1, 5), ("a.rb", 1, 2, 5), ("a.rb", 2, 1, 2)]
+    assert under_configurations(files, rules, []).count() == 0
+
+
+def test_what_lines_have_in_common_is_told_once(monkeypatch):
+    told, kept = [], table.keyed
+    monkeypatch.setattr(table, "keyed", lambda line: told.append(line) or kept(line))
+    corpus = ["".join(f"qa{i} == nil\nnot q{k}\nqb.foo(qb, q{i})\n" for k in range(20)) for i in range(60)]
+    made_rows(corpus, asked_of(selected(["Style/NilComparison", "Style/Not"], RULES)), True)
+    assert 0 < len(told) < 100
