@@ -236,3 +236,10 @@ def test_what_lines_have_in_common_is_told_once(monkeypatch):
     corpus = ["".join(f"qa{i} == nil\nnot q{k}\nqb.foo(qb, q{i})\n" for k in range(20)) for i in range(60)]
     made_rows(corpus, asked_of(selected(["Style/NilComparison", "Style/Not"], RULES)), True)
     assert 0 < len(told) < 100
+
+
+def test_texts_are_corrected_without_what_findings_say(spark):
+    files = spark.createDataFrame([("a.rb", "a == nil\n")], "path string, content string")
+    found, after = autocorrect(files, selected(["Style/NilComparison"], RULES))
+    listed = [next(x for x in str(df._jdf.queryExecution().analyzed().toString()).split("\n") if "collect_list" in x) for df in (found, after)]
+    assert ["severity" in x for x in listed] == [True, False]
